@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from driftlens.llm.quality import op7_quality
+from driftlens.llm.toxicity import op8_toxicity
 from driftlens.llm.transport_stream import op2_transport_stream
 
 QUERIES = {
     "op2_transport_stream": op2_transport_stream,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
