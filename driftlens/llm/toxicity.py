@@ -1,6 +1,6 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is the sum of three rows of hashed tables (the word, its first four and its first seven bytes).
+A word's embedding is the sum of five rows of hashed tables (the word, its first four to seven bytes).
 Filters of one, two and three words with max pooling feed a logistic output. Labelled rows are a bounded sample in
 hash order (MAX_LABELLED rows and MAX_LABELLED_BYTES of text, so the driver's memory is bounded); every document is
 scored over its whole text on the executors. The threshold is calibrated by language, which is guessed from function
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import map_arrow, small_batches, table, utf8
 from driftlens.llm.words import Words, blocks, word_hash
 
-MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 64_000_000
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
-PREFIXES = (None, 4, 7)
+MAX_LABELLED, MAX_LABELLED_BYTES = 6_000, 48_000_000
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
+PREFIXES = (None, 4, 5, 6, 7)
 SEED = 20
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -69,30 +69,36 @@ class ToxicityModel:
         table[0] = 0
         return cls(table, [rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
 
-    def convolve(self, ids: np.ndarray, k: int, embedded: np.ndarray | None = None) -> np.ndarray:
-        """The k-th width's filters at every row but the last two of ids."""
-        e = self.table[ids].sum(1) if embedded is None else embedded
+    def embed(self, ids: np.ndarray) -> np.ndarray:
+        e = self.table[ids[:, 0]]
+        for k in range(1, ids.shape[1]):
+            e += self.table[ids[:, k]]
+        return e
+
+    def convolve(self, e: np.ndarray) -> list[np.ndarray]:
+        """Each width's filters at every row but the last two of the embedded rows."""
         n = len(e) - 2
-        return sum(e[j : j + n] @ self.filters[k][j] for j in range(WIDTHS[k])) + self.bias[k]
+        parts = iter(np.split(e @ np.concatenate([f[j] for f in self.filters for j in range(len(f))], 1), sum(WIDTHS), 1))
+        return [sum(next(parts)[j : j + n] for j in range(w)) + self.bias[k] for k, w in enumerate(WIDTHS)]
 
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """One logit a text; texts without words pool zeros."""
         if len(first) < 2:
             return np.zeros(0)
-        e = self.table[ids[:, 0]]
-        for k in range(1, ids.shape[1]):
-            e += self.table[ids[:, k]]
         blank = ids[:-2, 0] == 0
         pooled = []
-        for k in range(len(WIDTHS)):
-            c = self.convolve(ids, k, e)
+        for c in self.convolve(self.embed(ids)):
             c[blank] = 0
             pooled.append(np.maximum.reduceat(np.maximum(c, 0, out=c), first[:-1], axis=0))
         return np.concatenate(pooled, 1) @ self.out + self.out_bias
 
 
-def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05) -> ToxicityModel:
-    """AdaGrad on the logistic loss; gradients flow through the pooled windows only, so an update touches few rows."""
+def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, drop: float = 0.5) -> ToxicityModel:
+    """AdaGrad on the logistic loss; gradients flow through the pooled windows only, so an update touches few rows.
+
+    In every other epoch each word is left out with probability drop, so that the filters learn all telling words of a
+    text and not only its strongest.
+    """
     rng = np.random.default_rng(SEED)
     model = ToxicityModel.fresh(rng)
     encoded = [(ids, lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
@@ -100,7 +106,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 3
     keep, check = order[len(order) // 5 :], order[: len(order) // 5]
     weight = {1: 0.5 / max(toxic[keep].mean(), 1e-3), 0: 0.5 / max(1 - toxic[keep].mean(), 1e-3)}
     seen = {"t": np.full(model.table.shape, 1e-2, np.float32), "o": np.full(model.out.shape, 1e-2), "ob": 1e-2, "f": [np.full(f.shape, 1e-2) for f in model.filters], "b": [np.full(FILTERS, 1e-2) for _ in WIDTHS]}
-    for _ in range(epochs):
+    for epoch in range(epochs):
         keep = rng.permutation(keep)
         for s in range(0, len(keep), batch):
             grad_out, grad_ob = np.zeros_like(model.out), 0.0
@@ -111,8 +117,10 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 3
                 n = len(ids) - 2
                 if not n:
                     continue
-                e = model.table[ids].sum(1)
-                best = [model.convolve(ids, k, e) for k in range(len(WIDTHS))]
+                if epoch % 2 == 0 and n > 4:
+                    ids = ids * (rng.random((len(ids), 1)) >= drop)
+                e = model.embed(ids)
+                best = model.convolve(e)
                 at = [c.argmax(0) for c in best]
                 pooled = np.concatenate([np.maximum(c[a, np.arange(FILTERS)], 0) for c, a in zip(best, at, strict=True)])
                 p = 1 / (1 + np.exp(-float(pooled @ model.out + model.out_bias)))
