@@ -5,11 +5,13 @@ from __future__ import annotations
 from driftlens.llm.line_dedup import OP9_SQL, op9_line_dedup
 from driftlens.llm.mixing import op6_mixing
 from driftlens.llm.quality import op7_quality
+from driftlens.llm.simhash import op1_simhash
 from driftlens.llm.token_counts import op5_token_counts
 from driftlens.llm.toxicity import op8_toxicity
 from driftlens.llm.transport_stream import op2_transport_stream
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_transport_stream": op2_transport_stream,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
