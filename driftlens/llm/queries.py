@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from driftlens.llm.decontamination import op3_decontamination
+from driftlens.llm.licenses import op10_licenses
 from driftlens.llm.line_dedup import OP9_SQL, op9_line_dedup
 from driftlens.llm.mixing import op6_mixing
 from driftlens.llm.quality import op7_quality
 from driftlens.llm.simhash import op1_simhash
+from driftlens.llm.suffix_dedup import op4_suffix_array
 from driftlens.llm.token_counts import op5_token_counts
 from driftlens.llm.toxicity import op8_toxicity
 from driftlens.llm.transport_stream import op2_transport_stream
@@ -13,11 +16,14 @@ from driftlens.llm.transport_stream import op2_transport_stream
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_transport_stream": op2_transport_stream,
+    "op3_decontamination": op3_decontamination,
+    "op4_suffix_array": op4_suffix_array,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
+    "op10_licenses": op10_licenses,
 }
 
 SQL: dict[str, str] = {

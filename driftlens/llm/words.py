@@ -27,6 +27,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, for hashes of any span from one running sum."""
+    return _power(_BASE, n), _power(_INVERSE, n)
+
+
 def blocks(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most bytes together; a longer text is a block of its own."""
     start = held = 0
