@@ -182,10 +182,12 @@ def calibrate(model: ToxicityModel, encoded: list, toxic: np.ndarray) -> None:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     """(text, label) of labelled rows outside the held-out fold: a bounded sample in hash order."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where("_y is not null and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
-    own = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
-    picked = own.join(known.where(fold != 0), "_id").withColumn("_h", F.xxhash64("_id", "_text")).orderBy("_h", "_id").limit(MAX_LABELLED)
-    running = F.sum(F.length(F.col("_text").cast("binary"))).over(Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    # MAX_LABELLED rows of (id, label) at most, so they may be broadcast and no text is shuffled but theirs
+    sample = known.where(fold != 0).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(MAX_LABELLED)
+    own = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    picked = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).withColumn("_t", F.xxhash64("_text")).orderBy("_h", "_id", "_t").limit(MAX_LABELLED)
+    running = F.sum(F.length(F.col("_text").cast("binary"))).over(Window.orderBy("_h", "_id", "_t").rowsBetween(Window.unboundedPreceding, 0))
     return picked.withColumn("_sum", running).where(F.col("_sum") <= MAX_LABELLED_BYTES).select("_text", "_y")
 
 
@@ -198,6 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicit
     return train(texts, toxic)
 
 
+def score_texts(model: ToxicityModel | float, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, languages and thresholds of texts."""
+    ids, first, language = encode(texts)
+    if isinstance(model, float):
+        return np.full(len(texts), model), language, np.full(len(texts), 0.5)
+    cut = model.thresholds[language]
+    z = np.clip(model.logits(ids, first) - cut, -50, 50)
+    return 1 / (1 + np.exp(-z)), language, 1 / (1 + np.exp(-cut))
+
+
 def score(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
     """doc_id, score, language (guessed from the text), threshold (its score before the shift) for every document."""
     spark = docs.sparkSession
@@ -208,13 +220,7 @@ def score(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
         model, texts = held.value, list(utf8(batch.column(1)))
         parts = []
         for a, b in blocks(texts):
-            ids, first, language = encode(texts[a:b])
-            if isinstance(model, float):
-                parts.append((np.full(b - a, model), language, np.full(b - a, 0.5)))
-            else:
-                cut = model.thresholds[language]
-                z = np.clip(model.logits(ids, first) - cut, -50, 50)
-                parts.append((1 / (1 + np.exp(-z)), language, 1 / (1 + np.exp(-cut))))
+            parts.append(score_texts(model, texts[a:b]))
         scores, language, cut = (np.concatenate(x) for x in zip(*parts, strict=True))
         return {"doc_id": batch.column(0), "score": scores.astype(float), "language": [LANGUAGES[k] for k in language], "threshold": cut.astype(float)}
 
@@ -230,9 +236,16 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is under 0.5. Rows of one id with different texts are judged one by one."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select(key.alias("doc_id"), "text")
-    bad = score(texts, model).where("score >= 0.5").select(F.col("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_h", key).join(bad, "_h", "left_anti").drop("_h")
+    """Pipeline stage: the rows of docs whose text scores under 0.5, all their columns unchanged, without a shuffle."""
+    import pyarrow as pa
+
+    held = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    small_batches(spark)
+
+    def run(batches):
+        for batch in batches:
+            texts = list(utf8(batch.column(batch.schema.get_field_index("text"))))
+            scores = [score_texts(held.value, texts[a:b])[0] for a, b in blocks(texts)]
+            yield batch.filter(pa.array(np.concatenate(scores) < 0.5)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
