@@ -31,7 +31,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # shuffle files go with the write that made them, where this Spark can do that
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "")
+    if before:
+        spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before:
+            spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

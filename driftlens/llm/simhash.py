@@ -246,11 +246,12 @@ def candidate_pairs(nodes: DataFrame, count: int, tables: int, radius: int) -> D
         for batch in batches:
             now = [np.array(batch.column(k).to_numpy()) for k in range(4)]
             t, node, hi, lo = now if held is None else (np.concatenate(x) for x in zip(held, now, strict=True))
+            bits = hi.view(np.uint64), lo.view(np.uint64)  # bitwise_count takes a signed number's absolute value
             old = 0 if held is None else len(held[0])
             # distance of each row to the row `gap` before it; rows before `old` were compared in the last batch
             far = np.full((len(t), WINDOW), 255, np.uint8)
             for gap in range(1, min(WINDOW, len(t) - 1) + 1):
-                d = np.bitwise_count(hi[gap:] ^ hi[:-gap]) + np.bitwise_count(lo[gap:] ^ lo[:-gap])
+                d = sum(np.bitwise_count(b[gap:] ^ b[:-gap]) for b in bits)
                 far[gap:, gap - 1] = np.where(t[gap:] == t[:-gap], d, 255)
             far[:old] = 255
             best = np.argpartition(far, NEAREST - 1, axis=1)[:, :NEAREST]
