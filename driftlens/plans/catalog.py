@@ -1,4 +1,533 @@
-"""The registered queries over the driver's tables, each with its SQL twin where SQL can express it."""
+"""The registered queries over the driver's tables, each with its SQL twin where SQL can express it.
+
+Trajectories are derived from whole tables (``sources.trajectories``): "e" from events, "l" from lineitem, "v" from
+embeddings. Doubles are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftlens.functions.stage import settle
+from driftlens.operators import attribution as A
+from driftlens.operators import calibrate as C
+from driftlens.operators import detect as D
+from driftlens.operators import geometry as G
+from driftlens.operators import incidents as I
+from driftlens.operators import movement as M
+from driftlens.operators import mutate as U
+from driftlens.operators import pairs as P
+from driftlens.operators import series as S
+from driftlens.sources import trajectories as T
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _round(df: DataFrame, digits: int = 4, *names: str) -> DataFrame:
+    doubles = [n for n, kind in df.dtypes if kind == "double" and (not names or n in names)]
+    # adding 0.0 turns a rounded -0.0 into 0.0
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in doubles}).drop("run")
+
+
+E_ROWS = """
+WITH ev AS (
+  SELECT user_id AS id, event_type, value, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS day FROM events
+), cum AS (
+  SELECT k, id, count(*) AS n, sum(CASE WHEN day > 2 * k - 7 THEN 1 ELSE 0 END) AS recent,
+         sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS v1, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS v2,
+         sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS v3, sum(CASE WHEN event_type = 'signup' THEN value ELSE 0 END) AS v4,
+         sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS v5
+  FROM ev JOIN (SELECT unnest(range(4, 16)) AS k) ON day <= 2 * k GROUP BY k, id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY recent DESC, id) AS r FROM cum WHERE recent > 0
+), rows_e AS (
+  SELECT CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS tbl, CAST(k - 4 AS INTEGER) AS ckpt, id, CASE WHEN (id + k) % 17 = 0 THEN id + 1 ELSE id END AS slot,
+         CASE WHEN (id + 3 * k) % 29 = 0 THEN 0 ELSE n END AS cnt, v1, v2, v3, v4, v5
+  FROM ranked WHERE r <= (SELECT count(DISTINCT user_id) * 2 // 3 FROM events)
+)"""
+PAIRS = (
+    E_ROWS
+    + """, pairs AS (
+  SELECT coalesce(p.tbl, c.tbl) AS tbl, coalesce(p.ckpt, c.ckpt - 1) AS pair, coalesce(p.id, c.id) AS id, c.cnt - p.cnt AS dcount,
+         CASE WHEN p.id IS NULL THEN 'inserted' WHEN c.id IS NULL THEN 'evicted' WHEN p.slot <> c.slot THEN 'slot_moved'
+              WHEN c.cnt < p.cnt THEN 'readmitted' ELSE 'clean' END AS status,
+         p.v1 AS p1, p.v2 AS p2, p.v3 AS p3, p.v4 AS p4, p.v5 AS p5, c.v1 AS c1, c.v2 AS c2, c.v3 AS c3, c.v4 AS c4, c.v5 AS c5, c.cnt
+  FROM rows_e p FULL JOIN rows_e c ON p.tbl = c.tbl AND p.id = c.id AND c.ckpt = p.ckpt + 1
+  WHERE coalesce(p.ckpt, c.ckpt - 1) BETWEEN 0 AND 10
+), counts AS (
+  SELECT tbl, pair, count_if(status = 'clean') AS n_clean, count_if(status = 'slot_moved') AS n_slot_moved, count_if(status = 'readmitted') AS n_readmitted,
+         count_if(status = 'inserted') AS n_inserted, count_if(status = 'evicted') AS n_evicted,
+         count_if(status <> 'inserted') AS n_prev, count_if(status <> 'evicted') AS n_cur
+  FROM pairs GROUP BY tbl, pair
+), rates AS (
+  SELECT tbl, pair, n_inserted / greatest(n_cur, 1) AS inserted_rate, n_evicted / greatest(n_cur, 1) AS evicted_rate,
+         n_slot_moved / greatest(n_clean + n_slot_moved + n_readmitted, 1) AS slot_moved_rate, n_readmitted / greatest(n_clean + n_slot_moved + n_readmitted, 1) AS readmit_rate
+  FROM counts
+), moves AS (
+  SELECT tbl, pair, id, dcount, cnt, sqrt((c1-p1)**2 + (c2-p2)**2 + (c3-p3)**2 + (c4-p4)**2 + (c5-p5)**2) AS dn,
+         (p1*c1 + p2*c2 + p3*c3 + p4*c4 + p5*c5) / (sqrt(p1**2 + p2**2 + p3**2 + p4**2 + p5**2) * sqrt(c1**2 + c2**2 + c3**2 + c4**2 + c5**2) + 1e-12) AS cos
+  FROM pairs WHERE status = 'clean'
+)"""
+)
+SCORES = (
+    PAIRS
+    + """, mv AS (
+  SELECT tbl, pair, id, ln(dn) AS y, ln(1 + greatest(dcount, 0)) AS x FROM moves WHERE dn > 0
+), fit AS (
+  SELECT tbl, pair, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, stddev_pop(x) AS sx, median(y) AS my FROM mv GROUP BY tbl, pair
+), res AS (
+  SELECT mv.tbl, mv.pair, id, CASE WHEN sx < 1e-12 THEN y - my ELSE y - (a + b * x) END AS r FROM mv JOIN fit ON mv.tbl = fit.tbl AND mv.pair = fit.pair WHERE n >= 3
+), med AS (
+  SELECT tbl, pair, median(r) AS m, stddev_pop(r) AS sd FROM res GROUP BY tbl, pair
+), mad AS (
+  SELECT res.tbl, res.pair, any_value(m) AS m, CASE WHEN 1.4826 * median(abs(r - m)) < 1e-12 THEN any_value(sd) ELSE 1.4826 * median(abs(r - m)) END AS s
+  FROM res JOIN med ON res.tbl = med.tbl AND res.pair = med.pair GROUP BY res.tbl, res.pair
+), resid AS (
+  SELECT res.tbl, res.pair, id, CASE WHEN s < 1e-12 THEN 0 ELSE greatest(-25, least(25, (r - m) / s)) END AS fr FROM res JOIN mad ON res.tbl = mad.tbl AND res.pair = mad.pair
+), ranks AS (
+  SELECT *, rank() OVER (PARTITION BY tbl, pair ORDER BY dcount) + (count(*) OVER (PARTITION BY tbl, pair, dcount) - 1) / 2 AS rank_dcount,
+         rank() OVER (PARTITION BY tbl, pair ORDER BY dn) + (count(*) OVER (PARTITION BY tbl, pair, dn) - 1) / 2 AS rank_dn,
+         count(*) OVER (PARTITION BY tbl, pair) AS n FROM moves
+), scores AS (
+  SELECT ranks.tbl, ranks.pair, ranks.id, ranks.dcount, dn, coalesce(fr, 0) AS freq_residual, rank_dcount, rank_dn,
+         CASE WHEN n <= 1 THEN 0 ELSE (rank_dcount - rank_dn) / (n - 1) END AS frozen
+  FROM ranks LEFT JOIN resid ON ranks.tbl = resid.tbl AND ranks.pair = resid.pair AND ranks.id = resid.id
+), summary AS (
+  SELECT tbl, pair, avg(CASE WHEN dn > 0 THEN 1.0 ELSE 0.0 END) AS mover_frac, quantile_cont(dn, 0.5) AS delta_p50, quantile_cont(dn, 0.95) AS delta_p95, max(dn) AS delta_max,
+         max(freq_residual) AS freq_resid_max, CAST(count_if(abs(freq_residual) >= 4) AS DOUBLE) AS n_freq_resid_hi, max(frozen) AS frozen_max
+  FROM scores GROUP BY tbl, pair
+), norms AS (
+  SELECT tbl, ckpt - 1 AS pair, avg(sqrt(v1**2 + v2**2 + v3**2 + v4**2 + v5**2)) AS mean_row_norm FROM rows_e GROUP BY tbl, ckpt
+), wide AS (
+  SELECT rates.tbl, rates.pair, inserted_rate, evicted_rate, slot_moved_rate, readmit_rate, coalesce(mover_frac, 0.0) AS mover_frac, coalesce(delta_p50, 0.0) AS delta_p50,
+         coalesce(delta_p95, 0.0) AS delta_p95, coalesce(delta_max, 0.0) AS delta_max, coalesce(freq_resid_max, 0.0) AS freq_resid_max,
+         coalesce(n_freq_resid_hi, 0.0) AS n_freq_resid_hi, coalesce(frozen_max, 0.0) AS frozen_max, mean_row_norm
+  FROM rates LEFT JOIN summary ON rates.tbl = summary.tbl AND rates.pair = summary.pair LEFT JOIN norms ON rates.tbl = norms.tbl AND rates.pair = norms.pair
+), series AS (
+  SELECT tbl, metric, CAST(pair AS INTEGER) AS idx, CAST(2 * (pair + 5) AS BIGINT) AS step, value FROM wide UNPIVOT (value FOR metric IN (inserted_rate, evicted_rate, slot_moved_rate, readmit_rate,
+    mover_frac, delta_p50, delta_p95, delta_max, freq_resid_max, n_freq_resid_hi, frozen_max, mean_row_norm))
+)"""
+)
+EVENTS = (
+    SCORES
+    + """, centre AS (
+  SELECT tbl, metric, median(value) AS med, stddev_pop(value) AS sd FROM series GROUP BY tbl, metric
+), scale AS (
+  SELECT s.tbl, s.metric, any_value(med) AS med, CASE WHEN 1.4826 * median(abs(value - med)) < 1e-12 THEN any_value(sd) ELSE 1.4826 * median(abs(value - med)) END AS scale
+  FROM series s JOIN centre c ON s.tbl = c.tbl AND s.metric = c.metric GROUP BY s.tbl, s.metric
+), based AS (
+  SELECT *, median(value) OVER (PARTITION BY tbl, metric ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS baseline,
+         row_number() OVER (PARTITION BY tbl, metric ORDER BY idx) - 1 AS seen FROM series
+), z AS (
+  SELECT b.tbl, b.metric, idx, step, value, baseline, (value - baseline) / scale AS score, 'robust_z' AS method FROM based b JOIN scale s ON b.tbl = s.tbl AND b.metric = s.metric
+  WHERE seen >= 3 AND scale >= 1e-12
+)"""
+)
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.events_trajectory(spark, sf_dir)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.frozen_score(M.freq_residual(settle(M.movement(P.id_pairs(_rows(spark, sf_dir))))))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.to_series(S.features(_rows(spark, sf_dir)))
+
+
+# --- churn ----------------------------------------------------------------------------------------------------------
+
+
+@query(E_ROWS + "SELECT tbl, ckpt, id, slot, cnt, round(v1, 4) AS v1, round(v2, 4) AS v2, round(v3, 4) AS v3, round(v4, 4) AS v4, round(v5, 4) AS v5 FROM rows_e")
+def trajectory_rows(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return rows.select("tbl", "ckpt", "id", "slot", "cnt", *[(F.round(F.col("vec")[i], 4) + 0.0).alias(f"v{i + 1}") for i in range(5)])
+
+
+@query(PAIRS + "SELECT tbl, pair, CAST(n_clean AS BIGINT) AS n_clean, CAST(n_slot_moved AS BIGINT) AS n_slot_moved, CAST(n_readmitted AS BIGINT) AS n_readmitted, CAST(n_inserted AS BIGINT) AS n_inserted, CAST(n_evicted AS BIGINT) AS n_evicted, CAST(n_prev AS BIGINT) AS n_prev, CAST(n_cur AS BIGINT) AS n_cur, CAST(n_clean + n_slot_moved + n_readmitted AS BIGINT) AS n_survivors FROM counts")
+def churn_counts(spark, sf_dir):
+    return P.churn_counts(_rows(spark, sf_dir)).drop("run", "step")
+
+
+@query(PAIRS + "SELECT tbl, pair, round(inserted_rate, 6) AS inserted_rate, round(evicted_rate, 6) AS evicted_rate, round(slot_moved_rate, 6) AS slot_moved_rate, round(readmit_rate, 6) AS readmit_rate FROM rates")
+def churn_rates(spark, sf_dir):
+    return _round(P.churn_rates(P.churn_counts(_rows(spark, sf_dir))).drop("step"), 6)
+
+
+@query(PAIRS + "SELECT tbl, pair, id, status, coalesce(dcount, 0) AS dcount FROM pairs")
+def status_rows(spark, sf_dir):
+    return P.id_pairs(_rows(spark, sf_dir), vectors=False).select("tbl", "pair", "id", "status", F.coalesce("dcount", F.lit(0).cast("long")).alias("dcount"))
+
+
+def _ids(status: str):
+    def run(spark, sf_dir):
+        return P.ids_with(P.id_pairs(_rows(spark, sf_dir), vectors=False), status).drop("run")
+
+    return run
+
+
+for _status in P.STATUSES:
+    QUERIES[f"{_status}_ids"] = _ids(_status)
+    SQL[f"{_status}_ids"] = PAIRS + f"SELECT tbl, pair, id FROM pairs WHERE status = '{_status}'"
+
+
+@query(E_ROWS + "SELECT p.tbl, p.ckpt, p.id, coalesce(c.slot, -1) AS slot, coalesce(c.cnt, -1) AS cnt FROM rows_e p LEFT JOIN rows_e c ON p.tbl = c.tbl AND p.id = c.id AND c.ckpt = p.ckpt + 1")
+def look_up_next(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    wanted = rows.select("run", "tbl", (F.col("ckpt") + 1).alias("ckpt"), "id")
+    return P.look_up(rows, wanted).select("tbl", (F.col("ckpt") - 1).alias("ckpt"), "id", "slot", "cnt")
+
+
+@query(E_ROWS + "SELECT tbl, ckpt, id, count(*) AS n FROM rows_e GROUP BY tbl, ckpt, id HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return T.duplicate_ids(_rows(spark, sf_dir)).drop("run")
+
+
+# --- movement -------------------------------------------------------------------------------------------------------
+
+
+@query(SCORES + "SELECT rates.tbl, rates.pair, round(inserted_rate, 4) AS inserted_rate, round(evicted_rate, 4) AS evicted_rate, round(delta_p50, 4) AS delta_p50, round(delta_p95, 4) AS delta_p95, round(delta_max, 4) AS delta_max FROM rates JOIN summary ON rates.tbl = summary.tbl AND rates.pair = summary.pair")
+def pair_summary(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    pairs = P.id_pairs(rows)
+    both = P.churn_rates(P.churn_counts(rows, pairs)).join(M.movement_summary(M.movement(pairs)), P.PAIR)
+    return _round(both.select("run", "tbl", "pair", "inserted_rate", "evicted_rate", "delta_p50", "delta_p95", "delta_max"))
+
+
+@query(PAIRS + "SELECT tbl, pair, id, dcount, round(dn, 4) AS dn, round(cos, 6) AS cos, cnt FROM moves")
+def movement_rows(spark, sf_dir):
+    return _round(_round(M.movement(P.id_pairs(_rows(spark, sf_dir))), 4, "dn").withColumn("run", F.lit("e")), 6, "cos")
+
+
+@query(SCORES + "SELECT tbl, pair, round(mover_frac, 6) AS mover_frac, round(delta_p50, 4) AS delta_p50, round(delta_p95, 4) AS delta_p95, round(delta_max, 4) AS delta_max FROM summary")
+def delta_quantiles(spark, sf_dir):
+    return _round(_round(M.movement_summary(M.movement(P.id_pairs(_rows(spark, sf_dir)))), 6, "mover_frac").withColumn("run", F.lit("e")), 4, "delta_p50", "delta_p95", "delta_max")
+
+
+@query(SCORES + "SELECT tbl, CAST(pair AS INTEGER) AS pair, round(mean_row_norm, 4) AS mean_row_norm FROM norms")
+def mean_row_norm(spark, sf_dir):
+    return _round(M.mean_row_norm(_rows(spark, sf_dir)))
+
+
+@query(SCORES + "SELECT tbl, pair, id, round(freq_residual, 4) AS freq_residual FROM scores")
+def freq_residual(spark, sf_dir):
+    return _round(_scored(spark, sf_dir).select("run", "tbl", "pair", "id", "freq_residual"))
+
+
+@query(SCORES + "SELECT tbl, pair, id, rank_dcount, rank_dn, round(frozen, 6) AS frozen FROM scores")
+def frozen_score(spark, sf_dir):
+    return _round(_scored(spark, sf_dir).select("run", "tbl", "pair", "id", "rank_dcount", "rank_dn", "frozen"), 6, "frozen")
+
+
+@query(SCORES + "SELECT tbl, pair, round(freq_resid_max, 4) AS freq_resid_max, CAST(n_freq_resid_hi AS BIGINT) AS n_freq_resid_hi, round(frozen_max, 4) AS frozen_max FROM summary")
+def score_tails(spark, sf_dir):
+    return _round(M.score_tails(_scored(spark, sf_dir)))
+
+
+def _top_sql(by: str) -> str:
+    return SCORES + f"SELECT tbl, pair, id, dcount, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, {by} AS score, row_number() OVER (PARTITION BY tbl, pair ORDER BY round({by}, 9) DESC, id) AS place FROM scores) WHERE place <= 10"
+
+
+@query(_top_sql("freq_residual"))
+def top_movers(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("_by", F.round("freq_residual", 9))
+    return _round(M.top_k(scored, "_by").select("run", "tbl", "pair", "id", "dcount", F.col("freq_residual").alias("score"), "place"))
+
+
+@query(_top_sql("frozen"))
+def top_frozen(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("_by", F.round("frozen", 9))
+    return _round(M.top_k(scored, "_by").select("run", "tbl", "pair", "id", "dcount", F.col("frozen").alias("score"), "place"))
+
+
+# --- the lineitem trajectory: a wide churn of many ids ---------------------------------------------------------------
+
+L_PAIRS = """
+WITH rows_l AS (
+  SELECT CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS ckpt, l_partkey AS id, count(*) AS cnt, sum(l_quantity) AS v1, sum(l_extendedprice) AS v2, sum(l_discount) AS v3, sum(l_tax) AS v4
+  FROM lineitem GROUP BY 1, 2
+), pairs AS (
+  SELECT coalesce(p.ckpt, c.ckpt - 1) AS pair, CASE WHEN p.id IS NULL THEN 'inserted' WHEN c.id IS NULL THEN 'evicted' WHEN c.cnt < p.cnt THEN 'readmitted' ELSE 'clean' END AS status,
+         sqrt((c.v1-p.v1)**2 + (c.v2-p.v2)**2 + (c.v3-p.v3)**2 + (c.v4-p.v4)**2) AS dn
+  FROM rows_l p FULL JOIN rows_l c ON p.id = c.id AND c.ckpt = p.ckpt + 1
+  WHERE coalesce(p.ckpt, c.ckpt - 1) BETWEEN (SELECT min(ckpt) FROM rows_l) AND (SELECT max(ckpt) - 1 FROM rows_l)
+)"""
+
+
+@query(L_PAIRS + "SELECT pair, CAST(count_if(status = 'clean') AS BIGINT) AS n_clean, CAST(count_if(status = 'readmitted') AS BIGINT) AS n_readmitted, CAST(count_if(status = 'inserted') AS BIGINT) AS n_inserted, CAST(count_if(status = 'evicted') AS BIGINT) AS n_evicted, round(quantile_cont(dn, 0.5) FILTER (status = 'clean'), 2) AS delta_p50, round(max(dn) FILTER (status = 'clean'), 2) AS delta_max FROM pairs GROUP BY pair")
+def part_churn(spark, sf_dir):
+    rows = T.lineitem_trajectory(spark, sf_dir)
+    pairs = P.id_pairs(rows)
+    both = P.churn_counts(rows, pairs).join(M.movement_summary(M.movement(pairs)), P.PAIR, "left")
+    return _round(both.select("run", "pair", "n_clean", "n_readmitted", "n_inserted", "n_evicted", "delta_p50", "delta_max"), 2)
+
+
+@query()
+def part_scores(spark, sf_dir):
+    """Residual and frozen scores of every part and quarter: the heaviest per-id plan."""
+    moves = settle(M.movement(P.id_pairs(T.lineitem_trajectory(spark, sf_dir))))
+    return _round(M.frozen_score(M.freq_residual(moves)).select("run", "pair", "id", "freq_residual", "frozen"))
+
+
+# --- series and detection -------------------------------------------------------------------------------------------
+
+
+@query(SCORES + "SELECT tbl, metric, idx, step, round(value, 4) AS value FROM series")
+def feature_series(spark, sf_dir):
+    return _round(_series(spark, sf_dir))
+
+
+@query()
+def geometry_series(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return _round(S.fill_gaps(S.to_series(S.features(rows, G.geometry(G.spectra(rows))))))
+
+
+@query(EVENTS + "SELECT tbl, metric, idx, step, round(value, 4) AS value, round(baseline, 4) AS baseline, round(score, 3) AS score FROM z WHERE abs(score) >= 1.5")
+def detect_robust_z(spark, sf_dir):
+    found = D.robust_z(_series(spark, sf_dir), k=1.5).drop("method")
+    return _round(_round(found, 3, "score").withColumn("run", F.lit("e")), 4, "value", "baseline")
+
+
+PH_SQL = (
+    EVENTS
+    + """, signs AS (SELECT unnest([1.0, -1.0]) AS sign), std AS (
+  SELECT s.tbl, s.metric, sign, idx, row_number() OVER (PARTITION BY s.tbl, s.metric, sign ORDER BY idx) AS i, sign * (value - med) / scale AS x
+  FROM series s JOIN scale c ON s.tbl = c.tbl AND s.metric = c.metric CROSS JOIN signs WHERE scale >= 1e-12
+), walk AS (
+  WITH RECURSIVE w(tbl, metric, sign, i, seen, mean, total, least, alarm) AS (
+    SELECT DISTINCT tbl, metric, sign, CAST(0 AS BIGINT), 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM std
+    UNION ALL
+    SELECT tbl, metric, sign, i, CASE WHEN fires THEN 0 ELSE seen END, CASE WHEN fires THEN 0 ELSE mean END, CASE WHEN fires THEN 0 ELSE total END,
+           CASE WHEN fires THEN 0 ELSE least END, CASE WHEN fires THEN total - least END
+    FROM (SELECT tbl, metric, sign, i, seen, mean, total, least, seen > 3 AND total - least > 0.3 AS fires
+          FROM (SELECT tbl, metric, sign, i, seen, mean, total, least(low, total) AS least
+                FROM (SELECT w.tbl, w.metric, w.sign, s.i, w.seen + 1 AS seen, w.mean + (s.x - w.mean) / (w.seen + 1) AS mean,
+                             w.total + s.x - (w.mean + (s.x - w.mean) / (w.seen + 1)) AS total, w.least AS low
+                      FROM w JOIN std s ON w.tbl = s.tbl AND w.metric = s.metric AND w.sign = s.sign AND s.i = w.i + 1)))
+  ) SELECT * FROM w
+)
+SELECT w.tbl, w.metric, s.idx, round(w.sign * alarm, 3) AS score FROM walk w JOIN std s ON w.tbl = s.tbl AND w.metric = s.metric AND w.sign = s.sign AND w.i = s.i WHERE alarm IS NOT NULL"""
+)
+
+
+@query(PH_SQL)
+def detect_page_hinkley(spark, sf_dir):
+    found = D.page_hinkley(_series(spark, sf_dir), lam=0.3)
+    return _round(found.select("run", "tbl", "metric", "idx", "score"), 3)
+
+
+@query()
+def detect_pelt(spark, sf_dir):
+    return _round(D.pelt(_series(spark, sf_dir), penalty=1.0).select("run", "tbl", "metric", "idx", "baseline", "score"), 3)
+
+
+@query(EVENTS + "SELECT tbl, metric, idx, step, method, round(abs(score) / 2.5, 3) AS severity, CASE WHEN score > 0 THEN 'up' ELSE 'down' END AS direction FROM z WHERE abs(score) / 2.5 >= 1")
+def calibrated_events(spark, sf_dir):
+    """Robust-z events over a bar of 2.5 scales."""
+    found = D.detect_trajectory(_series(spark, sf_dir), {"robust_z": 2.5}, methods=("robust_z",))
+    return _round(found.select("run", "tbl", "metric", "idx", "step", "method", "severity", "direction"), 3)
+
+
+@query()
+def detected_events(spark, sf_dir):
+    """All three methods at their calibrated thresholds."""
+    found = D.detect_trajectory(_series(spark, sf_dir), D.THRESHOLDS)
+    return _round(found.select("run", "tbl", "metric", "idx", "step", "method", "severity", "direction", "value", "baseline", "score"), 3)
+
+
+@query(EVENTS + "SELECT tbl, metric, idx, round(abs(score), 3) AS severity FROM z ORDER BY round(abs(score), 9) DESC, idx, tbl, metric LIMIT 10")
+def event_ranking(spark, sf_dir):
+    found = D.detect_trajectory(_series(spark, sf_dir), k=0.0, methods=("robust_z",)).withColumn("severity", F.round("severity", 9))
+    return _round(D.top(found, 10).select("run", "tbl", "metric", "idx", "severity"), 3)
+
+
+@query(
+    EVENTS
+    + """, found AS (SELECT tbl, metric, idx, step, abs(score) AS severity FROM z WHERE abs(score) >= 3.5),
+idxs AS (SELECT DISTINCT idx FROM found), chained AS (SELECT idx, CASE WHEN idx - lag(idx) OVER (ORDER BY idx) > 1 THEN 1 ELSE 0 END AS new FROM idxs),
+placed AS (SELECT idx, sum(new) OVER (ORDER BY idx) AS incident FROM chained)
+SELECT CAST(incident AS BIGINT) AS incident, round(max(severity), 3) AS severity, count(*) AS n_events, string_agg(DISTINCT tbl, ',' ORDER BY tbl) AS tables, min(step) AS first_step, max(step) AS last_step
+FROM found JOIN placed USING (idx) GROUP BY incident"""
+)
+def incidents(spark, sf_dir):
+    found = I.incidents(D.detect_trajectory(_series(spark, sf_dir), k=3.5, methods=("robust_z",)))
+    return _round(found.select("run", "incident", "severity", "n_events", F.array_join("tables", ",").alias("tables"), F.array_min("steps").alias("first_step"), F.array_max("steps").alias("last_step")), 3)
+
+
+# --- geometry -------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir):
+    return T.embeddings_trajectory(spark, sf_dir)
+
+
+@query(
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.v, b.v), 8) + 0.0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2"""
+)
+def covariance_matrix(spark, sf_dir):
+    """The upper triangle of the embeddings' covariance from summed moments."""
+    rows = _vectors(spark, sf_dir).where("ckpt = 0")
+    m = G.moments(rows, G.TABLE).withColumn("d", F.size("s"))
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+    cells = m.select("*", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("i")).select("*", F.explode(F.sequence(i, F.col("d") - 1)).alias("j"))
+    cov = (F.get("ss", i * F.col("d") + j) - F.get("s", i) * F.get("s", j) / n) / (n - 1)
+    return cells.select("i", "j", (F.round(cov, 8) + 0.0).alias("cov"))
+
+
+@query()
+def table_geometry(spark, sf_dir):
+    return _round(G.geometry(G.spectra(_vectors(spark, sf_dir))))
+
+
+@query()
+def subspace_overlap(spark, sf_dir):
+    return _round(G.subspace_overlap(G.spectra(_vectors(spark, sf_dir))))
+
+
+@query()
+def spectral_report(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    steps = rows.groupBy(*G.TABLE).agg(F.max("step").alias("step"))
+    return G.spectral_report(G.spectra(rows), steps).select("tbl", "steps", "rank90", "rank95", "rank99", F.transform("effective_rank", lambda x: F.round(x, 4)).alias("effective_rank"), "stable_since")
+
+
+@query()
+def project_deltas(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 8), 6)
+
+
+@query()
+def weighted_deltas(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 0, weighted=True), 6)
+
+
+@query(
+    """WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+k AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS k), y AS (SELECT k, CASE WHEN i < 8 THEN v * (1 + k * 0.5) ELSE v * (1 - 0.05 * k) END AS a, CASE WHEN i < 8 THEN v * (1 + (k + 1) * 0.5) ELSE v * (1 - 0.05 * (k + 1)) END AS b FROM x CROSS JOIN k WHERE k < 3)
+SELECT k AS pair, round(sqrt(sum((b - a) ** 2)), 4) AS delta_norm, round(sqrt(sum((b - a) ** 2)) / (sqrt(sum(a * a)) + 1e-12), 6) AS rel_delta_norm, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-12), 6) AS cosine FROM y GROUP BY k"""
+)
+def dense_delta(spark, sf_dir):
+    """The embeddings matrix as one dense tensor."""
+    found = G.dense_deltas(_vectors(spark, sf_dir)).drop("tbl")
+    return _round(_round(found, 4, "delta_norm").withColumn("run", F.lit("v")), 6, "rel_delta_norm", "cosine")
+
+
+@query()
+def dense_spectra(spark, sf_dir):
+    return _round(G.dense_spectra(_vectors(spark, sf_dir)))
+
+
+# --- attribution ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    PAIRS
+    + """SELECT tbl, pair, count(*) AS n, round(sqrt((avg(c1) - avg(p1)) ** 2 + (avg(c2) - avg(p2)) ** 2 + (avg(c3) - avg(p3)) ** 2 + (avg(c4) - avg(p4)) ** 2 + (avg(c5) - avg(p5)) ** 2), 4) AS mean_shift_norm,
+round(count(*) * ((avg(c1) - avg(p1)) ** 2 + (avg(c2) - avg(p2)) ** 2 + (avg(c3) - avg(p3)) ** 2 + (avg(c4) - avg(p4)) ** 2 + (avg(c5) - avg(p5)) ** 2)
+  / sum((c1-p1)**2 + (c2-p2)**2 + (c3-p3)**2 + (c4-p4)**2 + (c5-p5)**2), 4) AS frac_translation
+FROM pairs WHERE status = 'clean' GROUP BY tbl, pair HAVING count(*) >= 8"""
+)
+def mean_shift(spark, sf_dir):
+    found = A.procrustes(P.id_pairs(_rows(spark, sf_dir)))
+    return _round(found.select("run", "tbl", "pair", "n", "mean_shift_norm", "frac_translation"))
+
+
+@query()
+def procrustes(spark, sf_dir):
+    return _round(A.procrustes(P.id_pairs(_rows(spark, sf_dir))).drop("rotation", "mean_prev", "mean_cur"))
+
+
+@query()
+def attribution_summary(spark, sf_dir):
+    return _round(A.attribution(P.id_pairs(_rows(spark, sf_dir)))[0])
+
+
+@query()
+def idiosyncratic(spark, sf_dir):
+    return _round(A.attribution(P.id_pairs(_rows(spark, sf_dir)))[1].select("run", "tbl", "pair", "id", "aligned_dn", "idiosyncratic"))
+
+
+@query(
+    SCORES
+    + """, r AS (SELECT tbl, pair, id % 7 = 0 AS hit, rank() OVER (PARTITION BY tbl, pair ORDER BY dn) + (count(*) OVER (PARTITION BY tbl, pair, dn) - 1) / 2 AS rk FROM moves)
+SELECT tbl, pair, round(CASE WHEN count_if(hit) = 0 OR count_if(NOT hit) = 0 THEN 0.5 ELSE (sum(CASE WHEN hit THEN rk ELSE 0 END) - count_if(hit) * (count_if(hit) + 1) / 2) / (count_if(hit) * count_if(NOT hit)) END, 6) AS auc FROM r GROUP BY tbl, pair"""
+)
+def movement_auc(spark, sf_dir):
+    moves = M.movement(P.id_pairs(_rows(spark, sf_dir))).withColumn("hit", F.col("id") % 7 == 0)
+    return _round(A.auc(moves, "dn", "hit", P.PAIR), 6)
+
+
+# --- mutation and calibration ---------------------------------------------------------------------------------------
+
+
+def _planted(kind: str):
+    def run(spark, sf_dir):
+        """Every 25th vector corrupted in the second checkpoint, and the movement that shows."""
+        rows = _vectors(spark, sf_dir).where("ckpt < 2")
+        targets = rows.where((F.col("ckpt") == 1) & (F.col("id") % 25 == 0)).select(*U.KEY)
+        bad = U.set_rows(rows, U.mutated(rows.where("ckpt = 1"), targets, kind, 4.0))
+        return _round(M.movement(P.id_pairs(bad)).select("run", "pair", "id", "dn", (F.col("id") % 25 == 0).alias("planted")))
+
+    return run
+
+
+for _kind in ("scramble", "zero", "noise"):
+    QUERIES[f"mutate_{_kind}"] = _planted(_kind)
+
+
+@query(E_ROWS + "SELECT tbl, ckpt, round(quantile_disc(sqrt(v1**2 + v2**2 + v3**2 + v4**2 + v5**2), 0.5), 4) AS typical FROM rows_e GROUP BY tbl, ckpt")
+def typical_norm(spark, sf_dir):
+    return _round(U.typical_norm(_rows(spark, sf_dir)))
+
+
+@query(
+    EVENTS
+    + """, pool AS (SELECT metric, max(abs(score)) AS worst FROM z GROUP BY metric), bar AS (SELECT quantile_cont(worst, 0.8) AS threshold FROM pool)
+SELECT 'robust_z' AS method, round(threshold, 3) AS threshold FROM bar"""
+)
+def null_thresholds(spark, sf_dir):
+    """Each metric as a run of its own: the score that a fifth of them exceed somewhere."""
+    found = D.robust_z(_series(spark, sf_dir), k=0.0)
+    maxima = found.groupBy(F.col("metric").alias("run"), "method").agg(F.max(F.abs("score")).alias("worst"))
+    return _round(C.thresholds(maxima, 0.2), 3)
+
+
+@query(
+    EVENTS
+    + """, sev AS (SELECT tbl AS label, CAST(idx AS DOUBLE) AS magnitude, metric, max(abs(score)) AS severity FROM z GROUP BY 1, 2, 3)
+SELECT label, magnitude, 'robust_z' AS method, round(avg(CASE WHEN severity >= 1.0 THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM sev GROUP BY 1, 2"""
+)
+def detection_power(spark, sf_dir):
+    """The share of metrics whose score reaches one scale, by table and index."""
+    found = D.robust_z(_series(spark, sf_dir), k=0.0)
+    severities = found.groupBy(F.col("tbl").alias("label"), F.col("idx").cast("double").alias("magnitude"), "metric", "method").agg(F.max(F.abs("score")).alias("severity"))
+    bars = found.select("method").distinct().withColumn("threshold", F.lit(1.0))
+    return _round(C.power(severities, bars), 6)
+
+
+@query()
+def event_p_values(spark, sf_dir):
+    """Events of table a against the scores of table b as a clean pool."""
+    found = D.robust_z(_series(spark, sf_dir), k=0.0)
+    own = found.where("tbl = 'a'").select("run", "tbl", "metric", "idx", "method", "score")
+    return _round(C.p_values(own, found.where("tbl = 'b'").select("method", "score")), 4)
+
+
