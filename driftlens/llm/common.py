@@ -33,13 +33,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     # shuffle files go with the write that made them, where this Spark can do that
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "")
-    if before:
+    known = spark.conf.isModifiable(setting)
+    before = spark.conf.get(setting, "false") if known else ""
+    if known:
         spark.conf.set(setting, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before:
+        if known:
             spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
