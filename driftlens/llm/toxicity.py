@@ -37,12 +37,15 @@ _MARKS = {lang: np.array(sorted(word_hash(w) for w in words), np.uint64) for lan
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of bucket numbers (0: padding) with two rows of padding after each text, the texts' first rows, languages."""
+    """Rows of bucket numbers (0: padding), the texts' first rows, languages.
+
+    Two rows of padding follow each text, and two more the last, so that a window can begin at each of the others.
+    """
     words = Words(texts)
     counts = words.counts()
     first = np.concatenate([[0], np.cumsum(counts + 2)])
     at = np.arange(len(words.start)) + 2 * words.doc
-    ids = np.zeros((int(first[-1]), len(PREFIXES)), np.int32)
+    ids = np.zeros((int(first[-1]) + 2, len(PREFIXES)), np.int32)
     for k, prefix in enumerate(PREFIXES):
         h = words.hashes(prefix)
         ids[at, k] = 1 + k * BUCKETS + (h >> np.uint64(20)) % np.uint64(BUCKETS)
@@ -101,7 +104,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 3
     """
     rng = np.random.default_rng(SEED)
     model = ToxicityModel.fresh(rng)
-    encoded = [(ids, lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
+    encoded = [(ids[:-2], lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
     order = rng.permutation(len(texts))
     keep, check = order[len(order) // 5 :], order[: len(order) // 5]
     weight = {1: 0.5 / max(toxic[keep].mean(), 1e-3), 0: 0.5 / max(1 - toxic[keep].mean(), 1e-3)}
@@ -171,7 +174,7 @@ def calibrate(model: ToxicityModel, encoded: list, toxic: np.ndarray) -> None:
     """Thresholds by language from rows the weights were not fitted on; a language with few rows takes the common one."""
     if not len(encoded):
         return
-    logits = np.array([model.logits(ids, np.array([0, len(ids)]))[0] for ids, _ in encoded])
+    logits = np.array([model.logits(np.concatenate([ids, ids[-2:]]), np.array([0, len(ids)]))[0] for ids, _ in encoded])
     language = np.array([lang for _, lang in encoded])
     common = _best_cut(logits, toxic)
     for k in range(len(LANGUAGES)):
