@@ -1,0 +1,119 @@
+"""Checkpoint folders with a serialized state dict, read into checkpoint rows.
+
+A run folder holds checkpoint folders; each has ``state_dict.pt`` or ``checkpoint.pt`` (a zip file of a pickle and raw
+storages, not compressed) and maybe ``meta.json`` with ``global_step``. Files come through Spark's binaryFile source,
+so any store that Spark reads will do; a file must fit in a row (2 GB). The pickle is read with a reader that knows
+tensors, storages and plain containers and refuses anything else. Id maps without a weight are left out; weights
+without an id map come as dense tensors, a row a tensor row, without counts.
+"""
+
+from __future__ import annotations
+
+import collections
+import io
+import pickle
+import zipfile
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftlens.sources.trajectories import SCHEMA
+
+#: Key prefixes, buffer names and file names of the format, and its storage types.
+MAP_PREFIX, WEIGHT_PREFIX = "_managed_collision_collection._managed_collision_modules.", "_embedding_module.embeddings."
+IDS, SLOTS, COUNTS, DELIMITER = "_mch_sorted_raw_ids", "_mch_remapped_ids_mapping", "_mch_counts", "_delimiter"
+FILES = ("state_dict.pt", "checkpoint.pt")
+STORAGES = {"FloatStorage": "<f4", "DoubleStorage": "<f8", "HalfStorage": "<f2", "LongStorage": "<i8", "IntStorage": "<i4", "ShortStorage": "<i2", "CharStorage": "<i1", "ByteStorage": "<u1", "BoolStorage": "?"}
+EMPTY = 2**63 - 1
+FRAME = 20_000
+
+
+def _rebuild(storage: np.ndarray, offset: int, size: tuple, stride: tuple, *_) -> np.ndarray:
+    width = storage.itemsize
+    return np.lib.stride_tricks.as_strided(storage[offset:], size, tuple(s * width for s in stride))
+
+
+class _Reader(pickle.Unpickler):
+    def __init__(self, data: bytes, storage):
+        super().__init__(io.BytesIO(data))
+        self.storage = storage
+
+    def find_class(self, module: str, name: str):
+        if (module, name) == ("collections", "OrderedDict"):
+            return collections.OrderedDict
+        if module == "torch._utils" and name in ("_rebuild_tensor", "_rebuild_tensor_v2"):
+            return _rebuild
+        if module in ("torch", "torch.storage") and name in STORAGES:
+            return name
+        raise pickle.UnpicklingError(f"not allowed: {module}.{name}")
+
+    def persistent_load(self, pid):
+        _, kind, key, _, n = pid
+        return self.storage(key, np.dtype(STORAGES[kind]), n)
+
+
+def load_state(content: bytes) -> dict[str, np.ndarray]:
+    """Tensors by name; other entries are left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        index = next(n for n in archive.namelist() if n.endswith("data.pkl"))
+        root = index[: -len("data.pkl")]
+        found = _Reader(archive.read(index), lambda key, kind, n: np.frombuffer(archive.read(f"{root}data/{key}"), kind, n)).load()
+    return {k: v for k, v in found.items() if isinstance(v, np.ndarray)}
+
+
+def can_load(content: bytes) -> bool:
+    """Whether a file is a state dict with an id map."""
+    try:
+        return any(k.startswith(MAP_PREFIX) for k in load_state(content))
+    except (zipfile.BadZipFile, pickle.UnpicklingError, StopIteration, KeyError, ValueError):
+        return False
+
+
+def tables(state: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(table, ids, slots, counts, vectors); dense tensors have row numbers as ids and slots."""
+    maps: dict[str, dict] = {}
+    for key, value in state.items():
+        if key.startswith(MAP_PREFIX):
+            table, _, buffer = key[len(MAP_PREFIX) :].rpartition(".")
+            maps.setdefault(table, {})[buffer] = value
+    for key, weight in state.items():
+        if key.startswith(MAP_PREFIX):
+            continue
+        table = key[len(WEIGHT_PREFIX) : -len(".weight")] if key.startswith(WEIGHT_PREFIX) and key.endswith(".weight") else None
+        if table in maps:
+            own = maps[table]
+            ids, slots = own[IDS], own[SLOTS]
+            if ids.shape != slots.shape:
+                raise ValueError(f"{table}: ids and slots differ in shape")
+            live = ids != (int(own[DELIMITER].ravel()[0]) if DELIMITER in own else EMPTY)
+            yield table, ids[live], slots[live], own[COUNTS][live] if COUNTS in own else None, weight[slots[live]].astype("f4")
+        else:
+            rows = np.atleast_1d(weight).reshape(len(np.atleast_1d(weight)), -1).astype("f4")
+            at = np.arange(len(rows))
+            yield f"dense:{key}", at, at, None, rows
+
+
+def read_run(spark: SparkSession, path: str, run: str = "run") -> DataFrame:
+    """Rows of all checkpoints under path, numbered in the order of their folders' names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pt").load(path)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    files = files.where(F.regexp_extract("path", r"([^/]+)$", 1).isin(*FILES)).select(folder.alias("folder"), "path", "content")
+    order = files.select("folder").distinct().withColumn("ckpt", (F.row_number().over(Window.orderBy("folder")) - 1).cast("int"))
+    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").load(path)
+    steps = meta.select(folder.alias("folder"), F.get_json_object(F.col("content").cast("string"), "$.global_step").cast("long").alias("step"))
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples():
+                for table, ids, slots, counts, vectors in tables(load_state(r.content)):
+                    for a in range(0, len(ids), FRAME):
+                        part = slice(a, a + FRAME)
+                        n = len(ids[part])
+                        cnt = pd.array([None] * n if counts is None else counts[part], dtype="Int64")
+                        step = pd.array([None if pd.isna(r.step) else int(r.step)] * n, dtype="Int64")
+                        yield pd.DataFrame({"run": run, "tbl": table, "ckpt": r.ckpt, "step": step, "id": ids[part], "slot": slots[part], "cnt": cnt, "vec": list(vectors[part])})
+
+    return files.join(order, "folder").join(steps, "folder", "left").select("ckpt", "step", "content").mapInPandas(rows, SCHEMA)
