@@ -261,7 +261,8 @@ WITH rows_l AS (
   SELECT CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS ckpt, l_partkey AS id, count(*) AS cnt, sum(l_quantity) AS v1, sum(l_extendedprice) AS v2, sum(l_discount) AS v3, sum(l_tax) AS v4
   FROM lineitem GROUP BY 1, 2
 ), pairs AS (
-  SELECT coalesce(p.ckpt, c.ckpt - 1) AS pair, CASE WHEN p.id IS NULL THEN 'inserted' WHEN c.id IS NULL THEN 'evicted' WHEN c.cnt < p.cnt THEN 'readmitted' ELSE 'clean' END AS status,
+  SELECT 'parts' AS tbl, coalesce(p.ckpt, c.ckpt - 1) AS pair, coalesce(p.id, c.id) AS id, c.cnt - p.cnt AS dcount,
+         CASE WHEN p.id IS NULL THEN 'inserted' WHEN c.id IS NULL THEN 'evicted' WHEN c.cnt < p.cnt THEN 'readmitted' ELSE 'clean' END AS status,
          sqrt((c.v1-p.v1)**2 + (c.v2-p.v2)**2 + (c.v3-p.v3)**2 + (c.v4-p.v4)**2) AS dn
   FROM rows_l p FULL JOIN rows_l c ON p.id = c.id AND c.ckpt = p.ckpt + 1
   WHERE coalesce(p.ckpt, c.ckpt - 1) BETWEEN (SELECT min(ckpt) FROM rows_l) AND (SELECT max(ckpt) - 1 FROM rows_l)
@@ -276,11 +277,15 @@ def part_churn(spark, sf_dir):
     return _round(both.select("run", "pair", "n_clean", "n_readmitted", "n_inserted", "n_evicted", "delta_p50", "delta_max"), 2)
 
 
-@query()
+#: The scores of SCORES over the parts' movement instead.
+L_SCORES = L_PAIRS + ", moves AS (SELECT tbl, pair, id, dcount, dn FROM pairs WHERE status = 'clean')" + SCORES[len(PAIRS) : SCORES.index(", summary AS (")]
+
+
+@query(L_SCORES + "SELECT pair, id, round(freq_residual, 3) + 0.0 AS freq_residual, round(frozen, 3) + 0.0 AS frozen FROM scores")
 def part_scores(spark, sf_dir):
     """Residual and frozen scores of every part and quarter: the heaviest per-id plan."""
     moves = settle(M.movement(P.id_pairs(T.lineitem_trajectory(spark, sf_dir))))
-    return _round(M.frozen_score(M.freq_residual(moves)).select("run", "pair", "id", "freq_residual", "frozen"))
+    return _round(M.frozen_score(M.freq_residual(moves)).select("run", "pair", "id", "freq_residual", "frozen"), 3)
 
 
 # --- series and detection -------------------------------------------------------------------------------------------
@@ -523,7 +528,11 @@ def detection_power(spark, sf_dir):
     return _round(C.power(severities, bars), 6)
 
 
-@query()
+@query(
+    EVENTS
+    + """, pool AS (SELECT abs(score) AS s FROM z WHERE tbl = 'b')
+SELECT tbl, metric, idx, method, round(score, 4) AS score, round((SELECT count(*) FROM pool WHERE s >= abs(score)) / (SELECT count(*) FROM pool), 4) AS p FROM z WHERE tbl = 'a'"""
+)
 def event_p_values(spark, sf_dir):
     """Events of table a against the scores of table b as a clean pool."""
     found = D.robust_z(_series(spark, sf_dir), k=0.0)
