@@ -45,6 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing will read any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
     """Keep an Arrow batch of whole texts to a few MB; the setting only bounds memory, never results."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:

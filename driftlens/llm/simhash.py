@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import LOWER, map_arrow, materialize, mix64, small_batches, table, utf8
+from driftlens.llm.common import LOWER, discard, map_arrow, materialize, mix64, small_batches, table, utf8
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
@@ -213,21 +213,32 @@ def text_row(text) -> F.Column:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (hash of the text), node (hash of the shingle set), hi and lo (SimHash of the set), shingles (32 bits each)."""
+    """doc_id, row (hash of the text), node (hash of the shingle set), hi and lo (SimHash of the set)."""
     small_batches(docs.sparkSession)
 
     def run(batch):
-        nodes, hi, lo, sets = [], [], [], []
+        nodes, hi, lo = [], [], []
         for t in utf8(batch.column(1)):
             h = np.unique(shingle_hashes(t, width))
             nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
             hi.append(majority(h))
             lo.append(majority(mix64(h)))
-            sets.append(np.unique(h.astype(np.uint32).view(np.int32)))
-        return {"doc_id": batch.column(0), "row": batch.column(2), "node": _signed(nodes), "hi": _signed(hi), "lo": _signed(lo), "shingles": sets}
+        return {"doc_id": batch.column(0), "row": batch.column(2), "node": _signed(nodes), "hi": _signed(hi), "lo": _signed(lo)}
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_row(F.col("text")).alias("row"))
-    return map_arrow(own, run, "doc_id long, row long, node long, hi long, lo long, shingles array<int>")
+    return map_arrow(own, run, "doc_id long, row long, node long, hi long, lo long")
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """node, shingles (32 bits each) of one text for each node; rows (row, node) names the text by its hash."""
+    texts = docs.select(F.col("text").cast("string").alias("text"), text_row(F.col("text")).alias("row")).join(rows, "row")
+
+    def run(batch):
+        sets = [np.unique(shingle_hashes(t, width).astype(np.uint32).view(np.int32)) for t in utf8(batch.column(1))]
+        return {"node": batch.column(0), "shingles": sets}
+
+    # copies of a text are dropped before they are cut into shingles
+    return map_arrow(texts.groupBy("node").agg(F.first("text").alias("text")), run, "node long, shingles array<int>")
 
 
 def candidate_pairs(nodes: DataFrame, count: int, tables: int, radius: int) -> DataFrame:
@@ -263,8 +274,11 @@ def candidate_pairs(nodes: DataFrame, count: int, tables: int, radius: int) -> D
     spread_out = map_arrow(nodes.select("node", "hi", "lo"), spread, "t int, rank long, node long, hi long, lo long")
     # a window does not reach over the end of a partition, so each holds many windows
     parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * tables // (64 * WINDOW)))
-    placed = materialize(spread_out, "gray-tables").repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank", "node")
-    return placed.select("t", "node", "hi", "lo").mapInArrow(compare, "u long, v long").distinct()
+    tables_ = materialize(spread_out, "gray-tables")
+    placed = tables_.repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank", "node")
+    pairs = materialize(placed.select("t", "node", "hi", "lo").mapInArrow(compare, "u long, v long").distinct(), "pairs")
+    discard(tables_)
+    return pairs
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -289,10 +303,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     found = materialize(signatures(docs, width), "signatures")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
     count = nodes.count()
-    pairs = materialize(candidate_pairs(nodes, count, *search_plan(count, similarity)), "pairs")
+    pairs = candidate_pairs(nodes, count, *search_plan(count, similarity))
     touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = materialize(found.select("node", "shingles").join(touched, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    roots = components(verified_pairs(pairs, sets, similarity))
+    rows = found.join(touched, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    sets = materialize(shingle_sets(docs, rows, width), "sets")
+    linked = materialize(verified_pairs(pairs, sets, similarity), "linked")
+    discard(sets)
+    roots = components(linked)
     placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.select("doc_id", "row", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "row", "component_id")

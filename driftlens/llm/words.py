@@ -32,7 +32,7 @@ def power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power(_BASE, n), _power(_INVERSE, n)
 
 
-def blocks(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], most: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most bytes together; a longer text is a block of its own."""
     start = held = 0
     for i, t in enumerate(texts):
