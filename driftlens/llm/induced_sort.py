@@ -124,19 +124,33 @@ class Scan:
             self.queue.push(int(keys[a]), before[at[a:b]], shared[a:b])
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefixes of suffixes a and b up to DEPTH, by comparison."""
-    out = np.zeros(len(a), np.uint8)
-    live, n = np.arange(len(a)), len(text)
-    for k in range(DEPTH):
-        x, y = a[live] + k, b[live] + k
-        inside = (x < n) & (y < n)
-        live, x, y = live[inside], x[inside], y[inside]
-        live = live[text[x] == text[y]]
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number that orders as they do; zeros follow the text."""
+    padded = np.concatenate([text, np.zeros(DEPTH + 16, np.uint8)])
+    value = np.zeros(len(padded) - 8, np.uint64)
+    for k in range(8):
+        value <<= np.uint64(8)
+        value |= padded[k : k + len(value)]
+    return value
+
+
+def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of suffixes a and b of a text of n bytes up to DEPTH, by comparison of eight bytes at a time."""
+    out = np.full(len(a), DEPTH, np.int64)
+    live = np.arange(len(a))
+    for k in range(0, DEPTH, 8):
+        differ = words[a[live] + k] ^ words[b[live] + k]
+        ends = differ != 0
+        if ends.any():
+            high = np.zeros(int(ends.sum()), np.int64)
+            rest = differ[ends]
+            for byte in range(1, 8):
+                high += rest < np.uint64(1 << (64 - 8 * byte))
+            out[live[ends]] = k + high
+            live = live[~ends]
         if not len(live):
             break
-        out[live] = k + 1
-    return out
+    return np.minimum(out, np.minimum(DEPTH, n - np.maximum(a, b))).astype(np.uint8)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -150,37 +164,34 @@ def _types(text: np.ndarray) -> np.ndarray:
     return step[after] > 0
 
 
-def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int = 0, most: int = 100_000) -> np.ndarray:
+def _sorted_seeds(words: np.ndarray, seeds: np.ndarray, depth: int = 0, most: int = 50_000) -> np.ndarray:
     """Leftmost S suffixes that agree on depth bytes, in order of DEPTH bytes at least.
 
-    Eight bytes order most of them; those that tie are compared as byte strings, most at a time, and a larger set that
+    Eight bytes order most of them; those that tie are compared on all the rest, most at a time, and a larger set that
     ties on the same eight bytes recurses on the bytes behind.
     """
     m = len(seeds)
     if m < 2 or depth >= DEPTH:
         return seeds
-    padded = np.concatenate([text, np.zeros(DEPTH + 8, np.uint8)]) if isinstance(text, np.memmap) or depth == 0 else text
-    value = np.zeros(m, np.uint64)
-    for k in range(8):
-        value = value << np.uint64(8) | padded[seeds + depth + k]
+    value = words[seeds + depth]
     order = np.argsort(value, kind="stable")
     out, value = seeds[order], value[order]
     new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     size = np.diff(np.append(new, m))
     tied, size = new[size > 1], size[size > 1]
-    span = np.arange(depth + 8, max(DEPTH, depth + 16))
+    steps = np.arange(depth + 8, max(DEPTH, depth + 16), 8)
     k = 0
     while k < len(tied):
-        upto = k + max(1, int(np.searchsorted(np.cumsum(size[k:]), most, "right")))
+        upto = k + max(1, int(np.searchsorted(np.cumsum(size[k : k + most]), most, "right")))
         if size[k] > most:
             a, b = int(tied[k]), int(tied[k] + size[k])
-            out[a:b] = _sorted_seeds(padded, out[a:b], depth + 8, most)
+            out[a:b] = _sorted_seeds(words, out[a:b], depth + 8, most)
         else:
             slots = np.repeat(tied[k:upto] - np.concatenate([[0], np.cumsum(size[k:upto])[:-1]]), size[k:upto]) + np.arange(size[k:upto].sum())
             own = out[slots]
-            group = np.repeat(np.arange(upto - k), size[k:upto]).astype(">u4").view(np.uint8).reshape(-1, 4)
-            strings = np.concatenate([group, padded[np.minimum(own[:, None] + span, len(padded) - 1)]], 1)
-            out[slots] = own[np.argsort(np.ascontiguousarray(strings).view(f"S{strings.shape[1]}").ravel(), kind="stable")]
+            rows = np.concatenate([np.repeat(np.arange(upto - k, dtype=np.uint64), size[k:upto])[:, None], words[np.minimum(own[:, None] + steps, len(words) - 1)]], 1)
+            strings = np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * rows.shape[1]}").ravel()
+            out[slots] = own[np.argsort(strings, kind="stable")]
         k = upto
     return out
 
@@ -202,7 +213,8 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY):
     starts = small.copy()
     starts[0] = False
     starts[1:] &= ~small[:-1]
-    seeds = _sorted_seeds(text, np.flatnonzero(starts).astype(np.int64)).astype(np.int32)
+    words = _words(text)
+    seeds = _sorted_seeds(words, np.flatnonzero(starts).astype(np.int64)).astype(np.int32)
     seed_keys = text[seeds]
     seed_cuts = np.searchsorted(seed_keys, np.arange(257))
 
@@ -224,7 +236,7 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY):
         own = seeds[seed_cuts[key] : seed_cuts[key + 1]]
         if len(own):
             before = np.concatenate([own[:1] if last is None else [last], own[:-1]]).astype(np.int64)
-            prefixes = _common(text, before, own.astype(np.int64))
+            prefixes = _common(words, n, before, own.astype(np.int64))
             if last is None:
                 prefixes[0] = 0
             ascending.visit(own, prefixes)
@@ -246,7 +258,7 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY):
             # prefixes belong to the entry and the one before it in ascending order, so they move on by one
             prefixes = np.empty(len(positions), np.uint8)
             prefixes[1:] = blocks[k][1][:0:-1]
-            prefixes[0] = 0 if last is None else _common(text, np.array([last], np.int64), positions[:1].astype(np.int64))[0]
+            prefixes[0] = 0 if last is None else _common(words, n, np.array([last], np.int64), positions[:1].astype(np.int64))[0]
             last = positions[-1]
             yield positions, prefixes
             descending.visit(positions, prefixes)

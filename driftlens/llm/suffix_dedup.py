@@ -30,7 +30,9 @@ from driftlens.llm.common import map_arrow, materialize, mix64, small_batches, t
 from driftlens.llm.induced_sort import DEPTH, repeated_starts
 from driftlens.llm.words import power_pair
 
-ANCHOR, HOT, SHARD = 32, 1_000, 4_000_000
+ANCHOR = 32
+SHARD = 2_000_000  # bytes sorted at a time; whole keys stay together
+HOT = 20_000  # different pieces under one key, some 6 MB, up to which they are sorted in one shard
 _WINDOWS = DEPTH - ANCHOR + 1  # anchors that fit in a window
 
 
@@ -140,13 +142,14 @@ def count_windows(cut: DataFrame) -> DataFrame:
     """The same for keys with too many pieces for one shard: each window's 128-bit hash is counted."""
 
     def windows(batch):
-        out = {c: [] for c in ("key", "piece", "window", "w1", "w2")}
-        for key, piece, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for a in range(len(text) - DEPTH + 1):
-                d = xxhash.xxh3_128_digest(text[a : a + DEPTH])
-                for c, v in zip(out, (key, piece, a, int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True)), strict=True):
-                    out[c].append(v)
-        return out
+        for start in range(0, batch.num_rows, 100):
+            part = batch.slice(start, 100)
+            texts = list(utf8(part.column(2)))
+            counts = np.array([len(t) - DEPTH + 1 for t in texts])
+            digest = xxhash.xxh3_128_digest
+            hashes = np.frombuffer(b"".join(digest(t[a : a + DEPTH]) for t in texts for a in range(len(t) - DEPTH + 1)), ">i8").reshape(-1, 2).astype(np.int64)
+            keys, own = (np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1))
+            yield {"key": keys, "piece": own, "window": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]), "w1": hashes[:, 0], "w2": hashes[:, 1]}
 
     each = map_arrow(cut.select("key", "piece", "bytes"), windows, "key long, piece long, window int, w1 long, w2 long")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
@@ -154,7 +157,7 @@ def count_windows(cut: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """h1, h2, found (array of starts and spans): the repeated windows of every text that has any."""
+    """h1, h2, found: the repeated windows of every text that has any, as longs of first and last (32 bits each)."""
     every = materialize(all_pieces(docs), "pieces")
     keys = every.groupBy("key").agg(F.sum(F.size("starts")).alias("n"), (F.min("piece") != F.max("piece")).alias("mixed")).where("n > 1").select("key", "mixed")
     shared = materialize(every.join(keys, "key"), "shared-pieces")
@@ -170,7 +173,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     mixed = shared.where("mixed").join(spans, ["key", "piece"]).select("h1", "h2", "starts", "spans")
     same = shared.where("not mixed").select("h1", "h2", "starts", whole.alias("spans"))
-    return mixed.unionByName(same).groupBy("h1", "h2").agg(F.collect_set(F.struct("starts", "spans")).alias("found"))
+    pack = lambda s, x: F.shiftleft((s + x["a"]).cast("long"), 32) + (s + x["b"])
+    each = F.flatten(F.transform("starts", lambda s: F.transform("spans", lambda x: pack(s, x)))).alias("each")
+    return mixed.unionByName(same).select("h1", "h2", each).groupBy("h1", "h2").agg(F.flatten(F.collect_set("each")).alias("found"))
 
 
 def cut_pieces(docs: DataFrame, different: DataFrame) -> DataFrame:
@@ -211,13 +216,15 @@ def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, found in zip(utf8(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
+            column = batch.column(len(names))
+            for k, text in enumerate(utf8(batch.column(at))):
+                if not column[k].is_valid:
+                    rows.append((text, len(text), 0, []))
+                    continue
+                found = column[k].values.to_numpy()
                 step = np.zeros(len(text) + 1, np.int64)
-                for f in found or ():
-                    a, b = (np.array([s[c] for s in f["spans"]], np.int64) for c in "ab")
-                    starts = np.array(f["starts"], np.int64)
-                    np.add.at(step, (starts[:, None] + a).ravel(), 1)
-                    np.add.at(step, (starts[:, None] + b + DEPTH).ravel(), -1)
+                np.add.at(step, found >> 32, 1)
+                np.add.at(step, (found & 0xFFFFFFFF) + DEPTH, -1)
                 gone = np.cumsum(step)[: len(text)] > 0
                 spans = _spans(gone)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
