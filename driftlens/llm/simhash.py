@@ -8,11 +8,12 @@ fixed with the defaults, so a group can't exceed 2 ** 22 fingerprints, whatever
 and whole nodes pruned by the differences accumulated on the way down. A group returns a spanning forest of its
 links, never all pairs, and ``components`` joins the forests.
 
-``near_duplicates`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, where
-expected distances are far beyond what block tables can guarantee: 128-bit SimHashes are sorted by the Gray rank of
-``tables`` random choices of their bits, each is compared with the next WINDOW in that order, and the nearest within
-the radius are verified exactly on the shingles. The number of tables follows the number of texts so that a pair at
-the threshold is met with probability RECALL at least.
+``near_duplicates`` finds all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an
+exact set-similarity join. Shingles are ordered rarest first by counts over the whole corpus (in COUNTERS counters, so a
+frequent shingle is never taken for a rare one; the order decides the work, not the result). Two similar sets share one
+of their first ``size - need + 1`` shingles, and pairs are filtered by length, place and the parities of PARITIES groups
+of shingles before the shingles decide. Sets that are neighbours in size under a key are compared first; whatever they
+join need not meet again, so that groups of copies cost no square. A frequent key is dealt into cells of CELL sets.
 
 Null texts count as empty; all empty texts are copies of each other. Rows that repeat an id are rows like any other.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import LOWER, discard, map_arrow, materialize, mix64, small_batches, table, utf8
+from driftlens.llm.common import LOWER, discard, map_arrow, materialize, small_batches, table, utf8
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
-WINDOW, NEAREST, RECALL = 128, 2, 0.98
+COUNTERS, CHUNK, PARITIES, CELL = 1 << 22, 1 << 16, 512, 1000
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -194,39 +196,151 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 # --- similarity of shingle sets -------------------------------------------------------------------------------------
 
 
-def agreement(similarity: float) -> float:
-    """The chance that one SimHash bit agrees for two equally large sets of that Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def search_plan(texts: int, similarity: float) -> tuple[int, int]:
-    """Tables and radius: a pair at the threshold shares the leading bits of its WINDOW in some table with chance RECALL."""
-    p = agreement(similarity)
-    shared = max(6.0, math.log2(max(2.0, 4 * texts / WINDOW)))
-    radius = 128 * (1 - p) + 3.5 * math.sqrt(128 * p * (1 - p))
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - p**shared)), math.floor(radius)
-
-
 def text_row(text) -> F.Column:
     """A hash by which rows of one id and different texts are told apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (hash of the text), node (hash of the shingle set), hi and lo (SimHash of the set)."""
+    """doc_id, row (hash of the text), node (hash of the shingle set) of every text.
+
+    Further rows, with a chunk, hold in counts how often the task's shingles fall into that chunk of COUNTERS counters.
+    """
     small_batches(docs.sparkSession)
 
+    def run(batches):
+        counters = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            nodes = []
+            for t in utf8(batch.column(1)):
+                h = np.unique(shingle_hashes(t, width))
+                nodes.append(_node(h))
+                np.add.at(counters, h & np.uint64(COUNTERS - 1), 1)
+            none = [None] * len(nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_signed(nodes)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+        for k, part in enumerate(counters.reshape(-1, CHUNK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+
+    names = ["doc_id", "row", "node", "chunk", "counts"]
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_row(F.col("text")).alias("row"))
+    return own.mapInArrow(run, "doc_id long, row long, node long, chunk int, counts binary")
+
+
+def frequency_levels(found: DataFrame) -> np.ndarray:
+    """A byte for each counter of the signatures: eight times the logarithm of the shingles counted there."""
+
+    def run(batch):
+        total = [np.sum([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in xs.values], axis=0, dtype=np.uint32) for xs in batch.column(1)]
+        return {"chunk": batch.column(0), "counts": [zlib.compress(t.tobytes(), 1) for t in total]}
+
+    counts = found.where("chunk is not null").select("chunk", "counts")
+    for shares in (64, 1):  # in two steps, as there are as many rows a chunk as tasks
+        grouped = counts.groupBy("chunk", F.pmod(F.xxhash64("counts"), F.lit(shares)).alias("share")).agg(F.collect_list("counts").alias("counts"))
+        counts = map_arrow(grouped.select("chunk", "counts"), run, "chunk int, counts binary")
+    levels = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
+    for r in counts.toLocalIterator():
+        levels[r.chunk] = np.minimum(255, 8 * np.log2(np.frombuffer(zlib.decompress(r.counts), np.uint32) + 1.0))
+    return levels.ravel()
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """node, size, keys (the rarest shingles, of which two similar sets share one), bits (parities of the shingles)."""
+    held = docs.sparkSession.sparkContext.broadcast(levels)
+
     def run(batch):
-        nodes, hi, lo = [], [], []
-        for t in utf8(batch.column(1)):
+        nodes, sizes, keys, bits = [], [], [], []
+        for t in utf8(batch.column(0)):
             h = np.unique(shingle_hashes(t, width))
-            nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
-            hi.append(majority(h))
-            lo.append(majority(mix64(h)))
-        return {"doc_id": batch.column(0), "row": batch.column(2), "node": _signed(nodes), "hi": _signed(hi), "lo": _signed(lo)}
+            if len(h):
+                nodes.append(_node(h))
+                sizes.append(len(h))
+                order = np.lexsort((h, held.value[h & np.uint64(COUNTERS - 1)]))
+                keys.append(h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64))
+                bits.append(np.packbits(np.bincount((h >> np.uint64(32) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1 == 1).tobytes())
+        return {"node": _signed(nodes), "size": sizes, "keys": keys, "bits": bits}
+
+    own = map_arrow(docs.select(F.col("text").cast("string")), run, "node long, size int, keys array<long>, bits binary")
+    return own.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+
+
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """key, node, size, pos (the key's place among the set's), n: the prefix shingles that stand in n > 1 sets."""
+    each = sets.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    # written first, so that adaptive execution may split the join where one key is hot
+    counts = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
+    return each.join(counts, "key").select("key", "node", "size", "pos", "n")
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_row(F.col("text")).alias("row"))
-    return map_arrow(own, run, "doc_id long, row long, node long, hi long, lo long")
+
+def _may_match(similarity: float, size_a, pos_a, size_b, pos_b) -> np.ndarray:
+    """Length and positional filter: from the first shared shingle on, both sets hold as many as must be shared."""
+    return np.minimum(size_a - pos_a, size_b - pos_b) >= _need(similarity, size_a, size_b)
+
+
+def _need(similarity: float, size_a, size_b) -> np.ndarray:
+    return np.ceil(similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b) - 1e-9)
+
+
+def _lists(*names: str) -> list[F.Column]:
+    return [F.collect_list(k).alias(k) for k in names]
+
+
+def chained_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v) of sets that are neighbours in size under one key: a pair a row, whatever the key's size."""
+
+    def run(batch):
+        group = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+        node, size, pos = (batch.column(k).flatten().to_numpy() for k in range(3))
+        order = np.lexsort((node, size, group))
+        group, node, size, pos = (x[order] for x in (group, node, size, pos))
+        near = (group[1:] == group[:-1]) & _may_match(similarity, size[1:], pos[1:], size[:-1], pos[:-1])
+        a, b = node[1:][near], node[:-1][near]
+        return {"u": np.minimum(a, b), "v": np.maximum(a, b)}
+
+    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).alias("cell")
+    groups = shared.groupBy("key", cell).agg(*_lists("node", "size", "pos"))
+    return map_arrow(groups.select("node", "size", "pos"), run, "u long, v long").distinct()
+
+
+def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v) of sets with a common key and different roots (labels: node, root, bits) that may be similar.
+
+    A key's sets are dealt into cells of about CELL, and any two cells meet in a group of their own.
+    """
+
+    def run(batch):
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(batch.num_rows):
+            root = batch.column(1)[k].values.to_numpy()
+            if (root == root[0]).all():
+                continue
+            node, size, pos, own = (batch.column(c)[k].values.to_numpy() for c in (0, 2, 3, 5))
+            bits = np.frombuffer(b"".join(batch.column(4)[k].values.to_pylist()), np.uint64).reshape(len(node), -1)
+            low = own == own.min()
+            left, right = (np.arange(len(node)),) * 2 if batch.column(6)[k].as_py() else (np.flatnonzero(low), np.flatnonzero(~low))
+            for s in range(0, len(left), 256):
+                a, b = left[s : s + 256, None], right[None, :]
+                near = (root[a] != root[b]) & _may_match(similarity, size[a], pos[a], size[b], pos[b])
+                i, j = np.nonzero(near)
+                i, j = left[s + i], right[j]
+                # the parities that differ are no more than the shingles that only one of the sets has
+                far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                i, j = (x[far <= size[i].astype(np.int64) + size[j] - 2 * _need(similarity, size[i], size[j])] for x in (i, j))
+                u.append(np.minimum(node[i], node[j]))
+                v.append(np.maximum(node[i], node[j]))
+        made = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+        return {"u": made[:, 0], "v": made[:, 1]}
+
+    cells = F.ceil(F.col("n") / CELL)
+    placed = shared.join(labels, "node").withColumn("own", F.pmod(F.xxhash64("node"), cells))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    lists = ("node", "root", "size", "pos", "bits", "own")
+    groups = placed.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(*_lists(*lists))
+    return map_arrow(groups.select(*lists, (F.col("low") == F.col("high")).alias("one")), run, "u long, v long").distinct()
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -241,46 +355,6 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts.groupBy("node").agg(F.first("text").alias("text")), run, "node long, shingles array<int>")
 
 
-def candidate_pairs(nodes: DataFrame, count: int, tables: int, radius: int) -> DataFrame:
-    """Distinct pairs (u, v) of count nodes (node, hi, lo) that are near in some table's Gray order and within radius."""
-    choices = [np.random.default_rng(k).permutation(128)[:64] for k in range(tables)]
-
-    def spread(batch):
-        code = np.stack([np.array(batch.column(k).to_numpy()) for k in (1, 2)], 1)
-        bits = np.unpackbits(np.ascontiguousarray(code.astype(">i8")).view(np.uint8).reshape(-1, 16), axis=1)
-        for k, choice in enumerate(choices):
-            rank = gray_rank(np.ascontiguousarray(np.packbits(bits[:, choice], axis=1)).view(">u8").ravel().astype(np.uint64))
-            yield {"t": np.full(len(rank), k, np.int32), "rank": (rank ^ np.uint64(1 << 63)).view(np.int64), "node": batch.column(0), "hi": batch.column(1), "lo": batch.column(2)}
-
-    def compare(batches):
-        held = None
-        for batch in batches:
-            now = [np.array(batch.column(k).to_numpy()) for k in range(4)]
-            t, node, hi, lo = now if held is None else (np.concatenate(x) for x in zip(held, now, strict=True))
-            bits = hi.view(np.uint64), lo.view(np.uint64)  # bitwise_count takes a signed number's absolute value
-            old = 0 if held is None else len(held[0])
-            # distance of each row to the row `gap` before it; rows before `old` were compared in the last batch
-            far = np.full((len(t), WINDOW), 255, np.uint8)
-            for gap in range(1, min(WINDOW, len(t) - 1) + 1):
-                d = sum(np.bitwise_count(b[gap:] ^ b[:-gap]) for b in bits)
-                far[gap:, gap - 1] = np.where(t[gap:] == t[:-gap], d, 255)
-            far[:old] = 255
-            best = np.argpartition(far, NEAREST - 1, axis=1)[:, :NEAREST]
-            row, k = np.nonzero(np.take_along_axis(far, best, 1) <= radius)
-            a, b = node[row], node[row - best[row, k] - 1]
-            held = [x[-WINDOW:] for x in (t, node, hi, lo)]
-            yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(a, b)), "v": pa.array(np.maximum(a, b))})
-
-    spread_out = map_arrow(nodes.select("node", "hi", "lo"), spread, "t int, rank long, node long, hi long, lo long")
-    # a window does not reach over the end of a partition, so each holds many windows
-    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * tables // (64 * WINDOW)))
-    tables_ = materialize(spread_out, "gray-tables")
-    placed = tables_.repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank", "node")
-    pairs = materialize(placed.select("t", "node", "hi", "lo").mapInArrow(compare, "u long, v long").distinct(), "pairs")
-    discard(tables_)
-    return pairs
-
-
 def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets (node, shingles) have at least that Jaccard similarity."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -300,19 +374,31 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row, component_id: texts linked by shingle sets of at least that similarity, directly or in steps."""
-    found = materialize(signatures(docs, width), "signatures")
-    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
-    count = nodes.count()
-    pairs = candidate_pairs(nodes, count, *search_plan(count, similarity))
-    touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = found.join(touched, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    sets = materialize(shingle_sets(docs, rows, width), "sets")
-    linked = materialize(verified_pairs(pairs, sets, similarity), "linked")
-    discard(sets)
+    made = materialize(signatures(docs, width), "signatures")
+    found = made.where("chunk is null").select("doc_id", "row", "node")
+    prefixed = materialize(prefixes(docs, width, similarity, frequency_levels(made)), "prefixes")
+    shared = materialize(shared_keys(prefixed), "shared-keys")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        rows = found.join(touched, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+        sets = materialize(shingle_sets(docs, rows, width), "sets")
+        linked = materialize(verified_pairs(pairs, sets, similarity), "linked")
+        discard(sets)
+        return linked
+
+    # chains join nearly all of a group of near copies at a pair a row; then only sets of different components meet
+    linked = verified(chained_pairs(shared, similarity))
+    labels = prefixed.join(components(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
+    linked = linked.unionByName(verified(remaining_pairs(shared, labels, similarity)))
     roots = components(linked)
-    placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    discard(prefixed)
+    discard(shared)
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))
+    placed = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "row", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "row", "component_id")
+    return found.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "row", "component_id")
 
 
 def keep_first_of_groups(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from driftlens.llm.components import components
+from driftlens.llm import simhash
 from driftlens.llm.simhash import GrayIndex, block_masks, fingerprints, gray_rank, group_fingerprints, keep_first_of_groups, link_within, majority, near_duplicates, shingle_hashes
 
 
@@ -117,3 +118,28 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*label.values(), 900})
     assert keep_first_of_groups(spark, df.limit(0), "").count() == 0
+
+
+def test_near_duplicates_are_complete_in_a_templated_family(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 40, raising=False)
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    page, other = rng.choices(words, k=176), rng.choices(words, k=160)
+    texts = []
+    for k in range(400):  # pages of a template, any two of similarity 0.78; every tenth has one partner of 0.81
+        own = rng.choices(words, k=24)
+        texts.append(" ".join(page + own))
+        if k % 10 == 0:
+            texts.append(" ".join(page + own[:3] + rng.choices(words, k=21)))
+    for k in range(150):  # versions of another page at places that drift apart, linked in steps
+        w = other[:]
+        w[k % 50 * 2 : k % 50 * 2 + 20] = rng.choices(words, k=20)
+        texts.append(" ".join(w))
+    sets = [set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    linked = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    label = brute_components(range(len(texts)), lambda a, b: (a, b) in linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    print("pairs met", sum(got[a] == got[b] for a, b in linked), "of", len(linked), "in the family", sum(got[a] == got[b] for a, b in linked if b < 440))
+    assert got == label
+    assert sum(b < 440 for _, b in linked) == 40
