@@ -22,6 +22,8 @@ from driftlens.llm.common import map_arrow, small_batches, table, utf8
 from driftlens.llm.words import Words, blocks, word_hash
 
 MAX_LABELLED, MAX_LABELLED_BYTES = 6_000, 48_000_000
+#: Labelled texts over so many bytes join the training sample after all others, while there is room; all are scored.
+LONG_TEXT = 480_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
 PREFIXES = (None, 4, 5, 6, 7)
 SEED = 20
@@ -188,10 +190,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFra
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
     # MAX_LABELLED rows of (id, label) at most, so they may be broadcast and no text is shuffled but theirs
     sample = known.where(fold != 0).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(MAX_LABELLED)
-    own = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    picked = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).withColumn("_t", F.xxhash64("_text")).orderBy("_h", "_id", "_t").limit(MAX_LABELLED)
-    running = F.sum(F.length(F.col("_text").cast("binary"))).over(Window.orderBy("_h", "_id", "_t").rowsBetween(Window.unboundedPreceding, 0))
-    return picked.withColumn("_sum", running).where(F.col("_sum") <= MAX_LABELLED_BYTES).select("_text", "_y")
+    own = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
+    labelled = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    # rows that repeat id and text count once, and second texts of an id come after the first ones of all ids
+    each = labelled.select("_id", "_h", "_t", F.length(F.col("_text").cast("binary")).alias("_n")).distinct()
+    each = each.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("_t"))).where(F.col("_k") <= MAX_LABELLED)
+    # long texts come last, shortest first, so that none of them takes the place of all that follow
+    order = [F.greatest(F.col("_n"), F.lit(LONG_TEXT)), "_k", "_h", "_id", "_t"]
+    running = F.sum(F.col("_n").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    picked = each.orderBy(*order).limit(MAX_LABELLED).withColumn("_sum", running).where(F.col("_sum") <= MAX_LABELLED_BYTES).select("_id", "_t", "_k")
+    texts = labelled.join(F.broadcast(picked), ["_id", "_t"]).groupBy("_id", "_t", "_k", "_h").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y"))
+    return texts.orderBy("_k", "_h", "_id", "_t").select("_text", "_y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> ToxicityModel | float:

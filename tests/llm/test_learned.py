@@ -62,6 +62,24 @@ def test_toxicity_frame(spark):
     assert T.score(docs.limit(0), 0.0).count() == 0
 
 
+def test_no_text_ends_or_fills_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_LABELLED", 40)
+    monkeypatch.setattr(T, "MAX_LABELLED_BYTES", 10_000)
+    monkeypatch.setattr(T, "LONG_TEXT", 1_000)
+    rows = [(i, f"text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sampled = lambda rows: sorted(T.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic").toArrow().column(0).to_pylist())
+    plain = sampled(rows)
+    assert len(plain) == 40
+    first = spark.range(60).selectExpr("id", "xxhash64(id) h", "crc32(cast(string(id) as binary)) % 5 f").where("f <> 0").orderBy("h").first().id
+    own = f"text {first}"
+    # one text beyond the bound, first in hash order; an id that repeats, with one text or with many
+    assert sampled([(i, "x" * 20_000 if i == first else t) for i, t in rows]) == [t for t in plain if t != own]
+    assert sampled(rows + [(first, own)] * 100) == plain
+    many = sampled(rows + [(first, f"other {k}") for k in range(100)])
+    assert len(many) == 40 and len(set(many) & set(plain)) >= 39
+
+
 def test_statistics_cover_whole_texts():
     x = Q.statistics([b"", b"Und Und Und Und", b"LOUD!! LOUD!! NOISE!!", "| a | b\nçé 12".encode()])
     col = Q.STATISTICS.index
