@@ -3,15 +3,11 @@
 1. Texts and items are cut into words (letters, digits and non-ASCII characters, A-Z lower-cased) and shingles of five
    words (an item of fewer words: all of them). Places in documents whose shingle stands in an item are found by a join
    on the shingle's hash; the items' side is broadcast while it has BROADCAST_SHINGLES rows at most.
-2. SimHash item-sized windows: of all windows as long as an item, those that begin at such a place and hold enough of
-   them to reach the similarity. That loses none: a window moved to its first shared shingle keeps all it shares.
-   Windows and items get 64-bit SimHashes, weighted by how often a shingle stands there.
-3. Multi-index Hamming blocks: BLOCKS blocks of the fingerprint; two fingerprints at RADIUS or fewer differing bits
-   differ in RADIUS // BLOCKS or fewer bits of one block at least. Items are listed under all values that near to each
-   of their blocks, windows look up their own, and the whole distance is compared. At a similarity of 0.8 the expected
-   distance is 10 bits with a deviation of 3, so RADIUS lies almost five deviations out. An item of fewer than
-   FEW_SHINGLES different shingles has too few votes a bit for that; it meets every window of its size instead.
-4. Exact weighted-shingle similarity, the sum of the lesser over the sum of the greater counts, verifies what is left.
+2. Item-sized windows: of all windows as long as an item, those that begin at such a place and hold enough of that
+   item's to reach the similarity. That loses none: a window moved to its first shared shingle keeps all it shares.
+3. Exact weighted-shingle similarity, the sum of the lesser over the sum of the greater counts, decides for every such
+   window and its item. The SimHash distance (64 bits, weighted by how often a shingle stands there) is only reported:
+   a few repeated shingles may carry all its votes, so no radius would be safe.
 
 Texts are told apart by 128 bits of hash, so null or repeated ids and copies need no case of their own. Null and empty
 texts and items without a word match nothing; repeated items give rows of their own.
@@ -27,7 +23,6 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import ascii_lower, materialize, table
 
 WIDTH, SIMILARITY = 5, 0.8
-BLOCKS, RADIUS, FEW_SHINGLES = 8, 24, 8
 BROADCAST_SHINGLES = 1_000_000
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LANES = 0x0001000100010001
@@ -76,7 +71,7 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """h1, h2, start, n, width, m: windows of m words (n, or all of a shorter text) that may be similar to an item of n."""
+    """h1, h2, item, start, n, width, m: windows of m words (n, or all of a shorter text) that may be similar to that item."""
     known = shingles.select("item", "n", "width", "h").distinct()
     small = known.count() <= BROADCAST_SHINGLES
     texts = docs.select(words_of(F.col("text").cast("string")).alias("w"), *text_key(F.col("text"))).withColumn("words", F.size("w"))
@@ -87,26 +82,21 @@ def candidate_windows(docs: DataFrame, shingles: DataFrame, similarity: float) -
         found = at.select("h1", "h2", "words", "at", shingle_at("w", F.col("at"), width).alias("h")).join(F.broadcast(own) if small else own, "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "h1 long, h2 long, start int, n int, width int, m int")
+        return docs.sparkSession.createDataFrame([], "h1 long, h2 long, item long, start int, n int, width int, m int")
     # copies of a text fall together here: places are collected as sets, a text's words at most
     placed = hits.groupBy("h1", "h2", "item", "n", "width", "words").agg(F.array_sort(F.collect_set("at")).alias("places"))
     placed = placed.withColumn("m", F.least("n", "words")).withColumn("own", F.col("m") - F.col("width") + 1)
     placed = placed.withColumn("need", _least_shared(F.col("own"), F.col("n") - F.col("width") + 1, similarity).cast("int"))
     full = F.filter("places", lambda at, k: F.get(F.col("places"), k + F.col("need") - 1) - at < F.col("own"))
     starts = F.transform(full, lambda at: F.least(at, F.col("words") - F.col("m")))
-    return placed.select("h1", "h2", F.explode(F.array_distinct(starts)).alias("start"), "n", "width", "m").distinct()
-
-
-def block_values(tolerance: int, bits: int) -> list[int]:
-    """All differences of up to so many bits in a block."""
-    return [sum(1 << b for b in c) for k in range(tolerance + 1) for c in itertools.combinations(range(bits), k)]
+    return placed.select("h1", "h2", "item", F.explode(F.array_distinct(starts)).alias("start"), "n", "width", "m")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """h1, h2, item_id, start, n_words, similarity, distance: the best window of each text for each item it leaks."""
     shingles = materialize(item_shingles(benchmark), "item-shingles")
     windows = materialize(candidate_windows(docs, shingles, similarity), "windows")
-    wanted = windows.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "width", "m")).alias("windows"))
+    wanted = windows.drop("item").distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "width", "m")).alias("windows"))
     texts = docs.select(F.col("text").cast("string").alias("text"), *text_key(F.col("text"))).join(wanted, ["h1", "h2"])
     each = texts.select("h1", "h2", words_of(F.col("text")).alias("w"), F.explode("windows").alias("x")).select("h1", "h2", "w", "x.*")
     at = F.explode(F.sequence(F.lit(0), F.col("m") - F.col("width"))).alias("k")
@@ -115,26 +105,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     # a copy of a text gives the same rows again; k tells a window's own repeats apart
     held = materialize(each.select(*keys, "w", at).select(*keys, "k", h.alias("h")).dropDuplicates([*keys, "k"]), "window-shingles")
 
-    bits = 64 // BLOCKS
-    few = shingles.groupBy("item").agg((F.count_distinct("h") < FEW_SHINGLES).alias("few"))
-    items = simhash(shingles, ["item", "item_id", "n", "width"]).join(few, "item")
-    block = lambda fp, k: F.shiftrightunsigned(fp, bits * k).bitwiseAND(F.lit((1 << bits) - 1))
-    near = F.array(*[F.lit(v) for v in block_values(RADIUS // BLOCKS, bits)])
-    item = ["item", "item_id", "n", "width", "few"]
-    listed = items.where("not few").select(*item, F.col("fp").alias("item_fp"), F.posexplode(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "own"))
-    listed = listed.select(*item, "item_fp", "block", F.explode(F.transform(near, lambda v: F.col("own").bitwiseXOR(v))).alias("value"))
-    listed = listed.unionByName(items.where("few").select(*item, F.col("fp").alias("item_fp"), F.lit(BLOCKS).alias("block"), F.lit(0).cast("long").alias("value")))
-    asked = simhash(held, keys).select(*keys, "fp", F.posexplode(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)], F.lit(0).cast("long"))).alias("block", "value"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = asked.join(listed, ["n", "width", "block", "value"]).where((distance <= RADIUS) | F.col("few")).select(*keys, "item", "item_id", distance.cast("int").alias("distance")).distinct()
-
     own = held.groupBy(*keys, "h").agg(F.count("*").alias("c"))
     theirs = shingles.groupBy("item", "item_id", "h").agg(F.count("*").alias("d"))
     # repeated items with one id and one text count once; a row's shingles are counted per id
     copies = shingles.groupBy("item", "item_id").agg(F.count("*").alias("rows"), F.first(F.col("n") - F.col("width") + 1).alias("size")).withColumn("copies", F.col("rows") / F.col("size"))
     theirs = theirs.join(copies.select("item", "item_id", "copies", "size"), ["item", "item_id"]).select("item", "item_id", "h", (F.col("d") / F.col("copies")).alias("d"), "size")
-    shared = pairs.join(own, keys).join(theirs, ["item", "item_id", "h"]).groupBy(*keys, "item", "item_id", "distance").agg(F.sum(F.least("c", "d")).alias("s"), F.first("size").alias("size"))
+    shared = windows.join(own, keys).join(theirs, ["item", "h"]).groupBy(*keys, "item", "item_id").agg(F.sum(F.least("c", "d")).alias("s"), F.first("size").alias("size"))
     scored = shared.withColumn("similarity", F.col("s") / (F.col("size") + F.col("m") - F.col("width") + 1 - F.col("s"))).where(F.col("similarity") >= similarity - 1e-9)
+    scored = materialize(scored, "similar-windows")
+    items = simhash(shingles, ["item"]).select("item", F.col("fp").alias("item_fp"))
+    asked = simhash(held.join(scored.select(keys).distinct(), keys, "left_semi"), keys).select(*keys, "fp")
+    scored = scored.join(asked, keys).join(items, "item").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m", (-F.col("distance")).alias("near"))).alias("b")
     return scored.groupBy("h1", "h2", "item_id").agg(best).select("h1", "h2", "item_id", (-F.col("b.back")).alias("start"), F.col("b.m").alias("n_words"), "b.similarity", (-F.col("b.near")).alias("distance"))
 

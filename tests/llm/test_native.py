@@ -53,6 +53,19 @@ def test_leaks_match_brute_force(spark):
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leak_with_repeated_shingles_carrying_the_votes(spark):
+    # 80 of 95 places, or nearly, are of shingles of two runs: the similarity is high and the SimHashes are far apart
+    singles = [f"s{k}" for k in range(12)]
+    item = ["a"] * 48 + ["b"] * 40 + singles
+    window = ["a"] * 40 + ["b"] * 48 + singles
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 7 + window + ["y"] * 7)), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k in (5, 5, 6)], "item_id long, text string")
+    want = max(similarity(w, item) for w in [(["x"] * 7 + window + ["y"] * 7)[a : a + len(item)] for a in range(15)])
+    got = {r.item_id: (round(r.similarity, 6), r.distance) for r in D.leaks(docs, bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == {5: round(want, 6), 6: round(want, 6)} and want > 0.8
+    assert min(v[1] for v in got.values()) > 24
+
+
 def brute_scan(text):
     w = words(text)
     places, labels = [], set()
