@@ -25,7 +25,7 @@ from driftlens.llm.common import ascii_lower, materialize, table
 WIDTH, SIMILARITY = 5, 0.8
 BROADCAST_SHINGLES = 1_000_000
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
@@ -44,14 +44,14 @@ def text_key(text: Column) -> list[Column]:
 def simhash(counted: DataFrame, keys: list[str]) -> DataFrame:
     """keys, fp, total: the SimHash of rows (keys, h) with a row for each occurrence of a shingle.
 
-    Sixteen sums count the bits, four of them each in 16 bits of a long, so a window may hold 65,535 shingles.
+    Thirty-two sums count the bits, two of them each in 32 bits of a long; no text has 2 ** 31 shingles.
     """
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(16)]
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(32)]
     summed = counted.groupBy(*keys).agg(F.count("*").alias("total"), *sums)
     fp = F.lit(0).cast("long")
-    for j, lane in itertools.product(range(16), range(4)):
-        votes = F.shiftrightunsigned(F.col(f"s{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-        fp = fp.bitwiseOR(F.when(2 * votes > F.col("total"), F.lit(1 << (16 * lane + j) if 16 * lane + j < 63 else -(1 << 63))).otherwise(F.lit(0)))
+    for j, lane in itertools.product(range(32), range(2)):
+        votes = F.shiftrightunsigned(F.col(f"s{j}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+        fp = fp.bitwiseOR(F.when(2 * votes > F.col("total"), F.lit(1 << (32 * lane + j) if 32 * lane + j < 63 else -(1 << 63))).otherwise(F.lit(0)))
     return summed.select(*keys, fp.cast("long").alias("fp"), "total")
 
 
@@ -64,10 +64,11 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     """item (a number of its own), item_id, n (words), width, h: a row for each shingle of each item."""
     items = benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     items = items.withColumn("width", F.least("n", F.lit(WIDTH)))
-    places = items.select("item_id", "w", "n", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("at"))
+    # repeated items with one id and one text count once
+    items = items.withColumn("item", F.xxhash64("item_id", F.array_join("w", " "))).dropDuplicates(["item", "item_id"])
+    places = items.select("item", "item_id", "w", "n", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("at"))
     h = F.coalesce(*[F.when(F.col("width") == k, shingle_at("w", F.col("at"), k)) for k in range(1, WIDTH + 1)])
-    item = F.xxhash64("item_id", F.array_join("w", " "))
-    return places.select(item.alias("item"), "item_id", "n", "width", h.alias("h"))
+    return places.select("item", "item_id", "n", "width", h.alias("h"))
 
 
 def candidate_windows(docs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -106,10 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     held = materialize(each.select(*keys, "w", at).select(*keys, "k", h.alias("h")).dropDuplicates([*keys, "k"]), "window-shingles")
 
     own = held.groupBy(*keys, "h").agg(F.count("*").alias("c"))
-    theirs = shingles.groupBy("item", "item_id", "h").agg(F.count("*").alias("d"))
-    # repeated items with one id and one text count once; a row's shingles are counted per id
-    copies = shingles.groupBy("item", "item_id").agg(F.count("*").alias("rows"), F.first(F.col("n") - F.col("width") + 1).alias("size")).withColumn("copies", F.col("rows") / F.col("size"))
-    theirs = theirs.join(copies.select("item", "item_id", "copies", "size"), ["item", "item_id"]).select("item", "item_id", "h", (F.col("d") / F.col("copies")).alias("d"), "size")
+    theirs = shingles.groupBy("item", "item_id", "h").agg(F.count("*").alias("d"), F.first(F.col("n") - F.col("width") + 1).alias("size"))
     shared = windows.join(own, keys).join(theirs, ["item", "h"]).groupBy(*keys, "item", "item_id").agg(F.sum(F.least("c", "d")).alias("s"), F.first("size").alias("size"))
     scored = shared.withColumn("similarity", F.col("s") / (F.col("size") + F.col("m") - F.col("width") + 1 - F.col("s"))).where(F.col("similarity") >= similarity - 1e-9)
     scored = materialize(scored, "similar-windows")

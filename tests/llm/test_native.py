@@ -66,6 +66,16 @@ def test_leak_with_repeated_shingles_carrying_the_votes(spark):
     assert min(v[1] for v in got.values()) > 24
 
 
+def test_votes_of_long_windows_and_repeated_items(spark):
+    rows = spark.range(140_000).selectExpr("id % 2 as k", "if(id % 2 = 0, -1L, 0L) as h")
+    assert {r.k: (r.fp, r.total) for r in D.simhash(rows, ["k"]).collect()} == {0: (-1, 70_000), 1: (0, 70_000)}
+    text = " ".join(f"word{k}" for k in range(37))
+    bench = spark.range(2_100).selectExpr("7L as item_id", f"'{text}' as text")
+    docs = spark.createDataFrame([(1, "so " + text + " it is")], "doc_id long, text string")
+    assert [(r.item_id, r.similarity, r.distance) for r in D.leaks(docs, bench).collect()] == [(7, 1.0, 0)]
+    assert D.item_shingles(bench).count() == 33
+
+
 def brute_scan(text):
     w = words(text)
     places, labels = [], set()
