@@ -54,6 +54,29 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+HOT_KEYS = 4096
+
+
+def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n", most: int = HOT_KEYS) -> DataFrame:
+    """rows joined with groups (one row a key, with how many rows it has; materialised), without a hot key in one task.
+
+    Keys with more than one in ``most`` of all rows are fewer than ``most``, so they may be broadcast and their rows are
+    not shuffled at all; the others meet by a shuffle in which no key has more than that share.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = groups.where(F.col(count) * most > total)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(count) * most <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that df does not have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
     """Keep an Arrow batch of whole texts to a few MB; the setting only bounds memory, never results."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:

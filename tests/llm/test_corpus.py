@@ -1,12 +1,15 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from driftlens.llm import line_dedup as L
 from driftlens.llm import mixing as M
 from driftlens.llm import token_counts as K
+from driftlens.llm.common import free_name, skew_join
 
 
 def brute_targets(sizes):
@@ -68,16 +71,59 @@ def test_mix(spark, block, monkeypatch):
     assert M.mix(df.limit(0)).count() == 0
 
 
-def test_line_dedup(spark):
-    long = "one two three four five"
-    texts = {1: f"{long}\nshort line\nÉ a b c d e\n", 2: f"x\nONE  two three\tfour five\n{long} six", 3: None, 4: "", 5: long, 6: "short line", 7: "\n".join([f"{long} seven"] * 3)}
-    df = spark.createDataFrame([(i, t, "k") for i, t in texts.items()] + [(5, long, "k"), (None, "null id with five words", "k")], "doc_id long, text string, row string")
-    got = {r.doc_id: r for r in L.dedup_lines(df).collect()}
-    assert got[1].n_removed == 0 and got[1].kept_text == texts[1] and got[1].n_units == 4
-    assert (got[2].kept_text, [(s.start, s.end) for s in got[2].spans]) == (f"x\n{long} six", [(2, 26)])
-    assert got[5].kept_text == "" and got[6].n_removed == 0 and got[3].n_units == 1
-    assert got[7].kept_text == f"{long} seven" and got[7].n_removed == 2 and got[None].n_removed == 0
-    assert L.dedup_lines(df).count() == 9 and L.dedup_lines(df.limit(0)).count() == 0
+def brute_lines(rows, min_bytes):
+    """(doc_id, kept text, units, removed units, spans) of rows (doc_id, text), each distinct row once."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode()) ^ 1 << 63))
+    seen, out = set(), {}
+    for doc_id, text in rows:
+        text = text or ""
+        units = [u for u in re.findall(r"(?s)[^.,;:!?\n]*(?:[.,;:!?\n][.,;:!?\s]*|$)", text) if u]
+        again = []
+        for u in units:
+            words = " ".join("".join(c.lower() if c.isascii() else c for c in u).split())
+            again.append(len(words.encode()) if words and words in seen else 0)
+            seen |= {words} if words else set()
+        gone, k = set(), 0
+        while k < len(units):
+            n = k
+            while n < len(units) and again[n]:
+                n += 1
+            gone |= set(range(k, n)) if sum(again[k:n]) >= min_bytes else set()
+            k = n + 1
+        at, spans = 0, []
+        for j, u in enumerate(units):
+            n = len(u.encode())
+            if j in gone:
+                spans = [*spans[:-1], (spans[-1][0], at + n)] if spans and j - 1 in gone else [*spans, (at, at + n)]
+            at += n
+        out[doc_id, text] = ("".join(u for j, u in enumerate(units) if j not in gone), len(units), len(gone), spans)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 40, L.MIN_BYTES])
+def test_line_dedup(spark, least):
+    rng = random.Random(5)
+    clause = lambda: " ".join("".join(rng.choices("abcé XY", k=rng.randrange(1, 9))).strip() or "a" for _ in range(rng.randrange(1, 12)))
+    text = lambda n: "".join(clause() + rng.choice([". ", "\n", "; ", ",", "!? ", "\n\n"]) for _ in range(n))
+    passage, lines = text(14), [clause() for _ in range(5)]
+    rows = [(1, passage), (2, text(3) + passage + text(2)), (3, None), (4, ""), (5, "x " + passage.upper() + "z"), (6, passage[9:-7]), (7, passage + passage)]
+    rows += [(k, text(4) + rng.choice(lines) + "\n" + text(rng.randrange(5))) for k in range(10, 40)] + [(10, "another text\n" + passage), (None, "null id"), (50, "。".join(["长" * 70, "b", "长" * 70, "b"]))]
+    rows += [rows[1], (1, passage), (60, passage * 300)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted((r.doc_id or 0, r.kept_text, r.n_units, r.n_removed, [tuple(s) for s in r.spans]) for r in L.dedup_lines(df, least).collect())
+    want = brute_lines([(i, t) for i, t in rows if i != 50], least)
+    assert [g for g in got if g[0] != 50] == sorted((i or 0, *want[i, t or ""]) for i, t in rows if i != 50)
+    # a script without spaces: a sentence of one word goes like any other
+    assert [g[1:] for g in got if g[0] == 50] == [("长" * 70 + "。b。b", 4, 1, [(217, 430)])]
+    assert L.dedup_lines(df.limit(0), least).count() == 0
+
+
+def test_hot_keys_meet_without_one_task(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id")
+    groups = rows.groupBy("k").count().withColumnRenamed("count", "n").cache()
+    assert sorted(map(tuple, skew_join(rows, groups, ["k"], most=9).collect())) == sorted(map(tuple, rows.join(groups, "k").collect()))
+    assert free_name(rows, "ID") == "ID_" and free_name(rows, "x") == "x"
+    assert skew_join(rows.limit(0), groups.limit(0), ["k"]).count() == 0
 
 
 def test_rollup_adds_signed_batches_once(spark, tmp_path):
