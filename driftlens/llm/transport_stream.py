@@ -1,9 +1,9 @@
 """Media columns: texts or any payload as MPEG transport streams (ISO/IEC 13818-1), and the parser for them.
 
 ``mux`` writes program tables, packetised elementary stream packets with PTS and PCR, continuity counters and
-random-access flags; ``demux`` parses the program association and map tables (checking their CRC), checks the
-continuity counters of the elementary stream, reassembles its packets and returns payload, timestamps and
-random-access points. ``store_media`` and ``read_media`` apply both to a DataFrame column, one batch at a time and
+random-access flags; ``demux`` parses the program association and map tables (over several packets where they need
+them, checking their CRC), checks the continuity counters of the elementary stream, reassembles its packets (also those
+of open length) and returns payload, timestamps and random-access points. ``store_media`` and ``read_media`` apply both to a DataFrame column, one batch at a time and
 without a shuffle; a row's memory is a small multiple of its own text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -104,60 +105,116 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _table(bodies: list[bytes], table_id: int) -> bytes:
-    """The body of the first sound section with this id (empty: none)."""
-    for body in bodies:
-        section = body[1 + body[0] :]
-        end = 3 + ((section[1] & 15) << 8 | section[2]) if len(section) > 3 else 0
-        if 12 <= end <= len(section) and section[0] == table_id and crc32_mpeg(section[:end]) == 0:
-            return section[8 : end - 4]
+def _sections(packets: np.ndarray, start: np.ndarray) -> Iterator[bytes]:
+    """The sections that the packets of one table's pid carry, also over several packets, as far as they are whole."""
+    held = None
+    for row, at in zip(packets, start.tolist(), strict=True):
+        body = row[at:].tobytes()
+        if row[1] & 0x40 and body:
+            # the pointer tells how much of an earlier section comes first
+            before, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if held:
+                yield held + before
+            held = b""
+        if held is not None:
+            held += body
+            while len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + ((held[1] & 15) << 8 | held[2])):
+                yield held[:n]
+                held = held[n:]
+
+
+def _table(packets: np.ndarray, start: np.ndarray, table_id: int) -> bytes:
+    """The body of the first sound section with this id that is in force (empty: none)."""
+    for section in _sections(packets, start):
+        if len(section) >= 12 and section[0] == table_id and section[5] & 1 and crc32_mpeg(section) == 0:
+            return section[8:-4]
     return b""
 
 
+def _first_program(pat: bytes) -> tuple[int, int]:
+    """Number and map pid of the first program of an association table; entries of program 0 name the network."""
+    for k in range(0, len(pat) - 3, 4):
+        if number := pat[k] << 8 | pat[k + 1]:
+            return number, (pat[k + 2] & 0x1F) << 8 | pat[k + 3]
+    return 0, -1
+
+
+def _first_stream(pmt: bytes) -> int:
+    """The pid of the first elementary stream of a program map; -1 where the map ends before one."""
+    at = 4 + ((pmt[2] & 15) << 8 | pmt[3]) if len(pmt) >= 4 else len(pmt)
+    return (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2] if at + 5 <= len(pmt) else -1
+
+
+_PLAIN = (0xBC, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)  # stream ids whose packets have no further header
+_PADDING = 0xBE
+
+
+def _unit(pes: bytes) -> tuple[bytes, int | None, bool] | None:
+    """Payload, PTS and whether it is whole, of one packetised elementary stream packet; None for no such packet."""
+    if len(pes) < 6 or pes[:3] != b"\0\0\1":
+        return None
+    length, stream = pes[4] << 8 | pes[5], pes[3]
+    # a length of 0 means: up to the next packet's start
+    whole, pes = (not length or len(pes) >= 6 + length), pes[: 6 + length] if length else pes
+    if stream == _PADDING:
+        return b"", None, whole
+    if stream in _PLAIN:
+        return pes[6:], None, whole
+    if len(pes) < 9:
+        return b"", None, False
+    pts, t = None, pes[9:14]
+    if pes[7] & 0x80 and len(t) == 5 and pes[8] >= 5:
+        pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
+    return pes[9 + pes[8] :], pts, whole and len(pes) >= 9 + pes[8]
+
+
 def demux(media: bytes) -> dict:
-    """Payload, presentation times, random-access points and errors of the first program's first stream.
+    """Payload, presentation times, random-access points and errors of the first program's first stream; never raises.
 
-    Packets without the sync byte are left out and counted. A gap in the continuity counters is counted; packets
-    that repeat one counter are duplicates and left out. Without sound program tables the payload is empty.
+    Packets without the sync byte or with the transport error mark are left out and counted. Packets that repeat the one
+    before are left out. A gap in the continuity counters that is not announced is counted; what follows it up to the
+    next unit's start has no sure place and is dropped, so a broken unit takes no byte of another. Units cut short in any
+    way are counted as broken. Without sound program tables the payload is empty.
     """
-    out = {"payload": b"", "packets": 0, "pts": [], "random_access": [], "continuity_errors": 0, "sync_errors": 0, "program": 0, "pid": -1}
+    out = {"payload": b"", "packets": 0, "pts": [], "random_access": [], "continuity_errors": 0, "sync_errors": 0, "broken_units": 0, "program": 0, "pid": -1}
     raw = np.frombuffer(media, np.uint8)[: len(media) // PACKET * PACKET].reshape(-1, PACKET)
-    good = raw[:, 0] == 0x47
+    good = (raw[:, 0] == 0x47) & (raw[:, 1] & 0x80 == 0)
     out["sync_errors"] = int((~good).sum()) + (len(media) % PACKET > 0)
     raw = raw if good.all() else raw[good]
     out["packets"] = len(raw)
+    adapted = raw[:, 3] & 0x20 > 0
+    raw, adapted = (x[raw[:, 3] & 0x10 > 0] for x in (raw, adapted))
+    start = np.minimum(np.where(adapted, 5 + raw[:, 4].astype(np.int32), 4), PACKET)
+    flags = np.where(adapted & (raw[:, 4] > 0), raw[:, 5], 0)
     pid = (raw[:, 1] & 0x1F).astype(np.int32) << 8 | raw[:, 2]
-    pat = _table([p[4:].tobytes() for p in raw[(pid == 0) & (raw[:, 1] & 0x40 > 0)]], 0)
-    if len(pat) < 4:
-        return out
-    out["program"] = pat[0] << 8 | pat[1]
-    pmt = _table([p[4:].tobytes() for p in raw[(pid == ((pat[2] & 0x1F) << 8 | pat[3])) & (raw[:, 1] & 0x40 > 0)]], 2)
-    if len(pmt) < 9:
+    out["program"], map_pid = _first_program(_table(raw[pid == 0], start[pid == 0], 0))
+    out["pid"] = _first_stream(_table(raw[pid == map_pid], start[pid == map_pid], 2))
+
+    own, start, flags = (x[pid == out["pid"]] for x in (raw, start, flags))
+    if not len(own):
         return out
-    at = 4 + ((pmt[2] & 15) << 8 | pmt[3])
-    out["pid"] = (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
-
-    own = raw[(pid == out["pid"]) & (raw[:, 3] & 0x10 > 0)]
-    step = np.diff(own[:, 3] & 15) & 15
-    if (step == 0).any():
-        own = own[np.concatenate([[True], step != 0])]
-        step = np.diff(own[:, 3] & 15) & 15
-    out["continuity_errors"] = int((step != 1).sum())
-    start = np.where(own[:, 3] & 0x20 > 0, 5 + own[:, 4].astype(np.int32), 4)
+    step = np.concatenate([[1], np.diff(own[:, 3] & 15) & 15])
+    again = step == 0
+    again[1:] &= (own[1:, 12:] == own[:-1, 12:]).all(1)  # a clock reference may differ
+    own, start, flags, step = (x[~again] for x in (own, start, flags, step))
+    gap = (step != 1) & (flags & 0x80 == 0)
+    out["continuity_errors"] = int(gap.sum())
     stream = own[np.arange(PACKET) >= start[:, None]].tobytes()
     offset = np.concatenate([[0], np.cumsum(PACKET - start)])
     units = np.flatnonzero(own[:, 1] & 0x40)
-    flagged = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
+    gaps = np.append(np.flatnonzero(gap), len(own))
+    first_gap = gaps[np.searchsorted(gaps, units, "right")]
     parts, written = [], 0
-    for i in units:
-        s = int(offset[i])
-        if stream[s : s + 3] != b"\0\0\1" or len(stream) < s + 14:
+    for i, end, cut in zip(units.tolist(), [*units[1:].tolist(), len(own)], first_gap.tolist(), strict=True):
+        found = _unit(stream[int(offset[i]) : int(offset[min(end, cut)])])
+        if found is None:
+            out["broken_units"] += 1
             continue
-        data = stream[s + 9 + stream[s + 8] : s + 6 + (stream[s + 4] << 8 | stream[s + 5])]
-        if stream[s + 7] & 0x80:
-            t = stream[s + 9 : s + 14]
-            out["pts"].append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
-        if flagged[i]:
+        data, pts, whole = found
+        out["broken_units"] += not whole or cut < end
+        if pts is not None:
+            out["pts"].append(pts)
+        if flags[i] & 0x40:
             out["random_access"].append(written)
         parts.append(data)
         written += len(data)
@@ -196,12 +253,12 @@ def read_media(df: DataFrame, id_col: str = "id", size_col: str = "n_bytes", med
             rows.append((
                 len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(),
                 f"packets={d['packets']};units={len(d['pts'])};first_pts={min(d['pts'], default=-1)};last_pts={max(d['pts'], default=-1)};pts_step={int(gaps.min()) if len(gaps) else 0};random_access={len(d['random_access'])};mean={np.frombuffer(p, np.uint8).mean() if p else 0:.4f}",
-                d["pts"], d["random_access"], d["continuity_errors"], d["sync_errors"],
+                d["pts"], d["random_access"], d["continuity_errors"], d["sync_errors"], d["broken_units"],
             ))
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "continuity_errors", "sync_errors")
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "continuity_errors", "sync_errors", "broken_units")
         return {"id": batch.column(0), "n_bytes": batch.column(1)} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>, continuity_errors long, sync_errors long"
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>, continuity_errors long, sync_errors long, broken_units long"
     return map_arrow(df.select(id_col, size_col, media_col), read, schema)
 
 
@@ -210,3 +267,17 @@ def op2_transport_stream(spark, sf_dir: str) -> DataFrame:
     from driftlens.llm.common import table
 
     return read_media(store_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def stored_texts(spark, sf_dir: str) -> DataFrame:
+    """Sizes and payload digests that op2_transport_stream reads back, which SQL can compute from the texts."""
+    return op2_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "continuity_errors", "broken_units")
+
+
+STORED_SQL = r"""
+WITH own AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+sized AS (SELECT doc_id, raw, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS m FROM own)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(raw || unhex(repeat('00', CAST(m - n AS INTEGER)))) AS payload_sha256,
+       CAST(0 AS BIGINT) AS continuity_errors, CAST(0 AS BIGINT) AS broken_units
+FROM sized
+"""
