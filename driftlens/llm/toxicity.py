@@ -2,9 +2,9 @@
 
 A word's embedding is the sum of five rows of hashed tables (the word, its first four to seven bytes).
 Filters of one, two and three words with max pooling feed a logistic output. Labelled rows are a bounded sample in
-hash order (MAX_LABELLED rows and MAX_LABELLED_BYTES of text, so the driver's memory is bounded); every document is
-scored over its whole text on the executors. The threshold is calibrated by language, which is guessed from function
-words of the text itself; scores are shifted on the logit scale so that 0.5 is each language's threshold.
+hash order (MAX_LABELLED rows and MAX_LABELLED_BYTES of text), on which one task trains; every document is scored over
+its whole text on the executors. The threshold is calibrated by language, which is guessed from function words of the
+text itself; scores are shifted on the logit scale so that 0.5 is each language's threshold.
 
 Rows without a label, null labels and null texts never fail: a null text scores as the empty text; with no labelled
 row, or labels of one class only, every score is the labels' mean (0 without any).
@@ -12,9 +12,11 @@ row, or labels of one class only, every score is the labels' mean (0 without any
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ MAX_LABELLED, MAX_LABELLED_BYTES = 6_000, 48_000_000
 #: Labelled texts over so many bytes join the training sample after all others, while there is room; all are scored.
 LONG_TEXT = 480_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
+ROWS = 100_000  # words convolved at a time
 PREFIXES = (None, 4, 5, 6, 7)
 SEED = 20
 #: Frequent function words by which a text's language is guessed.
@@ -39,22 +42,21 @@ _MARKS = {lang: np.array(sorted(word_hash(w) for w in words), np.uint64) for lan
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of bucket numbers (0: padding), the texts' first rows, languages.
+    """Rows of bucket numbers (0: padding), words a text, languages.
 
     Two rows of padding follow each text, and two more the last, so that a window can begin at each of the others.
     """
     words = Words(texts)
     counts = words.counts()
-    first = np.concatenate([[0], np.cumsum(counts + 2)])
     at = np.arange(len(words.start)) + 2 * words.doc
-    ids = np.zeros((int(first[-1]) + 2, len(PREFIXES)), np.int32)
+    ids = np.zeros((len(at) + 2 * len(counts) + 2, len(PREFIXES)), np.int32)
     for k, prefix in enumerate(PREFIXES):
         h = words.hashes(prefix)
         ids[at, k] = 1 + k * BUCKETS + (h >> np.uint64(20)) % np.uint64(BUCKETS)
         if prefix is None:
             votes = np.stack([np.bincount(words.doc[np.isin(h, m)], minlength=words.n) for m in _MARKS.values()] + [np.zeros(words.n)])
     language = np.where(votes.max(0) > 0, votes.argmax(0), len(LANGUAGES) - 1) if words.n else np.zeros(0, np.int64)
-    return ids, first, language
+    return ids, counts, language
 
 
 @dataclass
@@ -74,28 +76,45 @@ class ToxicityModel:
         table[0] = 0
         return cls(table, [rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
 
-    def embed(self, ids: np.ndarray) -> np.ndarray:
+    def convolve(self, ids: np.ndarray) -> np.ndarray:
+        """All filters, width by width, at every row but the last two."""
         e = self.table[ids[:, 0]]
         for k in range(1, ids.shape[1]):
             e += self.table[ids[:, k]]
-        return e
-
-    def convolve(self, e: np.ndarray) -> list[np.ndarray]:
-        """Each width's filters at every row but the last two of the embedded rows."""
         n = len(e) - 2
         parts = iter(np.split(e @ np.concatenate([f[j] for f in self.filters for j in range(len(f))], 1), sum(WIDTHS), 1))
-        return [sum(next(parts)[j : j + n] for j in range(w)) + self.bias[k] for k, w in enumerate(WIDTHS)]
-
-    def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.concatenate([sum(next(parts)[j : j + n] for j in range(w)) + self.bias[k] for k, w in enumerate(WIDTHS)], 1)
+
+    def peaks(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max pooling: each filter's greatest value in each text (of counts words), and the row where its window begins.
+
+        ROWS rows are convolved at a time, so that a very long text needs no more memory than its bucket numbers.
+        """
+        n, width = len(counts), len(self.out)
+        owner = np.repeat(np.arange(n), counts + 2)
+        best, at = np.full((n, width), -np.inf, np.float32), np.zeros((n, width), np.int64)
+        for s in range(0, len(owner), ROWS):
+            part = ids[s : s + ROWS + 2]
+            c = self.convolve(part)
+            c[part[:-2, 0] == 0] = -np.inf
+            own = owner[s : s + len(c)]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            top, place = np.maximum.reduceat(c, cuts, axis=0), np.zeros((len(cuts), width), np.int64)
+            group = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(c))))
+            row, col = np.nonzero((c == top[group]) & np.isfinite(c))
+            slot, first = np.unique(group[row] * width + col, return_index=True)
+            place.flat[slot] = s + row[first]
+            own = own[cuts]
+            at[own] = np.where(top > best[own], place, at[own])
+            best[own] = np.maximum(top, best[own])
+        return np.maximum(best, 0), at
+
+    def logits(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """One logit a text; texts without words pool zeros."""
-        if len(first) < 2:
-            return np.zeros(0)
-        blank = ids[:-2, 0] == 0
-        pooled = []
-        for c in self.convolve(self.embed(ids)):
-            c[blank] = 0
-            pooled.append(np.maximum.reduceat(np.maximum(c, 0, out=c), first[:-1], axis=0))
-        return np.concatenate(pooled, 1) @ self.out + self.out_bias
+        return self.peaks(ids, counts)[0] @ self.out + self.out_bias
+
+
+_PAD = np.zeros((2, len(PREFIXES)), np.int32)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, drop: float = 0.5) -> ToxicityModel:
@@ -109,49 +128,43 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 3
     encoded = [(ids[:-2], lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
     order = rng.permutation(len(texts))
     keep, check = order[len(order) // 5 :], order[: len(order) // 5]
-    weight = {1: 0.5 / max(toxic[keep].mean(), 1e-3), 0: 0.5 / max(1 - toxic[keep].mean(), 1e-3)}
+    weight = np.array([0.5 / max(1 - toxic[keep].mean(), 1e-3), 0.5 / max(toxic[keep].mean(), 1e-3)])
     seen = {"t": np.full(model.table.shape, 1e-2, np.float32), "o": np.full(model.out.shape, 1e-2), "ob": 1e-2, "f": [np.full(f.shape, 1e-2) for f in model.filters], "b": [np.full(FILTERS, 1e-2) for _ in WIDTHS]}
+    keep = np.array([i for i in keep if len(encoded[i][0]) > 2], np.int64)
     for epoch in range(epochs):
         keep = rng.permutation(keep)
         for s in range(0, len(keep), batch):
-            grad_out, grad_ob = np.zeros_like(model.out), 0.0
-            grad_f, grad_b = [np.zeros_like(f) for f in model.filters], [np.zeros(FILTERS) for _ in WIDTHS]
-            rows, steps = [], []
-            for i in keep[s : s + batch]:
-                ids = encoded[i][0]
-                n = len(ids) - 2
-                if not n:
-                    continue
-                if epoch % 2 == 0 and n > 4:
-                    ids = ids * (rng.random((len(ids), 1)) >= drop)
-                e = model.embed(ids)
-                best = model.convolve(e)
-                at = [c.argmax(0) for c in best]
-                pooled = np.concatenate([np.maximum(c[a, np.arange(FILTERS)], 0) for c, a in zip(best, at, strict=True)])
-                p = 1 / (1 + np.exp(-float(pooled @ model.out + model.out_bias)))
-                g = (p - toxic[i]) * weight[int(toxic[i])] / batch
-                grad_out += g * pooled
-                grad_ob += g
-                back = (g * model.out * (pooled > 0)).reshape(len(WIDTHS), FILTERS)
-                for k, w in enumerate(WIDTHS):
-                    grad_b[k] += back[k]
-                    for j in range(w):
-                        grad_f[k][j] += e[at[k] + j].T * back[k]
-                        rows.append(ids[at[k] + j])
-                        steps.append((model.filters[k][j] * back[k]).T)
-            if not rows:
-                continue
+            own = keep[s : s + batch]
+            parts = [encoded[i][0] for i in own]
+            if epoch % 2 == 0:
+                parts = [ids * (rng.random((len(ids), 1)) >= drop) if len(ids) > 6 else ids for ids in parts]
+            ids = np.concatenate([*parts, _PAD])
+            pooled, at = model.peaks(ids, np.array([len(p) - 2 for p in parts]))
+            p = 1 / (1 + np.exp(-(pooled @ model.out + model.out_bias)))
+            g = (p - toxic[own]) * weight[toxic[own]] / batch
+            grad_out, grad_ob = g @ pooled, g.sum()
+            back = (g[:, None] * model.out * (pooled > 0)).astype(np.float32).reshape(len(own), len(WIDTHS), FILTERS)
+            rows, steps, grad_f = [], [], []
+            for k, w in enumerate(WIDTHS):
+                places = at[:, k * FILTERS : (k + 1) * FILTERS]
+                for j in range(w):
+                    words = ids[places + j]
+                    grad_f.append(np.einsum("bfd,bf->df", model.table[words].sum(2), back[:, k]))
+                    rows.append(words.reshape(-1, len(PREFIXES)))
+                    steps.append((model.filters[k][j].T * back[:, k, :, None]).reshape(-1, DIM))
             touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
             total = np.zeros((len(touched), DIM), np.float32)
             np.add.at(total, inverse.reshape(-1, len(PREFIXES)), np.concatenate(steps)[:, None, :])
             total[touched == 0] = 0
             seen["t"][touched] += total**2
             model.table[touched] -= rate * total / np.sqrt(seen["t"][touched])
-            for k in range(len(WIDTHS)):
-                seen["f"][k] += grad_f[k] ** 2
-                seen["b"][k] += grad_b[k] ** 2
-                model.filters[k] -= (rate * grad_f[k] / np.sqrt(seen["f"][k])).astype(np.float32)
-                model.bias[k] -= (rate * grad_b[k] / np.sqrt(seen["b"][k])).astype(np.float32)
+            grads = iter(grad_f)
+            for k, w in enumerate(WIDTHS):
+                own_f, own_b = np.stack([next(grads) for _ in range(w)]), back[:, k].sum(0)
+                seen["f"][k] += own_f**2
+                seen["b"][k] += own_b**2
+                model.filters[k] -= (rate * own_f / np.sqrt(seen["f"][k])).astype(np.float32)
+                model.bias[k] -= (rate * own_b / np.sqrt(seen["b"][k])).astype(np.float32)
             seen["o"] += grad_out**2
             seen["ob"] += grad_ob**2
             model.out -= (rate * grad_out / np.sqrt(seen["o"])).astype(np.float32)
@@ -176,7 +189,7 @@ def calibrate(model: ToxicityModel, encoded: list, toxic: np.ndarray) -> None:
     """Thresholds by language from rows the weights were not fitted on; a language with few rows takes the common one."""
     if not len(encoded):
         return
-    logits = np.array([model.logits(np.concatenate([ids, ids[-2:]]), np.array([0, len(ids)]))[0] for ids, _ in encoded])
+    logits = np.array([model.logits(np.concatenate([ids, _PAD]), np.array([len(ids) - 2]))[0] for ids, _ in encoded])
     language = np.array([lang for _, lang in encoded])
     common = _best_cut(logits, toxic)
     for k in range(len(LANGUAGES)):
@@ -200,25 +213,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFra
     running = F.sum(F.col("_n").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     picked = each.orderBy(*order).limit(MAX_LABELLED).withColumn("_sum", running).where(F.col("_sum") <= MAX_LABELLED_BYTES).select("_id", "_t", "_k")
     texts = labelled.join(F.broadcast(picked), ["_id", "_t"]).groupBy("_id", "_t", "_k", "_h").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y"))
-    return texts.orderBy("_k", "_h", "_id", "_t").select("_text", "_y")
+    return texts.repartition(1).sortWithinPartitions("_k", "_h", "_id", "_t").select("_text", "_y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> ToxicityModel | float:
-    """The trained model, or the labels' mean where they have less than two classes."""
-    rows = training_rows(docs, labels, label_col).toArrow()
-    texts, toxic = list(utf8(rows.column(0).combine_chunks())), np.array([int(y > 0) for y in rows.column(1).to_pylist()])
-    if len(set(toxic.tolist())) < 2:
-        return float(toxic.mean()) if len(toxic) else 0.0
-    return train(texts, toxic)
+    """The trained model, or the labels' mean where they have less than two classes.
+
+    One task trains on the bounded sample, so that the driver holds the finished weights only and a lost executor
+    means a second try.
+    """
+
+    def run(batches):
+        rows = [(t, int(y > 0)) for batch in batches for t, y in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+        toxic = np.array([y for _, y in rows], np.int64)
+        made = train([t for t, _ in rows], toxic) if len(set(toxic.tolist())) > 1 else float(toxic.mean()) if len(toxic) else 0.0
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    made = training_rows(docs, labels, label_col).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(made[0].model) if made else 0.0
 
 
 def score_texts(model: ToxicityModel | float, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, languages and thresholds of texts."""
-    ids, first, language = encode(texts)
+    ids, counts, language = encode(texts)
     if isinstance(model, float):
         return np.full(len(texts), model), language, np.full(len(texts), 0.5)
     cut = model.thresholds[language]
-    z = np.clip(model.logits(ids, first) - cut, -50, 50)
+    z = np.clip(model.logits(ids, counts) - cut, -50, 50)
     return 1 / (1 + np.exp(-z)), language, 1 / (1 + np.exp(-cut))
 
 
@@ -248,9 +269,10 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs whose text scores under 0.5, all their columns unchanged, without a shuffle."""
-    import pyarrow as pa
+    """Pipeline stage: the rows of docs whose text scores under 0.5, all their columns unchanged, without a shuffle.
 
+    Null and empty texts score as texts without words; repeated rows are judged alike; an empty table stays empty.
+    """
     held = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
     small_batches(spark)
 
