@@ -2,10 +2,12 @@
 
 A batch is a table of changes: (op, doc_id, source, lang, text) with op "insert", "delete", "revise_from" or
 "revise_to"; inserts and revise_to count +1, deletes and revise_from count -1, so a revision is two signed rows and
-totals are plain sums. A batch is reduced to one signed row a (source, lang, tokenizer) and committed as one Parquet
-folder named after its id: written beside, then renamed. A second commit of the same id changes nothing, and a job
-that dies before the rename leaves nothing behind that is read. Totals add all committed batches, whose rows number
-groups, not documents.
+totals are plain sums; any other op fails the batch. A batch is reduced to one signed row a (source, lang, tokenizer) and
+committed as one Parquet folder named after its id: written beside under a mark of its own, then renamed. Whose mark
+the committed folder bears has committed the batch, so of two racing writers one gets True, also on stores where a
+rename to a folder that exists nests. A second commit of the same id changes nothing, and a job that dies
+before the rename leaves nothing behind that is read. Totals add all committed batches, whose rows number groups, not
+documents.
 
 Tokenizer versions: "words-1" (white-space separated), "bytes-1" (UTF-8 bytes) and any byte-pair vocabulary in
 tiktoken's rank format, whose path is a parameter; the ranks are read on the driver and broadcast (a vocabulary file
@@ -63,7 +65,8 @@ def count_tokens(changes: DataFrame, vocabulary: str | None = VOCABULARY) -> Dat
         return out
 
     counted = map_arrow(changes.select("op", "source", "lang", F.col("text").cast("string")), run, "op string, source string, lang string, words long, bytes long, bpe long")
-    sign = F.element_at(F.create_map(*[x for op, s in SIGNS.items() for x in (F.lit(op), F.lit(s))]), F.col("op"))
+    known = F.element_at(F.create_map(*[x for op, s in SIGNS.items() for x in (F.lit(op), F.lit(s))]), F.coalesce("op", F.lit("")))
+    sign = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))).cast("int"))
     versions = {"words-1": "words", "bytes-1": "bytes"} | ({BPE_VERSION: "bpe"} if vocabulary else {})
     summed = counted.withColumn("sign", sign).groupBy("source", "lang").agg(F.sum("sign").cast("long").alias("docs"), *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in versions.values()])
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("tokens")) for v, c in versions.items()]))
@@ -85,16 +88,21 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame, vocabulary: str | None = VOCABULARY) -> bool:
         """Apply a batch once: False, and no work, where its id is committed already."""
-        final = self._at(f"{self.path}/batch={batch}")
+        final, mark = self._at(f"{self.path}/batch={batch}"), f"_by-{uuid.uuid4().hex}"
         if self._fs.exists(final):
             return False
         draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
         count_tokens(changes, vocabulary).write.parquet(draft)
-        # rename to an existing folder would nest: only the first of two racing writers finds the place free
-        if self._fs.exists(final) or not self._fs.rename(self._at(draft), final):
-            self._fs.delete(self._at(draft), True)
-            return False
-        return True
+        self._fs.create(self._at(f"{draft}/{mark}")).close()
+        if not self._fs.exists(final) and self._fs.rename(self._at(draft), final) and self._marks(final) == [mark]:
+            return True
+        # another writer was first: what of this draft lies beside or inside the committed folder goes
+        for left in (self._at(draft), self._at(f"{self.path}/batch={batch}/{draft.rpartition('/')[2]}")):
+            self._fs.delete(left, True)
+        return False
+
+    def _marks(self, folder) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("_by-")]
 
     def totals(self) -> DataFrame:
         """docs and tokens by source, language and tokenizer version over all committed batches."""
@@ -103,10 +111,45 @@ class Rollup:
         return rows.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
-def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals over the whole documents table after its load (sent twice: the second commit is void)."""
+def commit_history(spark, sf_dir: str, vocabulary: str | None = VOCABULARY) -> Rollup:
+    """Three batches over the whole documents table: its load, a revision, and a deletion.
+
+    The revision takes the blank lines out of all texts that are labelled as of low quality, the deletion withdraws all
+    documents that are labelled toxic, with the text that they have by then. The load is sent twice, which is void.
+    """
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    load = table(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "source", "lang", "text")
-    rollup.commit("load-1", load)
-    rollup.commit("load-1", load)
-    return rollup.totals()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
+    known = docs.join(marks, "doc_id")
+    revised = F.when(F.col("_quality") == 0, F.regexp_replace("text", "\\n+", "\n")).otherwise(F.col("text"))
+    columns = ("op", "source", "lang", "text")
+    load = docs.withColumn("op", F.lit("insert")).select(*columns)
+    poor = known.where(F.col("_quality") == 0)
+    revision = poor.withColumn("op", F.lit("revise_from")).select(*columns).unionByName(poor.withColumn("text", revised).withColumn("op", F.lit("revise_to")).select(*columns))
+    deletion = known.where(F.col("_toxic") > 0).withColumn("text", revised).withColumn("op", F.lit("delete")).select(*columns)
+    for batch, changes in (("1-load", load), ("1-load", load), ("2-revision", revision), ("3-deletion", deletion)):
+        rollup.commit(batch, changes, vocabulary)
+    return rollup
+
+
+def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer over the whole documents table after its load, a revision and a deletion."""
+    return commit_history(spark, sf_dir).totals()
+
+
+def word_and_byte_totals(spark, sf_dir: str) -> DataFrame:
+    """The same history counted by the two tokenizers that SQL has as well."""
+    return commit_history(spark, sf_dir, vocabulary=None).totals()
+
+
+TOTALS_SQL = r"""
+WITH marks AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+current AS (
+  SELECT source, lang, coalesce(toxic, 0) AS toxic, CASE WHEN quality = 0 THEN regexp_replace(text, '
++', chr(10), 'g') ELSE text END AS text FROM documents LEFT JOIN marks USING (doc_id)
+), sized AS (
+  SELECT source, lang, toxic, unnest(['words-1', 'bytes-1']) AS tokenizer, unnest([len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')), strlen(coalesce(text, ''))]) AS tokens FROM current
+)
+SELECT source, lang, tokenizer, CAST(count_if(toxic = 0) AS BIGINT) AS docs, CAST(sum(CASE WHEN toxic = 0 THEN tokens ELSE 0 END) AS BIGINT) AS tokens FROM sized GROUP BY source, lang, tokenizer
+"""
