@@ -8,7 +8,8 @@ in the next round, so the rows shrink by BLOCK / 2 a round whatever the corpus'
 its undecided two are rounded to the nearest word total.
 
 Random numbers depend only on source, round and block, so reruns agree. Null texts have size 0 and are never taken; a
-null source is a source of its own. Rows that repeat id and size cannot be told apart and are sampled as two rows.
+null source is a source of its own. Rows that repeat id, source and text cannot be told apart: they are counted first
+and numbered, so that they are dealt over blocks like any others, however many there are.
 """
 
 from __future__ import annotations
@@ -18,21 +19,39 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_arrow, materialize, small_batches, table, utf8
+from driftlens.llm.common import free_name, map_arrow, materialize, small_batches, table, utf8
 
 BLOCK, MOST = 4_096, 3
+NUMBERED = 10_000  # equal rows that one task numbers
 WEIGHTS = (1, 2, 3)
 _EPS = 1e-9
 
 
+def row_key() -> list[Column]:
+    """Two longs that identify a document by id, source and text."""
+    own = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    told = [x for c in own for x in (F.isnull(c), c)]
+    return [F.xxhash64(*told).alias("h1"), F.xxhash64(F.lit(1), *told).alias("h2")]
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: white-space separated words of every whole text."""
+    """doc_id, source, h1, h2, size: white-space separated words of every whole text."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return map_arrow(own, lambda b: {"doc_id": b.column(0), "source": b.column(1), "size": [len(t.split()) for t in utf8(b.column(2))]}, "doc_id long, source string, size long")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), *row_key(), F.col("text").cast("string"))
+    kept = ("doc_id", "source", "h1", "h2")
+    return map_arrow(own, lambda b: {**{c: b.column(k) for k, c in enumerate(kept)}, "size": [len(t.split()) for t in utf8(b.column(4))]}, "doc_id long, source string, h1 long, h2 long, size long")
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """The rows of sizes with k, a number among rows that are equal; they are counted, not gathered, to number them."""
+    keys = ["doc_id", "source", "h1", "h2", "size"]
+    counts = sizes.groupBy(*keys).agg(F.count("*").alias("n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(NUMBERED).cast("long"))).alias("first")
+    parts = counts.select(*keys, "n", part).repartition("h1", "h2", "first")
+    return parts.select(*keys, F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + NUMBERED) - 1)).alias("k"))
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -105,27 +124,29 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _decide(round_: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         source, block, of = key
-        pdf = pdf.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", "h1", "k"], ascending=[False, True, True, True], kind="stable")
         size = pdf["size"].to_numpy()
         p = flight(pdf["p"].to_numpy(), size, np.random.default_rng(zlib.crc32(f"{source!r}/{round_}/{block}".encode())))
-        return pdf[["doc_id", "source", "size"]].assign(p=landing(p, size) if of == 1 else p)
+        return pdf.drop(columns=["_block", "_blocks"]).assign(p=landing(p, size) if of == 1 else p)
 
     return run
 
 
 def cube_sample(rows: DataFrame, counts: dict[str | None, int]) -> DataFrame:
-    """rows (doc_id, source, size, p) with p decided to 0 or 1, in rounds of independent blocks.
+    """rows (doc_id, source, h1, h2, size, k, p) with p decided to 0 or 1, in rounds of independent blocks.
 
     counts holds the documents of each source; only these totals are on the driver.
     """
     spark = rows.sparkSession
-    kind = "doc_id long, source string, size long, p double"
+    kind = "doc_id long, source string, h1 long, h2 long, size long, k long, p double"
+    names = [c.split()[0] for c in kind.split(", ")]
     done, round_ = None, 0
     while True:
         blocks = {s: max(1, math.ceil(n / BLOCK)) for s, n in counts.items()}
         many = spark.createDataFrame([(s, b) for s, b in blocks.items()], "_s string, _blocks int")
 
-        placed = rows.join(many, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", F.lit(round_)), F.col("_blocks")))
+        placed = rows.join(many, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.pmod(F.xxhash64("h1", "k", F.lit(round_)), F.col("_blocks")))
+        placed = placed.select(*names, "_block", "_blocks")
         moved = materialize(placed.groupBy("source", "_block", "_blocks").applyInPandas(_decide(round_), kind), f"cube-{round_}")
         undecided = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
         done = moved.where(~undecided) if done is None else done.unionByName(moved.where(~undecided))
@@ -136,7 +157,7 @@ def cube_sample(rows: DataFrame, counts: dict[str | None, int]) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document."""
+    """doc_id, source, size, source_size, target, copies, taken, h1, h2 (row_key) for every document."""
     spark = docs.sparkSession
     sizes = materialize(document_sizes(docs), "sizes")
     found = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()  # a row a source
@@ -144,9 +165,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     goal = targets(totals, weights)
     share = spark.createDataFrame([(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in totals.items()], "_s string, source_size long, target double, rate double")
     whole = F.floor(F.col("rate") + _EPS)
-    rated = sizes.join(share, F.col("source").eqNullSafe(F.col("_s"))).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0)))
-    drawn = cube_sample(rated.select("doc_id", "source", "size", "p"), {r.source: int(r.docs) for r in found})
-    return drawn.join(share, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", (whole + F.col("p")).cast("long").alias("copies"), ((whole + F.col("p")).cast("long") * F.col("size")).alias("taken"))
+    rated = numbered(sizes).join(share, F.col("source").eqNullSafe(F.col("_s"))).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0)))
+    drawn = cube_sample(rated.select("doc_id", "source", "h1", "h2", "size", "k", "p"), {r.source: int(r.docs) for r in found})
+    copies = (whole + F.col("p")).cast("long")
+    return drawn.join(share, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h1", "h2")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -154,6 +176,40 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def source_totals(spark, sf_dir: str) -> DataFrame:
+    """What op6_mixing aims at: documents, size and target of each source, from its own rows."""
+    own = op6_mixing(spark, sf_dir).groupBy("source", "source_size", "target").agg(F.count("*").alias("n_docs"), F.sum("size").alias("size"), F.max(F.col("taken") > 3 * F.col("size")).alias("over"))
+    return own.withColumn("target", F.round("target", 3))
+
+
+#: Targets by water filling: with sources sorted by 3 * size / weight, the first ones reach their cap.
+SOURCE_TOTALS_SQL = r"""
+WITH sized AS (
+  SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size FROM documents
+), own AS (
+  SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM own
+), sorted AS (
+  SELECT *, 3 * size / weight AS level, sum(size) OVER () AS every, sum(3 * size) OVER w - 3 * size AS capped, sum(weight) OVER () - (sum(weight) OVER w - weight) AS open_weight
+  FROM weighed WINDOW w AS (ORDER BY 3 * size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), stops AS (
+  SELECT max((every - capped) / open_weight) FILTER ((every - capped) / open_weight <= level) AS rate FROM sorted
+)
+SELECT source, size AS source_size, round(CAST(least(rate * weight, 3 * size) AS DOUBLE), 3) AS target, n_docs, size, false AS over FROM sorted, stops
+"""
+
+
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: how often the mix takes each document; copies of 0 are not in it."""
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    """Last pipeline stage: docs' columns with size, source_size, target, taken and copies; copies of 0 are not in the mix.
+
+    Rows that repeat id, source and text become one whose copies and taken words are the sums. Null texts have size 0 and
+    a null source is a source of its own; an empty table gives none.
+    """
+    drawn = mix(docs).groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"))
+    h1, h2 = (free_name(docs, c) for c in ("_h1", "_h2"))
+    tagged = docs.withColumns(dict(zip((h1, h2), row_key(), strict=True))).dropDuplicates([h1, h2])
+    made = ["size", "source_size", "target", "taken", "copies"]
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c not in made]
+    return tagged.alias("d").join(drawn.alias("m"), (F.col(f"d.{h1}") == F.col("m.h1")) & (F.col(f"d.{h2}") == F.col("m.h2"))).select(*own, *[f"m.{c}" for c in made])
