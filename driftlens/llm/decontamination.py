@@ -20,7 +20,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ascii_lower, materialize, table
+from driftlens.llm.common import ascii_lower, discard, free_name, materialize, table
 
 WIDTH, SIMILARITY = 5, 0.8
 BROADCAST_SHINGLES = 1_000_000
@@ -127,8 +127,11 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a benchmark item."""
-    bad = materialize(leaks(docs, table(spark, sf_dir, "benchmark")), "leaks").select(F.col("h1").alias("_b1"), F.col("h2").alias("_b2")).distinct()
-    h1, h2 = text_key(F.col("text"))
-    tagged = docs.withColumns({"_h1": h1, "_h2": h2})
-    return tagged.join(bad, (F.col("_h1") == F.col("_b1")) & (F.col("_h2") == F.col("_b2")), "left_anti").select(*docs.columns)
+    """Pipeline stage: documents without a benchmark item.
+
+    Null and empty texts hold none; repeated rows go or stay together; an empty table, or an empty benchmark, drops none.
+    """
+    bad = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("h1", "h2").distinct(), "leaks")
+    h1, h2 = (free_name(docs, c) for c in ("_h1", "_h2"))
+    tagged = docs.withColumns(dict(zip((h1, h2), text_key(F.col("text")), strict=True)))
+    return tagged.join(bad, (F.col(h1) == bad.h1) & (F.col(h2) == bad.h2), "left_anti").select(*docs.columns)

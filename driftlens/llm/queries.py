@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from driftlens.llm.decontamination import op3_decontamination
-from driftlens.llm.licenses import op10_licenses
+from driftlens.llm.licenses import PHRASES_SQL, licence_phrases, op10_licenses
 from driftlens.llm.line_dedup import OP9_SQL, op9_line_dedup
-from driftlens.llm.mixing import op6_mixing
+from driftlens.llm.mixing import SOURCE_TOTALS_SQL, op6_mixing, source_totals
 from driftlens.llm.quality import op7_quality
 from driftlens.llm.simhash import op1_simhash
 from driftlens.llm.suffix_dedup import op4_suffix_array
-from driftlens.llm.token_counts import op5_token_counts
+from driftlens.llm.token_counts import TOTALS_SQL, op5_token_counts, word_and_byte_totals
 from driftlens.llm.toxicity import op8_toxicity
-from driftlens.llm.transport_stream import op2_transport_stream
+from driftlens.llm.transport_stream import STORED_SQL, op2_transport_stream, stored_texts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,8 +24,17 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
+    # what SQL can say of the operators above, over the same whole tables
+    "stored_texts": stored_texts,
+    "word_and_byte_totals": word_and_byte_totals,
+    "source_totals": source_totals,
+    "licence_phrases": licence_phrases,
 }
 
 SQL: dict[str, str] = {
     "op9_line_dedup": OP9_SQL,
+    "stored_texts": STORED_SQL,
+    "word_and_byte_totals": TOTALS_SQL,
+    "source_totals": SOURCE_TOTALS_SQL,
+    "licence_phrases": PHRASES_SQL,
 }

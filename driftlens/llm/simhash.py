@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import LOWER, discard, map_arrow, materialize, small_batches, table, utf8
+from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materialize, small_batches, table, utf8
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
@@ -402,11 +402,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
 
 def keep_first_of_groups(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates, one row with the least id stays."""
-    columns = docs.columns
+    """Pipeline stage: of each group of near duplicates, one row with the least id stays.
+
+    Null and empty texts are one group, as are rows that repeat id and text; an empty table stays empty. Under one id
+    different texts may stand; of those in one group the least text hash stays.
+    """
     grouped = near_duplicates(docs)
-    # under one id different texts may stand; the least text hash decides
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias("_row")).select(F.col("component_id").alias("_id"), "_row")
-    tagged = docs.withColumn("_text_row", text_row(F.col("text")))
-    joined = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_text_row"]).select(*columns)
+    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias("row"))
+    row = free_name(docs, "_row")
+    tagged = docs.withColumn(row, text_row(F.col("text")))
+    joined = tagged.join(kept, tagged.doc_id.eqNullSafe(kept.component_id) & (tagged[row] == kept.row), "left_semi")
+    return joined.dropDuplicates(["doc_id", row]).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from driftlens.llm.common import map_arrow, materialize, mix64, small_batches, table, utf8
+from driftlens.llm.common import discard, free_name, map_arrow, materialize, mix64, skew_join, small_batches, table, utf8
 from driftlens.llm.induced_sort import DEPTH, repeated_starts
 from driftlens.llm.words import power_pair
 
@@ -200,9 +200,9 @@ def cut_pieces(docs: DataFrame, different: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """All columns of docs and kept (binary), n_bytes, n_removed, spans of bytes removed."""
     names = docs.columns
-    h1, h2 = text_key(F.col("text").cast("string"))
-    tagged = docs.withColumns({"_h1": h1, "_h2": h2})
-    joined = tagged.join(found.select(F.col("h1").alias("_f1"), F.col("h2").alias("_f2"), F.col("found").alias("_found")), (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2")), "left")
+    h1, h2, own = (free_name(docs, c) for c in ("_h1", "_h2", "_found"))
+    tagged = docs.withColumns(dict(zip((h1, h2), text_key(F.col("text").cast("string")), strict=True)))
+    joined = tagged.join(found.withColumnRenamed("found", own), (F.col(h1) == found.h1) & (F.col(h2) == found.h2), "left")
     at = names.index("text")
     result = "_kept binary, _n_bytes long, _n_removed long, _spans array<struct<a:int,b:int>>"
     schema = joined.select(*names).schema
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
             made = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(list(c), arrow.field(len(names) + k).type) for k, c in enumerate(made)]], schema=arrow)
 
-    return joined.select(*names, "_found").mapInArrow(run, schema)
+    return joined.select(*[tagged[c] for c in names], own).mapInArrow(run, schema)
 
 
 def op4_suffix_array(spark, sf_dir: str) -> DataFrame:

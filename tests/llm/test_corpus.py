@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from driftlens.llm import line_dedup as L
 from driftlens.llm import mixing as M
@@ -71,6 +72,31 @@ def test_mix(spark, block, monkeypatch):
     assert M.mix(df.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 64)
+    monkeypatch.setattr(M, "NUMBERED", 100)
+    rows = [(7, "same words here", "hot")] * 900 + [(k, "w " * (k % 9), "b") for k in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    numbered = M.numbered(M.document_sizes(df))
+    assert sorted(r.k for r in numbered.where("doc_id = 7 and source = 'hot'").collect()) == list(range(900))
+    mixed = M.mix(df)
+    found = Counter((r.doc_id, r.source) for r in mixed.collect())
+    assert found[7, "hot"] == 900 and found.total() == 1201
+    taken = mixed.groupBy("source").agg({"taken": "sum", "target": "first"}).collect()
+    assert all(abs(r[1] - r[2]) <= 30 for r in taken if r.source in ("hot", "b"))
+
+
+def test_mix_stage_keeps_documents(spark):
+    rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "c", "en", "s", 1), (None, None, None, None, None), (2, "d e f", "de", "t", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size int").withColumnRenamed("size", "_H1")
+    out = M.mix_sources(spark, df, "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "_H1", "size", "source_size", "target", "taken", "copies"]
+    got = {(r.doc_id, r.text): r for r in out.collect()}
+    assert set(got) == {(1, "a b"), (1, "c"), (None, None), (2, "d e f")} and got[1, "a b"].lang == "en"
+    assert all(r.taken == r.size * r.copies for r in got.values()) and got[1, "a b"].copies <= 6
+    assert M.mix_sources(spark, df.limit(0), "").count() == 0
+
+
 def brute_lines(rows, min_bytes):
     """(doc_id, kept text, units, removed units, spans) of rows (doc_id, text), each distinct row once."""
     rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode()) ^ 1 << 63))
@@ -141,6 +167,55 @@ def test_rollup_adds_signed_batches_once(spark, tmp_path):
     e = tiktoken.Encoding("t", pat_str=K.PATTERN, mergeable_ranks=K.read_ranks(K.VOCABULARY), special_tokens={})
     assert got["s", K.BPE_VERSION] == (1, len(e.encode_ordinary("a b c é")))
     assert rollup.committed() == ["change", "load", "nothing"]
+    with pytest.raises(Exception, match="unknown op: upsert"):
+        rollup.commit("odd", spark.createDataFrame([("upsert", 1, "s", "en", "a")], schema))
+    assert rollup.committed() == ["change", "load", "nothing"]
+    # a very long text, and columns with names of the rollup's own
+    wide = spark.createDataFrame([("insert", 9, "z", "en", "a " * 300_000, 5)], schema + ", docs int").withColumn("sign", F.lit(3))
+    assert rollup.commit("wide", wide, None)
+    assert {r.tokenizer: r.tokens for r in rollup.totals().where("source = 'z'").collect()} == {"words-1": 300_000, "bytes-1": 600_000}
+
+
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("insert", 1, "s", "en", "a b")], "op string, doc_id long, source string, lang string, text string")
+    first, second = (K.Rollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
+    count, told = K.count_tokens, []
+
+    def meanwhile(changes, vocabulary):
+        if not told:
+            told.append(None)
+            told[0] = second.commit("b", changes, vocabulary)
+        return count(changes, vocabulary)
+
+    monkeypatch.setattr(K, "count_tokens", meanwhile)
+    assert not first.commit("b", rows, None) and told == [True]
+    # where both pass the look, the rename nests the later one, which is told so and takes its files back
+    fs, asked = first._fs, []
+
+    class Late:
+        def exists(self, path):
+            return not asked.append(path) and len(asked) > 2 and fs.exists(path)
+
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+    first._fs = Late()
+    assert not first.commit("b", rows, None)
+    assert {r.tokenizer: r.tokens for r in second.totals().collect()} == {"words-1": 2, "bytes-1": 3}
+    assert sorted(p.name for p in tmp_path.joinpath("rollup").iterdir()) == ["batch=b"]
+
+
+def test_registered_corpus_queries(spark, tmp_path):
+    rows = [(1, "a b\n\nc", "en", "s"), (2, "d", "en", "s"), (3, None, None, None), (4, "e f g", "en", "t")]
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (4, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.source, r.tokenizer): (r.docs, r.tokens) for r in K.op5_token_counts(spark, str(tmp_path)).collect()}
+    assert got["s", "words-1"] == (1, 3) and got["s", "bytes-1"] == (1, 5) and got["t", "bytes-1"] == (0, 0) and got[None, "bytes-1"] == (1, 0)
+    assert ("s", K.BPE_VERSION) in got and len(got) == 9
+    mixed = M.op6_mixing(spark, str(tmp_path))
+    assert mixed.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"] and mixed.count() == 4
+    lines = L.op9_line_dedup(spark, str(tmp_path))
+    assert {r.doc_id: (r.n_units, r.n_removed, r.spans) for r in lines.collect()} == {1: (2, 0, "[]"), 2: (1, 0, "[]"), 3: (0, 0, "[]"), 4: (1, 0, "[]")}
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -161,7 +236,9 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns, name
-    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[:5] == df.columns
+    rows = {r.doc_id: r for r in out.collect()}
     assert {d[0] for d in clean} <= set(rows) and not any(i < 160 and i % 4 == 0 for i in rows)
     assert not {1000, 1001, 1200} & set(rows)
     assert {1100, 1101} <= set(rows) and all(rows[i].size in range(78, 84) for i in (1100, 1101))

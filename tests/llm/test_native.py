@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from driftlens.llm import decontamination as D
 from driftlens.llm import licenses as L
 
@@ -76,7 +78,7 @@ def test_votes_of_long_windows_and_repeated_items(spark):
     assert D.item_shingles(bench).count() == 33
 
 
-def brute_scan(text):
+def brute_scan(text, templates=L.TEMPLATES):
     w = words(text)
     places, labels = [], set()
     for phrase, label in L.PHRASES.items():
@@ -85,28 +87,56 @@ def brute_scan(text):
         places += found
         labels |= {label} if found else set()
     met, best = set(), 0.0
-    for b in range(0, max(1, len(w)), L.STRIDE):
-        block = set(w[b : b + L.BLOCK])
-        for label, t in L.TEMPLATES.items():
-            own = set(t.split())
-            share = len(own & block) / len(own)
-            if share >= L.CONTAINMENT - 1e-9:
-                met.add(label)
-                best = max(best, share)
+    for label, texts in templates.items():
+        for t in texts:
+            own, stride = set(words(t)), 16
+            while stride < len(words(t)):
+                stride *= 2
+            for b in range(0, max(1, len(w)), stride):
+                share = len(own & set(w[b : b + 2 * stride])) / len(own)
+                if share >= L.CONTAINMENT - 1e-9:
+                    met.add(label)
+                    best = max(best, share)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | met)), 1.0 if places else best)
 
 
 def test_licences_match_brute_force(spark):
     rng = random.Random(9)
-    vocabulary = [w for t in L.TEMPLATES.values() for w in t.split()]
-    texts = ["", None, "Released under the MIT License.", "licensed under CC BY-NC 4.0", "Under  the\nmit license under the MIT-license", "under the mit", "Apache License, Version 2.0", "x" * 5000, "ALL RIGHTS RESERVED", "all rights reserved all rights"]
-    for _ in range(120):
-        t = rng.choice(list(L.TEMPLATES.values())).split()
-        if rng.random() < 0.6:
+    every = [t for texts in L.TEMPLATES.values() for t in texts]
+    vocabulary = [w for t in every for w in words(t)]
+    texts = ["", None, "Released under the MIT License.", "licensed under CC BY-NC 4.0", "Under  the\nmit license under the MIT-license", "under the mit", "Apache License, Version 2.0", "x" * 5000, "ALL RIGHTS RESERVED", "all rights reserved all rights", "xx " * 70_000 + "all rights reserved"]
+    for _ in range(150):
+        t = rng.choice(every).split()
+        for _ in range(rng.choice([0, 0, 1, len(t) // 12, len(t) // 6])):
             t.pop(rng.randrange(len(t)))
-        texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(40)) + [rng.choice(["und", "é"])] + rng.sample(t, len(t)) + rng.choices(["mit", "the", "license", "xx"], k=rng.randrange(40))))
+        around = lambda: rng.choices(rng.choice([vocabulary, ["xx", "yy", "é"]]), k=rng.randrange(rng.choice([9, 300])))
+        texts.append(" ".join(around() + t + ["und"] + around()))
     texts.append(texts[-1])
     docs = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, known int")
     got = {r[0] or 0: tuple(r[1:]) for r in L.scan(docs).collect()}
     assert got == {i: brute_scan(t) for i, t in enumerate(texts)}
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_a_long_template_is_met_at_every_offset(spark):
+    body = L.TEMPLATES["mit"][1]
+    assert len(words(body)) > 60
+    docs = spark.createDataFrame([(k, "x " * k + body + " y" * 200) for k in range(0, 260, 3)], "doc_id long, text string")
+    assert {(r.labels, r.score) for r in L.scan(docs).collect()} == {("mit", 1.0)}
+    # texts of one repeated statement cost no square
+    docs = spark.createDataFrame([(1, "all rights reserved " * 20_000)], "doc_id long, text string")
+    assert L.scan(docs).first().labels == "all-rights-reserved"
+    with pytest.raises(ValueError, match="no word"):
+        L.scan(docs, {"x": ("...",)})
+
+
+def test_registered_native_queries(spark, tmp_path):
+    body = " ".join(f"word{k}" for k in range(20))
+    docs = [(1, f"so {body} it was. Licensed under CC BY-NC 4.0"), (2, None), (3, "x"), (4, body)]
+    spark.createDataFrame([(*d, "en", "s", 0) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, body), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = sorted(map(tuple, D.op3_decontamination(spark, str(tmp_path)).select("doc_id", "item_id", "start", "n_words", "similarity", "distance").collect()))
+    assert rows == [(1, 7, 1, 20, 1.0, 0), (4, 7, 0, 20, 1.0, 0)]
+    found = L.op10_licenses(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == {1: (30, 1, 25, 25, "cc-by-nc", "cc-by-nc", 1.0), 2: (0, 0, None, None, "", "", 0.0), 3: (1, 0, None, None, "", "", 0.0), 4: (20, 0, None, None, "", "", 0.0)}
