@@ -8,6 +8,7 @@ table and checkpoint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,28 +61,28 @@ def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(values[::-1], 0), vectors[:, ::-1]
 
 
-def effective_rank(spectrum: np.ndarray) -> float:
-    """The exponential of the entropy of the normalised spectrum; 0 for a zero spectrum."""
-    total = float(np.sum(spectrum))
-    if total <= EPS:
-        return 0.0
-    p = np.asarray(spectrum) / total
-    p = p[p > EPS]
-    return float(np.exp(-(p * np.log(p)).sum()))
+@dataclass
+class Shape:
+    """What a spectrum says of a table: held is the share of variance in the leading directions, one entry a direction."""
 
+    held: np.ndarray
+    effective_rank: float = 0.0  # the exponential of the entropy of the shares
+    anisotropy: float = 0.0  # how far the first share is above an even one
 
-def anisotropy(spectrum: np.ndarray) -> float:
-    mean = float(np.mean(spectrum)) if len(spectrum) else 0.0
-    return float(spectrum[0]) / mean if mean > EPS else 0.0
+    def directions(self, energy: float) -> int:
+        """How many directions hold that share of the variance; 0 for a table without variance."""
+        return min(len(self.held), 1 + int((self.held < energy - 1e-9).sum())) if self.effective_rank else 0
 
 
-def rank_at_energy(spectrum: np.ndarray, energy: float) -> int:
-    """Directions that hold that share of the spectrum; 0 for a zero spectrum, its length at most."""
-    total = float(np.sum(spectrum))
-    if total <= EPS:
-        return 0
-    held = np.cumsum(spectrum) / total
-    return min(len(spectrum), int(np.searchsorted(held, energy - 1e-9)) + 1)
+def shape_of(spectrum: np.ndarray) -> Shape:
+    """The shape of a spectrum in descending order; a zero spectrum has rank 0 and no direction."""
+    values = np.asarray(spectrum, float)
+    total = values.sum()
+    if not total > EPS:
+        return Shape(np.zeros(len(values)))
+    share = values / total
+    log = np.log(share, out=np.zeros_like(share), where=share > EPS)
+    return Shape(share.cumsum(), float(np.exp(-share @ log)), float(share[0] * len(share)))
 
 
 def spectra(rows: DataFrame) -> DataFrame:
@@ -100,20 +101,18 @@ def geometry(found: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            own = [np.asarray(s) for s in pdf["spectrum"]]
-            yield pdf[[*TABLE, "n"]].assign(effective_rank=[effective_rank(s) for s in own], anisotropy=[anisotropy(s) for s in own], rank95=[rank_at_energy(s, 0.95) for s in own])
+            own = [shape_of(s) for s in pdf["spectrum"]]
+            yield pdf[[*TABLE, "n"]].assign(effective_rank=[s.effective_rank for s in own], anisotropy=[s.anisotropy for s in own], rank95=[s.directions(0.95) for s in own])
 
     return found.select(*TABLE, "n", "spectrum").mapInPandas(run, "run string, tbl string, ckpt int, n long, effective_rank double, anisotropy double, rank95 int")
 
 
 def overlap(prev: np.ndarray, prev_basis: np.ndarray, cur: np.ndarray, cur_basis: np.ndarray) -> float:
-    """The share of the current variance's best possible that the previous 90 % subspace still holds."""
-    r = rank_at_energy(prev, 0.90)
-    most = float(cur[:r].sum())
-    if most <= EPS:
-        return 1.0
-    held = float((cur * ((prev_basis[:, :r].T @ cur_basis) ** 2).sum(0)).sum())
-    return min(1.0, held / most)
+    """Variance of the current table along the previous 90 % directions, against the most that as many could hold."""
+    old = prev_basis[:, : shape_of(prev).directions(0.90)]
+    best = cur[: old.shape[1]].sum()
+    covariance_now = cur_basis @ np.diag(cur) @ cur_basis.T
+    return min(1.0, float(np.trace(old.T @ covariance_now @ old) / best)) if best > EPS else 1.0
 
 
 def subspace_overlap(found: DataFrame) -> DataFrame:
@@ -152,12 +151,10 @@ def spectral_report(found: DataFrame, steps: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ckpt")
-        spectra_ = [np.asarray(s) for s in pdf["spectrum"]]
-        at = {p: [rank_at_energy(s, p) for s in spectra_] for p in LEVELS}
+        shapes = [shape_of(s) for s in pdf["spectrum"]]
+        at = {p: [s.directions(p) for s in shapes] for p in LEVELS}
         step = [int(c if pd.isna(s) else s) for c, s in zip(pdf["ckpt"], pdf["step"], strict=True)]
-        total = spectra_[-1].sum()
-        energy = np.cumsum(spectra_[-1]) / total if total > EPS else np.zeros(len(spectra_[-1]))
-        row = [pdf["run"].iloc[0], pdf["tbl"].iloc[0], step, at[0.90], at[0.95], at[0.99], [effective_rank(s) for s in spectra_], energy, stable_since(step, at[0.95])]
+        row = [pdf["run"].iloc[0], pdf["tbl"].iloc[0], step, at[0.90], at[0.95], at[0.99], [s.effective_rank for s in shapes], shapes[-1].held, stable_since(step, at[0.95])]
         return pd.DataFrame([row], columns=["run", "tbl", "steps", "rank90", "rank95", "rank99", "effective_rank", "energy", "stable_since"])
 
     return own.groupBy("run", "tbl").applyInPandas(run, schema)
@@ -211,7 +208,7 @@ def dense_spectra(rows: DataFrame, most: int = 4096) -> DataFrame:
         r = pdf.iloc[0]
         d = len(r["s"])
         s = np.sqrt(np.maximum(np.linalg.eigvalsh(np.asarray(r["ss"]).reshape(d, d))[::-1], 0))
-        return pdf[TABLE].assign(spectral_norm=float(s[0]), effective_rank=effective_rank(s))
+        return pdf[TABLE].assign(spectral_norm=float(s[0]), effective_rank=shape_of(s).effective_rank)
 
     narrow = rows.where(F.size("vec") <= most)
     return moments(narrow, TABLE).groupBy(*TABLE).applyInPandas(run, "run string, tbl string, ckpt int, spectral_norm double, effective_rank double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.ranks import EPS, average_rank, robust_z
@@ -13,10 +13,15 @@ from driftlens.operators.pairs import PAIR
 CLIP, HIGH = 25.0, 4.0
 
 
-def movement(pairs: DataFrame) -> DataFrame:
-    """run, tbl, pair, id, dcount, dn (length of the movement), cos, cnt of the clean ids."""
+def measured() -> list[Column]:
+    """dcount, dn (length of the movement), cos, cnt and norm (both of the current side) of id_pairs' rows."""
     p, c = F.col("prev.vec"), F.col("cur.vec")
-    return pairs.where("status = 'clean'").select(*PAIR, "id", "dcount", delta_norm(p, c).alias("dn"), cosine(p, c).alias("cos"), F.col("cur.cnt").alias("cnt"))
+    return [F.col("dcount"), delta_norm(p, c).alias("dn"), cosine(p, c).alias("cos"), F.col("cur.cnt").alias("cnt"), norm(c).alias("norm")]
+
+
+def movement(pairs: DataFrame) -> DataFrame:
+    """run, tbl, pair, id, dcount, dn, cos, cnt of the clean ids."""
+    return pairs.where("status = 'clean'").select(*PAIR, "id", *measured()).drop("norm")
 
 
 def freq_residual(moves: DataFrame, exact: bool = True) -> DataFrame:

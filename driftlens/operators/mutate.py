@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.vectors import EPS, norm
@@ -61,6 +61,34 @@ def choose_ids(rows: DataFrame, n: int, kind: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(first, "id").limit(n).select(*KEY)
 
 
+def inject_trials(rows: DataFrame, trials: DataFrame) -> DataFrame:
+    """rows of all trials (run is the trial's name), each corrupted at its step, or from there on where persistent.
+
+    trials: trial, tbl, kind, magnitude, n_ids, step, persistent, seed. The ids are the most trained ones for a freeze,
+    else those first in hash order; ties go to the lower id. A frozen id keeps the vector of the checkpoint before.
+    """
+    plan = trials.select(F.col("trial").alias("run"), "tbl", "kind", "magnitude", "n_ids", "step", "persistent", "seed")
+    named = plan.withColumnRenamed("step", "at")
+    base = rows.join(named, ["run", "tbl"]).where(F.col("ckpt") == F.col("at"))
+    first = F.when(F.col("kind") == "freeze", -F.coalesce("cnt", F.lit(0))).otherwise(F.xxhash64("seed", "id"))
+    chosen = base.withColumn("_r", F.row_number().over(Window.partitionBy("run", "tbl").orderBy(first, "id"))).where(F.col("_r") <= F.col("n_ids"))
+    typical = typical_norm(base.select("run", "tbl", "ckpt", "vec")).drop("ckpt")
+    before = rows.join(named, ["run", "tbl"]).where(F.col("ckpt") == F.col("at") - 1).select("run", "tbl", "id", F.col("vec").cast("array<double>").alias("_before"))
+    found = chosen.join(typical, ["run", "tbl"]).join(before, ["run", "tbl", "id"], "left")
+    found = found.withColumn("_noise", gaussian(0, F.size("vec"), F.col("seed"), F.col("id")))
+    scale = F.col("typical") * F.col("magnitude")
+    own = F.col("vec").cast("array<double>")
+    vec = (
+        F.when(F.col("kind") == "zero", F.transform(own, lambda x: x * 0.0))
+        .when(F.col("kind") == "noise", F.zip_with(own, "_noise", lambda x, e: x + e * scale))
+        .when(F.col("kind") == "scramble", F.transform("_noise", lambda e: e / (norm(F.col("_noise")) + EPS) * scale))
+        .otherwise(F.coalesce("_before", own))
+    )
+    target = found.select("run", "tbl", "id", "at", "persistent", vec.alias("vec"))
+    spread = rows.select(*KEY).join(target, ["run", "tbl", "id"]).where((F.col("ckpt") == F.col("at")) | (F.col("persistent") & (F.col("ckpt") > F.col("at"))))
+    return set_rows(rows, spread.select(*KEY, "vec"))
+
+
 def inject(rows: DataFrame, kind: str, step: int, n_ids: int, magnitude: float = 1.0, persistent: bool = False, seed: int = 0) -> DataFrame:
     """One run's rows with n_ids of one table corrupted at checkpoint step, or from there on."""
     base = rows.where(F.col("ckpt") == step)

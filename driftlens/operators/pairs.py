@@ -22,7 +22,7 @@ def pair_tables(rows: DataFrame) -> DataFrame:
 
 
 def id_pairs(rows: DataFrame, vectors: bool = True) -> DataFrame:
-    """run, tbl, pair, id, prev, cur (slot, cnt, vec), dcount, status of every id in either checkpoint of a pair.
+    """run, tbl, pair, step, id, prev, cur (slot, cnt, vec), dcount, status of every id in either checkpoint of a pair.
 
     Without vectors the scan leaves them out. dcount is 0 where either side keeps no counts.
     """
@@ -35,7 +35,7 @@ def id_pairs(rows: DataFrame, vectors: bool = True) -> DataFrame:
     went = F.struct(F.col("ckpt").alias("pair"), F.col("here").alias("prev"), none.alias("cur"))
     both = F.explode(F.array_compact(F.array(came, F.when(~F.col("_next").eqNullSafe(F.col("ckpt") + 1), went)))).alias("x")
     pairs = seen.select("run", "tbl", "id", both).select("run", "tbl", "x.pair", "id", "x.prev", "x.cur")
-    counted = pairs.join(pair_tables(rows).select(*PAIR, "counted"), PAIR)
+    counted = pairs.join(pair_tables(rows).select(*PAIR, "counted", "step"), PAIR)
     dcount = F.when(F.col("counted"), F.coalesce(F.col("cur.cnt"), F.lit(-1)) - F.coalesce(F.col("prev.cnt"), F.lit(-1))).otherwise(0).cast("long")
     status = (
         F.when(F.col("prev").isNull(), "inserted").when(F.col("cur").isNull(), "evicted")
@@ -50,12 +50,12 @@ def ids_with(pairs: DataFrame, status: str) -> DataFrame:
 
 
 def churn_counts(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Cardinalities of each pair; n_clean counts ids with a stable slot that were not let in again."""
+    """Cardinalities of each pair, from pairs (id_pairs) where given; n_clean counts ids with a stable slot not let in again."""
     pairs = id_pairs(rows, vectors=False) if pairs is None else pairs
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
-    counted = pairs.groupBy(*PAIR).agg(*counts)
-    survivors = F.col("n_clean") + F.col("n_slot_moved") + F.col("n_readmitted")
-    return counted.join(pair_tables(rows), PAIR).withColumn("n_survivors", survivors).drop("counted")
+    sides = [F.count_if(F.col("status") != "inserted").alias("n_prev"), F.count_if(F.col("status") != "evicted").alias("n_cur")]
+    counted = pairs.groupBy(*PAIR).agg(*counts, *sides, F.max("step").alias("step"))
+    return counted.withColumn("n_survivors", F.col("n_clean") + F.col("n_slot_moved") + F.col("n_readmitted"))
 
 
 def churn_rates(counts: DataFrame) -> DataFrame:

@@ -336,7 +336,31 @@ def detect_page_hinkley(spark, sf_dir):
     return _round(found.select("run", "tbl", "metric", "idx", "score"), 3)
 
 
-@query()
+def _pelt_sql(penalty: float) -> str:
+    """Tables that end in pelt (tbl, metric, idx, step, value, baseline, score): every admissible segmentation, the cheapest taken."""
+    return f""", known AS (
+  SELECT s.tbl, s.metric, s.idx, s.step, s.value, s.med, s.scale, (s.value - s.med) / s.scale AS x, row_number() OVER (PARTITION BY s.tbl, s.metric ORDER BY s.idx) - 1 AS at
+  FROM (SELECT series.*, med, scale FROM series JOIN scale ON series.tbl = scale.tbl AND series.metric = scale.metric WHERE scale >= 1e-12) s
+), sizes AS (SELECT tbl, metric, count(*) AS n FROM known GROUP BY tbl, metric),
+ends AS (SELECT tbl, metric, n, unnest(range(0, n, 5)) AS c FROM sizes UNION SELECT tbl, metric, n, n FROM sizes),
+segments AS (
+  SELECT a.tbl, a.metric, a.n, a.c AS a, b.c AS b, sum(x * x) - sum(x) ** 2 / count(*) AS cost
+  FROM ends a JOIN ends b ON a.tbl = b.tbl AND a.metric = b.metric AND b.c - a.c >= 3 JOIN known k ON k.tbl = a.tbl AND k.metric = a.metric AND k.at >= a.c AND k.at < b.c GROUP BY ALL
+), ways AS (
+  WITH RECURSIVE w(tbl, metric, n, c, cost, cuts) AS (
+    SELECT tbl, metric, n, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST([] AS BIGINT[]) FROM sizes WHERE n >= 6
+    UNION ALL
+    SELECT w.tbl, w.metric, w.n, s.b, w.cost + s.cost + {penalty}, CASE WHEN s.b < s.n THEN list_append(w.cuts, s.b) ELSE w.cuts END FROM w JOIN segments s ON w.tbl = s.tbl AND w.metric = s.metric AND w.c = s.a
+  ) SELECT tbl, metric, arg_min(cuts, cost) AS cuts FROM w WHERE c = n GROUP BY tbl, metric
+), cuts AS (SELECT tbl, metric, unnest(cuts) AS at FROM ways),
+pelt AS (
+  SELECT c.tbl, c.metric, max(idx) FILTER (k.at = c.at) AS idx, max(step) FILTER (k.at = c.at) AS step, max(value) FILTER (k.at = c.at) AS value,
+         avg(value) FILTER (k.at < c.at) AS baseline, avg(x) FILTER (k.at >= c.at) - avg(x) FILTER (k.at < c.at) AS score
+  FROM cuts c JOIN known k ON k.tbl = c.tbl AND k.metric = c.metric AND k.at BETWEEN c.at - 3 AND c.at + 2 GROUP BY c.tbl, c.metric, c.at
+)"""
+
+
+@query(EVENTS + _pelt_sql(1.0) + "SELECT tbl, metric, CAST(idx AS INTEGER) AS idx, round(baseline, 3) AS baseline, round(score, 3) AS score FROM pelt")
 def detect_pelt(spark, sf_dir):
     return _round(D.pelt(_series(spark, sf_dir), penalty=1.0).select("run", "tbl", "metric", "idx", "baseline", "score"), 3)
 
@@ -348,6 +372,25 @@ def calibrated_events(spark, sf_dir):
     return _round(found.select("run", "tbl", "metric", "idx", "step", "method", "severity", "direction"), 3)
 
 
+_BARS = {"robust_z": 2.0, "page_hinkley": 4.0, "pelt": 1.0}
+
+
+@query(
+    PH_SQL[: PH_SQL.rindex("SELECT w.tbl")]
+    + _pelt_sql(1.0)
+    + f""", every AS (
+  SELECT tbl, metric, idx, step, 'robust_z' AS method, score, {_BARS["robust_z"]} AS bar FROM z
+  UNION ALL SELECT tbl, metric, idx, step, 'pelt', score, {_BARS["pelt"]} FROM pelt
+  UNION ALL SELECT w.tbl, w.metric, s.idx, s.step, 'page_hinkley', w.sign * alarm, {_BARS["page_hinkley"]} FROM walk w
+    JOIN (SELECT std.*, series.step FROM std JOIN series USING (tbl, metric, idx)) s ON w.tbl = s.tbl AND w.metric = s.metric AND w.sign = s.sign AND w.i = s.i WHERE alarm IS NOT NULL
+) SELECT tbl, metric, CAST(idx AS INTEGER) AS idx, CAST(step AS BIGINT) AS step, method, round(abs(score) / bar, 3) AS severity, CASE WHEN score > 0 THEN 'up' ELSE 'down' END AS direction FROM every WHERE abs(score) >= bar"""
+)
+def events_of_all_methods(spark, sf_dir):
+    """All three methods over bars of their own, candidates taken permissively."""
+    found = D.detect_trajectory(_series(spark, sf_dir), _BARS)
+    return _round(found.select("run", "tbl", "metric", "idx", "step", "method", "severity", "direction"), 3)
+
+
 @query()
 def detected_events(spark, sf_dir):
     """All three methods at their calibrated thresholds."""
@@ -376,6 +419,10 @@ def incidents(spark, sf_dir):
 
 # --- geometry -------------------------------------------------------------------------------------------------------
 
+V_SQL = """
+WITH coordinates AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+rows_v AS (SELECT id, CAST(k AS INTEGER) AS k, i, CASE WHEN i < 8 THEN v * (1 + k * 0.5) ELSE v * (1 - 0.05 * k) END AS v, k * (1 + id % 7) AS cnt FROM coordinates CROSS JOIN (SELECT unnest(range(0, 4)) AS k))"""
+
 
 def _vectors(spark, sf_dir):
     return T.embeddings_trajectory(spark, sf_dir)
@@ -400,6 +447,25 @@ def table_geometry(spark, sf_dir):
     return _round(G.geometry(G.spectra(_vectors(spark, sf_dir))))
 
 
+@query(
+    V_SQL
+    + """, cov AS (SELECT a.k, a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM rows_v a JOIN rows_v b ON a.id = b.id AND a.k = b.k GROUP BY a.k, a.i, b.i)
+SELECT k AS ckpt, round(sum(CASE WHEN i = j THEN c ELSE 0 END), 8) AS total, round(sum(c * c), 8) AS squares FROM cov GROUP BY k"""
+)
+def spectrum_moments(spark, sf_dir):
+    """Sum and sum of squares of each spectrum, which are traces of the covariance and its square."""
+    found = G.spectra(_vectors(spark, sf_dir))
+    one = lambda f: F.aggregate("spectrum", F.lit(0.0), f)
+    return _round(found.select("run", "ckpt", one(lambda a, x: a + x).alias("total"), one(lambda a, x: a + x * x).alias("squares")), 8)
+
+
+@query(V_SQL + "SELECT a.k AS pair, a.id, round(sqrt(sum((b.v - a.v) ** 2)), 6) AS projected FROM rows_v a JOIN rows_v b ON a.id = b.id AND a.i = b.i AND b.k = a.k + 1 GROUP BY a.k, a.id")
+def project_all(spark, sf_dir):
+    """Movement in all directions of the current side: its whole length, whatever the basis."""
+    rows = _vectors(spark, sf_dir)
+    return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 64).drop("tbl"), 6)
+
+
 @query()
 def subspace_overlap(spark, sf_dir):
     return _round(G.subspace_overlap(G.spectra(_vectors(spark, sf_dir))))
@@ -418,8 +484,14 @@ def project_deltas(spark, sf_dir):
     return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 8), 6)
 
 
-@query()
+@query(
+    V_SQL
+    + """, deltas AS (SELECT a.k, a.id, list(b.v - a.v ORDER BY a.i) AS d FROM rows_v a JOIN rows_v b ON a.id = b.id AND a.i = b.i AND b.k = a.k + 1 GROUP BY a.k, a.id),
+now AS (SELECT k - 1 AS k, id AS other, list(v ORDER BY i) AS x FROM rows_v GROUP BY k, id)
+SELECT 'vectors' AS tbl, d.k AS pair, d.id, round(sqrt(var_samp(list_inner_product(d.d, now.x))), 6) AS projected FROM deltas d JOIN now ON d.k = now.k GROUP BY d.k, d.id"""
+)
 def weighted_deltas(spark, sf_dir):
+    """The root of the quadratic form in the covariance: how much all vectors vary along the movement."""
     rows = _vectors(spark, sf_dir)
     return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 0, weighted=True), 6)
 
@@ -470,6 +542,69 @@ def idiosyncratic(spark, sf_dir):
     return _round(A.attribution(P.id_pairs(_rows(spark, sf_dir)))[1].select("run", "tbl", "pair", "id", "aligned_dn", "idiosyncratic"))
 
 
+#: Orthogonal alignment in two dimensions, where the nearest rotation or reflection has a closed form.
+PLANE = (
+    PAIRS
+    + """, flat AS (SELECT tbl, pair, id, dcount, cnt, p1 AS a, p2 AS b, c1 AS x, c2 AS y FROM pairs WHERE status = 'clean'),
+centre AS (SELECT tbl, pair, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(x) AS mx, avg(y) AS my FROM flat GROUP BY tbl, pair HAVING count(*) >= 8),
+sums AS (
+  SELECT f.tbl, f.pair, any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mx) AS mx, any_value(my) AS my, sum((a-ma)**2 + (b-mb)**2) AS pp, sum((x-mx)**2 + (y-my)**2) AS cc,
+         sum((x-mx)*(a-ma)) AS s11, sum((x-mx)*(b-mb)) AS s12, sum((y-my)*(a-ma)) AS s21, sum((y-my)*(b-mb)) AS s22
+  FROM flat f JOIN centre c ON f.tbl = c.tbl AND f.pair = c.pair GROUP BY f.tbl, f.pair
+), turned AS (
+  SELECT *, s11*s22 - s12*s21 AS det, sqrt((s11+s22)**2 + (s12-s21)**2) AS direct, sqrt((s11-s22)**2 + (s12+s21)**2) AS mirrored, (mx-ma)**2 + (my-mb)**2 AS shift FROM sums
+), aligned AS (
+  SELECT *, CASE WHEN det >= 0 THEN direct ELSE mirrored END AS nuclear,
+         CASE WHEN det >= 0 THEN (s11+s22)/direct ELSE (s11-s22)/mirrored END AS r11, CASE WHEN det >= 0 THEN (s12-s21)/direct ELSE (s12+s21)/mirrored END AS r12,
+         CASE WHEN det >= 0 THEN (s21-s12)/direct ELSE (s12+s21)/mirrored END AS r21, CASE WHEN det >= 0 THEN (s11+s22)/direct ELSE (s22-s11)/mirrored END AS r22
+  FROM turned
+), energies AS (
+  SELECT *, pp + cc - 2*(s11+s22) AS apart, greatest(0, pp + cc - 2*nuclear) AS rest, pp + cc - 2*(s11+s22) + n*shift + 1e-12 AS total FROM aligned
+), moved AS (
+  SELECT f.tbl, f.pair, f.id, dcount, cnt, sqrt(((a-ma) - (x-mx)*r11 - (y-my)*r21)**2 + ((b-mb) - (x-mx)*r12 - (y-my)*r22)**2) AS adn
+  FROM flat f JOIN aligned g ON f.tbl = g.tbl AND f.pair = g.pair
+), logs AS (
+  SELECT tbl, pair, id, ln(adn) AS y, ln(1 + greatest(coalesce(dcount, 0), 0)) AS u, ln(1 + greatest(cnt, 0)) AS v FROM moved WHERE adn > 0
+), covs AS (
+  SELECT tbl, pair, count(*) AS n, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(y, u) AS yu, covar_pop(y, v) AS yv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, var_pop(y) AS yy FROM logs GROUP BY tbl, pair
+), fit AS (
+  SELECT *, (yu*vv - yv*uv) / (uu*vv - uv**2) AS b1, (yv*uu - yu*uv) / (uu*vv - uv**2) AS b2 FROM covs WHERE n >= 5
+), off AS (SELECT l.tbl, l.pair, l.id, l.y - my - b1 * (u - mu) - b2 * (v - mv) AS r FROM logs l JOIN fit f ON l.tbl = f.tbl AND l.pair = f.pair),
+mid AS (SELECT tbl, pair, median(r) AS m, stddev_pop(r) AS sd FROM off GROUP BY tbl, pair),
+wide AS (SELECT o.tbl, o.pair, any_value(m) AS m, CASE WHEN 1.4826 * median(abs(r - m)) < 1e-12 THEN any_value(sd) ELSE 1.4826 * median(abs(r - m)) END AS s FROM off o JOIN mid ON o.tbl = mid.tbl AND o.pair = mid.pair GROUP BY o.tbl, o.pair)"""
+)
+
+
+def _plane(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return settle(P.id_pairs(rows.withColumn("vec", F.slice("vec", 1, 2))))
+
+
+@query(
+    PLANE
+    + """SELECT e.tbl, e.pair, e.n, round(sqrt(shift), 4) AS mean_shift_norm, round(n * shift / total, 4) AS frac_translation, round((apart - rest) / total, 4) AS frac_rotation, round(rest / total, 4) AS frac_aligned,
+round(sqrt((r11-1)**2 + r12**2 + r21**2 + (r22-1)**2), 4) AS rotation_magnitude FROM energies e"""
+)
+def procrustes_plane(spark, sf_dir):
+    """Alignment of the first two coordinates."""
+    return _round(A.procrustes(_plane(spark, sf_dir)).drop("rotation", "mean_prev", "mean_cur"))
+
+
+@query(PLANE + "SELECT f.tbl, f.pair, round((b1 * yu + b2 * yv) / yy, 4) AS popularity_r2, round(b1, 3) AS of_growth, round(b2, 3) AS of_count FROM fit f")
+def popularity_plane(spark, sf_dir):
+    """Movement left after the alignment against how much an id was trained, in logarithms."""
+    pairs = _plane(spark, sf_dir)
+    fit = A.popularity_fit(settle(A.aligned_movement(pairs, settle(A.procrustes(pairs))))).where("fitted")
+    return _round(_round(fit.select("run", "tbl", "pair", F.col("r2").alias("popularity_r2"), F.col("coef")[1].alias("of_growth"), F.col("coef")[2].alias("of_count")), 4, "popularity_r2").withColumn("run", F.lit("e")), 3, "of_growth", "of_count")
+
+
+@query(PLANE + "SELECT m.tbl, m.pair, m.id, round(adn, 4) AS aligned_dn, round(coalesce(CASE WHEN s < 1e-12 THEN 0 ELSE greatest(-25, least(25, (r - m) / s)) END, 0), 3) AS idiosyncratic FROM moved m LEFT JOIN off o ON m.tbl = o.tbl AND m.pair = o.pair AND m.id = o.id LEFT JOIN wide w ON m.tbl = w.tbl AND m.pair = w.pair")
+def idiosyncratic_plane(spark, sf_dir):
+    """Scores of single ids after alignment and popularity are taken out."""
+    found = A.attribution(_plane(spark, sf_dir))[1].select("run", "tbl", "pair", "id", "aligned_dn", "idiosyncratic")
+    return _round(_round(found, 4, "aligned_dn").withColumn("run", F.lit("e")), 3, "idiosyncratic")
+
+
 @query(
     SCORES
     + """, r AS (SELECT tbl, pair, id % 7 = 0 AS hit, rank() OVER (PARTITION BY tbl, pair ORDER BY dn) + (count(*) OVER (PARTITION BY tbl, pair, dn) - 1) / 2 AS rk FROM moves)
@@ -496,6 +631,22 @@ def _planted(kind: str):
 
 for _kind in ("scramble", "zero", "noise"):
     QUERIES[f"mutate_{_kind}"] = _planted(_kind)
+SQL["mutate_zero"] = V_SQL + "SELECT CAST(0 AS INTEGER) AS pair, id, round(sqrt(sum(((CASE WHEN id % 25 = 0 THEN 0 ELSE b.v END) - a.v) ** 2)), 4) AS dn, id % 25 = 0 AS planted FROM rows_v a JOIN rows_v b USING (id, i) WHERE a.k = 0 AND b.k = 1 GROUP BY id"
+
+
+@query(
+    V_SQL
+    + """, top AS (SELECT id FROM (SELECT DISTINCT id, cnt FROM rows_v WHERE k = 2) ORDER BY cnt DESC, id LIMIT 40),
+planted AS (SELECT 'once' AS trial, a.id, a.k, a.i, CASE WHEN a.k = 2 AND t.id IS NOT NULL THEN b.v ELSE a.v END AS v FROM rows_v a JOIN rows_v b ON a.id = b.id AND a.i = b.i AND b.k = 1 LEFT JOIN top t ON a.id = t.id
+  UNION ALL SELECT 'on', a.id, a.k, a.i, CASE WHEN a.k >= 2 AND t.id IS NOT NULL THEN b.v ELSE a.v END FROM rows_v a JOIN rows_v b ON a.id = b.id AND a.i = b.i AND b.k = 1 LEFT JOIN top t ON a.id = t.id)
+SELECT a.trial, a.k AS pair, a.id, round(sqrt(sum((b.v - a.v) ** 2)), 4) AS dn FROM planted a JOIN planted b ON a.trial = b.trial AND a.id = b.id AND a.i = b.i AND b.k = a.k + 1 GROUP BY a.trial, a.k, a.id"""
+)
+def mutate_freeze(spark, sf_dir):
+    """The 40 most trained vectors frozen at the third checkpoint, once and for good, as two trials of one plan."""
+    rows = _vectors(spark, sf_dir)
+    trials = spark.createDataFrame([(t, "vectors", "freeze", 1.0, 40, 2, on, 0) for t, on in (("once", False), ("on", True))], "trial string, tbl string, kind string, magnitude double, n_ids int, step int, persistent boolean, seed long")
+    named = rows.select("*", F.explode(F.array(F.lit("once"), F.lit("on"))).alias("trial")).withColumn("run", F.col("trial")).select(*rows.columns)
+    return _round(M.movement(P.id_pairs(U.inject_trials(named, trials))).select(F.col("run").alias("trial"), "run", "pair", "id", "dn"))
 
 
 @query(E_ROWS + "SELECT tbl, ckpt, round(quantile_disc(sqrt(v1**2 + v2**2 + v3**2 + v4**2 + v5**2), 0.5), 4) AS typical FROM rows_e GROUP BY tbl, ckpt")
@@ -528,6 +679,50 @@ def detection_power(spark, sf_dir):
     return _round(C.power(severities, bars), 6)
 
 
+@query(
+    EVENTS
+    + """, sev AS (SELECT tbl AS label, idx, metric, max(abs(score)) AS severity FROM z GROUP BY 1, 2, 3), tpr AS (SELECT label, idx, avg(CASE WHEN severity >= 0.5 THEN 1.0 ELSE 0.0 END) AS tpr FROM sev GROUP BY 1, 2)
+SELECT label, 'robust_z' AS method, coalesce(CAST(min(idx) FILTER (tpr >= 0.6) AS DOUBLE), -1) AS magnitude FROM tpr GROUP BY label"""
+)
+def first_detectable(spark, sf_dir):
+    """The first index from which three in five metrics reach half a scale, by table; -1 for none."""
+    found = D.robust_z(_series(spark, sf_dir), k=0.0)
+    severities = found.groupBy(F.col("tbl").alias("label"), F.col("idx").cast("double").alias("magnitude"), "metric", "method").agg(F.max(F.abs("score")).alias("severity"))
+    least = C.least_detectable(C.power(severities, found.select("method").distinct().withColumn("threshold", F.lit(0.5))), 0.6)
+    return least.withColumn("magnitude", F.when(F.col("magnitude") < float("inf"), F.col("magnitude")).otherwise(-1.0))
+
+
+@query(
+    EVENTS
+    + """, spans AS (SELECT unnest(['a', 'b', 'a']) AS tbl, unnest([2, 4, 9]) AS first, unnest([4, 7, 30]) AS last), methods AS (SELECT unnest(['robust_z', 'page_hinkley', 'pelt']) AS method)
+SELECT s.tbl, CAST(s.first AS INTEGER) AS first, m.method, round(coalesce(max(abs(score)), 0.0), 4) AS severity FROM spans s CROSS JOIN methods m LEFT JOIN z ON z.tbl = s.tbl AND z.method = m.method AND z.idx BETWEEN s.first AND s.last GROUP BY ALL"""
+)
+def local_severities(spark, sf_dir):
+    """The greatest robust-z score within three spans of indices; methods without an event have 0."""
+    found = D.robust_z(_series(spark, sf_dir), k=0.0)
+    spans = spark.createDataFrame([(f"trial-{k}", *s) for k, s in enumerate([("a", 2, 4), ("b", 4, 7), ("a", 9, 30)])], "trial string, tbl string, first int, last int")
+    events = spans.select("trial", "tbl").join(found.drop("run"), "tbl").withColumnRenamed("trial", "run")
+    return _round(C.local_severity(events, spans.withColumnRenamed("trial", "run")).select("run", "tbl", "first", "method", "severity"))
+
+
+@query(
+    E_ROWS
+    + """, kept AS (SELECT * FROM rows_e WHERE NOT (tbl = 'b' AND ckpt = 5)), sizes AS (SELECT tbl, ckpt, count(*) AS n FROM kept GROUP BY 1, 2)
+SELECT p.tbl, p.ckpt AS pair, p.n AS n_prev, c.n AS n_cur, CAST(2 * (p.ckpt + 5) AS BIGINT) AS step FROM sizes p JOIN sizes c ON p.tbl = c.tbl AND c.ckpt = p.ckpt + 1"""
+)
+def table_pairs(spark, sf_dir):
+    """Tables that stand in both checkpoints of a pair, where one table is missing from a checkpoint."""
+    return P.pair_tables(_rows(spark, sf_dir).where("not (tbl = 'b' and ckpt = 5)")).drop("run", "counted")
+
+
+@query(E_ROWS + "SELECT tbl, ckpt, id, round(v1, 4) AS v1, round(v2, 4) AS v2, round(v3, 4) AS v3, round(v4, 4) AS v4, round(v5, 4) AS v5 FROM rows_e WHERE cnt > 3")
+def gathered_rows(spark, sf_dir):
+    """Vectors looked up by id for all well-trained residents."""
+    rows = _rows(spark, sf_dir)
+    found = P.gather(rows, rows.where("cnt > 3").select("run", "tbl", "ckpt", "id"))
+    return found.select("tbl", "ckpt", "id", *[(F.round(F.col("vec")[i], 4) + 0.0).alias(f"v{i + 1}") for i in range(5)])
+
+
 @query(
     EVENTS
     + """, pool AS (SELECT abs(score) AS s FROM z WHERE tbl = 'b')

@@ -1,0 +1,168 @@
+"""Checkpoint folders written by several devices, read into checkpoint rows a chunk a task.
+
+A folder holds ``.metadata`` (a pickle that says which part of which tensor lies in which file, from which byte on) and
+``__<rank>_<n>.distcp`` files (tensors one after another, each as its own archive). Their names are hidden ones, which
+Spark's file sources pass over, so tasks read them through Arrow's file systems, each only the bytes of its chunks. Tables
+are put together in Spark: the buffers of an id map by place, then ids and weights by slot. No tensor is ever held whole.
+"""
+
+from __future__ import annotations
+
+import collections
+import io
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftlens.functions.stage import settle
+from driftlens.operators.series import DENSE
+from driftlens.sources.state_dicts import COUNTS, DELIMITER, EMPTY, FRAME, IDS, MAP_PREFIX, SLOTS, WEIGHT_PREFIX, load_tensor
+
+METADATA = ".metadata"
+_CHUNK = "folder string, name string, tbl string, buffer string, first long, rows long, path string, at long, length long"
+
+
+class _Parts:
+    """Stands in for any class of the metadata's pickle: keeps positional arguments and state."""
+
+    def __init__(self, *args):
+        self.args = args
+
+    def __setstate__(self, state):
+        self.__dict__.update(state if isinstance(state, dict) else {"state": state})
+
+
+class _Key(_Parts):
+    """The index of a stored part: (tensor, offset)."""
+
+    def __hash__(self):
+        return hash(repr(self.__dict__.get("fqn")))
+
+
+#: Names that may stand in the metadata's pickle.
+_KNOWN = {"Metadata", "TensorStorageMetadata", "BytesStorageMetadata", "ChunkStorageMetadata", "TensorProperties", "_MEM_FORMAT_ENCODING", "StorageMeta", "_StorageInfo"}
+
+
+class _MetadataReader(pickle.Unpickler):
+    def find_class(self, module: str, name: str):
+        if (module, name) == ("collections", "OrderedDict"):
+            return collections.OrderedDict
+        if (module, name) == ("torch", "Size"):
+            return tuple
+        if module.startswith("torch.distributed.checkpoint.") and name == "MetadataIndex":
+            return _Key
+        if module.startswith("torch.distributed.checkpoint.") and name in _KNOWN:
+            return _Parts
+        if module == "torch" and name.islower():
+            return name  # a data type
+        if (module, name) == ("torch.serialization", "_get_layout"):
+            return str
+        raise pickle.UnpicklingError(f"not allowed: {module}.{name}")
+
+
+def _open(path: str):
+    import pyarrow.fs as fs
+
+    store, inside = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    return store, inside
+
+
+def read_bytes(path: str, at: int = 0, length: int | None = None) -> bytes:
+    store, inside = _open(path)
+    with store.open_input_file(inside) as f:
+        return f.read_at(f.size() - at if length is None else length, at)
+
+
+def chunks(folder: str) -> list[tuple]:
+    """(folder, tensor, table, buffer, first row, rows, file, byte, length) of every stored part of a tensor."""
+    meta = _MetadataReader(io.BytesIO(read_bytes(f"{folder}/{METADATA}"))).load()
+    out = []
+    for key, info in meta.storage_data.items():
+        tensor = meta.state_dict_metadata.get(key.fqn)
+        if tensor is None or not hasattr(tensor, "chunks"):
+            continue
+        offset = tuple(key.offset or ())
+        part = next(c for c in tensor.chunks if key.offset is None or tuple(c.offsets) == offset)
+        first, rows = (offset or (0,))[0], (tuple(part.sizes) or (1,))[0]
+        tbl, buffer = place_of(key.fqn)
+        out.append((folder, key.fqn, tbl, buffer, first, rows, f"{folder}/{info.relative_path}", info.offset, info.length))
+    return out
+
+
+def place_of(name: str) -> tuple[str, str]:
+    """Table and buffer of a tensor's name; a weight is "weight", whatever is neither is a tensor of its own."""
+    if name.startswith(MAP_PREFIX):
+        table, _, buffer = name[len(MAP_PREFIX) :].rpartition(".")
+        return table, buffer
+    if name.startswith(WEIGHT_PREFIX) and name.endswith(".weight"):
+        return name[len(WEIGHT_PREFIX) : -len(".weight")], "weight"
+    return name, "tensor"
+
+
+def can_load(path: str) -> bool:
+    """Whether a folder is a sharded checkpoint with an id map."""
+    try:
+        return any(buffer == IDS for _, _, _, buffer, *_ in chunks(path))
+    except (OSError, pickle.UnpicklingError, EOFError, AttributeError, StopIteration, ValueError):
+        return False
+
+
+def folders_of(path: str) -> list[str]:
+    """Sharded checkpoints directly below path, or path itself."""
+    import pyarrow.fs as fs
+
+    store, inside = _open(path)
+    found = store.get_file_info(fs.FileSelector(inside, recursive=True, allow_not_found=True))
+    return sorted({path.rstrip("/") + f.path.rpartition("/")[0].removeprefix(inside.rstrip("/")) for f in found if f.base_name == METADATA})
+
+
+def _values(info: DataFrame, kind: str, convert) -> DataFrame:
+    """A row for each row of the chunks of info: ckpt, step, tbl, buffer, at (its place) and value."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples():
+                held = load_tensor(read_bytes(r.path, r.at, r.length))
+                held = held.reshape(r.rows, -1)
+                for a in range(0, len(held), FRAME):
+                    part = held[a : a + FRAME]
+                    yield pd.DataFrame({"folder": r.folder, "tbl": r.tbl, "buffer": r.buffer, "at": np.arange(r.first + a, r.first + a + len(part)), "value": convert(part)})
+
+    # a task a chunk: a chunk may be as large as a device's share of a table
+    return info.mapInPandas(run, f"folder string, tbl string, buffer string, at long, value {kind}")
+
+
+def read_run(spark: SparkSession, path: str, run: str = "run") -> DataFrame:
+    """Rows of all sharded checkpoints under path, numbered in the order of their folders' names."""
+    folders = folders_of(path)
+    if not folders:
+        raise FileNotFoundError(f"no {METADATA} under {path}")
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for folder in pdf["folder"]:
+                yield pd.DataFrame(chunks(folder), columns=[c.split()[0] for c in _CHUNK.split(", ")])
+
+    named = spark.createDataFrame([(f,) for f in folders], "folder string")
+    order = named.withColumn("ckpt", (F.row_number().over(Window.orderBy("folder")) - 1).cast("int"))
+    info = settle(named.repartition(len(folders)).mapInPandas(listed, _CHUNK))
+    info = info.repartition(max(1, info.count()), "path", "at")
+    maps = _values(info.where(F.col("buffer").isin(IDS, SLOTS, COUNTS, DELIMITER)), "long", lambda x: x[:, 0].astype(np.int64))
+    keys = ["folder", "tbl"]
+    value = lambda buffer: F.max(F.when(F.col("buffer") == buffer, F.col("value")))
+    ends = maps.where(F.col("buffer") == DELIMITER).groupBy(*keys).agg(F.max("value").alias("end"))
+    placed = maps.where(F.col("buffer") != DELIMITER).groupBy(*keys, "at").agg(value(IDS).alias("id"), value(SLOTS).alias("slot"), value(COUNTS).alias("cnt"))
+    live = placed.join(ends, keys, "left").where(F.col("id") != F.coalesce("end", F.lit(EMPTY)))
+    floats = lambda x: list(x.astype("f4"))
+    weights = _values(info.where("buffer = 'weight'"), "array<float>", floats).select(*keys, F.col("at").alias("slot"), F.col("value").alias("vec"))
+    mapped = info.where(F.col("buffer") == IDS).select(*keys).distinct()
+    rows = live.join(weights, [*keys, "slot"]).select("folder", "tbl", "id", "slot", "cnt", "vec")
+    tensors = _values(info.where("buffer = 'tensor'").unionByName(info.where("buffer = 'weight'").join(mapped, keys, "left_anti")), "array<float>", floats)
+    dense = tensors.select("folder", F.concat(F.lit(DENSE), "tbl").alias("tbl"), F.col("at").alias("id"), F.col("at").alias("slot"), F.lit(None).cast("long").alias("cnt"), F.col("value").alias("vec"))
+    return rows.unionByName(dense).join(order, "folder").select(F.lit(run).alias("run"), "tbl", "ckpt", F.lit(None).cast("long").alias("step"), "id", "slot", "cnt", "vec")
+
+

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.series import DENSE
 from driftlens.sources.trajectories import SCHEMA
 
 #: Key prefixes, buffer names and file names of the format, and its storage types.
@@ -55,13 +56,21 @@ class _Reader(pickle.Unpickler):
         return self.storage(key, np.dtype(STORAGES[kind]), n)
 
 
-def load_state(content: bytes) -> dict[str, np.ndarray]:
-    """Tensors by name; other entries are left out."""
+def _load(content: bytes):
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         index = next(n for n in archive.namelist() if n.endswith("data.pkl"))
         root = index[: -len("data.pkl")]
-        found = _Reader(archive.read(index), lambda key, kind, n: np.frombuffer(archive.read(f"{root}data/{key}"), kind, n)).load()
-    return {k: v for k, v in found.items() if isinstance(v, np.ndarray)}
+        return _Reader(archive.read(index), lambda key, kind, n: np.frombuffer(archive.read(f"{root}data/{key}"), kind, n)).load()
+
+
+def load_state(content: bytes) -> dict[str, np.ndarray]:
+    """Tensors by name; other entries are left out."""
+    return {k: v for k, v in _load(content).items() if isinstance(v, np.ndarray)}
+
+
+def load_tensor(content: bytes) -> np.ndarray:
+    """The one tensor of an archive."""
+    return np.asarray(_load(content))
 
 
 def can_load(content: bytes) -> bool:
@@ -93,16 +102,39 @@ def tables(state: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.n
         else:
             rows = np.atleast_1d(weight).reshape(len(np.atleast_1d(weight)), -1).astype("f4")
             at = np.arange(len(rows))
-            yield f"dense:{key}", at, at, None, rows
+            yield f"{DENSE}{key}", at, at, None, rows
+
+
+def state_files(spark: SparkSession, path: str) -> DataFrame:
+    """folder, path, content of every state dict under path, or of path itself; of two in one folder the first of FILES."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pt").load(path)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    own = files.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+    if path.endswith(".pt"):
+        return own.select("folder", "path", "content")
+    first = own.where(name.isin(*FILES)).groupBy("folder").agg(F.max("path").alias("path"))  # state_dict.pt is the later name
+    return own.join(first, ["folder", "path"], "left_semi").select("folder", "path", "content")
+
+
+def find_one(spark: SparkSession, path: str) -> bool:
+    """Whether the first state dict under path, if there is one, has an id map."""
+    try:
+        first = state_files(spark, path).drop("content").orderBy("path").first()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return first is not None and can_load(bytes(spark.read.format("binaryFile").load(first.path).first().content))
 
 
 def read_run(spark: SparkSession, path: str, run: str = "run") -> DataFrame:
     """Rows of all checkpoints under path, numbered in the order of their folders' names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pt").load(path)
+    files = state_files(spark, path)
     folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    files = files.where(F.regexp_extract("path", r"([^/]+)$", 1).isin(*FILES)).select(folder.alias("folder"), "path", "content")
+    if files.drop("content").isEmpty():
+        raise FileNotFoundError(f"none of {', '.join(FILES)} under {path}")
     order = files.select("folder").distinct().withColumn("ckpt", (F.row_number().over(Window.orderBy("folder")) - 1).cast("int"))
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").load(path)
+    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").load(path.rpartition("/")[0] if path.endswith(".pt") else path)
     steps = meta.select(folder.alias("folder"), F.get_json_object(F.col("content").cast("string"), "$.global_step").cast("long").alias("step"))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,8 +20,29 @@ def read_rows(spark: SparkSession, path: str, table: str | None = None) -> DataF
     return rows if table is None else rows.where(F.col("tbl") == table)
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("run", "tbl", "ckpt").parquet(path)
+def write_rows(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Rows as Parquet by run, tbl and ckpt; the checkpoints written are marked complete."""
+    own = rows.select(*[F.col(c).cast(kind) for c, kind in (f.split() for f in SCHEMA.split(", "))])
+    own.write.mode(mode).partitionBy("run", "tbl", "ckpt").parquet(path)
+    mark_complete(rows.sparkSession, path, [r.ckpt for r in rows.select("ckpt").distinct().collect()])
+
+
+def _marks(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_complete")
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+def mark_complete(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    """Say that all files of these checkpoints are there; readers of the rows do not see the marks."""
+    folder, fs, jvm = _marks(spark, path)
+    for number in numbers:
+        fs.create(jvm.org.apache.hadoop.fs.Path(folder, str(number))).close()
+
+
+def complete_marks(spark: SparkSession, path: str) -> set[int]:
+    folder, fs, _ = _marks(spark, path)
+    return {int(s.getPath().getName()) for s in fs.listStatus(folder)} if fs.exists(folder) else set()
 
 
 def drop_empty_slots(rows: DataFrame, delimiter: int = 2**63 - 1) -> DataFrame:

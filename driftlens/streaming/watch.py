@@ -1,13 +1,19 @@
 """Watching a growing run: each new checkpoint is compared with the last one, and events are told once.
 
-A file stream hands over new checkpoint files; ``foreachBatch`` adds the pair's features to a state table and detects
-anew over all of them, which are scalars. State lies in Parquet tables beside each other: ``features`` (a folder a
-checkpoint, overwritten if a batch is repeated), ``last`` (the newest checkpoint's rows) and ``told`` (keys of events
-already given out). A checkpoint that comes late, under a lower number, is compared with whatever came last.
+A file stream tells which Parquet files are new, whatever checkpoint or table they belong to; ``foreachBatch`` notes them
+by checkpoint. A checkpoint is taken up once it is complete: it bears a mark (``trajectories.mark_complete``, which
+``write_rows`` sets), or a later one has begun, or ``flush`` is called. Its files are then read together, partition columns
+included, its features, its pair's context and its rows become state, and detection runs anew over all features, which
+are scalars. State lies in Parquet tables beside each other: ``files`` (a folder a batch, overwritten if the batch is
+repeated), ``features`` and ``context`` (a folder a checkpoint), ``last`` (the newest checkpoint's rows), ``done`` (numbers
+taken up) and ``told`` (keys of events already given out). Every step may be repeated: its folder is overwritten, and
+``done`` is written last. A checkpoint that comes late, under a lower number than one taken up, is compared with
+whatever came last. One watcher watches one run.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +21,9 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.stage import settle
 from driftlens.operators.detect import THRESHOLDS, detect_trajectory
-from driftlens.operators.series import features, fill_gaps, to_series
-from driftlens.sources.trajectories import SCHEMA
+from driftlens.operators.series import fill_gaps, run_series
+from driftlens.report import Report, collected, pair_context
+from driftlens.sources.trajectories import SCHEMA, complete_marks
 
 KEY = ["run", "tbl", "metric", "idx", "method"]
 
@@ -24,9 +31,9 @@ KEY = ["run", "tbl", "metric", "idx", "method"]
 class Watcher:
     """State under one folder; ``on_events`` gets a DataFrame of events not told before."""
 
-    def __init__(self, spark: SparkSession, state: str, on_events: Callable[[DataFrame], None], thresholds: dict[str, float] | None = THRESHOLDS, **settings):
-        self.spark, self.state, self.on_events = spark, state.rstrip("/"), on_events
-        self.thresholds, self.settings = thresholds, settings
+    def __init__(self, spark: SparkSession, path: str, state: str, on_events: Callable[[DataFrame], None], thresholds: dict[str, float] | None = THRESHOLDS, table: str | None = None, min_severity: float = 0.0, with_geometry: bool = True, **settings):
+        self.spark, self.path, self.state, self.on_events = spark, path.rstrip("/"), state.rstrip("/"), on_events
+        self.thresholds, self.table, self.min_severity, self.with_geometry, self.settings = thresholds, table, min_severity, with_geometry, settings
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -36,10 +43,36 @@ class Watcher:
                 return None
             raise
 
-    def add(self, rows: DataFrame) -> None:
-        """One or more whole checkpoints, taken in order of their number."""
-        for r in rows.select("ckpt").distinct().orderBy("ckpt").collect():
-            self._step(settle(rows.where(F.col("ckpt") == r.ckpt)), r.ckpt)
+    def _rows(self, files: list[str]) -> DataFrame:
+        """Rows of some files of the run, with the columns that lie in their folders' names."""
+        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*files)
+        return rows if self.table is None else rows.where(F.col("tbl") == self.table)
+
+    def add_files(self, files: list[str], batch: int) -> None:
+        """Note new files by the checkpoints that they hold, then take up what is complete."""
+        if files:
+            # the path is told as a URI, and read as a plain one
+            plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+            held = self._rows(files).select("ckpt", plain.alias("path")).distinct()
+            held.write.mode("overwrite").parquet(f"{self.state}/files/batch={batch}")
+        self.advance()
+
+    def advance(self, all_complete: bool = False) -> None:
+        noted, done = self._read("files"), self._read("done")
+        if noted is None:
+            return
+        waiting = noted.select("ckpt", "path").distinct() if done is None else noted.select("ckpt", "path").distinct().join(done, "ckpt", "left_anti")
+        by_number: dict[int, list[str]] = {}
+        for r in waiting.collect():  # files of checkpoints not taken up yet
+            by_number.setdefault(r.ckpt, []).append(r.path)
+        marks, newest = complete_marks(self.spark, self.path), noted.agg(F.max("ckpt")).first()[0]
+        for number in sorted(by_number):
+            if all_complete or number in marks or number < newest:
+                self._step(settle(self._rows(sorted(by_number[number])).where(F.col("ckpt") == number)), number)
+
+    def flush(self) -> None:
+        """Take the newest checkpoint as complete: the run has ended."""
+        self.advance(all_complete=True)
 
     def _step(self, now: DataFrame, number: int) -> None:
         before = self._read("last")
@@ -47,30 +80,67 @@ class Watcher:
             before = settle(before)
             if before.where(F.col("ckpt") == number).limit(1).count() == 0:
                 # the two stand next to each other whatever their numbers are
-                idx = self._pairs()
-                both = before.withColumn("ckpt", F.lit(idx)).unionByName(now.withColumn("ckpt", F.lit(idx + 1)))
-                to_series(features(both)).write.mode("overwrite").parquet(f"{self.state}/features/ckpt={number}")
+                idx = self._pairs(number)
+                both = settle(before.withColumn("ckpt", F.lit(idx)).unionByName(now.withColumn("ckpt", F.lit(idx + 1))))
+                fresh = run_series(both, self.with_geometry).where(F.col("idx") == idx)
+                fresh.write.mode("overwrite").parquet(f"{self.state}/features/ckpt={number}")
+                pair_context(both).where(F.col("pair") == idx).write.mode("overwrite").parquet(f"{self.state}/context/ckpt={number}")
         now.write.mode("overwrite").parquet(f"{self.state}/last")
         self._tell()
+        self.spark.createDataFrame([(number,)], "ckpt int").write.mode("append").parquet(f"{self.state}/done")
 
-    def _pairs(self) -> int:
+    def _pairs(self, number: int) -> int:
         seen = self._read("features")
-        return 0 if seen is None else seen.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
+        return 0 if seen is None else seen.where(F.col("ckpt") != number).agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
 
-    def _tell(self) -> None:
+    def _series(self) -> DataFrame | None:
         found = self._read("features")
-        if found is None:
+        return None if found is None else settle(fill_gaps(found.drop("ckpt")))
+
+    def _events(self, series: DataFrame) -> DataFrame:
+        return detect_trajectory(series, self.thresholds, **self.settings).where(F.col("severity") >= self.min_severity)
+
+    def _tell(self) -> None:
+        series = self._series()
+        if series is None:
             return
-        events = detect_trajectory(settle(fill_gaps(found.drop("ckpt"))), self.thresholds, **self.settings)
-        told = self._read("told")
+        events, told = self._events(series), self._read("told")
         fresh = settle(events if told is None else events.join(told, KEY, "left_anti"))
         if fresh.limit(1).count():
             self.on_events(fresh)
             fresh.select(*KEY).write.mode("append").parquet(f"{self.state}/told")
 
-
-def watch(spark: SparkSession, path: str, checkpoint: str, watcher: Watcher, available_now: bool = True):
-    """Start the stream over Parquet checkpoints written under path, one file a trigger in order of arrival."""
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-    writer = stream.writeStream.foreachBatch(lambda df, _: watcher.add(settle(df))).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")).start()
+    def report(self, run: str = "trajectory") -> Report:
+        """A full report of what has been taken up so far, from state alone."""
+        series, last, done = self._series(), self._read("last"), self._read("done")
+        tables = [] if last is None else sorted(r.tbl for r in last.select("tbl").distinct().collect())
+        n = 0 if done is None else done.distinct().count()
+        if series is None:
+            return Report(run, n, tables, self.thresholds is not None, self.min_severity, [], [], [])
+        return collected(run, n, tables, series, settle(self._events(series)), self._read("context").drop("ckpt"), self.thresholds is not None, self.min_severity)
+
+
+def watch(watcher: Watcher, checkpoint: str, seconds: float | None = None):
+    """Start the stream over the watcher's path: until all files are seen, or every so many seconds without end."""
+    stream = watcher.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(watcher.path).select("path")
+
+    def batch(df: DataFrame, number: int) -> None:
+        watcher.add_files([r.path for r in df.collect()], number)  # names of new files, no content
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def poll(watcher: Watcher, checkpoint: str, seconds: float = 60.0, polls: int = 0, stop: Callable[[], bool] = lambda: False) -> None:
+    """Look for new files every so many seconds, polls times (0: without end) or until stop says so."""
+    done = 0
+    while True:
+        query = watch(watcher, checkpoint)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+        watcher.advance()  # a mark may have come without a file
+        done += 1
+        if stop() or done == polls:
+            return
+        time.sleep(seconds)

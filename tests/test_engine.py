@@ -17,9 +17,9 @@ from driftlens.operators import movement as M
 from driftlens.operators import mutate as U
 from driftlens.operators import pairs as P
 from driftlens.operators import series as S
-from driftlens.report import Event, build_report, group
-from driftlens.sources.trajectories import SCHEMA, checkpoint_index, drop_empty_slots, write_rows
-from driftlens.streaming.watch import Watcher, watch
+from driftlens.report import build_report, incident_rows, listed
+from driftlens.sources.trajectories import SCHEMA, checkpoint_index, complete_marks, drop_empty_slots, mark_complete, write_rows
+from driftlens.streaming.watch import Watcher, poll
 
 
 def rows_of(spark, checkpoints, tbl="t", run="r"):
@@ -183,13 +183,15 @@ def test_incidents(spark):
     assert got == [(1, 4.0, [90]), (4, 17.6, [40, 50])]
     two = events.where("severity in (17.6, 4.0)")
     assert I.incidents(two, 5).count() == 1 and I.incidents(two, 4).count() == 2
-    listed = [Event("t", "m", i, i, "z", 0, 0, s, "up", s) for i, s in own]
-    assert [len(c) for c in group(listed)] == [4, 1]
+    assert [(r.n_events, r.places) for r in incident_rows(listed(events)).collect()] == [(4, [0, 2, 3, 4]), (1, [1])]
 
 
 def test_geometry(spark):
-    assert [G.rank_at_energy(np.array([10.0, 5, 1, 0]), p) for p in (0.6, 0.9, 0.99, 1.0)] == [1, 2, 3, 3]
-    assert G.rank_at_energy(np.zeros(3), 0.9) == 0 and G.effective_rank(np.zeros(3)) == 0 and G.anisotropy(np.zeros(3)) == 0
+    assert [G.shape_of(np.array([10.0, 5, 1, 0])).directions(p) for p in (0.6, 0.9, 0.99, 1.0)] == [1, 2, 3, 3]
+    none = G.shape_of(np.zeros(3))
+    assert (none.directions(0.9), none.effective_rank, none.anisotropy) == (0, 0, 0) and none.held.tolist() == [0, 0, 0]
+    even = G.shape_of(np.full(4, 2.0))
+    assert even.effective_rank == pytest.approx(4) and even.anisotropy == pytest.approx(1) and even.directions(0.5) == 2
     assert G.stable_since([100, 200, 300, 400, 500], [9, 5, 5, 6, 5]) == 200
     assert G.stable_since([100, 200, 300, 400, 500], [3, 9, 5, 9, 5]) is None
     rng = np.random.default_rng(5)
@@ -201,7 +203,7 @@ def test_geometry(spark):
     assert spectrum == pytest.approx(np.linalg.eigvalsh(np.cov(x.T))[::-1], rel=1e-4)
     assert [round(r.overlap, 3) for r in G.subspace_overlap(found).orderBy("pair").collect()][0] == 1.0
     assert G.subspace_overlap(found).where("pair = 1").first().overlap < 0.05
-    assert G.geometry(found).where("ckpt = 0").first().effective_rank == pytest.approx(G.effective_rank(spectrum))
+    assert G.geometry(found).where("ckpt = 0").first().effective_rank == pytest.approx(G.shape_of(spectrum).effective_rank)
     pairs = P.id_pairs(rows).where("pair = 1")
     weighted = by_id(G.project_deltas(pairs, found, 0, weighted=True), "projected")
     d = turned[7] - x[7]
@@ -272,8 +274,10 @@ def test_calibration(spark):
     events = C.permissive_events(clean)
     bars = C.thresholds(C.run_maxima(events, clean.select("run").distinct()), 0.2)
     assert {r.method for r in bars.collect()} == set(D.METHODS)
-    plan = [{"label": "scramble", "kind": "scramble", "magnitude": m, "n_ids": 6, "persistent": False, "step": 6, "run": f"syn-{k}"} for m in (0.01, 50.0) for k in range(2)]
-    found = C.power(C.run_trials(clean, plan), bars)
+    kinds = [{"label": "scramble", "kind": "scramble", "magnitude": m, "n_ids": 6, "persistent": False} for m in (0.01, 50.0)]
+    trials = C.drawn_trials(clean, kinds, 3)
+    assert trials.count() == 6 and {r.step for r in trials.collect()} <= set(range(2, 9))
+    found = C.power(C.run_trials(clean, trials), bars)
     by = {(r.magnitude, r.method): r.tpr for r in found.collect()}
     assert by[50.0, "robust_z"] >= by[0.01, "robust_z"] and by[50.0, "robust_z"] == 1.0
     assert {r.method: r.magnitude for r in C.least_detectable(found).collect()}["robust_z"] <= 50.0
@@ -281,51 +285,136 @@ def test_calibration(spark):
     assert all(0 < r.p <= 1 for r in p.collect()) and p.count() == 5
 
 
-def planted_run(spark, steps=12):
+def planted_run(spark, steps=12, at=7):
     rng = random.Random(4)
     vec = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(40)}
     made = []
     for k in range(steps):
         vec = {i: [x + rng.gauss(0, 0.02) for x in v] for i, v in vec.items()}
-        shown = {i: ([9 * x for x in v] if k == 7 and i < 10 else v) for i, v in vec.items()}
+        shown = {i: ([9 * x for x in v] if k == at and i < 10 else v) for i, v in vec.items()}
         made.append({i: (i, (k + 1) * (1 + i % 5), v) for i, v in shown.items()})
     return rows_of(spark, made)
 
 
+def test_trials_corrupt_as_planned(spark):
+    clean = C.synthetic_trajectories(spark, 2, n=12, dim=3, steps=6)
+    kinds = ["scramble", "zero", "noise", "freeze"]
+    trials = spark.createDataFrame([(f"{k}{on}", "emb", k, 2.0, 3, 3, on, 7 + i) for i, k in enumerate(kinds) for on in (False, True)], "trial string, tbl string, kind string, magnitude double, n_ids int, step int, persistent boolean, seed long")
+    rows = clean.where("run = 'syn-0'").crossJoin(trials.select("trial")).withColumn("run", F.col("trial")).select(*clean.columns)
+    got = U.inject_trials(rows, trials)
+    old = {(r.ckpt, r.id): r.vec for r in clean.where("run = 'syn-0'").collect()}
+    top = {r.id for r in clean.where("run = 'syn-0' and ckpt = 3").orderBy(F.desc("cnt"), "id").limit(3).collect()}
+    new: dict = {}
+    for r in got.collect():
+        if r.vec != old[r.ckpt, r.id]:
+            new.setdefault(r.run, {}).setdefault(r.ckpt, {})[r.id] = r.vec
+    for k in kinds:
+        assert set(new[f"{k}False"]) == {3} and set(new[f"{k}True"]) == {3, 4, 5} and len(new[f"{k}False"][3]) == 3
+    assert set(new["freezeTrue"][5]) == top and all(new["freezeTrue"][5][i] == old[2, i] for i in top)
+    assert all(v == [0.0] * 3 for v in new["zeroFalse"][3].values())
+
+
+def test_calibration_job(spark, tmp_path, capsys):
+    out = tmp_path / "bars.json"
+    write_rows(C.synthetic_trajectories(spark, 3, n=10, dim=3, steps=7), str(tmp_path / "clean"))
+    assert main(["calibrate", str(out), "--trials", "1", "--clean", str(tmp_path / "clean")], spark) == 0
+    text, made = capsys.readouterr().out, json.loads(out.read_text())
+    assert made["target_fpr"] == 0.05 and set(made["methods"]) == set(D.METHODS) and "freeze-on" in text
+    assert D.read_thresholds(str(out)) == {m: made["methods"][m]["threshold"] for m in D.METHODS}
+    out.write_text('{"methods": {"pelt": {"threshold": 2}}}')
+    assert D.read_thresholds(str(out)) == {"robust_z": math.inf, "page_hinkley": math.inf, "pelt": 2.0}
+
+
+def test_seeds_and_contrasts(spark):
+    rows = spark.createDataFrame([(s, d, x) for s, (a, b) in enumerate([(0.7, 0.5), (0.6, 0.65), (0.8, 0.6)]) for d, x in ((16, a), (64, b))], "seed int, dim int, auc double")
+    by = {r.dim: (r["mean"], r.sd, r.n) for r in C.seed_statistics(rows, ["dim"], "auc").collect()}
+    assert by[16] == (pytest.approx(0.7), pytest.approx(0.1), 3)
+    r = C.paired_contrast(rows.where("dim = 16"), rows.where("dim = 64"), "auc").first()
+    assert (r["mean"], r.wins, r.n) == (pytest.approx(0.35 / 3), 2, 3) and r.sd == pytest.approx(np.std([0.2, -0.05, 0.2], ddof=1))
+
+
 def test_report_and_cli(spark, tmp_path, capsys):
     rows = planted_run(spark)
+    tensor = spark.createDataFrame([("r", "dense:head", k, 100 * k, i, i, None, [1.0 + i, 2.0 + k + (40.0 if k == 7 else 0)]) for k in range(12) for i in range(3)], SCHEMA)
+    rows = rows.unionByName(tensor)
     write_rows(rows, str(tmp_path / "run"))
     report = build_report(rows, "planted")
-    assert report.events and {6, 7} & {e.idx for e in report.incidents[0]}
+    assert report.events and {6, 7} & {report.events[k]["idx"] for k in report.incidents[0]["places"]}
+    assert {s["metric"] for s in report.series if s["table"] == "dense:head"} == {"rel_delta_norm", "cosine", "effective_rank"}
     made = json.loads(report.to_json())
     assert made["n_checkpoints"] == 12 and made["incidents"][0]["events"] and made["worst_severity"] == round(report.worst(), 3)
-    assert all(e["why"]["text"] for e in made["events"]) and any(e["why"]["kind"] == "drift" for e in made["events"])
+    assert all(e["why"]["text"] for e in made["events"])
+    assert {"drift", "dense"} <= {e["why"]["kind"] for e in made["events"]} and all(set(e["why"]["top_movers"]) <= set(range(40)) for e in made["events"] if e["why"]["kind"] == "drift")
+    assert sorted(k for i in made["incidents"] for k in i["events"]) == list(range(made["n_events"]))
     assert "signals" in report.to_text() and "| step |" in report.to_markdown()
-    page = report.to_html()
-    assert "http://" not in page and "https://" not in page and page.count("</script>") == 2
-    out = tmp_path / "r.json"
+    page = report.to_html(5)
+    assert "http://" not in page and "https://" not in page and page.count("</script>") == 2 and "setInterval" in page
+    out, web = tmp_path / "r.json", tmp_path / "rank.html"
     assert main(["report", str(tmp_path / "run"), "--json", str(out), "--fail-on", "1.0"], spark) == 1
     assert json.loads(out.read_text())["n_events"] == len(report.events)
     assert main(["report", str(tmp_path / "run"), "--min-severity", "1e9", "--fail-on", "1.0"], spark) == 0
     assert "no anomalies" in capsys.readouterr().out
-    assert main(["rank", str(tmp_path / "run")], spark) == 0 and "directions hold 95 %" in capsys.readouterr().out
+    assert main(["rank", str(tmp_path / "run"), "--table", "t", "--html", str(web), "--json", str(out)], spark) == 0
+    assert "directions hold 95 %" in capsys.readouterr().out and json.loads(out.read_text())["tables"][0]["dim"] == 4
+    assert "http" not in web.read_text() and "still moving" in web.read_text() or "stable since" in web.read_text()
+    assert main(["diff", str(tmp_path / "run"), "--table", "t"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "r 6 to 7 (step 700) t: 40 to 40 ids, 40 stayed" in shown and "effective_rank" in shown and "frozen" in shown
     write_rows(rows.where("ckpt = 0"), str(tmp_path / "one"))
     assert main(["report", str(tmp_path / "one")], spark) == 2
-
-
-def test_watcher_tells_each_event_once(spark, tmp_path):
-    rows = planted_run(spark, 9)
-    source, told = str(tmp_path / "in"), []
-    watcher = Watcher(spark, str(tmp_path / "state"), lambda df: told.extend((r.tbl, r.metric, r.idx, r.method) for r in df.collect()), {"robust_z": 5.0}, methods=("robust_z",))
-    for k in (range(8), (8,)):
-        for c in k:
-            rows.where(F.col("ckpt") == c).coalesce(1).write.mode("append").parquet(source)
-        query = watch(spark, source, str(tmp_path / "log"), watcher)
-        query.awaitTermination(300)
-        assert query.exception() is None
-    assert len(told) == len(set(told)) and any(idx == 6 for _, _, idx, _ in told)
-    want = D.detect_trajectory(S.fill_gaps(S.to_series(S.features(rows))), {"robust_z": 5.0}, methods=("robust_z",))
-    assert {(r.tbl, r.metric, r.idx) for r in want.collect()} <= {(t, m, i) for t, m, i, _ in told}
+    with pytest.raises(ValueError, match="no registered format"):
+        main(["report", str(tmp_path / "nothing")], spark)
+
+
+def told_events(watcher):
+    return {(e["tbl"], e["metric"], e["idx"], e["method"]): round(e["severity"], 6) for e in watcher.report("planted").events}
+
+
+def test_watcher_takes_whole_checkpoints(spark, tmp_path):
+    """Two tables, several files a checkpoint, partition folders or plain files: the batch report's events."""
+    rows = planted_run(spark, 6, 4)
+    rows = rows.unionByName(rows.withColumn("tbl", F.lit("u")).withColumn("id", F.col("id") + 100)).unionByName(
+        spark.createDataFrame([("r", "dense:head", k, 100 * k, i, i, None, [1.0 + i, 2.0 + k]) for k in range(6) for i in range(3)], SCHEMA)
+    )
+    bars = {"robust_z": 5.0}
+    want = build_report(rows, "planted", thresholds=bars, min_severity=1.0)
+    expected = {(e["tbl"], e["metric"], e["idx"], e["method"]): round(e["severity"], 6) for e in want.events}
+    assert {t for t, *_ in expected} >= {"t", "u"}
+    folders, told = str(tmp_path / "folders"), []
+    tell = lambda df: told.extend((r.tbl, r.metric, r.idx, r.method) for r in df.collect())
+    watcher = Watcher(spark, folders, str(tmp_path / "state"), tell, bars, min_severity=1.0)
+    for part in (rows.where("ckpt < 5"), rows.where("ckpt = 5")):
+        write_rows(part.repartition(3), folders, "append")
+        poll(watcher, str(tmp_path / "log"), 0.0, 1)
+    assert told_events(watcher) == expected and set(expected) <= set(told) and len(told) == len(set(told))
+    report = watcher.report("planted")
+    assert (report.n_checkpoints, report.tables) == (6, ["dense:head", "t", "u"]) and report.to_dict()["incidents"] == want.to_dict()["incidents"]
+    assert {e["why"] for e in report.events} == {e["why"] for e in want.events}
+
+    plain = str(tmp_path / "plain")
+    watcher = Watcher(spark, plain, str(tmp_path / "state2"), lambda df: None, bars, table="t", min_severity=1.0, with_geometry=False)
+    assert watcher.report().events == []
+    for k in range(6):
+        for half in (0, 1):
+            rows.where(F.col("ckpt") == k).where(F.col("id") % 2 == half).coalesce(1).write.mode("append").parquet(plain)
+            if k == 5:
+                # half a checkpoint is not taken up: neither mark nor later files are there
+                poll(watcher, str(tmp_path / "log2"), 0.0, 1)
+                assert watcher.report().n_checkpoints == k
+    mark_complete(spark, plain, [5])
+    assert complete_marks(spark, plain) == {5}
+    poll(watcher, str(tmp_path / "log2"), 0.0, 1)
+    assert told_events(watcher) == {k: v for k, v in expected.items() if k[0] == "t" and k[1] not in ("effective_rank", "anisotropy")}
+    watcher.flush()
+    assert watcher.report().n_checkpoints == 6
+
+
+def test_watch_command(spark, tmp_path, capsys):
+    write_rows(planted_run(spark, 6, 4), str(tmp_path / "in"))
+    args = ["watch", str(tmp_path / "in"), "--state", str(tmp_path / "state"), "--interval", "0", "--max-polls", "2", "--json", str(tmp_path / "w.json")]
+    assert main([*args, "--fail-on", "1.0"], spark) == 1 and "step 400 t." in capsys.readouterr().out
+    assert json.loads((tmp_path / "w.json").read_text())["n_checkpoints"] == 9
+    assert main(args, spark) == 0 and "step" not in capsys.readouterr().out
 
 
 def test_entry_imports_and_runs(spark):
