@@ -23,7 +23,7 @@ from driftlens.operators.series import DENSE
 from driftlens.sources.state_dicts import COUNTS, DELIMITER, EMPTY, FRAME, IDS, MAP_PREFIX, SLOTS, WEIGHT_PREFIX, load_tensor
 
 METADATA = ".metadata"
-_CHUNK = "folder string, name string, tbl string, buffer string, first long, rows long, path string, at long, length long"
+_CHUNK = "folder string, name string, tbl string, buffer string, first long, path string, at long, length long"
 
 
 class _Parts:
@@ -61,6 +61,8 @@ class _MetadataReader(pickle.Unpickler):
             return name  # a data type
         if (module, name) == ("torch.serialization", "_get_layout"):
             return str
+        if module.startswith("pathlib") and name in ("PosixPath", "PurePosixPath"):
+            return _Parts
         raise pickle.UnpicklingError(f"not allowed: {module}.{name}")
 
 
@@ -78,18 +80,15 @@ def read_bytes(path: str, at: int = 0, length: int | None = None) -> bytes:
 
 
 def chunks(folder: str) -> list[tuple]:
-    """(folder, tensor, table, buffer, first row, rows, file, byte, length) of every stored part of a tensor."""
+    """(folder, tensor, table, buffer, first row, file, byte, length) of every stored part of a tensor."""
     meta = _MetadataReader(io.BytesIO(read_bytes(f"{folder}/{METADATA}"))).load()
     out = []
     for key, info in meta.storage_data.items():
         tensor = meta.state_dict_metadata.get(key.fqn)
         if tensor is None or not hasattr(tensor, "chunks"):
             continue
-        offset = tuple(key.offset or ())
-        part = next(c for c in tensor.chunks if key.offset is None or tuple(c.offsets) == offset)
-        first, rows = (offset or (0,))[0], (tuple(part.sizes) or (1,))[0]
         tbl, buffer = place_of(key.fqn)
-        out.append((folder, key.fqn, tbl, buffer, first, rows, f"{folder}/{info.relative_path}", info.offset, info.length))
+        out.append((folder, key.fqn, tbl, buffer, (tuple(key.offset or ()) or (0,))[0], f"{folder}/{info.relative_path}", info.offset, info.length))
     return out
 
 
@@ -126,8 +125,10 @@ def _values(info: DataFrame, kind: str, convert) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples():
-                held = load_tensor(read_bytes(r.path, r.at, r.length))
-                held = held.reshape(r.rows, -1)
+                held = np.atleast_1d(load_tensor(read_bytes(r.path, r.at, r.length)))
+                if not held.size:
+                    continue
+                held = held.reshape(len(held), -1)
                 for a in range(0, len(held), FRAME):
                     part = held[a : a + FRAME]
                     yield pd.DataFrame({"folder": r.folder, "tbl": r.tbl, "buffer": r.buffer, "at": np.arange(r.first + a, r.first + a + len(part)), "value": convert(part)})
