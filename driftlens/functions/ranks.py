@@ -1,36 +1,78 @@
-"""Ranks and robust scales over DataFrames, without gathering a group in one task where it can be avoided."""
+"""Ranks, order statistics and robust scales over DataFrames, without gathering a group in one task.
+
+Values of a group are dealt into BUCKETS buckets by approximate quantiles of its different values. The quantiles only
+choose the bounds; counts of the buckets before a value's own and its place in its own give exact ranks, so no window
+spans a whole group, whatever the values look like.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+BUCKETS = 256  # a power of two
+#: Rows of a group up to which one aggregate may hold all its values; beyond it order statistics are found by buckets.
+HELD = 2_000_000
+
+
+def _counted(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, DataFrame]:
+    """(keys, _value, _n, _bucket) of the different values, and (keys, _bucket, _size, _before) of the buckets."""
+    counts = df.groupBy(*keys, value.alias("_value")).agg(F.count("*").alias("_n"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(F.col("_value").cast("double"), [k / BUCKETS for k in range(1, BUCKETS)], 5_000).alias("_bounds"))
+    halves = F.array(*[F.lit(BUCKETS >> k) for k in range(1, BUCKETS.bit_length())])
+    # how many bounds lie below the value, by bisection
+    bucket = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get("_bounds", at + half - 1) < F.col("_value"), at + half).otherwise(at))
+    placed = counts.join(bounds, keys).withColumn("_bucket", bucket).drop("_bounds")
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed, sizes.withColumn("_before", before)
+
+
+def _inside(keys: list[str]) -> Column:
+    """How many rows of its bucket have a lower value."""
+    own = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(own), F.lit(0))
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with 1-based average ranks of value among its keys; equal values share their mean rank.
+    """df with 1-based average ranks of value among its keys; equal values share their mean rank."""
+    counts, sizes = _counted(df, keys, F.col(value))
+    placed = counts.withColumn("_in", _inside(keys)).join(sizes, [*keys, "_bucket"])
+    ranked = placed.select(*keys, F.col("_value").alias(value), (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranked, [*keys, value])
+
 
-    Only distinct values are ranked, in buckets of a monotone function of the value: the sizes of the buckets before
-    it and the place in its own bucket give a value's rank, so no window spans a whole group.
+def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float], held: int = HELD) -> DataFrame:
+    """keys and the wanted quantiles of value, interpolated between neighbours, by name.
+
+    Where every group has at most held rows, one aggregate a group takes them; else only the buckets that hold them are
+    ordered. Both ways give the same.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.atan(F.col(value).cast("double")) * 4096))
-    sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    own = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(before, [*keys, "_bucket"])
-    ranked = placed.select(*keys, value, (F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranked, [*keys, value])
+    own = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
+    most = own.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if most <= held:
+        return own.groupBy(*keys).agg(*[F.percentile("_v", p).alias(name) for name, p in wanted.items()])
+    counts, sizes = _counted(own, keys, F.col("_v"))
+    totals = sizes.groupBy(*keys).agg(F.sum("_size").alias("_all"))
+    # the neighbours' places, from 0 on
+    places = F.array(*[F.struct(F.lit(name).alias("name"), edge((F.col("_all") - 1) * p).cast("long").alias("at"), ((F.col("_all") - 1) * p % 1).alias("part"), F.lit(side).alias("side")) for name, p in wanted.items() for side, edge in enumerate((F.floor, F.ceil))])
+    asked = sizes.join(totals, keys).withColumn("t", F.explode(places)).where("t.at >= _before and t.at < _before + _size").select(*keys, "_bucket", "_before", "t")
+    near = counts.join(asked.select(*keys, "_bucket", "_before").distinct(), [*keys, "_bucket"]).withColumn("_from", F.col("_before") + _inside(keys)).drop("_before")
+    found = near.join(asked.drop("_before"), [*keys, "_bucket"]).where("t.at >= _from and t.at < _from + _n")
+    weighted = F.sum(F.when(F.col("t.side") == 0, 1 - F.col("t.part")).otherwise(F.col("t.part")) * F.col("_value")).alias("q")
+    each = found.groupBy(*keys, F.col("t.name").alias("name")).agg(weighted)
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in wanted])
 
 
-def robust_z(df: DataFrame, keys: list[str], value: str, name: str, clip: float | None = None, exact: bool = True) -> DataFrame:
+def robust_z(df: DataFrame, keys: list[str], value: str, name: str, clip: float | None = None) -> DataFrame:
     """df with (value - median) / scale: scale is 1.4826 times the median absolute deviation, or the population
-    deviation where that vanishes; 0 where both do. exact=False takes approximate percentiles in bounded memory."""
-    middle = F.median if exact else lambda c: F.percentile_approx(c, 0.5, 10_000)
-    centre = df.groupBy(*keys).agg(middle(F.col(value)).alias("_m"), F.stddev_pop(value).alias("_sd"))
+    deviation where that vanishes; 0 where both do. df is read several times."""
+    centre = quantiles(df, keys, F.col(value), {"_m": 0.5}).join(df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd")), keys)
     off = df.join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("_m")))
-    scale = off.groupBy(*keys).agg((1.4826 * middle(F.col("_off"))).alias("_mad"), F.first("_sd").alias("_sd2"))
-    scale = scale.select(*keys, F.when(F.col("_mad") < EPS, F.col("_sd2")).otherwise(F.col("_mad")).alias("_scale"))
-    z = (F.col(value) - F.col("_m")) / F.nullif(F.col("_scale"), F.lit(0.0))
+    mad = quantiles(off, keys, F.col("_off"), {"_mad": 0.5}).withColumn("_mad", 1.4826 * F.col("_mad"))
+    spread = off.join(mad, keys)
+    scale = F.when(F.col("_mad") < EPS, F.col("_sd")).otherwise(F.col("_mad"))
+    z = (F.col(value) - F.col("_m")) / F.nullif(scale, F.lit(0.0))
     z = F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)) if clip else z
-    return off.join(scale, keys).withColumn(name, F.when(F.col("_scale") < EPS, 0.0).otherwise(z)).drop("_m", "_sd", "_off", "_scale")
+    return spread.withColumn(name, F.when(scale < EPS, 0.0).otherwise(z)).drop("_m", "_sd", "_off", "_mad")

@@ -6,13 +6,12 @@ pass measures what movement is left and regresses its logarithm on training coun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.functions.matrices import apply_by_key
 from driftlens.functions.ranks import robust_z
 from driftlens.functions.stage import settle
 from driftlens.operators.geometry import moments
@@ -51,24 +50,15 @@ def procrustes(pairs: DataFrame) -> DataFrame:
 
 
 def aligned_movement(pairs: DataFrame, aligned: DataFrame) -> DataFrame:
-    """run, tbl, pair, id, dcount, cnt, aligned_dn: movement after shift and rotation are taken out.
-
-    aligned has dim squared numbers a pair and table; they are broadcast, as many as there are pairs.
-    """
-    held = {(r.run, r.tbl, r.pair): (np.array(r.rotation).reshape(len(r.mean_prev), -1), np.array(r.mean_prev), np.array(r.mean_cur)) for r in aligned.collect()}
-    known = pairs.sparkSession.sparkContext.broadcast(held)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = np.zeros(len(pdf))
-            for key, own in pdf.groupby(PAIR, sort=False).indices.items():
-                rotation, before, after = known.value[key]
-                p, c = (np.stack(pdf[x].iloc[own].to_list()) for x in "pc")
-                out[own] = np.sqrt((((p - before) - (c - after) @ rotation) ** 2).sum(1))
-            yield pdf[[*PAIR, "id", "dcount", "cnt"]].assign(aligned_dn=out)
+    """run, tbl, pair, id, dcount, cnt, aligned_dn: movement after shift and rotation are taken out."""
+
+    def run(pdf: pd.DataFrame, own: dict) -> pd.DataFrame:
+        before, after = own["mean_prev"], own["mean_cur"]
+        left = np.stack(pdf["p"].to_list()) - before - (np.stack(pdf["c"].to_list()) - after) @ own["rotation"].reshape(len(before), -1)
+        return pdf[[*PAIR, "id", "dcount", "cnt"]].assign(aligned_dn=np.linalg.norm(left, axis=1))
 
     own = pairs.where("status = 'clean'").select(*PAIR, "id", "dcount", F.col("cur.cnt").alias("cnt"), F.col("prev.vec").cast("array<double>").alias("p"), F.col("cur.vec").cast("array<double>").alias("c"))
-    return own.join(aligned.select(*PAIR), PAIR, "left_semi").mapInPandas(run, "run string, tbl string, pair int, id long, dcount long, cnt long, aligned_dn double")
+    return apply_by_key(own, aligned.select(*PAIR, "rotation", "mean_prev", "mean_cur"), PAIR, run, "run string, tbl string, pair int, id long, dcount long, cnt long, aligned_dn double")
 
 
 def popularity_fit(moved: DataFrame) -> DataFrame:
@@ -98,7 +88,7 @@ def idiosyncratic(moved: DataFrame, fit: DataFrame) -> DataFrame:
     """run, tbl, pair, id, idiosyncratic: robust z of the movement that popularity does not explain; 0 without movement."""
     x1, x2 = F.log1p(F.greatest("dcount", F.lit(0)).cast("double")), F.coalesce(F.log1p(F.greatest("cnt", F.lit(0)).cast("double")), F.lit(0.0))
     off = moved.where("aligned_dn > 0").join(fit.where("fitted").select(*PAIR, "coef"), PAIR)
-    off = off.select(*PAIR, "id", (F.ln("aligned_dn") - F.col("coef")[0] - F.col("coef")[1] * x1 - F.col("coef")[2] * x2).alias("r"))
+    off = settle(off.select(*PAIR, "id", (F.ln("aligned_dn") - F.col("coef")[0] - F.col("coef")[1] * x1 - F.col("coef")[2] * x2).alias("r")))
     scored = robust_z(off, PAIR, "r", "idiosyncratic", CLIP).select(*PAIR, "id", "idiosyncratic")
     return moved.join(scored, [*PAIR, "id"], "left").withColumn("idiosyncratic", F.coalesce("idiosyncratic", F.lit(0.0)))
 

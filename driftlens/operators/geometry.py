@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.functions.matrices import apply_by_key
 from driftlens.functions.stage import settle
 from driftlens.operators.pairs import PAIR
 
@@ -160,30 +161,23 @@ def spectral_report(found: DataFrame, steps: DataFrame) -> DataFrame:
     return own.groupBy("run", "tbl").applyInPandas(run, schema)
 
 
-def bases(found: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Spectrum and basis by (run, tbl, ckpt): dim squared numbers each, as many as there are tables and checkpoints."""
-    return {(r.run, r.tbl, r.ckpt): (np.array(r.spectrum), np.array(r.basis).reshape(len(r.spectrum), -1)) for r in found.collect()}
-
-
 def project_deltas(pairs: DataFrame, found: DataFrame, rank: int, basis_table: str | None = None, weighted: bool = False) -> DataFrame:
     """run, tbl, pair, id, projected: the movement's length in the leading directions of the current side.
 
     basis_table takes another table's directions. weighted gives the root of the movement's quadratic form in the
     covariance instead, over all directions.
     """
-    held = pairs.sparkSession.sparkContext.broadcast(bases(found))
+    keys = ["run", "pair"] if basis_table else PAIR
+    sides = found if basis_table is None else found.where(F.col("tbl") == basis_table)
+    sides = sides.withColumn("pair", F.col("ckpt") - 1).select(*keys, "spectrum", "basis")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = np.zeros(len(pdf))
-            for (r, t, p), own in pdf.groupby(PAIR, sort=False).indices.items():
-                values, vectors = held.value[r, basis_table or t, p + 1]
-                delta = np.stack(pdf["d"].iloc[own].to_list()) @ (vectors * np.sqrt(values) if weighted else vectors[:, :rank])
-                out[own] = np.sqrt((delta**2).sum(1))
-            yield pdf[[*PAIR, "id"]].assign(projected=out)
+    def run(pdf: pd.DataFrame, own: dict) -> pd.DataFrame:
+        vectors = own["basis"].reshape(len(own["spectrum"]), -1)
+        seen = np.stack(pdf["d"].to_list()) @ (vectors * np.sqrt(own["spectrum"]) if weighted else vectors[:, :rank])
+        return pdf[[*PAIR, "id"]].assign(projected=np.linalg.norm(seen, axis=1))
 
     delta = F.zip_with("prev.vec", "cur.vec", lambda x, y: y.cast("double") - x.cast("double")).alias("d")
-    return pairs.where("status = 'clean'").select(*PAIR, "id", delta).mapInPandas(run, "run string, tbl string, pair int, id long, projected double")
+    return apply_by_key(pairs.where("status = 'clean'").select(*PAIR, "id", delta), sides, keys, run, "run string, tbl string, pair int, id long, projected double")
 
 
 def dense_deltas(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.functions.ranks import EPS, average_rank, robust_z
+from driftlens.functions.ranks import EPS, average_rank, quantiles, robust_z
 from driftlens.functions.stage import settle
 from driftlens.functions.vectors import cosine, delta_norm, norm
 from driftlens.operators.pairs import PAIR
@@ -24,16 +24,17 @@ def movement(pairs: DataFrame) -> DataFrame:
     return pairs.where("status = 'clean'").select(*PAIR, "id", *measured()).drop("norm")
 
 
-def freq_residual(moves: DataFrame, exact: bool = True) -> DataFrame:
+def freq_residual(moves: DataFrame) -> DataFrame:
     """moves with freq_residual: the robust z of log dn against its line on log1p of the count's growth.
 
     Ids that did not move score 0, as do pairs with fewer than three movers; where all grew alike the line is flat.
     """
     movers = moves.where("dn > 0").select(*PAIR, "id", F.ln("dn").alias("y"), F.log1p(F.greatest("dcount", F.lit(0)).cast("double")).alias("x"))
-    fit = movers.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.stddev_pop("x").alias("sx"), F.median("y").alias("my"))
+    fit = movers.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.stddev_pop("x").alias("sx"))
+    fit = fit.join(quantiles(movers, PAIR, F.col("y"), {"my": 0.5}), PAIR)
     line = F.when(F.col("sx") < EPS, F.col("my")).otherwise(F.col("a") + F.col("b") * F.col("x"))
     off = settle(movers.join(fit.where("n >= 3"), PAIR).select(*PAIR, "id", (F.col("y") - line).alias("r")))
-    scored = robust_z(off, PAIR, "r", "freq_residual", CLIP, exact).select(*PAIR, "id", "freq_residual")
+    scored = robust_z(off, PAIR, "r", "freq_residual", CLIP).select(*PAIR, "id", "freq_residual")
     return moves.join(scored, [*PAIR, "id"], "left").withColumn("freq_residual", F.coalesce("freq_residual", F.lit(0.0)))
 
 
@@ -51,10 +52,10 @@ def top_k(scored: DataFrame, by: str, k: int = 10) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def movement_summary(moves: DataFrame, exact: bool = True) -> DataFrame:
+def movement_summary(moves: DataFrame) -> DataFrame:
     """mover_frac and the median, 95th percentile and maximum of the movement; 0 where a pair has no clean id."""
-    q = (lambda p: F.percentile("dn", p)) if exact else (lambda p: F.percentile_approx("dn", p, 10_000))
-    return moves.groupBy(*PAIR).agg(F.avg((F.col("dn") > 0).cast("double")).alias("mover_frac"), q(0.5).alias("delta_p50"), q(0.95).alias("delta_p95"), F.max("dn").alias("delta_max"))
+    sums = moves.groupBy(*PAIR).agg(F.avg((F.col("dn") > 0).cast("double")).alias("mover_frac"), F.max("dn").alias("delta_max"))
+    return sums.join(quantiles(moves, PAIR, F.col("dn"), {"delta_p50": 0.5, "delta_p95": 0.95}), PAIR, "left")
 
 
 def score_tails(scored: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def duplicate_ids(spark, sf_dir):
 def pair_summary(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     pairs = P.id_pairs(rows)
-    both = P.churn_rates(P.churn_counts(rows, pairs)).join(M.movement_summary(M.movement(pairs)), P.PAIR)
+    both = P.churn_rates(P.churn_counts(rows, pairs)).join(M.movement_summary(settle(M.movement(pairs))), P.PAIR)
     return _round(both.select("run", "tbl", "pair", "inserted_rate", "evicted_rate", "delta_p50", "delta_p95", "delta_max"))
 
 
@@ -215,7 +215,7 @@ def movement_rows(spark, sf_dir):
 
 @query(SCORES + "SELECT tbl, pair, round(mover_frac, 6) AS mover_frac, round(delta_p50, 4) AS delta_p50, round(delta_p95, 4) AS delta_p95, round(delta_max, 4) AS delta_max FROM summary")
 def delta_quantiles(spark, sf_dir):
-    return _round(_round(M.movement_summary(M.movement(P.id_pairs(_rows(spark, sf_dir)))), 6, "mover_frac").withColumn("run", F.lit("e")), 4, "delta_p50", "delta_p95", "delta_max")
+    return _round(_round(M.movement_summary(settle(M.movement(P.id_pairs(_rows(spark, sf_dir))))), 6, "mover_frac").withColumn("run", F.lit("e")), 4, "delta_p50", "delta_p95", "delta_max")
 
 
 @query(SCORES + "SELECT tbl, CAST(pair AS INTEGER) AS pair, round(mean_row_norm, 4) AS mean_row_norm FROM norms")
@@ -273,7 +273,7 @@ WITH rows_l AS (
 def part_churn(spark, sf_dir):
     rows = T.lineitem_trajectory(spark, sf_dir)
     pairs = P.id_pairs(rows)
-    both = P.churn_counts(rows, pairs).join(M.movement_summary(M.movement(pairs)), P.PAIR, "left")
+    both = P.churn_counts(rows, pairs).join(M.movement_summary(settle(M.movement(pairs))), P.PAIR, "left")
     return _round(both.select("run", "pair", "n_clean", "n_readmitted", "n_inserted", "n_evicted", "delta_p50", "delta_max"), 2)
 
 

@@ -77,11 +77,16 @@ def events_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = daily.select("*", k).where(F.col("k") <= LAST)
     total = each.groupBy("k", "id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("day") > 2 * F.col("k") - 7, F.col("n")).otherwise(0)).alias("recent"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(5)])
     users = daily.agg(F.floor(F.count_distinct("id") * 2 / 3).alias("cap"))
-    order = Window.partitionBy("k").orderBy(F.desc("recent"), "id")
-    ranked = total.where("recent > 0").withColumn("r", F.row_number().over(order))
-    cap = users.first().cap
+    # residents are the cap most active users of a checkpoint: windows span one count of recent events, and how many
+    # users had more is summed over the counts that occur
+    active = total.where("recent > 0")
+    levels = active.groupBy("k", "recent").agg(F.count("*").alias("users"))
+    above = F.coalesce(F.sum("users").over(Window.partitionBy("k").orderBy(F.desc("recent")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = levels.withColumn("above", above).join(F.broadcast(users)).withColumn("room", F.col("cap") - F.col("above")).where("room > 0").select("k", "recent", "room")
+    order = Window.partitionBy("k", "recent").orderBy("id")
+    ranked = active.join(room, ["k", "recent"]).withColumn("r", F.row_number().over(order))
     k, key = F.col("k"), F.col("id")
-    return ranked.where(F.col("r") <= cap).select(
+    return ranked.where(F.col("r") <= F.col("room")).select(
         F.lit("e").alias("run"), table_of(key).alias("tbl"), (k - FIRST).cast("int").alias("ckpt"), (2 * k).cast("long").alias("step"), "id",
         F.when((key + k) % 17 == 0, key + 1).otherwise(key).alias("slot"), F.when((key + 3 * k) % 29 == 0, 0).otherwise(F.col("n")).cast("long").alias("cnt"),
         F.array(*[F.col(f"v{i}") for i in range(5)]).alias("vec"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.cli import main
-from driftlens.functions.ranks import average_rank
+from driftlens.functions.ranks import average_rank, quantiles
 from driftlens.operators import attribution as A
 from driftlens.operators import calibrate as C
 from driftlens.operators import detect as D
@@ -124,6 +124,31 @@ def test_average_rank_of_any_values(spark):
     assert [by_id(average_rank(df, ["k"], "v", "rank"), "rank")[i] for i in range(9)] == numpy_ranks(np.array(values)).tolist()
 
 
+def test_quantiles_by_buckets(spark):
+    rng = np.random.default_rng(2)
+    groups = {"near": 1e6 + rng.normal(size=900) * 1e-3, "wide": np.exp(rng.normal(size=700) * 9), "ties": rng.integers(0, 3, 500) * 1.0, "one": np.array([4.0]), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double")
+    wanted = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+    for held in (0, 10_000):
+        got = {r.k: [r[c] for c in wanted] for r in quantiles(df, ["k"], F.col("v"), wanted, held).collect()}
+        for k, v in groups.items():
+            assert got[k] == pytest.approx(np.quantile(v, list(wanted.values())).tolist(), rel=1e-12), (k, held)
+    ranks = average_rank(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "v", "rank").where("k = 'near'").orderBy("v").collect()
+    assert [r["rank"] for r in ranks] == [float(x) for x in range(1, 901)]
+
+
+def test_matrices_beyond_the_broadcast_bound(spark, monkeypatch):
+    from driftlens.functions import matrices
+
+    monkeypatch.setattr(matrices, "GROUP", 7)
+    rows = spark.range(100).selectExpr("if(id < 60, 'a', if(id < 90, 'b', 'c')) as k", "id")
+    own = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0])], "k string, m array<double>")
+    add = lambda pdf, m: pdf[["k", "id"]].assign(s=pdf["id"] + m["m"].sum())
+    for most in (0, 10_000):
+        got = matrices.apply_by_key(rows, own, ["k"], add, "k string, id long, s double", most).collect()
+        assert {(r.k, r.id, r.s) for r in got} == {("a" if i < 60 else "b", i, i + 3.0) for i in range(90)}
+
+
 def test_movement_and_top(spark):
     rows = rows_of(spark, [{i: (i, 1, [1, 0]) for i in range(6)}, {i: (i, 2, [1, i % 3]) for i in range(6)}])
     moves = M.movement(P.id_pairs(rows))
@@ -300,7 +325,7 @@ def test_trials_corrupt_as_planned(spark):
     clean = C.synthetic_trajectories(spark, 2, n=12, dim=3, steps=6)
     kinds = ["scramble", "zero", "noise", "freeze"]
     trials = spark.createDataFrame([(f"{k}{on}", "emb", k, 2.0, 3, 3, on, 7 + i) for i, k in enumerate(kinds) for on in (False, True)], "trial string, tbl string, kind string, magnitude double, n_ids int, step int, persistent boolean, seed long")
-    rows = clean.where("run = 'syn-0'").crossJoin(trials.select("trial")).withColumn("run", F.col("trial")).select(*clean.columns)
+    rows = clean.where("run = 'syn-0'").withColumn("run", F.explode(F.array(*[F.lit(f"{k}{on}") for k in kinds for on in (False, True)]))).select(*clean.columns)
     got = U.inject_trials(rows, trials)
     old = {(r.ckpt, r.id): r.vec for r in clean.where("run = 'syn-0'").collect()}
     top = {r.id for r in clean.where("run = 'syn-0' and ckpt = 3").orderBy(F.desc("cnt"), "id").limit(3).collect()}
