@@ -82,7 +82,7 @@ def events_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = total.where("recent > 0")
     levels = active.groupBy("k", "recent").agg(F.count("*").alias("users"))
     above = F.coalesce(F.sum("users").over(Window.partitionBy("k").orderBy(F.desc("recent")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = levels.withColumn("above", above).join(F.broadcast(users)).withColumn("room", F.col("cap") - F.col("above")).where("room > 0").select("k", "recent", "room")
+    room = levels.withColumns({"above": above, "_all": F.lit(1)}).join(F.broadcast(users.withColumn("_all", F.lit(1))), "_all").withColumn("room", F.col("cap") - F.col("above")).where("room > 0").select("k", "recent", "room")
     order = Window.partitionBy("k", "recent").orderBy("id")
     ranked = active.join(room, ["k", "recent"]).withColumn("r", F.row_number().over(order))
     k, key = F.col("k"), F.col("id")
