@@ -7,8 +7,8 @@
    that as a whole stands twice is repeated in all its windows; what remains are different pieces under one key.
 3. These, one representative each, are cut from the texts, brought together by key into shards and put through
    external induced sorting (``induced_sort``): suffixes that share 200 bytes with a neighbour in suffix order are
-   repeated. Keys with more than HOT different pieces don't go to one shard: their windows are hashed to 128 bits and
-   counted one by one, with partial aggregation.
+   repeated. Keys with more than HOT different pieces don't go to one shard: their pieces are dealt over shards that are
+   sorted alike, and of each window that is different in its shard a 128-bit hash is compared across shards.
 4. The repeated windows are joined back to all pieces and, by text, to the documents.
 
 A text is identified by 128 bits of hash, not by its id, so null or repeated ids, repeated rows and copies need no
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from driftlens.llm.common import discard, free_name, map_arrow, materialize, mix64, skew_join, small_batches, table, utf8
-from driftlens.llm.induced_sort import DEPTH, repeated_starts
+from driftlens.llm.induced_sort import DEPTH, repeated_starts, sorted_suffixes
 from driftlens.llm.words import power_pair
 
 ANCHOR = 32
@@ -91,12 +91,12 @@ def all_pieces(docs: DataFrame) -> DataFrame:
     return map_arrow(own, run, "h1 long, h2 long, key long, piece long, size int, starts array<int>")
 
 
-def _shards(batches):
-    """Rows (key, piece, bytes), sorted by key, as lists of whole keys of about SHARD bytes."""
+def _shards(batches, whole_keys: bool = True):
+    """Rows (key, piece, bytes) as lists of about SHARD bytes; of whole keys where the rows are sorted by key."""
     rows, held = [], 0
     for batch in batches:
         for key, piece, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if held > SHARD and rows[-1][0] != key:
+            if held > SHARD and (rows[-1][0] != key or not whole_keys):
                 yield rows
                 rows, held = [], 0
             rows.append((key, piece, text))
@@ -138,36 +138,74 @@ def sort_shards(cut: DataFrame) -> DataFrame:
     return cut.select("key", "piece", "bytes").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _SPAN_ROWS)
 
 
-def count_windows(cut: DataFrame) -> DataFrame:
-    """The same for keys with too many pieces for one shard: each window's 128-bit hash is counted."""
+def sort_hot(cut: DataFrame) -> DataFrame:
+    """The same for keys with too many pieces for one shard: their pieces are dealt over shards, each sorted by itself.
 
-    def windows(batch):
-        for start in range(0, batch.num_rows, 100):
-            part = batch.slice(start, 100)
-            texts = list(utf8(part.column(2)))
-            counts = np.array([len(t) - DEPTH + 1 for t in texts])
-            digest = xxhash.xxh3_128_digest
-            hashes = np.frombuffer(b"".join(digest(t[a : a + DEPTH]) for t in texts for a in range(len(t) - DEPTH + 1)), ">i8").reshape(-1, 2).astype(np.int64)
-            keys, own = (np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1))
-            yield {"key": keys, "piece": own, "window": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]), "w1": hashes[:, 0], "w2": hashes[:, 1]}
+    In a shard, suffixes that share DEPTH bytes stand next to each other, so each different window is told once, with a
+    128-bit hash; windows that several shards tell are repeated as well. The shards are the pre-aggregation.
+    """
+    kind = "key long, piece long, spans array<struct<a:int,b:int>>, w1 long, w2 long, place int"
 
-    each = map_arrow(cut.select("key", "piece", "bytes"), windows, "key long, piece long, window int, w1 long, w2 long")
-    twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return each.join(twice, ["w1", "w2"]).groupBy("key", "piece").agg(F.array_sort(F.collect_list(F.struct(F.col("window").alias("a"), F.col("window").alias("b")))).alias("spans"))
+    def run(batches):
+        for rows in _shards(batches, whole_keys=False):
+            text = b"".join(t + b"\xff" for _, _, t in rows)
+            size = np.array([len(t) + 1 for _, _, t in rows])
+            first = np.cumsum(size) - size
+            order, shared = (np.concatenate(x) for x in zip(*sorted_suffixes(np.frombuffer(text, np.uint8)), strict=True))
+            new = shared < DEPTH
+            new[0] = True
+            run_of = np.cumsum(new) - 1
+            many = np.bincount(run_of) > 1
+            repeated = np.zeros(len(text), bool)
+            repeated[order[many[run_of]]] = True
+            row_of = np.searchsorted(first, order[new], "right") - 1
+            at = order[new] - first[row_of]
+            told = at + DEPTH < size[row_of]  # the separator is no part of a window
+            keys, pieces_ = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            for s in range(0, int(told.sum()), 200_000):
+                own = np.flatnonzero(told)[s : s + 200_000]
+                starts = order[new][own].tolist()
+                digest = xxhash.xxh3_128_digest
+                pair = np.frombuffer(b"".join(digest(text[a : a + DEPTH]) for a in starts), ">i8").reshape(-1, 2).astype(np.int64)
+                none = [None] * len(own)
+                yield {"key": keys[row_of[own]], "piece": pieces_[row_of[own]], "spans": none, "w1": pair[:, 0], "w2": pair[:, 1], "place": pa.array(at[own].astype(np.int32), mask=many[own])}
+            found = [(k, p, _spans(repeated[a : a + len(t) - DEPTH + 1])) for (k, p, t), a in zip(rows, first.tolist(), strict=True)]
+            found = [f for f in found if f[2]]
+            none = [None] * len(found)
+            yield {"key": [f[0] for f in found], "piece": [f[1] for f in found], "spans": [f[2] for f in found], "w1": none, "w2": none, "place": none}
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(kind))
+
+    def batches_of(batches):
+        for made in run(batches):
+            yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = materialize(cut.select("key", "piece", "bytes").repartition(parts, "key", "piece").mapInArrow(batches_of, kind), "hot-windows")
+    windows = told.where("spans is null")
+    across = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    lone = windows.where("place is not null").join(across, ["w1", "w2"]).select("key", "piece", F.array(F.struct(F.col("place").alias("a"), F.col("place").alias("b"))).alias("spans"))
+    every = told.where("spans is not null").select("key", "piece", "spans").unionByName(lone)
+    return every.groupBy("key", "piece").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """h1, h2, found: the repeated windows of every text that has any, as longs of first and last (32 bits each)."""
     every = materialize(all_pieces(docs), "pieces")
-    keys = every.groupBy("key").agg(F.sum(F.size("starts")).alias("n"), (F.min("piece") != F.max("piece")).alias("mixed")).where("n > 1").select("key", "mixed")
-    shared = materialize(every.join(keys, "key"), "shared-pieces")
+    keys = every.groupBy("key").agg(F.sum(F.size("starts")).alias("n"), (F.min("piece") != F.max("piece")).alias("mixed")).where("n > 1")
+    keys = materialize(keys.select("key", "mixed", "n"), "shared-keys")
+    shared = materialize(skew_join(every, keys, ["key"]).drop("n"), "shared-pieces")
+    discard(every)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - 1).alias("b")))
 
     place = F.struct("h1", "h2", F.col("starts")[0].alias("start"), "size")
     different = materialize(shared.where("mixed").groupBy("key", "piece").agg(F.sum(F.size("starts")).alias("n"), F.min(place).alias("place")), "different-pieces")
     hot = different.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
     cut = materialize(cut_pieces(docs, different), "cut-pieces")
-    spread = sort_shards(cut.join(hot, "key", "left_anti")).unionByName(count_windows(cut.join(hot, "key", "left_semi")))
+    spread = sort_shards(cut.join(hot, "key", "left_anti")).unionByName(sort_hot(cut.join(hot, "key", "left_semi")))
     twice = different.where("n > 1").select("key", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.col("place.size") - 1).alias("b"))).alias("spans"))
     spans = materialize(spread.join(twice, ["key", "piece"], "left_anti").unionByName(twice), "spans")
 
@@ -180,7 +218,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def cut_pieces(docs: DataFrame, different: DataFrame) -> DataFrame:
     """key, piece, bytes of the pieces at the given places."""
-    wanted = different.groupBy("place.h1", "place.h2").agg(F.collect_list(F.struct("key", "piece", "place.start", "place.size")).alias("wanted"))
+    # written first, so that adaptive execution may split the join where many rows have one text
+    wanted = materialize(different.groupBy("place.h1", "place.h2").agg(F.collect_list(F.struct("key", "piece", "place.start", "place.size")).alias("wanted")), "wanted-pieces")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *text_key(F.col("text").cast("string")))
     # a text that stands twice is cut twice; its pieces are the same
     found = texts.join(wanted, ["h1", "h2"]).select("text", "wanted")
@@ -200,9 +239,10 @@ def cut_pieces(docs: DataFrame, different: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """All columns of docs and kept (binary), n_bytes, n_removed, spans of bytes removed."""
     names = docs.columns
-    h1, h2, own = (free_name(docs, c) for c in ("_h1", "_h2", "_found"))
+    h1, h2, f1, f2, own = (free_name(docs, c) for c in ("_h1", "_h2", "_f1", "_f2", "_found"))
     tagged = docs.withColumns(dict(zip((h1, h2), text_key(F.col("text").cast("string")), strict=True)))
-    joined = tagged.join(found.withColumnRenamed("found", own), (F.col(h1) == found.h1) & (F.col(h2) == found.h2), "left")
+    named = found.select(F.col("h1").alias(f1), F.col("h2").alias(f2), F.col("found").alias(own))
+    joined = tagged.join(named, (F.col(h1) == F.col(f1)) & (F.col(h2) == F.col(f2)), "left")
     at = names.index("text")
     result = "_kept binary, _n_bytes long, _n_removed long, _spans array<struct<a:int,b:int>>"
     schema = joined.select(*names).schema
@@ -232,7 +272,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
             made = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(list(c), arrow.field(len(names) + k).type) for k, c in enumerate(made)]], schema=arrow)
 
-    return joined.select(*[tagged[c] for c in names], own).mapInArrow(run, schema)
+    return joined.select(*names, own).mapInArrow(run, schema)
 
 
 def op4_suffix_array(spark, sf_dir: str) -> DataFrame:
