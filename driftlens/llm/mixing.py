@@ -26,6 +26,7 @@ from driftlens.llm.common import free_name, map_arrow, materialize, small_batche
 
 BLOCK, MOST = 4_096, 3
 NUMBERED = 10_000  # equal rows that one task numbers
+FEW_SOURCES = 100_000  # sources up to which their totals are broadcast
 WEIGHTS = (1, 2, 3)
 _EPS = 1e-9
 
@@ -121,6 +122,11 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """A row a source, broadcast while they are few, so that a source with a third of all rows is no task's alone."""
+    return F.broadcast(rows) if n <= FEW_SOURCES else rows
+
+
 def _decide(round_: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         source, block, of = key
@@ -143,7 +149,7 @@ def cube_sample(rows: DataFrame, counts: dict[str | None, int]) -> DataFrame:
     done, round_ = None, 0
     while True:
         blocks = {s: max(1, math.ceil(n / BLOCK)) for s, n in counts.items()}
-        many = spark.createDataFrame([(s, b) for s, b in blocks.items()], "_s string, _blocks int")
+        many = _small(spark.createDataFrame([(s, b) for s, b in blocks.items()], "_s string, _blocks int"), len(blocks))
 
         placed = rows.join(many, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.pmod(F.xxhash64("h1", "k", F.lit(round_)), F.col("_blocks")))
         placed = placed.select(*names, "_block", "_blocks")
@@ -163,7 +169,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     found = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()  # a row a source
     totals = {r.source: int(r.n) for r in found}
     goal = targets(totals, weights)
-    share = spark.createDataFrame([(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in totals.items()], "_s string, source_size long, target double, rate double")
+    share = _small(spark.createDataFrame([(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in totals.items()], "_s string, source_size long, target double, rate double"), len(totals))
     whole = F.floor(F.col("rate") + _EPS)
     rated = numbered(sizes).join(share, F.col("source").eqNullSafe(F.col("_s"))).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0)))
     drawn = cube_sample(rated.select("doc_id", "source", "h1", "h2", "size", "k", "p"), {r.source: int(r.docs) for r in found})
