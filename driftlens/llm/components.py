@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import materialize
+from driftlens.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        made = materialize(_star(_star(edges, True), False), "stars")
+        discard(edges)
+        edges = made
         r = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(r) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,8 +12,9 @@ links, never all pairs, and ``components`` joins the forests.
 exact set-similarity join. Shingles are ordered rarest first by counts over the whole corpus (in COUNTERS counters, so a
 frequent shingle is never taken for a rare one; the order decides the work, not the result). Two similar sets share one
 of their first ``size - need + 1`` shingles, and pairs are filtered by length, place and the parities of PARITIES groups
-of shingles before the shingles decide. Sets that are neighbours in size under a key are compared first; whatever they
-join need not meet again, so that groups of copies cost no square. A frequent key is dealt into cells of CELL sets.
+of shingles before the shingles decide. Sets that are neighbours in size under CHAINS keys (``common_keys``) come first;
+whatever they join need not meet again, so that groups of near copies cost no square. A frequent key is dealt into cells of
+CELL sets.
 
 Null texts count as empty; all empty texts are copies of each other. Rows that repeat an id are rows like any other.
 """
@@ -34,7 +35,7 @@ from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materiali
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
-COUNTERS, CHUNK, PARITIES, CELL = 1 << 22, 1 << 16, 512, 1000
+COUNTERS, CHUNK, PARITIES, CELL, CHAINS = 1 << 22, 1 << 16, 512, 1000, 4
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -285,10 +286,28 @@ def _need(similarity: float, size_a, size_b) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b) - 1e-9)
 
 
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) those that are the nearest of either of their two."""
+    order = np.lexsort((j, i, far))
+    keep = np.union1d(*(order[np.unique(x[order], return_index=True)[1]] for x in (i, j)))
+    return i[keep], j[keep], far[keep]
+
+
 def _lists(*names: str) -> list[F.Column]:
     return [F.collect_list(k).alias(k) for k in names]
 
 
+def common_keys(shared: DataFrame, most: int) -> DataFrame:
+    """Of each set the rarest of those keys that half as many sets have as have its most frequent one, as rows of shared.
+
+    Near copies differ in the keys that few have, and how many of the frequent ones a prefix reaches differs as well; the
+    rarest of the frequent ones are common to all. A set has no more keys than its prefix is long.
+    """
+    held = shared.groupBy("node").agg(F.collect_list(F.struct("pos", "key", "size", "n")).alias("x"), F.max("n").alias("top"))
+    chosen = F.slice(F.array_sort(F.filter("x", lambda x: 2 * x["n"] >= F.col("top"))), 1, most)
+    return held.select("node", F.explode(chosen).alias("x")).select("x.key", "node", "x.size", "x.pos", "x.n")
+
+
 def chained_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (u, v) of sets that are neighbours in size under one key: a pair a row, whatever the key's size."""
 
@@ -301,15 +320,17 @@ def chained_pairs(shared: DataFrame, similarity: float) -> DataFrame:
         a, b = node[1:][near], node[:-1][near]
         return {"u": np.minimum(a, b), "v": np.maximum(a, b)}
 
-    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).alias("cell")
+    # a cell of its own under each key, so that chains under several keys join the cells
+    cell = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / CELL)).alias("cell")
     groups = shared.groupBy("key", cell).agg(*_lists("node", "size", "pos"))
     return map_arrow(groups.select("node", "size", "pos"), run, "u long, v long").distinct()
 
 
-def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float, nearest: bool = False) -> DataFrame:
     """Distinct pairs (u, v) of sets with a common key and different roots (labels: node, root, bits) that may be similar.
 
-    A key's sets are dealt into cells of about CELL, and any two cells meet in a group of their own.
+    A key's sets are dealt into cells of about CELL, and any two cells meet in a group of their own. With nearest, a group
+    tells of each of its sets only the one pair whose parities differ least: as many pairs as sets, not their square.
     """
 
     def run(batch):
@@ -322,6 +343,7 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float) ->
             bits = np.frombuffer(b"".join(batch.column(4)[k].values.to_pylist()), np.uint64).reshape(len(node), -1)
             low = own == own.min()
             left, right = (np.arange(len(node)),) * 2 if batch.column(6)[k].as_py() else (np.flatnonzero(low), np.flatnonzero(~low))
+            told = []
             for s in range(0, len(left), 256):
                 a, b = left[s : s + 256, None], right[None, :]
                 near = (root[a] != root[b]) & _may_match(similarity, size[a], pos[a], size[b], pos[b])
@@ -329,7 +351,16 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float) ->
                 i, j = left[s + i], right[j]
                 # the parities that differ are no more than the shingles that only one of the sets has
                 far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                i, j = (x[far <= size[i].astype(np.int64) + size[j] - 2 * _need(similarity, size[i], size[j])] for x in (i, j))
+                near = far <= size[i].astype(np.int64) + size[j] - 2 * _need(similarity, size[i], size[j])
+                i, j, far = i[near], j[near], far[near]
+                if nearest:
+                    i, j, far = _nearest(i, j, far)
+                    told.append((i, j, far))
+                    continue
+                u.append(np.minimum(node[i], node[j]))
+                v.append(np.maximum(node[i], node[j]))
+            if told:
+                i, j, _ = _nearest(*map(np.concatenate, zip(*told, strict=True)))
                 u.append(np.minimum(node[i], node[j]))
                 v.append(np.maximum(node[i], node[j]))
         made = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
@@ -373,7 +404,10 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, row, component_id: texts linked by shingle sets of at least that similarity, directly or in steps."""
+    """doc_id, row, component_id, root: texts linked by shingle sets of at least that similarity, directly or in steps.
+
+    root tells groups apart; component_id, the least id in a group, may be that of several where an id has several texts.
+    """
     made = materialize(signatures(docs, width), "signatures")
     found = made.where("chunk is null").select("doc_id", "row", "node")
     prefixed = materialize(prefixes(docs, width, similarity, frequency_levels(made)), "prefixes")
@@ -388,17 +422,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         discard(sets)
         return linked
 
-    # chains join nearly all of a group of near copies at a pair a row; then only sets of different components meet
-    linked = verified(chained_pairs(shared, similarity))
-    labels = prefixed.join(components(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
-    linked = linked.unionByName(verified(remaining_pairs(shared, labels, similarity)))
+    # chains under a few keys and the nearest of what they leave join nearly all of a group of near copies at a few pairs
+    # a row; then only sets of different components meet
+    linked = verified(chained_pairs(common_keys(shared, CHAINS), similarity))
+    for nearest in (True, False):
+        labels = prefixed.join(components(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
+        linked = linked.unionByName(verified(remaining_pairs(shared, labels, similarity, nearest)))
     roots = components(linked)
     discard(prefixed)
     discard(shared)
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "row", "component_id")
+    return found.join(placed.join(least, "root").select("node", "root", "component_id"), "node").select("doc_id", "row", "component_id", "root")
 
 
 def keep_first_of_groups(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -408,7 +444,7 @@ def keep_first_of_groups(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     different texts may stand; of those in one group the least text hash stays.
     """
     grouped = near_duplicates(docs)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias("row"))
+    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("row").alias("row"))
     row = free_name(docs, "_row")
     tagged = docs.withColumn(row, text_row(F.col("text")))
     joined = tagged.join(kept, tagged.doc_id.eqNullSafe(kept.component_id) & (tagged[row] == kept.row), "left_semi")

@@ -243,3 +243,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert not {1000, 1001, 1200} & set(rows)
     assert {1100, 1101} <= set(rows) and all(rows[i].size in range(78, 84) for i in (1100, 1101))
     assert sum(r.taken for r in rows.values()) > 0
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Null and empty texts, null ids, repeated rows, columns with names of the stages' own; and empty tables."""
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "s"), (2, "", None, None), (None, "", "en", "s"), (None, "one two three", "en", "s"), (4, "four five six seven eight nine", "en", "t"), (4, "four five six seven eight nine", "en", "t"), (4, "another text", "en", "t")]
+    df = spark.createDataFrame([(*r, 0, 1, "x", 2, "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _h1 int, _row string, h1 int, found string")
+    labels = spark.createDataFrame([(4, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(7, None), (8, "")], "item_id long, text string")
+    for name, tables in (("odd", (df, labels, items)), ("empty", (df.limit(0), labels.limit(0), items.limit(0)))):
+        for table, made in zip(("documents", "labels", "benchmark"), tables, strict=True):
+            made.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken", "copies"]
+    got = sorted(((r.doc_id or 0, r.text or "", r._h1, r._row, r.h1, r.found) for r in out.collect()))
+    # all texts without a word are copies of each other; two texts under one id are two documents
+    assert got == [(0, "one two three", 1, "x", 2, "y"), (1, "", 1, "x", 2, "y"), (4, "another text", 1, "x", 2, "y"), (4, "four five six seven eight nine", 1, "x", 2, "y")]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
