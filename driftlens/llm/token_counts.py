@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_arrow, shared_dir, small_batches, table, utf8
+from driftlens.llm.common import discard, map_arrow, materialize, shared_dir, small_batches, table, utf8
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the published pre-tokenizer pattern of that vocabulary.
@@ -50,29 +50,44 @@ def _encoder(ranks: dict[bytes, int]):
     return _encoders[BPE_VERSION]
 
 
-def count_tokens(changes: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
-    """The signed rollup of one batch of changes."""
-    spark = changes.sparkSession
+def measured(rows: DataFrame, keep: list[str], texts: list[str], vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """The kept columns, and for each text column an array n_<column> of its words, bytes and tokens (0 without a vocabulary).
+
+    What follows needs no text any more. A text that equals that of the first column is not counted twice.
+    """
+    spark = rows.sparkSession
     small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary) if vocabulary else None)
 
     def run(batch):
-        texts = list(utf8(batch.column(3)))
-        out = {"op": batch.column(0), "source": batch.column(1), "lang": batch.column(2), "words": [len(t.split()) for t in texts], "bytes": [len(t) for t in texts], "bpe": [None] * len(texts)}
-        if ranks.value:
-            e = _encoder(ranks.value)
-            out["bpe"] = [len(e.encode_ordinary(t.decode())) for t in texts]
-        return out
-
-    counted = map_arrow(changes.select("op", "source", "lang", F.col("text").cast("string")), run, "op string, source string, lang string, words long, bytes long, bpe long")
+        encode = _encoder(ranks.value).encode_ordinary if ranks.value else lambda text: ()
+        count = lambda t: [len(t.split()), len(t), len(encode(t.decode()))]
+        columns = [list(utf8(batch.column(len(keep) + k))) for k in range(len(texts))]
+        first = [count(t) for t in columns[0]]
+        counted = [first] + [[n if t == u else count(t) for t, u, n in zip(own, columns[0], first, strict=True)] for own in columns[1:]]
+        return {c: batch.column(k) for k, c in enumerate(keep)} | {f"n_{c}": n for c, n in zip(texts, counted, strict=True)}
+
+    kinds = dict(rows.select(*keep).dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"n_{c} array<long>" for c in texts])
+    return map_arrow(rows.select(*keep, *[F.col(c).cast("string") for c in texts]), run, schema)
+
+
+def roll_up(counted: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """The signed rollup of one batch of measured changes (op, source, lang, n)."""
     known = F.element_at(F.create_map(*[x for op, s in SIGNS.items() for x in (F.lit(op), F.lit(s))]), F.coalesce("op", F.lit("")))
     sign = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))).cast("int"))
-    versions = {"words-1": "words", "bytes-1": "bytes"} | ({BPE_VERSION: "bpe"} if vocabulary else {})
-    summed = counted.withColumn("sign", sign).groupBy("source", "lang").agg(F.sum("sign").cast("long").alias("docs"), *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in versions.values()])
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("tokens")) for v, c in versions.items()]))
+    versions = ["words-1", "bytes-1"] + ([BPE_VERSION] if vocabulary else [])
+    sums = [F.sum(F.col("sign") * F.col("n")[k]).alias(f"t{k}") for k in range(len(versions))]
+    summed = counted.withColumn("sign", sign).groupBy("source", "lang").agg(F.sum("sign").cast("long").alias("docs"), *sums)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"t{k}").alias("tokens")) for k, v in enumerate(versions)]))
     return summed.select("source", "lang", "docs", each.alias("t")).select("source", "lang", "t.tokenizer", "docs", "t.tokens")
 
 
+def count_tokens(changes: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """The signed rollup of one batch of changes (op, source, lang, text)."""
+    return roll_up(measured(changes, ["op", "source", "lang"], ["text"], vocabulary).withColumnRenamed("n_text", "n"), vocabulary)
+
+
 class Rollup:
     """Committed batches of signed counts under one folder."""
 
@@ -86,13 +101,13 @@ class Rollup:
     def committed(self) -> list[str]:
         return sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(self._at(self.path)) if s.getPath().getName().startswith("batch="))
 
-    def commit(self, batch: str, changes: DataFrame, vocabulary: str | None = VOCABULARY) -> bool:
-        """Apply a batch once: False, and no work, where its id is committed already."""
+    def commit(self, batch: str, changes: DataFrame, vocabulary: str | None = VOCABULARY, counted: bool = False) -> bool:
+        """Apply a batch of changes, or of counted ones (see roll_up), once: False, and no work, where its id is committed."""
         final, mark = self._at(f"{self.path}/batch={batch}"), f"_by-{uuid.uuid4().hex}"
         if self._fs.exists(final):
             return False
         draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
-        count_tokens(changes, vocabulary).write.parquet(draft)
+        (roll_up if counted else count_tokens)(changes, vocabulary).write.parquet(draft)
         self._fs.create(self._at(f"{draft}/{mark}")).close()
         if not self._fs.exists(final) and self._fs.rename(self._at(draft), final) and self._marks(final) == [mark]:
             return True
@@ -118,17 +133,19 @@ def commit_history(spark, sf_dir: str, vocabulary: str | None = VOCABULARY) -> R
     documents that are labelled toxic, with the text that they have by then. The load is sent twice, which is void.
     """
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents").withColumn("revised", F.regexp_replace("text", "\\n+", "\n"))
+    # texts are counted once, before anything is joined
+    sized = materialize(measured(docs, ["doc_id", "source", "lang"], ["text", "revised"], vocabulary), "token-sizes")
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
-    known = docs.join(marks, "doc_id")
-    revised = F.when(F.col("_quality") == 0, F.regexp_replace("text", "\\n+", "\n")).otherwise(F.col("text"))
-    columns = ("op", "source", "lang", "text")
-    load = docs.withColumn("op", F.lit("insert")).select(*columns)
-    poor = known.where(F.col("_quality") == 0)
-    revision = poor.withColumn("op", F.lit("revise_from")).select(*columns).unionByName(poor.withColumn("text", revised).withColumn("op", F.lit("revise_to")).select(*columns))
-    deletion = known.where(F.col("_toxic") > 0).withColumn("text", revised).withColumn("op", F.lit("delete")).select(*columns)
-    for batch, changes in (("1-load", load), ("1-load", load), ("2-revision", revision), ("3-deletion", deletion)):
-        rollup.commit(batch, changes, vocabulary)
+    known = sized.join(marks, "doc_id")
+    poor, toxic = known.where(F.col("_quality") == 0), known.where(F.col("_toxic") > 0)
+    now = F.when(F.col("_quality") == 0, F.col("n_revised")).otherwise(F.col("n_text"))
+    change = lambda rows, op, n: rows.select(F.lit(op).alias("op"), "source", "lang", n.alias("n"))
+    load = change(sized, "insert", F.col("n_text"))
+    revision = change(poor, "revise_from", F.col("n_text")).unionByName(change(poor, "revise_to", F.col("n_revised")))
+    for batch, changes in (("1-load", load), ("1-load", load), ("2-revision", revision), ("3-deletion", change(toxic, "delete", now))):
+        rollup.commit(batch, changes, vocabulary, counted=True)
+    discard(sized)
     return rollup
 
 
