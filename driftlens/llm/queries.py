@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from driftlens.llm.decontamination import op3_decontamination
+from driftlens.llm.filter_audit import OP12_SQL, op12_filter_audit
 from driftlens.llm.importance import OP11_SQL, op11_importance
 from driftlens.llm.licenses import PHRASES_SQL, licence_phrases, op10_licenses
 from driftlens.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
     "op11_importance": op11_importance,
+    "op12_filter_audit": op12_filter_audit,
     # what SQL can say of the operators above, over the same whole tables
     "stored_texts": stored_texts,
     "word_and_byte_totals": word_and_byte_totals,
@@ -36,6 +38,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op9_line_dedup": OP9_SQL,
     "op11_importance": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
     "stored_texts": STORED_SQL,
     "word_and_byte_totals": TOTALS_SQL,
     "source_totals": SOURCE_TOTALS_SQL,
