@@ -14,6 +14,7 @@ from driftlens.llm.suffix_dedup import op4_suffix_array
 from driftlens.llm.token_counts import TOTALS_SQL, op5_token_counts, word_and_byte_totals
 from driftlens.llm.toxicity import op8_toxicity
 from driftlens.llm.transport_stream import STORED_SQL, op2_transport_stream, stored_texts
+from driftlens.llm.url_filter import RULES_SQL, op13_url_filter, url_rules
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -28,11 +29,13 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_importance": op11_importance,
     "op12_filter_audit": op12_filter_audit,
+    "op13_url_filter": op13_url_filter,
     # what SQL can say of the operators above, over the same whole tables
     "stored_texts": stored_texts,
     "word_and_byte_totals": word_and_byte_totals,
     "source_totals": source_totals,
     "licence_phrases": licence_phrases,
+    "url_rules": url_rules,
 }
 
 SQL: dict[str, str] = {
@@ -43,4 +46,5 @@ SQL: dict[str, str] = {
     "word_and_byte_totals": TOTALS_SQL,
     "source_totals": SOURCE_TOTALS_SQL,
     "licence_phrases": PHRASES_SQL,
+    "url_rules": RULES_SQL,
 }
