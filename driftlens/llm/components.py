@@ -1,8 +1,9 @@
 """Connected components of a graph given as edges, by alternating large and small stars on DataFrames.
 
-Each round is two aggregations with map-side combine and two joins on the node, so a hub costs one partial row a task
-and a join that adaptive execution may split. Rounds are written to the shared folder; their number grows with the
-logarithm of the longest path, and nothing but two totals a round reaches the driver.
+Each round is two aggregations with map-side combine and two joins on the node. A hub costs the aggregation one partial row
+a task; what it yields is written before it is joined, as adaptive execution splits a hub's rows only where both sides of a
+join come straight from a shuffle. Rounds are written to the shared folder; their number grows with the logarithm of the
+longest path, and nothing but two totals a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,19 +14,25 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import discard, materialize
 
 
+def _least(both: DataFrame) -> DataFrame:
+    return materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v). Large: a node's larger neighbours point to its least one. Small: itself and its smaller ones do."""
+    """edges (u, v), written. Large: a node's larger neighbours point to its least one. Small: itself and its smaller ones do."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = _least(both)
     moved = both.join(least, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    made = materialize(moved.where("u <> v").distinct(), "stars")
+    discard(least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,9 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     while True:
-        made = materialize(_star(_star(edges, True), False), "stars")
+        large = _star(edges, True)
         discard(edges)
-        edges = made
+        edges = _star(large, False)
+        discard(large)
         r = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(r) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -36,6 +36,7 @@ from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
 COUNTERS, CHUNK, PARITIES, CELL, CHAINS = 1 << 22, 1 << 16, 512, 1000, 4
+SUMMANDS = 256  # counter chunks of 256 kB that one group sums
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -240,9 +241,14 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
         return {"chunk": batch.column(0), "counts": [zlib.compress(t.tobytes(), 1) for t in total]}
 
     counts = found.where("chunk is not null").select("chunk", "counts")
-    for shares in (64, 1):  # in two steps, as there are as many rows a chunk as tasks
-        grouped = counts.groupBy("chunk", F.pmod(F.xxhash64("counts"), F.lit(shares)).alias("share")).agg(F.collect_list("counts").alias("counts"))
+    # as many rows a chunk as tasks: summed in a tree, SUMMANDS of them at a time
+    most = counts.groupBy("chunk").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while True:
+        most = max(1, math.ceil(most / SUMMANDS))
+        grouped = counts.groupBy("chunk", F.pmod(F.xxhash64("counts"), F.lit(most)).alias("share")).agg(F.collect_list("counts").alias("counts"))
         counts = map_arrow(grouped.select("chunk", "counts"), run, "chunk int, counts binary")
+        if most == 1:
+            break
     levels = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
     for r in counts.toLocalIterator():
         levels[r.chunk] = np.minimum(255, 8 * np.log2(np.frombuffer(zlib.decompress(r.counts), np.uint32) + 1.0))
@@ -329,7 +335,8 @@ def chained_pairs(shared: DataFrame, similarity: float) -> DataFrame:
 def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float, nearest: bool = False) -> DataFrame:
     """Distinct pairs (u, v) of sets with a common key and different roots (labels: node, root, bits) that may be similar.
 
-    A key's sets are dealt into cells of about CELL, and any two cells meet in a group of their own. With nearest, a group
+    Keys whose sets all have one root are left out before anything is dealt. A key's sets are dealt into cells of about
+    CELL, and any two cells meet in a group of their own. With nearest, a group
     tells of each of its sets only the one pair whose parities differ least: as many pairs as sets, not their square.
     """
 
@@ -366,6 +373,11 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float, nea
         made = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
         return {"u": made[:, 0], "v": made[:, 1]}
 
+    # written first, so that adaptive execution may split the joins where one key is hot
+    labels = materialize(labels, "labels")
+    mixed = shared.join(labels.select("node", "root"), "node").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    mixed = materialize(mixed.where("a <> b").select("key"), "mixed-keys")
+    shared = shared.join(mixed, "key", "left_semi")
     cells = F.ceil(F.col("n") / CELL)
     placed = shared.join(labels, "node").withColumn("own", F.pmod(F.xxhash64("node"), cells))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
@@ -375,15 +387,15 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, similarity: float, nea
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """node, shingles (32 bits each) of one text for each node; rows (row, node) names the text by its hash."""
+    """node, shingles (64 bits each) of one text for each node; rows (row, node) names the text by its hash."""
     texts = docs.select(F.col("text").cast("string").alias("text"), text_row(F.col("text")).alias("row")).join(rows, "row")
 
     def run(batch):
-        sets = [np.unique(shingle_hashes(t, width).astype(np.uint32).view(np.int32)) for t in utf8(batch.column(1))]
+        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(batch.column(1))]
         return {"node": batch.column(0), "shingles": sets}
 
     # copies of a text are dropped before they are cut into shingles
-    return map_arrow(texts.groupBy("node").agg(F.first("text").alias("text")), run, "node long, shingles array<int>")
+    return map_arrow(texts.groupBy("node").agg(F.first("text").alias("text")), run, "node long, shingles array<long>")
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

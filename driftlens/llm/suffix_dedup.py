@@ -213,7 +213,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     same = shared.where("not mixed").select("h1", "h2", "starts", whole.alias("spans"))
     pack = lambda s, x: F.shiftleft((s + x["a"]).cast("long"), 32) + (s + x["b"])
     each = F.flatten(F.transform("starts", lambda s: F.transform("spans", lambda x: pack(s, x)))).alias("each")
-    return mixed.unionByName(same).select("h1", "h2", each).groupBy("h1", "h2").agg(F.flatten(F.collect_set("each")).alias("found"))
+    found = mixed.unionByName(same).select("h1", "h2", each).groupBy("h1", "h2").agg(F.flatten(F.collect_set("each")).alias("found"))
+    # written, so that adaptive execution may split the join with the texts where a third of them are copies of one
+    made = materialize(found, "repeated-windows")
+    for spent in (shared, different, cut, spans):
+        discard(spent)
+    return made
 
 
 def cut_pieces(docs: DataFrame, different: DataFrame) -> DataFrame:
