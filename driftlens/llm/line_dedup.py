@@ -6,7 +6,7 @@ wherever its line breaks fall; what follows a cut up to the next letter belongs
 corpus and the earliest occurrence of each stays: occurrences are ranked by doc_id, then by a hash of the text (for
 different texts under one id), then by place; a null id ranks first. Later occurrences are removed where they stand in a
 row: a paragraph of neighbouring repeated units of MIN_BYTES normalised bytes or more goes, while a short phrase that
-others use as well stays. Units count by bytes, so scripts without spaces are no case of their own.
+others use as well stays: its units are counted in n_repeated, and min_bytes=0 removes every one of them. Units count by bytes, so scripts without spaces are no case of their own.
 
 Null texts count as empty; an empty text has no unit. Rows that repeat id and text are one document and get the same
 result. Digests are grouped with partial aggregation, so a line in a third of all documents costs one row a task, and the
@@ -60,14 +60,13 @@ def line_units(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"{_ID}, unit int, size int, d1 long, d2 long")
 
 
-def repeated_units(units: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, row and the sorted numbers of the units that stand earlier too, for documents with min_bytes of them."""
+def repeated_units(units: DataFrame) -> DataFrame:
+    """doc_id, row and the sorted numbers of the units that stand earlier too."""
     place = F.struct("doc_id", "row", "unit")
     groups = units.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count("*").alias("n"))
     kept = materialize(groups.where("kept <> last").select("d1", "d2", "kept", "n"), "kept-units")
-    later = skew_join(units, kept, ["d1", "d2"]).where(place != F.col("kept")).select("doc_id", "row", "unit", "size").distinct()
-    found = later.groupBy("doc_id", "row").agg(F.sum("size").alias("total"), F.array_sort(F.collect_list("unit")).alias("repeated"))
-    return found.where(F.col("total") >= min_bytes).select("doc_id", "row", "repeated")
+    later = skew_join(units, kept, ["d1", "d2"]).where(place != F.col("kept")).select("doc_id", "row", "unit").distinct()
+    return later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("unit")).alias("repeated"))
 
 
 def paragraphs(repeated: list[int], sizes: list[int], min_bytes: int) -> list[tuple[int, int]]:
@@ -80,7 +79,7 @@ def paragraphs(repeated: list[int], sizes: list[int], min_bytes: int) -> list[tu
 
 
 def remove_units(docs: DataFrame, repeated: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, kept_text, n_units, n_removed (units), spans: what remains, and the byte offsets removed from the original."""
+    """doc_id, kept_text, n_units, n_removed and n_repeated (units that stand earlier too, removed or not), spans: what remains, and the byte offsets removed from the original."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the text's hash again, with the same function as in line_units
     tagged = map_arrow(own, lambda b: {"doc_id": b.column(0), "text": b.column(1), "row": _rows(list(utf8(b.column(1))))}, "doc_id long, text string, row long")
@@ -99,14 +98,15 @@ def remove_units(docs: DataFrame, repeated: DataFrame, min_bytes: int = MIN_BYTE
             counts.append(len(units))
             gone.append(sum(b + 1 - a for a, b in runs))
             spans.append(cut)
-        return {"doc_id": batch.column(0), "kept_text": [t.decode(errors="replace") for t in texts], "n_units": counts, "n_removed": gone, "spans": spans}
+        again = [len(r or ()) for r in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "kept_text": [t.decode(errors="replace") for t in texts], "n_units": counts, "n_removed": gone, "n_repeated": again, "spans": spans}
 
-    return map_arrow(joined.select("doc_id", "text", "repeated"), run, "doc_id long, kept_text string, n_units long, n_removed long, spans array<struct<start:long,end:long>>")
+    return map_arrow(joined.select("doc_id", "text", "repeated"), run, "doc_id long, kept_text string, n_units long, n_removed long, n_repeated long, spans array<struct<start:long,end:long>>")
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     units = materialize(line_units(docs), "line-units")
-    repeated = materialize(repeated_units(units, min_bytes), "repeated-units")
+    repeated = materialize(repeated_units(units), "repeated-units")
     discard(units)
     return remove_units(docs, repeated, min_bytes)
 
@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Line dedup over every whole text of documents; one row per document."""
     done = dedup_lines(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_units", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.to_json("spans").alias("spans"))
+    return done.select("doc_id", "n_units", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.to_json("spans").alias("spans"), "n_repeated")
 
 
 #: The same in SQL; spans are written with the keys that to_json writes.
@@ -141,8 +141,8 @@ cut AS (
 ), spans AS (
   SELECT doc_id, '[' || string_agg('{"start":' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ',"end":' || CAST(CAST(b AS BIGINT) AS VARCHAR) || '}', ',' ORDER BY a) || ']' AS spans FROM runs GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, count(*) AS n_units, CAST(sum(gone::int) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN u END, '' ORDER BY unit), '')) AS kept_sha256 FROM measured GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_units, CAST(sum(gone::int) AS BIGINT) AS n_removed, CAST(sum(again::int) AS BIGINT) AS n_repeated, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN u END, '' ORDER BY unit), '')) AS kept_sha256 FROM measured GROUP BY doc_id
 )
-SELECT docs.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(spans, '[]') AS spans
+SELECT docs.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(n_repeated, 0) AS n_repeated, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(spans, '[]') AS spans
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """

@@ -201,7 +201,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFra
     """(text, label) of labelled rows outside the held-out fold: a bounded sample in hash order."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where("_y is not null and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
-    # MAX_LABELLED rows of (id, label) at most, so they may be broadcast and no text is shuffled but theirs
+    # labels without a document take no place in the sample; it has MAX_LABELLED rows of (id, label) at most, so they may be
+    # broadcast and no text is shuffled but theirs
+    known = known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     sample = known.where(fold != 0).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(MAX_LABELLED)
     own = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
     labelled = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))

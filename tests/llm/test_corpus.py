@@ -144,6 +144,15 @@ def test_line_dedup(spark, least):
     assert L.dedup_lines(df.limit(0), least).count() == 0
 
 
+def test_lone_repeated_lines_are_reported(spark):
+    line = "this line of a hundred bytes stands alone in each of fifty documents and is no passage of its own "
+    rows = [(k, f"start of {k}\n{line}\nend of {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.n_repeated, r.n_removed) for r in L.dedup_lines(df).collect()) == [(0, 0)] + [(1, 0)] * 49
+    got = {r.doc_id: r.kept_text for r in L.dedup_lines(df, 0).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"start of {k}\nend of {k}" for k in range(1, 50))
+
+
 def test_hot_keys_meet_without_one_task(spark):
     rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id")
     groups = rows.groupBy("k").count().withColumnRenamed("count", "n").cache()
@@ -165,7 +174,7 @@ def test_rollup_adds_signed_batches_once(spark, tmp_path):
     import tiktoken
 
     e = tiktoken.Encoding("t", pat_str=K.PATTERN, mergeable_ranks=K.read_ranks(K.VOCABULARY), special_tokens={})
-    assert got["s", K.BPE_VERSION] == (1, len(e.encode_ordinary("a b c é")))
+    assert got["s", K.bpe_version(K.VOCABULARY)] == (1, len(e.encode_ordinary("a b c é")))
     assert rollup.committed() == ["change", "load", "nothing"]
     with pytest.raises(Exception, match="unknown op: upsert"):
         rollup.commit("odd", spark.createDataFrame([("upsert", 1, "s", "en", "a")], schema))
@@ -176,6 +185,39 @@ def test_rollup_adds_signed_batches_once(spark, tmp_path):
     assert {r.tokenizer: r.tokens for r in rollup.totals().where("source = 'z'").collect()} == {"words-1": 300_000, "bytes-1": 600_000}
 
 
+def test_versions_are_named_by_their_ranks(spark, tmp_path):
+    import base64
+
+    small = [(bytes([b]), b) for b in range(256)]
+    write = lambda name, ranks: tmp_path.joinpath(name).write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks)) and str(tmp_path / name)
+    one, same, other = write("a", small), write("b", small[::-1]), write("c", [*small, (b"ab", 256)])
+    assert K.bpe_version(one) == K.bpe_version(same) != K.bpe_version(other)
+    rows = spark.createDataFrame([("insert", 1, "s", "en", "abab")], "op string, doc_id long, source string, lang string, text string")
+    rollup = K.Rollup(spark, f"file://{tmp_path}/rollup")
+    for k, path in enumerate((one, same, other)):
+        assert rollup.commit(str(k), rows, path)
+    got = {r.tokenizer: r.tokens for r in rollup.totals().collect()}
+    assert got == {"words-1": 3, "bytes-1": 12, K.bpe_version(one): 8, K.bpe_version(other): 2}
+
+
+def test_compaction_keeps_totals_and_ids(spark, tmp_path):
+    rows = spark.createDataFrame([("insert", 1, "s", "en", "a b")], "op string, doc_id long, source string, lang string, text string")
+    rollup = K.Rollup(spark, f"file://{tmp_path}/rollup")
+    totals = lambda: sorted(map(tuple, rollup.totals().collect()))
+    folders = lambda: sorted(p.name for p in tmp_path.joinpath("rollup").iterdir())
+    rollup.compact()
+    assert totals() == [] and rollup.committed() == []
+    for k in range(3):
+        assert rollup.commit(f"b{k}", rows, None)
+        before = totals()
+        rollup.compact()
+        assert totals() == before and rollup.committed() == [f"b{j}" for j in range(k + 1)]
+    assert not rollup.commit("b0", rows, None) and not rollup.commit("b2", rows, None)
+    assert folders() == ["batch=b2", "snapshot=000000000003", "snapshot=000000000004"]
+    # the deletion of a batch that only the snapshot holds
+    assert rollup.commit("undo", rows.withColumn("op", F.lit("delete")), None) and totals() == [("s", "en", "bytes-1", 2, 6), ("s", "en", "words-1", 2, 4)]
+
+
 def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("insert", 1, "s", "en", "a b")], "op string, doc_id long, source string, lang string, text string")
     first, second = (K.Rollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
@@ -211,7 +253,7 @@ def test_registered_corpus_queries(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0), (2, 1, 1), (4, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {(r.source, r.tokenizer): (r.docs, r.tokens) for r in K.op5_token_counts(spark, str(tmp_path)).collect()}
     assert got["s", "words-1"] == (1, 3) and got["s", "bytes-1"] == (1, 5) and got["t", "bytes-1"] == (0, 0) and got[None, "bytes-1"] == (1, 0)
-    assert ("s", K.BPE_VERSION) in got and len(got) == 9
+    assert ("s", K.bpe_version(K.VOCABULARY)) in got and len(got) == 9
     mixed = M.op6_mixing(spark, str(tmp_path))
     assert mixed.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"] and mixed.count() == 4
     lines = L.op9_line_dedup(spark, str(tmp_path))

@@ -80,6 +80,34 @@ def test_no_text_ends_or_fills_the_training_sample(spark, monkeypatch):
     assert len(many) == 40 and len(set(many) & set(plain)) >= 39
 
 
+def test_labels_without_a_document_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_LABELLED", 40)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert T.training_rows(docs, labels, "toxic").count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30))
+
+
+@pytest.mark.parametrize("name", ["quality", "toxic"])
+def test_registered_classifiers(spark, tmp_path, name):
+    rows = [(i, t + (" and more!" if y else " ###"), y) for i, t, y in texts(300, 4)]
+    odd = [(1000, None), (1001, ""), (None, rows[0][1]), (1002, "long " * 60_000), rows[3][:2], rows[3][:2]]
+    spark.createDataFrame([(*r[:2], "en", 1, "x") for r in [*rows, *odd]], "doc_id long, text string, lang string, score int, y string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y, y) for i, _, y in rows[:250]] + [(7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = (Q.op7_quality if name == "quality" else T.op8_toxicity)(spark, str(tmp_path))
+    assert got.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    got = got.collect()
+    assert sorted((r.doc_id or -1) for r in got) == sorted((r[0] or -1) for r in [*rows, *odd])
+    cut = 0.3 if name == "quality" else 0.5
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= cut) for r in got)
+    held = [(r.predicted == dict((i, y) for i, _, y in rows)[r.doc_id]) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert np.mean(held) > 0.9
+    twice = [r.score for r in got if r.doc_id == rows[3][0]]
+    assert len(twice) == 3 and len(set(twice)) == 1
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert (Q.op7_quality if name == "quality" else T.op8_toxicity)(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_statistics_cover_whole_texts():
     x = Q.statistics([b"", b"Und Und Und Und", b"LOUD!! LOUD!! NOISE!!", "| a | b\nçé 12".encode()])
     col = Q.STATISTICS.index

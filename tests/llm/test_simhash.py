@@ -143,3 +143,29 @@ def test_near_duplicates_are_complete_in_a_templated_family(spark, monkeypatch):
     print("pairs met", sum(got[a] == got[b] for a, b in linked), "of", len(linked), "in the family", sum(got[a] == got[b] for a, b in linked if b < 440))
     assert got == label
     assert sum(b < 440 for _, b in linked) == 40
+
+
+def test_registered_query(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcDé", k=3)) for _ in range(n))
+    rows = [(100 - k, text(rng.choice([1, 2, 3, 40]))) for k in range(40)] + [(200, None), (201, ""), (202, " \t\n"), (None, text(9)), (203, text(60_000))]
+    rows += [(300 + k, rows[4][1]) for k in range(15)] + [rows[2], (7, rows[2][1].upper().replace("É", "é"))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, component_id int").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op1_simhash(spark, str(tmp_path))
+    assert got.dtypes[:3] == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    codes = [brute_fingerprint(t or "") for _, t in rows]
+    least = dict.fromkeys(range(len(rows)))
+    for a in range(len(rows)):
+        if least[a] is None:
+            group, open_ = {a}, [a]
+            while open_:
+                x = open_.pop()
+                near = [b for b in range(len(rows)) if b not in group and (codes[x] ^ codes[b]).bit_count() <= 2]
+                group.update(near)
+                open_ += near
+            least |= dict.fromkeys(group, min((rows[b][0] for b in group if rows[b][0] is not None), default=None))
+    want = [(r[0], f"{codes[k]:016x}", least[k]) for k, r in enumerate(rows)]
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == sorted(want, key=repr)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert simhash.op1_simhash(spark, f"{tmp_path}/none").collect() == []

@@ -73,3 +73,19 @@ def test_stage_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in out.collect()) == [(1, "éü", 2), (2, "", 0), (3, "", 0), (3, "clean", 5)]
     assert drop_repeats(spark, df.limit(0), "").count() == 0
+
+
+def test_registered_query(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("ab é\n", k=n))
+    passage = text(260)
+    rows = [(k, text(rng.choice([0, 50, 199, 200, 600]))) for k in range(30)] + [(40, "x" + passage + "y"), (41, passage * 2), (42, None), (None, text(300)), (None, ""), (43, "ab" * 4_000)]
+    rows += [rows[5], (44, rows[7][1])] + [(50 + k, passage) for k in range(20)]
+    docs = spark.createDataFrame([(*r, "k", 1, "f") for r in rows], "doc_id long, text string, h1 string, _found int, found string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op4_suffix_array(spark, str(tmp_path))
+    assert got.dtypes[:5] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    want = [(r[0], *b) for r, b in zip(rows, brute([t for _, t in rows]), strict=True)]
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == sorted(want, key=repr)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert suffix_dedup.op4_suffix_array(spark, f"{tmp_path}/none").collect() == []
