@@ -1,4 +1,7 @@
-"""One reader for all kinds of checkpoints: the first registered format that knows a folder reads it."""
+"""One reader for all kinds of checkpoints: the first registered format that knows a folder reads it.
+
+``datasource.register_source`` makes ``spark.read.format("checkpoints")`` known, which reads all built-in formats (``datasource``).
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.sources import sharded, state_dicts, trajectories
+from driftlens.sources import trajectories
+from driftlens.sources.datasource import read_run
+from driftlens.sources.layouts import checkpoints_of, has_id_map
 
 
 @dataclass(frozen=True)
@@ -17,7 +22,7 @@ class Format:
 
     name: str
     can_load: Callable[[SparkSession, str], bool]
-    read: Callable[[SparkSession, str, str], DataFrame]
+    read: Callable[..., DataFrame]  # (spark, path, run, table=...)
 
 
 FORMATS: list[Format] = []
@@ -37,7 +42,7 @@ def format_of(spark: SparkSession, path: str) -> Format:
 
 def read_checkpoints(spark: SparkSession, path: str, run: str = "run", table: str | None = None) -> DataFrame:
     """Rows of every checkpoint under path; a table filter is passed on to the scan where the format can prune by it."""
-    rows = format_of(spark, path).read(spark, path, run)
+    rows = format_of(spark, path).read(spark, path, run, **({} if table is None else {"table": table}))
     return rows if table is None else rows.where(F.col("tbl") == table)
 
 
@@ -50,6 +55,10 @@ def _is_rows(spark: SparkSession, path: str) -> bool:
         raise
 
 
-register(Format("state_dict", lambda spark, path: state_dicts.find_one(spark, path), state_dicts.read_run))
-register(Format("sharded", lambda spark, path: any(map(sharded.can_load, sharded.folders_of(path)[:1])), sharded.read_run))
-register(Format("rows", _is_rows, lambda spark, path, run: trajectories.read_rows(spark, path)))
+def _has(sharded: bool) -> Callable[[SparkSession, str], bool]:
+    return lambda spark, path: any(c.sharded == sharded for c in checkpoints_of(path)[:1]) and has_id_map(path)
+
+
+register(Format("state_dict", _has(False), read_run))
+register(Format("sharded", _has(True), read_run))
+register(Format("rows", _is_rows, lambda spark, path, run, **options: trajectories.read_rows(spark, path, options.get("table"))))

@@ -6,7 +6,9 @@ import zipfile
 import numpy as np
 import pytest
 
-from driftlens.sources.state_dicts import COUNTS, DELIMITER, EMPTY, IDS, MAP_PREFIX, SLOTS, WEIGHT_PREFIX, can_load, load_state, read_run
+from driftlens.sources import archives
+from driftlens.sources.datasource import read_run
+from driftlens.sources.layouts import COUNTS, DELIMITER, EMPTY, IDS, MAP_PREFIX, SLOTS, WEIGHT_PREFIX, has_id_map, state_tensors
 
 
 class Tensor:
@@ -49,7 +51,7 @@ def write_state(path, state):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("archive/data.pkl", out.getvalue())
         for i, v in enumerate(state.values()):
-            z.writestr(f"archive/data/{i}", v.tobytes())
+            z.writestr(f"archive/data/{i}", v.tobytes("A"))
 
 
 def state(ids, slots, counts, weight):
@@ -74,10 +76,41 @@ def test_run_of_state_dicts(spark, tmp_path):
 
 
 def test_other_content_is_refused(tmp_path):
-    assert not can_load(b"no zip")
+    (tmp_path / "none.pt").write_bytes(b"no zip")
+    assert not has_id_map(str(tmp_path / "none.pt"))
     write_state(tmp_path / "x.pt", {"other": np.ones(3, "<f4")})
-    assert not can_load((tmp_path / "x.pt").read_bytes())
+    assert not has_id_map(str(tmp_path / "x.pt"))
     with zipfile.ZipFile(tmp_path / "bad.pt", "w") as z:
         z.writestr("archive/data.pkl", pickle.dumps(json.loads))
     with pytest.raises(pickle.UnpicklingError, match="not allowed"):
-        load_state((tmp_path / "bad.pt").read_bytes())
+        state_tensors(str(tmp_path / "bad.pt"))
+
+
+class Counted:
+    """A file that notes which bytes are read."""
+
+    def __init__(self, raw):
+        self.raw, self.read = raw, []
+
+    def size(self):
+        return len(self.raw)
+
+    def read_at(self, n, at):
+        self.read.append((at, n))
+        return self.raw[at : at + n]
+
+
+def test_rows_read_their_own_bytes_only(tmp_path):
+    values = {"a": np.arange(60_000, dtype="<f4").reshape(-1, 6), "turned": np.arange(24, dtype="<i8").reshape(4, 6).T, "one": np.array(7, "<i8"), "none": np.zeros((0, 3), "<f4")}
+    write_state(tmp_path / "x.pt", values)
+    raw = (tmp_path / "x.pt").read_bytes()
+    for at in (0, 1234):  # as a file of its own, and within another
+        file = Counted(b"?" * at + raw)
+        archive = archives.Archive(file, at, len(raw))
+        tensors = archive.load()
+        del file.read[:]
+        assert (archive.rows(tensors["a"], 5_000, 5_010) == values["a"][5_000:5_010]).all()
+        assert sum(n for _, n in file.read) == 10 * 24 + 30
+        assert (archive.rows(tensors["a"], 9_999, 10_005) == values["a"][9_999:]).all() and archive.rows(tensors["a"], 10_000, 10_005).shape == (0, 6)
+        assert archive.rows(tensors["turned"], 2, 5).tolist() == values["turned"][2:5].tolist()
+        assert archive.rows(tensors["one"], 0, 9).tolist() == [[7]] and archive.rows(tensors["none"], 0, 5).shape == (0, 3)
