@@ -3,12 +3,14 @@
 A file stream tells which Parquet files are new, whatever checkpoint or table they belong to; ``foreachBatch`` notes them
 by checkpoint. A checkpoint is taken up once it is complete: it bears a mark (``trajectories.mark_complete``, which
 ``write_rows`` sets), or a later one has begun, or ``flush`` is called. Its files are then read together, partition columns
-included, its features, its pair's context and its rows become state, and detection runs anew over all features, which
-are scalars. State lies in Parquet tables beside each other: ``files`` (a folder a batch, overwritten if the batch is
-repeated), ``features`` and ``context`` (a folder a checkpoint), ``last`` (the newest checkpoint's rows), ``done`` (numbers
-taken up) and ``told`` (keys of events already given out). Every step may be repeated: its folder is overwritten, and
-``done`` is written last. A checkpoint that comes late, under a lower number than one taken up, is compared with
-whatever came last. One watcher watches one run.
+included; its features, its pair's context and its rows become state. The features, one null for each series that has
+none, are handed to a stateful stream (``detector``), which keeps the points of every series and gives out its events.
+
+State is a set of folders named by a manifest (``snapshots``): notes of files, features and context by pair, the newest
+checkpoint's rows, the current events. A step writes its folders and then commits, so a job that dies leaves the state
+before or after the step; handing over is a rename, done by whoever comes next if it is missing. Events are told before it is
+noted that they were: once, or again where a job died in between. A checkpoint that comes late, under a lower number than
+one taken up, is compared with whatever came last. One watcher watches one run.
 """
 
 from __future__ import annotations
@@ -20,28 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.stage import settle
-from driftlens.operators.detect import THRESHOLDS, detect_trajectory
+from driftlens.operators.detect import THRESHOLDS
 from driftlens.operators.series import fill_gaps, run_series
 from driftlens.report import Report, collected, pair_context
 from driftlens.sources.trajectories import SCHEMA, complete_marks
-
-KEY = ["run", "tbl", "metric", "idx", "method"]
+from driftlens.streaming.detector import FOUND_SCHEMA, PROVIDER, ROCKS_DB, SERIES_SCHEMA, detected
+from driftlens.streaming.snapshots import Snapshots
 
 
 class Watcher:
     """State under one folder; ``on_events`` gets a DataFrame of events not told before."""
 
     def __init__(self, spark: SparkSession, path: str, state: str, on_events: Callable[[DataFrame], None], thresholds: dict[str, float] | None = THRESHOLDS, table: str | None = None, min_severity: float = 0.0, with_geometry: bool = True, **settings):
-        self.spark, self.path, self.state, self.on_events = spark, path.rstrip("/"), state.rstrip("/"), on_events
+        self.spark, self.path, self.on_events = spark, path.rstrip("/"), on_events
         self.thresholds, self.table, self.min_severity, self.with_geometry, self.settings = thresholds, table, min_severity, with_geometry, settings
+        self.kept = Snapshots(spark, state)
 
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.state}/{name}")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+    def _state(self) -> dict:
+        """The last manifest. files: a folder and its checkpoints by batch; pairs: checkpoint, features and context by place."""
+        return {"files": {}, "newest": -1, "done": [], "pairs": [], "last": None, "events": None, "told": -1} | self.kept.manifest()
 
     def _rows(self, files: list[str]) -> DataFrame:
         """Rows of some files of the run, with the columns that lie in their folders' names."""
@@ -53,71 +52,97 @@ class Watcher:
         if files:
             # the path is told as a URI, and read as a plain one
             plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-            held = self._rows(files).select("ckpt", plain.alias("path")).distinct()
-            held.write.mode("overwrite").parquet(f"{self.state}/files/batch={batch}")
+            folder = self.kept.write(self._rows(files).select("ckpt", plain.alias("path")).distinct(), "files")
+            numbers = sorted(r.ckpt for r in self.kept.read(folder).select("ckpt").distinct().collect())
+            state = self._state()
+            files_ = state["files"] | {str(batch): [folder, numbers]}
+            self.kept.commit(state | {"files": files_, "newest": max([state["newest"], *numbers])})
         self.advance()
 
     def advance(self, all_complete: bool = False) -> None:
-        noted, done = self._read("files"), self._read("done")
-        if noted is None:
-            return
-        waiting = noted.select("ckpt", "path").distinct() if done is None else noted.select("ckpt", "path").distinct().join(done, "ckpt", "left_anti")
-        by_number: dict[int, list[str]] = {}
-        for r in waiting.collect():  # files of checkpoints not taken up yet
-            by_number.setdefault(r.ckpt, []).append(r.path)
-        marks, newest = complete_marks(self.spark, self.path), noted.agg(F.max("ckpt")).first()[0]
-        for number in sorted(by_number):
-            if all_complete or number in marks or number < newest:
-                self._step(settle(self._rows(sorted(by_number[number])).where(F.col("ckpt") == number)), number)
+        state = self._state()
+        noted = [folder for folder, numbers in state["files"].values() if not set(numbers) <= set(state["done"])]
+        if noted:
+            by_number: dict[int, list[str]] = {}
+            for r in self.kept.read(*noted).distinct().collect():  # files of checkpoints not taken up yet
+                if r.ckpt not in state["done"]:
+                    by_number.setdefault(r.ckpt, []).append(r.path)
+            marks = complete_marks(self.spark, self.path)
+            for number in sorted(by_number):
+                if all_complete or number in marks or number < state["newest"]:
+                    self._step(self._rows(sorted(by_number[number])).where(F.col("ckpt") == number), number)
+        self._hand_over()
+        self._detect()
 
     def flush(self) -> None:
         """Take the newest checkpoint as complete: the run has ended."""
         self.advance(all_complete=True)
 
-    def _step(self, now: DataFrame, number: int) -> None:
-        before = self._read("last")
-        if before is not None:
-            before = settle(before)
-            if before.where(F.col("ckpt") == number).limit(1).count() == 0:
-                # the two stand next to each other whatever their numbers are
-                idx = self._pairs(number)
-                both = settle(before.withColumn("ckpt", F.lit(idx)).unionByName(now.withColumn("ckpt", F.lit(idx + 1))))
-                fresh = run_series(both, self.with_geometry).where(F.col("idx") == idx)
-                fresh.write.mode("overwrite").parquet(f"{self.state}/features/ckpt={number}")
-                pair_context(both).where(F.col("pair") == idx).write.mode("overwrite").parquet(f"{self.state}/context/ckpt={number}")
-        now.write.mode("overwrite").parquet(f"{self.state}/last")
-        self._tell()
-        self.spark.createDataFrame([(number,)], "ckpt int").write.mode("append").parquet(f"{self.state}/done")
-
-    def _pairs(self, number: int) -> int:
-        seen = self._read("features")
-        return 0 if seen is None else seen.where(F.col("ckpt") != number).agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
-
-    def _series(self) -> DataFrame | None:
-        found = self._read("features")
-        return None if found is None else settle(fill_gaps(found.drop("ckpt")))
-
-    def _events(self, series: DataFrame) -> DataFrame:
-        return detect_trajectory(series, self.thresholds, **self.settings).where(F.col("severity") >= self.min_severity)
-
-    def _tell(self) -> None:
-        series = self._series()
-        if series is None:
+    def _step(self, rows: DataFrame, number: int) -> None:
+        """Take up one checkpoint: all of its state, or none."""
+        state = self._state()
+        last = self.kept.write(rows, "last")
+        pairs, idx = state["pairs"], len(state["pairs"])
+        if state["last"] is not None:
+            # the two stand next to each other whatever their numbers are
+            both = settle(self.kept.read(state["last"]).withColumn("ckpt", F.lit(idx)).unionByName(self.kept.read(last).withColumn("ckpt", F.lit(idx + 1))))
+            features = self.kept.write(run_series(both, self.with_geometry).where(F.col("idx") == idx), "features")
+            context = self.kept.write(pair_context(both).where(F.col("pair") == idx), "context")
+            pairs = [*pairs, [number, features, context]]
+        done = [*state["done"], number]
+        files = {b: f for b, f in state["files"].items() if not set(f[1]) <= set(done)}
+        self.kept.commit(state | {"last": last, "pairs": pairs, "done": done, "files": files})
+
+    def _series(self, state: dict) -> DataFrame | None:
+        features = [f for _, f, _ in state["pairs"]]
+        return settle(fill_gaps(self.kept.read(*features))) if features else None
+
+    def _hand_over(self) -> None:
+        """Points of pairs that the detector has not got: one for every series known by then."""
+        state, given = self._state(), self.kept.names("feed")
+        for idx in range(len(given), len(state["pairs"])):
+            known = self.kept.read(*[f for _, f, _ in state["pairs"][: idx + 1]]).select("run", "tbl", "metric").distinct()
+            own = self.kept.read(state["pairs"][idx][1])
+            steps = own.groupBy("run").agg(F.max("step").alias("_step"))
+            points = known.join(steps, "run").join(own, ["run", "tbl", "metric"], "left").select("run", "tbl", "metric", F.lit(idx).alias("idx"), F.coalesce("step", "_step").alias("step"), "value")
+            draft = self.kept.write(points, "points")
+            self.kept.rename(f"data/{draft}", f"feed/{idx:012d}")
+
+    def _detect(self) -> None:
+        """Let the stateful stream take what has been handed over; it stops when it has seen all."""
+        if not self.kept.names("feed"):
             return
-        events, told = self._events(series), self._read("told")
-        fresh = settle(events if told is None else events.join(told, KEY, "left_anti"))
-        if fresh.limit(1).count():
+        conf = self.spark.conf
+        before = conf.get(PROVIDER, None)
+        conf.set(PROVIDER, ROCKS_DB)
+        try:
+            points = self.spark.readStream.schema(SERIES_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.kept.path}/feed")
+            found = detected(points, self.thresholds, self.min_severity, **self.settings)
+            query = found.writeStream.foreachBatch(self._tell).option("checkpointLocation", f"{self.kept.path}/detector").trigger(availableNow=True).start()
+        finally:
+            conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+        query.awaitTermination()
+
+    def _tell(self, found: DataFrame, batch: int) -> None:
+        state = self._state()
+        if batch <= state["told"]:
+            return  # told by a job that died before the stream had noted it
+        folder = self.kept.write(found, "events")
+        fresh = self.kept.read(folder).where("fresh").drop("fresh")
+        if not fresh.isEmpty():
             self.on_events(fresh)
-            fresh.select(*KEY).write.mode("append").parquet(f"{self.state}/told")
+        self.kept.commit(state | {"events": folder, "told": batch})
 
     def report(self, run: str = "trajectory") -> Report:
         """A full report of what has been taken up so far, from state alone."""
-        series, last, done = self._series(), self._read("last"), self._read("done")
+        state = self._state()
+        last = None if state["last"] is None else self.kept.read(state["last"])
         tables = [] if last is None else sorted(r.tbl for r in last.select("tbl").distinct().collect())
-        n = 0 if done is None else done.distinct().count()
+        series = self._series(state)
         if series is None:
-            return Report(run, n, tables, self.thresholds is not None, self.min_severity, [], [], [])
-        return collected(run, n, tables, series, settle(self._events(series)), self._read("context").drop("ckpt"), self.thresholds is not None, self.min_severity)
+            return Report(run, len(state["done"]), tables, self.thresholds is not None, self.min_severity, [], [], [])
+        events = self.spark.createDataFrame([], FOUND_SCHEMA) if state["events"] is None else self.kept.read(state["events"])
+        return collected(run, len(state["done"]), tables, series, settle(events.drop("fresh")), self.kept.read(*[c for _, _, c in state["pairs"]]), self.thresholds is not None, self.min_severity)
 
 
 def watch(watcher: Watcher, checkpoint: str, seconds: float | None = None):

@@ -438,7 +438,7 @@ def test_watch_command(spark, tmp_path, capsys):
     write_rows(planted_run(spark, 6, 4), str(tmp_path / "in"))
     args = ["watch", str(tmp_path / "in"), "--state", str(tmp_path / "state"), "--interval", "0", "--max-polls", "2", "--json", str(tmp_path / "w.json")]
     assert main([*args, "--fail-on", "1.0"], spark) == 1 and "step 400 t." in capsys.readouterr().out
-    assert json.loads((tmp_path / "w.json").read_text())["n_checkpoints"] == 9
+    assert json.loads((tmp_path / "w.json").read_text())["n_checkpoints"] == 6
     assert main(args, spark) == 0 and "step" not in capsys.readouterr().out
 
 
