@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.matrices import apply_by_key
+from driftlens.functions.moments import assemble, moments
 from driftlens.functions.ranks import robust_z
 from driftlens.functions.stage import settle
-from driftlens.operators.geometry import moments
 from driftlens.operators.pairs import PAIR
 
 EPS, LEAST, CLIP = 1e-12, 8, 25.0
@@ -24,7 +24,7 @@ _ALIGN = "run string, tbl string, pair int, n long, mean_shift_norm double, rota
 def align(n: int, s: np.ndarray, ss: np.ndarray) -> dict:
     """Procrustes from the moments of rows (prev, cur) of 2 d numbers: rotation, shift and the energies they explain."""
     d = len(s) // 2
-    centred = np.asarray(ss).reshape(2 * d, 2 * d) - np.outer(s, s) / n
+    centred = ss - np.outer(s, s) / n
     pp, cc, cp = np.trace(centred[:d, :d]), np.trace(centred[d:, d:]), centred[d:, :d]
     u, sigma, vt = np.linalg.svd(cp)
     shift = (s[d:] - s[:d]) / n
@@ -44,7 +44,7 @@ def procrustes(pairs: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        return pdf[[*PAIR, "n"]].assign(**{k: [v] for k, v in align(r["n"], np.asarray(r["s"]), r["ss"]).items()})
+        return pdf[[*PAIR, "n"]].assign(**{k: [v] for k, v in align(r["n"], *assemble(r["tiles"])).items()})
 
     return moments(clean, PAIR, "v").where(F.col("n") >= LEAST).groupBy(*PAIR).applyInPandas(run, _ALIGN)
 
@@ -69,7 +69,7 @@ def popularity_fit(moved: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        ss, n = np.asarray(r["ss"]).reshape(4, 4), r["n"]
+        ss, n = assemble(r["tiles"])[1], r["n"]
         use = 3 if r["counted"] else 2
         coef = np.zeros(3)
         r2 = 0.0

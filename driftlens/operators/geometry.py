@@ -1,7 +1,7 @@
 """Covariance spectra of tables and what follows from them.
 
-A table is reduced to its count, sum and sum of outer products: each task adds up its rows, Spark adds the tasks'
-sums. All residents count, none are sampled. The eigenvalues of the dim x dim result are taken in one small task a
+A table is reduced to its count, sum and sum of outer products (``functions.moments``): each task adds up its rows, Spark adds
+the tasks' sums. All residents count, none are sampled. The eigenvalues of the dim x dim result are taken in one small task a
 table and checkpoint.
 """
 
@@ -16,44 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.matrices import apply_by_key
+from driftlens.functions.moments import TILE_ROWS, add_tiles, assemble, cut_tiles, moments
 from driftlens.functions.stage import settle
+from driftlens.functions.wide import singular_summary
 from driftlens.operators.pairs import PAIR
 
 EPS = 1e-12
 TABLE = ["run", "tbl", "ckpt"]
 LEVELS = (0.90, 0.95, 0.99)
-_MOMENTS = "n long, s array<double>, ss array<double>"
-
-
-def _key_schema(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def moments(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """keys, n, s (sum of vectors), ss (sum of outer products, row by row)."""
-    schema = f"{_key_schema(rows, keys)}, {_MOMENTS}"
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-        for pdf in frames:
-            for key, own in pdf.groupby(keys, dropna=False, sort=False):
-                x = np.stack(own["v"].to_list()).astype(float)
-                add = [len(x), x.sum(0), x.T @ x]
-                held[key] = add if key not in held else [a + b for a, b in zip(held[key], add, strict=True)]
-        if held:
-            yield pd.DataFrame([[*k, n, s, ss.ravel()] for k, (n, s, ss) in held.items()], columns=[*keys, "n", "s", "ss"])
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[:1][keys].reset_index(drop=True)
-        return first.assign(n=pdf["n"].sum(), s=[np.sum(np.stack(pdf["s"].to_list()), 0)], ss=[np.sum(np.stack(pdf["ss"].to_list()), 0)])
-
-    own = rows.select(*keys, F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    return own.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(total, schema)
-
-
+GRAM, COLUMNS = 2048, 512  # side of the greatest Gram matrix that one task takes apart; columns of a block of row products
 def covariance(n: int, s: np.ndarray, ss: np.ndarray) -> np.ndarray:
     d = len(s)
-    return (np.asarray(ss).reshape(d, d) - np.outer(s, s) / n) / (n - 1) if n > 1 else np.zeros((d, d))
+    return (ss - np.outer(s, s) / n) / (n - 1) if n > 1 else np.zeros((d, d))
 
 
 def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +65,7 @@ def spectra(rows: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        values, vectors = eigen(covariance(r["n"], np.asarray(r["s"]), r["ss"]))
+        values, vectors = eigen(covariance(r["n"], *assemble(r["tiles"])))
         return pdf[[*TABLE, "n"]].assign(spectrum=[values], basis=[vectors.ravel()])
 
     return settle(moments(rows, TABLE).groupBy(*TABLE).applyInPandas(run, "run string, tbl string, ckpt int, n long, spectrum array<double>, basis array<double>"))
@@ -195,14 +169,50 @@ def dense_deltas(rows: DataFrame) -> DataFrame:
     return sums.select(*PAIR, F.sqrt("dd").alias("delta_norm"), (F.sqrt("dd") / (F.sqrt("pp") + EPS)).alias("rel_delta_norm"), (F.col("pc") / (F.sqrt("pp") * F.sqrt("cc") + EPS)).alias("cosine"))
 
 
-def dense_spectra(rows: DataFrame, most: int = 4096) -> DataFrame:
-    """run, tbl, ckpt, spectral_norm, effective_rank from singular values; null beyond that width."""
+def _values(matrix: np.ndarray) -> tuple[float, float]:
+    """Spectral norm and effective rank of a tensor from the Gram matrix of either of its sides."""
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(matrix)[::-1], 0))
+    return float(values[0]) if len(values) else 0.0, shape_of(values).effective_rank
+
+
+_DENSE = "run string, tbl string, ckpt int, spectral_norm double, effective_rank double"
 
+
+def _from_tiles(summed: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        d = len(r["s"])
-        s = np.sqrt(np.maximum(np.linalg.eigvalsh(np.asarray(r["ss"]).reshape(d, d))[::-1], 0))
-        return pdf[TABLE].assign(spectral_norm=float(s[0]), effective_rank=shape_of(s).effective_rank)
+        norm, rank = _values(assemble(pdf["tiles"].iloc[0])[1])
+        return pdf[TABLE].assign(spectral_norm=norm, effective_rank=rank)
+
+    return summed.groupBy(*TABLE).applyInPandas(run, _DENSE)
 
-    narrow = rows.where(F.size("vec") <= most)
-    return moments(narrow, TABLE).groupBy(*TABLE).applyInPandas(run, "run string, tbl string, ckpt int, spectral_norm double, effective_rank double")
+
+def row_products(rows: DataFrame) -> DataFrame:
+    """run, tbl, ckpt, n, tiles of the products of all rows with each other, for tensors of few rows: columns are dealt in blocks."""
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.size("vec") - 1) / COLUMNS).cast("int"))).alias("block")
+    cut = rows.where(F.size("vec") > 0).select(*TABLE, "id", "vec", block).select(*TABLE, "id", "block", F.slice("vec", F.col("block") * COLUMNS + 1, COLUMNS).alias("v"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("id")["v"].to_list()).astype(float)
+        key = pdf[[*TABLE, "block"]].iloc[0].to_list()
+        return pd.DataFrame([[*key[:3], i, j, key[3], 0, s, v] for i, j, s, v in cut_tiles(x @ x.T, np.zeros(len(x)))], columns=[*TABLE, "i", "j", "task", "n", "s", "v"])
+
+    return add_tiles(cut.groupBy(*TABLE, "block").applyInPandas(run, f"run string, tbl string, ckpt int, {TILE_ROWS}"), TABLE)
+
+
+def dense_spectra(rows: DataFrame, most: int = GRAM) -> DataFrame:
+    """run, tbl, ckpt, spectral_norm, effective_rank from the singular values of whole tensors.
+
+    Where the short side has most values at the utmost, they are those of its exact Gram matrix; where both sides are longer,
+    they come from ``wide.singular_summary``, whose error is a percent or so. Tensors without a value have none.
+    """
+    width = F.coalesce(F.max(F.size("vec")), F.lit(0))
+    shapes = settle(rows.groupBy(*TABLE).agg(F.count("*").alias("_rows"), width.alias("_width")))
+    way = F.when(F.col("_width") == 0, "none").when(F.least("_rows", "_width") > most, "wide").when(F.col("_width") <= F.col("_rows"), "columns").otherwise("rows")
+    shapes = shapes.select(*TABLE, way.alias("_way"))
+    found = rows.sparkSession.createDataFrame([], _DENSE)
+    own = rows.join(shapes, TABLE)
+    by = {"columns": lambda r: _from_tiles(moments(r, TABLE)), "rows": lambda r: _from_tiles(row_products(r)), "wide": lambda r: singular_summary(r, TABLE).select(*found.columns)}
+    for r in shapes.select("_way").distinct().collect():  # four at most
+        if r._way in by:
+            found = found.unionByName(by[r._way](own.where(F.col("_way") == r._way).select(*TABLE, "id", "vec")))
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.stage import settle
+from driftlens.functions.moments import cells, moments
 from driftlens.operators import attribution as A
 from driftlens.operators import calibrate as C
 from driftlens.operators import detect as D
@@ -435,11 +436,8 @@ SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.
 def covariance_matrix(spark, sf_dir):
     """The upper triangle of the embeddings' covariance from summed moments."""
     rows = _vectors(spark, sf_dir).where("ckpt = 0")
-    m = G.moments(rows, G.TABLE).withColumn("d", F.size("s"))
-    i, j, n = F.col("i"), F.col("j"), F.col("n")
-    cells = m.select("*", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("i")).select("*", F.explode(F.sequence(i, F.col("d") - 1)).alias("j"))
-    cov = (F.get("ss", i * F.col("d") + j) - F.get("s", i) * F.get("s", j) / n) / (n - 1)
-    return cells.select("i", "j", (F.round(cov, 8) + 0.0).alias("cov"))
+    cov = (F.col("value") - F.col("sum_i") * F.col("sum_j") / F.col("n")) / (F.col("n") - 1)
+    return cells(moments(rows, G.TABLE)).select("i", "j", (F.round(cov, 8) + 0.0).alias("cov"))
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.cli import main
+from driftlens.functions import moments as Mo
 from driftlens.functions.ranks import average_rank, quantiles
 from driftlens.operators import attribution as A
 from driftlens.operators import calibrate as C
@@ -247,6 +248,38 @@ def test_dense(spark):
     assert s.spectral_norm == pytest.approx(np.linalg.norm(a, 2), rel=1e-4)
 
 
+def test_spectra_of_any_shape(spark):
+    """Tall, wide and large on both sides: no tensor is left out for its size."""
+    rng = np.random.default_rng(12)
+    shapes = {"tall": (300, 70), "wide": (70, 1500), "long": (3, 10_000), "both": (260, 220), "flat": (200, 210), "none": (4, 0)}
+    made = {k: rng.normal(size=s) * np.exp(-np.arange(s[1]) / 60) if k != "flat" else np.outer(np.ones(s[0]), np.arange(s[1])) for k, s in shapes.items()}
+    rows = spark.createDataFrame([("r", k, 0, 0, i, i, None, v.tolist()) for k, m in made.items() for i, v in enumerate(m)], SCHEMA).repartition(5)
+    got = {r.tbl: r for r in G.dense_spectra(rows, most=100).collect()}
+    assert set(got) == set(shapes) - {"none"}
+    for k, m in made.items():
+        if k in got:
+            values = np.linalg.svd(m.astype("f4").astype(float), compute_uv=False)
+            exact = min(m.shape) <= 100
+            assert got[k].spectral_norm == pytest.approx(values[0], rel=1e-6 if exact else 1e-3), k
+            assert got[k].effective_rank == pytest.approx(G.shape_of(values).effective_rank, rel=1e-5 if exact else 0.03), k
+
+
+def test_moments_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(90, 150))
+    rows = rows_of(spark, [{i: (0, 1, v) for i, v in enumerate(x)}, {i: (0, 1, v[:3]) for i, v in enumerate(x[:5])}]).repartition(6)
+    monkeypatch.setattr(Mo, "FAN", 2)
+    got = {r.ckpt: r for r in Mo.moments(rows, G.TABLE).collect()}
+    y = x.astype("f4").astype(float)
+    for k, z in ((0, y), (1, y[:5, :3])):
+        s, ss = Mo.assemble(got[k].tiles)
+        assert got[k].n == len(z) and s == pytest.approx(z.sum(0)) and np.allclose(ss, z.T @ z)
+        assert max(len(t.v) for t in got[k].tiles) <= Mo.TILE**2
+    assert [len(got[k].tiles) for k in (0, 1)] == [6, 1]
+    cells = {(r.i, r.j): (r.value, r.sum_i, r.sum_j) for r in Mo.cells(Mo.moments(rows, G.TABLE)).where("ckpt = 0").collect()}
+    assert len(cells) == 150 * 151 // 2 and cells[70, 140] == pytest.approx(((y.T @ y)[70, 140], y.sum(0)[70], y.sum(0)[140]))
+
+
 def test_rotation_is_not_idiosyncratic(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 12))
