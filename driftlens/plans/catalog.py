@@ -6,11 +6,15 @@ embeddings. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.functions.stage import settle
+from driftlens import sql as V
+from driftlens.functions import sketches as K
 from driftlens.functions.moments import cells, moments
+from driftlens.functions.stage import settle
 from driftlens.operators import attribution as A
 from driftlens.operators import calibrate as C
 from driftlens.operators import detect as D
@@ -20,6 +24,7 @@ from driftlens.operators import movement as M
 from driftlens.operators import mutate as U
 from driftlens.operators import pairs as P
 from driftlens.operators import series as S
+from driftlens.sources import bucketed as B
 from driftlens.sources import trajectories as T
 
 QUERIES: dict = {}
@@ -733,3 +738,59 @@ def event_p_values(spark, sf_dir):
     return _round(C.p_values(own, found.where("tbl = 'b'").select("method", "score")), 4)
 
 
+
+
+# --- sketches, bucketed tables, SQL -----------------------------------------------------------------------------------
+
+SHARES = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
+L_VALUES = """
+WITH cells AS (
+  SELECT (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS ckpt, l_partkey AS id, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2
+)"""
+
+
+@query(L_VALUES + f"SELECT p, count(*) AS n, true AS within FROM cells, (SELECT unnest([{', '.join(map(str, SHARES))}])::DOUBLE AS p) GROUP BY p")
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles of what a part shipped a quarter, from the quarters' merged sketches: are their true ranks within the bound?"""
+    values = T.lineitem_trajectory(spark, sf_dir).select("run", "ckpt", F.col("vec")[1].alias("value"))
+    asked = K.quantiles(K.merged(K.sketched(values, ["run", "ckpt"]), ["run"]), list(SHARES))
+    below, upto = (F.count_if(c) / F.first("n") for c in (F.col("v.value") < F.col("q.value"), F.col("v.value") <= F.col("q.value")))
+    ranks = values.alias("v").join(F.broadcast(asked).alias("q"), "run").groupBy("p").agg(F.first("n").alias("n"), below.alias("low"), upto.alias("high"))
+    return ranks.select("p", "n", ((F.col("low") - K.rank_error() <= F.col("p")) & (F.col("p") <= F.col("high") + K.rank_error())).alias("within"))
+
+
+@query(EVENTS + "SELECT tbl, metric, idx, method, true AS within FROM z WHERE tbl = 'a'")
+def sketched_p_values(spark, sf_dir):
+    """Are the p-values of events from a sketch of the pool, merged over its metrics, within the bound of the exact ones?"""
+    found = settle(D.robust_z(_series(spark, sf_dir), k=0.0))
+    own, pool = found.where("tbl = 'a'").select("run", "tbl", "metric", "idx", "method", "score"), found.where("tbl = 'b'").select("method", "metric", "score")
+    kept = K.merged(K.sketched(pool.withColumn("value", F.abs("score")), ["method", "metric"]), ["method"])
+    both = C.p_values(K.p_values(own, kept, ["method"]).withColumnRenamed("p", "_near"), pool.select("method", "score"))
+    return both.select("tbl", "metric", "idx", "method", (F.abs(F.col("_near") - F.col("p")) <= K.rank_error() + 1 / K.GRID).alias("within"))
+
+
+@query(SQL["churn_counts"])
+def bucketed_churn(spark, sf_dir):
+    """churn_counts over a table bucketed by id that was written a checkpoint after the other: no row is shuffled to meet its neighbour."""
+    rows = settle(_rows(spark, sf_dir))
+    name = f"drift_rows_{zlib.crc32(sf_dir.encode())}"
+    B.write_bucketed(rows.where("ckpt < 6"), name, 8, "overwrite")
+    B.append_checkpoint(rows.where("ckpt >= 6"), name)
+    return P.churn_counts(spark.table(name)).drop("run", "step")
+
+
+@query(
+    PAIRS
+    + """, inserted AS (SELECT pair, count(*) AS n FROM pairs WHERE tbl = 'a' AND status = 'inserted' GROUP BY pair)
+SELECT counts.pair, CAST(n_evicted AS BIGINT) AS n_evicted, CAST(n_cur AS BIGINT) AS n_cur, CAST(coalesce(inserted.n, 0) AS BIGINT) AS n_inserted, round(coalesce(max_dn, 0), 4) + 0.0 AS max_dn
+FROM counts LEFT JOIN inserted ON counts.pair = inserted.pair LEFT JOIN (SELECT pair, max(dn) AS max_dn FROM moves WHERE tbl = 'a' GROUP BY pair) AS m ON counts.pair = m.pair
+WHERE tbl = 'a' AND counts.pair BETWEEN 2 AND 8"""
+)
+def churn_in_sql(spark, sf_dir):
+    """Views and table functions of the SQL surface, through one text."""
+    V.register(spark, _rows(spark, sf_dir))
+    return spark.sql(
+        """SELECT c.pair, c.n_evicted, c.n_cur, coalesce(i.n, 0) AS n_inserted, round(coalesce(m.max_dn, 0), 4) + CAST(0 AS DOUBLE) AS max_dn FROM drift_between('a', 2, 9) c
+        LEFT JOIN (SELECT pair, count(*) AS n FROM drift_ids('a', 'inserted') GROUP BY pair) i ON c.pair = i.pair
+        LEFT JOIN (SELECT pair, max(dn) AS max_dn FROM drift_movement WHERE tbl = 'a' GROUP BY pair) m ON c.pair = m.pair"""
+    )

@@ -29,6 +29,8 @@ from driftlens.sources.trajectories import SCHEMA, complete_marks
 from driftlens.streaming.detector import FOUND_SCHEMA, PROVIDER, ROCKS_DB, SERIES_SCHEMA, detected
 from driftlens.streaming.snapshots import Snapshots
 
+PARTITIONS = 4  # tasks of the detector: a run has as many series as tables have metrics, and they are short
+
 
 class Watcher:
     """State under one folder; ``on_events`` gets a DataFrame of events not told before."""
@@ -113,14 +115,17 @@ class Watcher:
         if not self.kept.names("feed"):
             return
         conf = self.spark.conf
-        before = conf.get(PROVIDER, None)
-        conf.set(PROVIDER, ROCKS_DB)
+        own = {PROVIDER: ROCKS_DB, "spark.sql.shuffle.partitions": str(PARTITIONS)}
+        before = {k: conf.get(k, None) for k in own}
+        for k, v in own.items():
+            conf.set(k, v)
         try:
             points = self.spark.readStream.schema(SERIES_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.kept.path}/feed")
             found = detected(points, self.thresholds, self.min_severity, **self.settings)
             query = found.writeStream.foreachBatch(self._tell).option("checkpointLocation", f"{self.kept.path}/detector").trigger(availableNow=True).start()
         finally:
-            conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         query.awaitTermination()
 
     def _tell(self, found: DataFrame, batch: int) -> None:
