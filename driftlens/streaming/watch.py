@@ -42,7 +42,7 @@ class Watcher:
 
     def _state(self) -> dict:
         """The last manifest. files: a folder and its checkpoints by batch; pairs: checkpoint, features and context by place."""
-        return {"files": {}, "newest": -1, "done": [], "pairs": [], "last": None, "events": None, "told": -1} | self.kept.manifest()
+        return {"files": {}, "newest": -1, "done": [], "pairs": [], "last": None, "events": None, "told": -1, "seen": 0} | self.kept.manifest()
 
     def _rows(self, files: list[str]) -> DataFrame:
         """Rows of some files of the run, with the columns that lie in their folders' names."""
@@ -112,7 +112,8 @@ class Watcher:
 
     def _detect(self) -> None:
         """Let the stateful stream take what has been handed over; it stops when it has seen all."""
-        if not self.kept.names("feed"):
+        given = len(self.kept.names("feed"))
+        if given == self._state()["seen"]:
             return
         conf = self.spark.conf
         own = {PROVIDER: ROCKS_DB, "spark.sql.shuffle.partitions": str(PARTITIONS)}
@@ -127,6 +128,7 @@ class Watcher:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
         query.awaitTermination()
+        self.kept.commit(self._state() | {"seen": given})
 
     def _tell(self, found: DataFrame, batch: int) -> None:
         state = self._state()
