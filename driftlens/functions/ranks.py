@@ -35,28 +35,43 @@ def _inside(keys: list[str]) -> Column:
     return F.coalesce(F.sum("_n").over(own), F.lit(0))
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with 1-based average ranks of value among its keys; equal values share their mean rank."""
+def largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: counted once, it may be passed on as most for all that follows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, held: int = HELD, most: int | None = None) -> DataFrame:
+    """df with 1-based average ranks of value among its keys; equal values share their mean rank, null ones have no row.
+
+    Where every group has at most held rows, one window a group ranks them; else buckets do. Both ways give the same.
+    """
+    if (largest(df, keys) if most is None else most) <= held:
+        ordered, same = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.where(F.col(value).isNotNull()).withColumn(name, F.rank().over(ordered) + (F.count("*").over(same) - 1) / 2)
     counts, sizes = _counted(df, keys, F.col(value))
     placed = counts.withColumn("_in", _inside(keys)).join(sizes, [*keys, "_bucket"])
     ranked = placed.select(*keys, F.col("_value").alias(value), (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranked, [*keys, value])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float], held: int = HELD) -> DataFrame:
-    """keys and the wanted quantiles of value, interpolated between neighbours, by name.
+def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float], held: int = HELD, most: int | None = None, lower: bool = False) -> DataFrame:
+    """keys and the wanted quantiles of value by name: interpolated between neighbours, or with lower the least value that so many don't exceed.
 
     Where every group has at most held rows, one aggregate a group takes them; else only the buckets that hold them are
     ordered. Both ways give the same.
     """
     own = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
-    most = own.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    if most <= held:
-        return own.groupBy(*keys).agg(*[F.percentile("_v", p).alias(name) for name, p in wanted.items()])
+    if (largest(own, keys) if most is None else most) <= held:
+        one = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _v)") if lower else F.percentile("_v", p)
+        return own.groupBy(*keys).agg(*[one(p).alias(name) for name, p in wanted.items()])
     counts, sizes = _counted(own, keys, F.col("_v"))
     totals = sizes.groupBy(*keys).agg(F.sum("_size").alias("_all"))
     # the neighbours' places, from 0 on
-    places = F.array(*[F.struct(F.lit(name).alias("name"), edge((F.col("_all") - 1) * p).cast("long").alias("at"), ((F.col("_all") - 1) * p % 1).alias("part"), F.lit(side).alias("side")) for name, p in wanted.items() for side, edge in enumerate((F.floor, F.ceil))])
+    place = lambda name, at, part, side: F.struct(F.lit(name).alias("name"), at.cast("long").alias("at"), part.alias("part"), F.lit(side).alias("side"))
+    if lower:
+        places = F.array(*[place(name, F.greatest(F.ceil(F.col("_all") * p) - 1, F.lit(0)), F.lit(0.0), 0) for name, p in wanted.items()])
+    else:
+        places = F.array(*[place(name, edge((F.col("_all") - 1) * p), (F.col("_all") - 1) * p % 1, side) for name, p in wanted.items() for side, edge in enumerate((F.floor, F.ceil))])
     asked = sizes.join(totals, keys).withColumn("t", F.explode(places)).where("t.at >= _before and t.at < _before + _size").select(*keys, "_bucket", "_before", "t")
     near = counts.join(asked.select(*keys, "_bucket", "_before").distinct(), [*keys, "_bucket"]).withColumn("_from", F.col("_before") + _inside(keys)).drop("_before")
     found = near.join(asked.drop("_before"), [*keys, "_bucket"]).where("t.at >= _from and t.at < _from + _n")
@@ -68,9 +83,10 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, f
 def robust_z(df: DataFrame, keys: list[str], value: str, name: str, clip: float | None = None) -> DataFrame:
     """df with (value - median) / scale: scale is 1.4826 times the median absolute deviation, or the population
     deviation where that vanishes; 0 where both do. df is read several times."""
-    centre = quantiles(df, keys, F.col(value), {"_m": 0.5}).join(df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd")), keys)
+    most = largest(df, keys)
+    centre = quantiles(df, keys, F.col(value), {"_m": 0.5}, most=most).join(df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd")), keys)
     off = df.join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("_m")))
-    mad = quantiles(off, keys, F.col("_off"), {"_mad": 0.5}).withColumn("_mad", 1.4826 * F.col("_mad"))
+    mad = quantiles(off, keys, F.col("_off"), {"_mad": 0.5}, most=most).withColumn("_mad", 1.4826 * F.col("_mad"))
     spread = off.join(mad, keys)
     scale = F.when(F.col("_mad") < EPS, F.col("_sd")).otherwise(F.col("_mad"))
     z = (F.col(value) - F.col("_m")) / F.nullif(scale, F.lit(0.0))

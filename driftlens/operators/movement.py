@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.functions.ranks import EPS, average_rank, quantiles, robust_z
+from driftlens.functions.ranks import EPS, average_rank, largest, quantiles, robust_z
 from driftlens.functions.stage import settle
 from driftlens.functions.vectors import cosine, delta_norm, norm
 from driftlens.operators.pairs import PAIR
@@ -40,8 +40,10 @@ def freq_residual(moves: DataFrame) -> DataFrame:
 
 def frozen_score(moves: DataFrame) -> DataFrame:
     """moves with frozen: percentile rank of the count's growth less that of the movement; 0 for a lone id."""
+    moves = settle(moves)
     n = moves.groupBy(*PAIR).agg(F.count("*").alias("_count"))
-    ranked = average_rank(average_rank(moves, PAIR, "dcount", "rank_dcount"), PAIR, "dn", "rank_dn").join(n, PAIR)
+    most = largest(moves, PAIR)
+    ranked = average_rank(average_rank(moves, PAIR, "dcount", "rank_dcount", most=most), PAIR, "dn", "rank_dn", most=most).join(n, PAIR)
     score = (F.col("rank_dcount") - F.col("rank_dn")) / F.nullif(F.col("_count") - 1, F.lit(0))
     return ranked.withColumn("frozen", F.coalesce(score, F.lit(0.0))).drop("_count")
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.functions.ranks import quantiles
 from driftlens.functions.vectors import EPS, norm
 
 KINDS = ("scramble", "zero", "noise", "freeze")
@@ -26,8 +27,7 @@ def gaussian(seed: int, size: Column, *keys: Column) -> Column:
 
 def typical_norm(rows: DataFrame) -> DataFrame:
     """run, tbl, ckpt, typical: the lower median of the row norms, 1 where that is 0."""
-    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _norm)")
-    found = rows.withColumn("_norm", norm(F.col("vec"))).groupBy("run", "tbl", "ckpt").agg(lower.alias("typical"))
+    found = quantiles(rows, ["run", "tbl", "ckpt"], norm(F.col("vec")), {"typical": 0.5}, lower=True)
     return found.withColumn("typical", F.when(F.col("typical") == 0, 1.0).otherwise(F.col("typical")))
 
 
@@ -68,10 +68,13 @@ def inject_trials(rows: DataFrame, trials: DataFrame) -> DataFrame:
     else those first in hash order; ties go to the lower id. A frozen id keeps the vector of the checkpoint before.
     """
     plan = trials.select(F.col("trial").alias("run"), "tbl", "kind", "magnitude", "n_ids", "step", "persistent", "seed")
+    most = plan.agg(F.coalesce(F.max("n_ids"), F.lit(0))).first()[0]
     named = plan.withColumnRenamed("step", "at")
     base = rows.join(named, ["run", "tbl"]).where(F.col("ckpt") == F.col("at"))
     first = F.when(F.col("kind") == "freeze", -F.coalesce("cnt", F.lit(0))).otherwise(F.xxhash64("seed", "id"))
-    chosen = base.withColumn("_r", F.row_number().over(Window.partitionBy("run", "tbl").orderBy(first, "id"))).where(F.col("_r") <= F.col("n_ids"))
+    # a literal bound first, so that every task keeps its first ids only and no table is ordered whole
+    ranked = base.withColumn("_r", F.row_number().over(Window.partitionBy("run", "tbl").orderBy(first, "id"))).where(F.col("_r") <= F.lit(most))
+    chosen = ranked.where(F.col("_r") <= F.col("n_ids"))
     typical = typical_norm(base.select("run", "tbl", "ckpt", "vec")).drop("ckpt")
     before = rows.join(named, ["run", "tbl"]).where(F.col("ckpt") == F.col("at") - 1).select("run", "tbl", "id", F.col("vec").cast("array<double>").alias("_before"))
     found = chosen.join(typical, ["run", "tbl"]).join(before, ["run", "tbl", "id"], "left")

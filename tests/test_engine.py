@@ -122,7 +122,8 @@ def test_scores_match_numpy(spark, case):
 def test_average_rank_of_any_values(spark):
     values = [0.0, -5.0, 1e9, 1e-9, 3.0, 3.0, -5.0, 0.0, 0.0]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, id long, v double")
-    assert [by_id(average_rank(df, ["k"], "v", "rank"), "rank")[i] for i in range(9)] == numpy_ranks(np.array(values)).tolist()
+    for held in (0, 100):
+        assert [by_id(average_rank(df, ["k"], "v", "rank", held), "rank")[i] for i in range(9)] == numpy_ranks(np.array(values)).tolist()
 
 
 def test_quantiles_by_buckets(spark):
@@ -134,7 +135,9 @@ def test_quantiles_by_buckets(spark):
         got = {r.k: [r[c] for c in wanted] for r in quantiles(df, ["k"], F.col("v"), wanted, held).collect()}
         for k, v in groups.items():
             assert got[k] == pytest.approx(np.quantile(v, list(wanted.values())).tolist(), rel=1e-12), (k, held)
-    ranks = average_rank(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "v", "rank").where("k = 'near'").orderBy("v").collect()
+        least = {r.k: [r[c] for c in wanted] for r in quantiles(df, ["k"], F.col("v"), wanted, held, lower=True).collect()}
+        assert least == {k: np.quantile(v, list(wanted.values()), method="inverted_cdf").tolist() for k, v in groups.items()}
+    ranks = average_rank(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "v", "rank", 0).where("k = 'near'").orderBy("v").collect()
     assert [r["rank"] for r in ranks] == [float(x) for x in range(1, 901)]
 
 
