@@ -54,6 +54,12 @@ def top_k(scored: DataFrame, by: str, k: int = 10) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nominated(scored: DataFrame, wanted: DataFrame, scores: list[str]) -> DataFrame:
+    """wanted (run, tbl, id) with n, the pairs in which the id is clean, and the mean of each score over these; null where n is 0."""
+    means = scored.groupBy("run", "tbl", "id").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in scores])
+    return wanted.join(means, ["run", "tbl", "id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def movement_summary(moves: DataFrame) -> DataFrame:
     """mover_frac and the median, 95th percentile and maximum of the movement; 0 where a pair has no clean id."""
     sums = moves.groupBy(*PAIR).agg(F.avg((F.col("dn") > 0).cast("double")).alias("mover_frac"), F.max("dn").alias("delta_max"))

@@ -55,7 +55,7 @@ WITH ev AS (
          sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS v1, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS v2,
          sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS v3, sum(CASE WHEN event_type = 'signup' THEN value ELSE 0 END) AS v4,
          sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS v5
-  FROM ev JOIN (SELECT unnest(range(4, 16)) AS k) ON day <= 2 * k GROUP BY k, id
+  FROM ev JOIN (SELECT unnest(range(4, greatest(4, (max(day) + 1) // 2) + 1)) AS k FROM ev) ON day <= 2 * k GROUP BY k, id
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY recent DESC, id) AS r FROM cum WHERE recent > 0
 ), rows_e AS (
@@ -71,7 +71,7 @@ PAIRS = (
               WHEN c.cnt < p.cnt THEN 'readmitted' ELSE 'clean' END AS status,
          p.v1 AS p1, p.v2 AS p2, p.v3 AS p3, p.v4 AS p4, p.v5 AS p5, c.v1 AS c1, c.v2 AS c2, c.v3 AS c3, c.v4 AS c4, c.v5 AS c5, c.cnt
   FROM rows_e p FULL JOIN rows_e c ON p.tbl = c.tbl AND p.id = c.id AND c.ckpt = p.ckpt + 1
-  WHERE coalesce(p.ckpt, c.ckpt - 1) BETWEEN 0 AND 10
+  WHERE coalesce(p.ckpt, c.ckpt - 1) BETWEEN 0 AND (SELECT max(ckpt) - 1 FROM rows_e)
 ), counts AS (
   SELECT tbl, pair, count_if(status = 'clean') AS n_clean, count_if(status = 'slot_moved') AS n_slot_moved, count_if(status = 'readmitted') AS n_readmitted,
          count_if(status = 'inserted') AS n_inserted, count_if(status = 'evicted') AS n_evicted,
@@ -740,6 +740,17 @@ def event_p_values(spark, sf_dir):
 
 
 
+@query(SCORES + """SELECT tbl, id, count(s.pair) AS n, round(coalesce(avg(dn), -1), 4) AS dn, round(coalesce(avg(frozen), -1), 4) + 0.0 AS frozen
+FROM (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS tbl, user_id AS id FROM events) LEFT JOIN scores s USING (tbl, id) GROUP BY tbl, id""")
+def nominated_ids(spark, sf_dir):
+    """Every user of the events as a nominated id: pairs in which it is clean, and its mean movement and frozen score (-1 for none)."""
+    rows = _rows(spark, sf_dir)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id")).distinct()
+    wanted = users.select(F.lit("e").alias("run"), T.table_of(F.col("id")).alias("tbl"), "id")
+    found = M.nominated(M.frozen_score(M.movement(P.id_pairs(rows))), wanted, ["dn", "frozen"])
+    return _round(found.select("run", "tbl", "id", "n", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("dn", "frozen")]))
+
+
 # --- sketches, bucketed tables, SQL -----------------------------------------------------------------------------------
 
 SHARES = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)

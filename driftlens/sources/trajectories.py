@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "run string, tbl string, ckpt int, step long, id long, slot long, cnt long, vec array<float>"
 EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
-FIRST, LAST = 4, 15  # checkpoints of the events trajectory stand at the end of every second day
+FIRST = 4  # checkpoints of the events trajectory stand at the end of every second day from the eighth on, up to the last event
 
 
 def read_rows(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
@@ -73,16 +73,18 @@ def events_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1
     values = [F.sum(F.when(F.col("event_type") == t, F.col("value")).otherwise(0.0)).alias(f"v{i}") for i, t in enumerate(EVENT_TYPES)]
     daily = events.groupBy(F.col("user_id").alias("id"), day.alias("day")).agg(F.count("*").alias("n"), *values)
-    k = F.explode(F.sequence(F.greatest(F.ceil(F.col("day") / 2), F.lit(FIRST)), F.greatest(F.ceil(F.col("day") / 2), F.lit(LAST)))).alias("k")
-    each = daily.select("*", k).where(F.col("k") <= LAST)
+    # one row: how many residents there are, and the last checkpoint
+    last = F.greatest(F.ceil(F.max("day") / 2), F.lit(FIRST)).alias("last")
+    bounds = F.broadcast(daily.agg(F.floor(F.count_distinct("id") * 2 / 3).alias("cap"), last).withColumn("_all", F.lit(1)))
+    k = F.explode(F.sequence(F.greatest(F.ceil(F.col("day") / 2), F.lit(FIRST)), F.col("last"))).alias("k")
+    each = daily.withColumn("_all", F.lit(1)).join(bounds, "_all").select(*daily.columns, k)
     total = each.groupBy("k", "id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("day") > 2 * F.col("k") - 7, F.col("n")).otherwise(0)).alias("recent"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(5)])
-    users = daily.agg(F.floor(F.count_distinct("id") * 2 / 3).alias("cap"))
     # residents are the cap most active users of a checkpoint: windows span one count of recent events, and how many
     # users had more is summed over the counts that occur
     active = total.where("recent > 0")
     levels = active.groupBy("k", "recent").agg(F.count("*").alias("users"))
     above = F.coalesce(F.sum("users").over(Window.partitionBy("k").orderBy(F.desc("recent")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = levels.withColumns({"above": above, "_all": F.lit(1)}).join(F.broadcast(users.withColumn("_all", F.lit(1))), "_all").withColumn("room", F.col("cap") - F.col("above")).where("room > 0").select("k", "recent", "room")
+    room = levels.withColumns({"above": above, "_all": F.lit(1)}).join(bounds, "_all").withColumn("room", F.col("cap") - F.col("above")).where("room > 0").select("k", "recent", "room")
     order = Window.partitionBy("k", "recent").orderBy("id")
     ranked = active.join(room, ["k", "recent"]).withColumn("r", F.row_number().over(order))
     k, key = F.col("k"), F.col("id")
