@@ -3,11 +3,11 @@
 1. Texts and items are cut into words (letters, digits and non-ASCII characters, A-Z lower-cased) and shingles of five
    words (an item of fewer words: all of them). Places in documents whose shingle stands in an item are found by a join
    on the shingle's hash; the items' side is broadcast while it has BROADCAST_SHINGLES rows at most.
-2. Item-sized windows: of all windows as long as an item, those that begin at such a place and hold enough of that
-   item's to reach the similarity. That loses none: a window moved to its first shared shingle keeps all it shares.
-3. Exact weighted-shingle similarity, the sum of the lesser over the sum of the greater counts, decides for every such
-   window and its item. The SimHash distance (64 bits, weighted by how often a shingle stands there) is only reported:
-   a few repeated shingles may carry all its votes, so no radius would be safe.
+2. Exact weighted-shingle similarity, the sum of the lesser over the sum of the greater counts, of every item-sized
+   window that begins at such a place, and so of the best of all windows. Windows slide: what they share is a running sum
+   over the hits of a text and item, so a text of one repeated word costs no more than another.
+3. The SimHash distance (64 bits, weighted by how often a shingle stands there) of the best window is only reported: a
+   few repeated shingles may carry all its votes, so no radius would be safe.
 
 Texts are told apart by 128 bits of hash, so null or repeated ids and copies need no case of their own. Null and empty
 texts and items without a word match nothing; repeated items give rows of their own.
@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ascii_lower, discard, free_name, materialize, table
+from driftlens.llm.common import ascii_lower, free_name, materialize, table
 
 WIDTH, SIMILARITY = 5, 0.8
 BROADCAST_SHINGLES = 1_000_000
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LANES = 0x0000000100000001
+PLACE = ["h1", "h2", "item", "item_id", "n", "width", "words"]
+_MET = "struct<r: bigint, at: int, before: int>"
 
 
 def words_of(text: Column) -> Column:
@@ -71,10 +73,8 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     return places.select("item", "item_id", "n", "width", h.alias("h"))
 
 
-def candidate_windows(docs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """h1, h2, item, start, n, width, m: windows of m words (n, or all of a shorter text) that may be similar to that item."""
-    known = shingles.select("item", "n", "width", "h").distinct()
-    small = known.count() <= BROADCAST_SHINGLES
+def shingle_hits(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """h1, h2, words, at and known's columns: each place of each text at which an item's shingle stands, copies together."""
     texts = docs.select(words_of(F.col("text").cast("string")).alias("w"), *text_key(F.col("text"))).withColumn("words", F.size("w"))
     hits = None
     for width in [r.width for r in known.select("width").distinct().collect()]:  # five values at most
@@ -83,37 +83,54 @@ def candidate_windows(docs: DataFrame, shingles: DataFrame, similarity: float) -
         found = at.select("h1", "h2", "words", "at", shingle_at("w", F.col("at"), width).alias("h")).join(F.broadcast(own) if small else own, "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "h1 long, h2 long, item long, start int, n int, width int, m int")
-    # copies of a text fall together here: places are collected as sets, a text's words at most
-    placed = hits.groupBy("h1", "h2", "item", "n", "width", "words").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    placed = placed.withColumn("m", F.least("n", "words")).withColumn("own", F.col("m") - F.col("width") + 1)
-    placed = placed.withColumn("need", _least_shared(F.col("own"), F.col("n") - F.col("width") + 1, similarity).cast("int"))
-    full = F.filter("places", lambda at, k: F.get(F.col("places"), k + F.col("need") - 1) - at < F.col("own"))
-    starts = F.transform(full, lambda at: F.least(at, F.col("words") - F.col("m")))
-    return placed.select("h1", "h2", "item", F.explode(F.array_distinct(starts)).alias("start"), "n", "width", "m")
+        hits = known.crossJoin(texts.select("h1", "h2", "words", F.lit(0).alias("at")).limit(0))
+    return hits.groupBy(*PLACE, "at").agg(F.first("h").alias("h"), F.first("d").alias("d"))
+
+
+def slid_windows(hits: DataFrame, similarity: float) -> DataFrame:
+    """PLACE's columns, m, start, similarity: for each text and item the first of the most similar windows of m words (n, or all of a shorter text).
+
+    A hit at p counts in the windows that begin after the d-th earlier hit of its shingle (the item holds it d times), not
+    before p less the window's shingles, and up to p itself. So each hit is an interval of starts, and the running sum of the
+    intervals' ends is what every window shares with the item. Windows that begin at a hit are enough: one moved on to its
+    first hit loses nothing. All steps keep the one shuffle by text and item.
+    """
+    pair = Window.partitionBy("h1", "h2", "item")
+    m = F.least("n", "words")
+    placed = hits.withColumn("m", m).withColumn("own", F.col("m") - F.col("width") + 1).withColumn("size", F.col("n") - F.col("width") + 1)
+    placed = placed.withColumn("hits", F.count("*").over(pair)).where(F.col("hits") >= _least_shared(F.col("own"), F.col("size"), similarity))
+    placed = placed.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", "item", "h").orderBy("at")))
+    keys = [*PLACE, "m", "own", "size"]
+    here, later = F.struct("r", F.col("at").alias("at"), F.lit(None).cast("int").alias("before")), F.struct((F.col("r") + F.col("d")).alias("r"), F.lit(None).cast("int").alias("at"), F.col("at").alias("before"))
+    met = placed.select(*keys, "h", F.explode(F.array(here.cast(_MET), later.cast(_MET))).alias("x")).select(*keys, "h", "x.*")
+    each = met.groupBy(*keys, "h", "r").agg(F.max("at").alias("at"), F.max("before").alias("before")).where("at is not null")
+    begins = F.greatest(F.col("at") - F.col("own") + 1, F.coalesce(F.col("before") + 1, F.lit(0)), F.lit(0))
+    ends = [(begins, 1, False), (F.col("at") + 1, -1, False), (F.least(F.col("at"), F.col("words") - F.col("m")), 0, True)]
+    step = F.explode(F.array(*[F.struct(start.cast("int").alias("start"), F.lit(by).alias("by"), F.lit(asked).alias("asked")) for start, by, asked in ends])).alias("x")
+    steps = each.select(*keys, step).select(*keys, "x.*").groupBy(*keys, "start").agg(F.sum("by").alias("by"), F.max("asked").alias("asked"))
+    shared = steps.withColumn("s", F.sum("by").over(pair.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))).where("asked")
+    scored = shared.withColumn("similarity", F.col("s") / (F.col("size") + F.col("own") - F.col("s"))).where(F.col("similarity") >= similarity - 1e-9)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b")
+    return scored.groupBy(*PLACE, "m").agg(best).select(*PLACE, "m", (-F.col("b.back")).alias("start"), "b.similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """h1, h2, item_id, start, n_words, similarity, distance: the best window of each text for each item it leaks."""
     shingles = materialize(item_shingles(benchmark), "item-shingles")
-    windows = materialize(candidate_windows(docs, shingles, similarity), "windows")
-    wanted = windows.drop("item").distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "width", "m")).alias("windows"))
-    texts = docs.select(F.col("text").cast("string").alias("text"), *text_key(F.col("text"))).join(wanted, ["h1", "h2"])
-    each = texts.select("h1", "h2", words_of(F.col("text")).alias("w"), F.explode("windows").alias("x")).select("h1", "h2", "w", "x.*")
-    at = F.explode(F.sequence(F.lit(0), F.col("m") - F.col("width"))).alias("k")
-    h = F.coalesce(*[F.when(F.col("width") == k, shingle_at("w", F.col("start") + F.col("k"), k)) for k in range(1, WIDTH + 1)])
-    keys = ["h1", "h2", "start", "n", "width", "m"]
+    # written, so that a frequent shingle's rows may be split where its side is too large to broadcast
+    known = materialize(shingles.groupBy("item", "item_id", "n", "width", "h").agg(F.count("*").alias("d")), "known-shingles")
+    found = materialize(slid_windows(shingle_hits(docs, known, known.count() <= BROADCAST_SHINGLES), similarity), "similar-windows")
+
+    window = found.select("h1", "h2", "item", "start", "m", "width")
+    texts = docs.select(F.col("text").cast("string").alias("text"), *text_key(F.col("text"))).join(window, ["h1", "h2"])
+    own = texts.select("h1", "h2", "item", "width", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("m")).alias("w"))
+    own = own.select("h1", "h2", "item", "width", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("width"))).alias("k"))
+    h = F.coalesce(*[F.when(F.col("width") == k, shingle_at("w", F.col("k"), k)) for k in range(1, WIDTH + 1)])
     # a copy of a text gives the same rows again; k tells a window's own repeats apart
-    held = materialize(each.select(*keys, "w", at).select(*keys, "k", h.alias("h")).dropDuplicates([*keys, "k"]), "window-shingles")
-
-    own = held.groupBy(*keys, "h").agg(F.count("*").alias("c"))
-    theirs = shingles.groupBy("item", "item_id", "h").agg(F.count("*").alias("d"), F.first(F.col("n") - F.col("width") + 1).alias("size"))
-    shared = windows.join(own, keys).join(theirs, ["item", "h"]).groupBy(*keys, "item", "item_id").agg(F.sum(F.least("c", "d")).alias("s"), F.first("size").alias("size"))
-    scored = shared.withColumn("similarity", F.col("s") / (F.col("size") + F.col("m") - F.col("width") + 1 - F.col("s"))).where(F.col("similarity") >= similarity - 1e-9)
-    scored = materialize(scored, "similar-windows")
+    held = own.select("h1", "h2", "item", "k", h.alias("h")).dropDuplicates(["h1", "h2", "item", "k"])
+    asked = simhash(held, ["h1", "h2", "item"]).select("h1", "h2", "item", "fp")
     items = simhash(shingles, ["item"]).select("item", F.col("fp").alias("item_fp"))
-    asked = simhash(held.join(scored.select(keys).distinct(), keys, "left_semi"), keys).select(*keys, "fp")
-    scored = scored.join(asked, keys).join(items, "item").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int"))
+    scored = found.join(asked, ["h1", "h2", "item"]).join(items, "item").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m", (-F.col("distance")).alias("near"))).alias("b")
     return scored.groupBy("h1", "h2", "item_id").agg(best).select("h1", "h2", "item_id", (-F.col("b.back")).alias("start"), F.col("b.m").alias("n_words"), "b.similarity", (-F.col("b.near")).alias("distance"))
 

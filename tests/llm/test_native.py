@@ -68,6 +68,30 @@ def test_leak_with_repeated_shingles_carrying_the_votes(spark):
     assert min(v[1] for v in got.values()) > 24
 
 
+def test_windows_slide_along_repetitive_texts(spark):
+    rng = random.Random(8)
+    for count in (2, 3):  # few different words, so that shingles repeat in items and in texts
+        texts = [" ".join(rng.choices("abc"[:count], k=rng.randrange(1, 90))) for _ in range(25)]
+        items = [" ".join(rng.choices("abc"[:count], k=rng.randrange(2, 40))) for _ in range(8)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 9)) for r in docs.select("doc_id", *D.text_key(docs.text)).join(D.leaks(docs, bench, 0.6), ["h1", "h2"]).collect()}
+        want = {}
+        for (i, t), (k, item) in [(x, y) for x in enumerate(texts) for y in enumerate(items)]:
+            w, b = t.split(), item.split()
+            m = min(len(w), len(b))
+            if m >= min(5, len(b)):
+                want[i, k] = max(similarity(w[a : a + m], b) for a in range(len(w) - m + 1))
+        assert {k: v[1] for k, v in got.items()} == {k: round(v, 9) for k, v in want.items() if v >= 0.6 - 1e-9} and len(got) > 5
+        for (i, k), (start, s) in got.items():
+            b = items[k].split()
+            assert round(similarity(texts[i].split()[start : start + len(b)], b), 9) == s
+    # a very long text of one word against an item of it: a window a place, none exploded
+    docs = spark.createDataFrame([(1, "na " * 200_000)] * 3, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "na " * 300)], "item_id long, text string")
+    assert [(r.start, r.n_words, r.similarity) for r in D.leaks(docs, bench).collect()] == [(0, 300, 1.0)]
+
+
 def test_votes_of_long_windows_and_repeated_items(spark):
     rows = spark.range(140_000).selectExpr("id % 2 as k", "if(id % 2 = 0, -1L, 0L) as h")
     assert {r.k: (r.fp, r.total) for r in D.simhash(rows, ["k"]).collect()} == {0: (-1, 70_000), 1: (0, 70_000)}
