@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens import sql as V
+from driftlens.functions import directions as FD
 from driftlens.functions import sketches as K
 from driftlens.functions.moments import cells, moments
 from driftlens.functions.stage import settle
@@ -445,6 +446,52 @@ def covariance_matrix(spark, sf_dir):
     return cells(moments(rows, G.TABLE)).select("i", "j", (F.round(cov, 8) + 0.0).alias("cov"))
 
 
+#: Two coordinates, sheared more from checkpoint to checkpoint: spectra and directions of the plane have a closed form.
+SHEARED_SQL = (
+    V_SQL
+    + """, plane AS (SELECT id, k, max(v) FILTER (i = 7) AS x, 0.3 * max(v) FILTER (i = 8) + 0.2 * k * max(v) FILTER (i = 7) AS y FROM rows_v WHERE i IN (7, 8) GROUP BY id, k),
+sums AS (SELECT k, count(*) AS n, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM plane GROUP BY k),
+spans AS (SELECT *, (a + c) / 2 AS mid, sqrt(((a - c) / 2) ** 2 + b * b) AS r, (xx + yy) / 2 AS gmid, sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS gr FROM sums),
+axes AS (SELECT *, mid + r AS l1, (mid + r) / (2 * mid) AS p, (mid - r) / (2 * mid) AS q, (a - c) / 2 / r AS c2, b / r AS s2, sqrt(gmid + gr) AS g1, sqrt(gmid - gr) AS g2 FROM spans)
+"""
+)
+
+
+def _sheared(spark, sf_dir):
+    x, y = F.col("vec")[7], F.col("vec")[8]
+    return _vectors(spark, sf_dir).withColumn("vec", F.array(x, 0.3 * y + 0.2 * F.col("ckpt") * x))
+
+
+@query(SHEARED_SQL + "SELECT k AS ckpt, n, round(exp(-p * ln(p) - q * ln(q)), 6) AS effective_rank, round(2 * p, 6) AS anisotropy, CASE WHEN p >= 0.95 - 1e-9 THEN 1 ELSE 2 END AS rank95 FROM axes")
+def geometry_plane(spark, sf_dir):
+    return _round(G.geometry(G.spectra(_sheared(spark, sf_dir))).drop("tbl"), 6)
+
+
+@query(
+    SHEARED_SQL
+    + """SELECT a.k AS pair, round(CASE WHEN a.p >= 0.9 - 1e-9 THEN least(1, (b.mid + (b.a - b.c) / 2 * a.c2 + b.b * a.s2) / b.l1) ELSE 1 END, 6) AS overlap
+FROM axes a JOIN axes b ON b.k = a.k + 1"""
+)
+def overlap_plane(spark, sf_dir):
+    return _round(G.subspace_overlap(G.spectra(_sheared(spark, sf_dir))).drop("tbl"), 6)
+
+
+@query(
+    SHEARED_SQL
+    + """SELECT pair, id, round(sqrt(greatest(0, (dx * dx + dy * dy) / 2 + (dx * dx - dy * dy) / 2 * c2 + dx * dy * s2)), 6) AS projected
+FROM (SELECT a.k AS pair, a.id, b.x - a.x AS dx, b.y - a.y AS dy FROM plane a JOIN plane b ON a.id = b.id AND b.k = a.k + 1) AS moved JOIN axes ON axes.k = pair + 1"""
+)
+def projection_plane(spark, sf_dir):
+    """Movement along the leading direction of the current side."""
+    rows = _sheared(spark, sf_dir)
+    return _round(G.project_deltas(P.id_pairs(rows), G.spectra(rows), 1).drop("tbl"), 6)
+
+
+@query(SHEARED_SQL + "SELECT k AS ckpt, round(g1, 6) AS spectral_norm, round(exp(-g1 / (g1 + g2) * ln(g1 / (g1 + g2)) - g2 / (g1 + g2) * ln(g2 / (g1 + g2))), 6) AS effective_rank FROM axes")
+def dense_plane(spark, sf_dir):
+    return _round(G.dense_spectra(_sheared(spark, sf_dir)).drop("tbl"), 6)
+
+
 @query()
 def table_geometry(spark, sf_dir):
     return _round(G.geometry(G.spectra(_vectors(spark, sf_dir))))
@@ -780,6 +827,19 @@ def sketched_p_values(spark, sf_dir):
     return both.select("tbl", "metric", "idx", "method", (F.abs(F.col("_near") - F.col("p")) <= K.rank_error() + 1 / K.GRID).alias("within"))
 
 
+@query(V_SQL + "SELECT k AS ckpt, CAST(i AS INTEGER) AS i, count(*) AS n, round(sum(v * v), 6) AS squares, true AS within FROM rows_v GROUP BY k, i")
+def sketched_directions(spark, sf_dir):
+    """Sketches of 16 rows of two halves of the ids, merged: do they hold each axis's sum of squares within what they say they lost?"""
+    rows = _vectors(spark, sf_dir)
+    halves = FD.sketched(rows.withColumn("tbl", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")), G.TABLE, 16)
+    one = FD.merged(halves, ["ckpt"], 16)
+    near = one.select("ckpt", "n", "energy", "lost", "width", F.posexplode("sketch").alias("at", "x")).groupBy("ckpt", "n", "energy", "lost", (F.col("at") % F.col("width")).alias("i")).agg(F.sum(F.col("x") * F.col("x")).alias("near"))
+    exact = rows.select("ckpt", F.posexplode("vec").alias("i", "x")).groupBy("ckpt", "i").agg(F.sum(F.col("x") * F.col("x")).alias("squares"))
+    slack = F.lit(1e-9) * F.col("energy")
+    within = (F.col("near") <= F.col("squares") + slack) & (F.col("squares") <= F.col("near") + F.col("lost") + slack) & (F.col("lost") * 17 <= F.col("energy") + slack)
+    return exact.join(near, ["ckpt", "i"]).select("ckpt", "i", "n", (F.round("squares", 6) + 0.0).alias("squares"), within.alias("within"))
+
+
 @query(SQL["churn_counts"])
 def bucketed_churn(spark, sf_dir):
     """churn_counts over a table bucketed by id that was written a checkpoint after the other: no row is shuffled to meet its neighbour."""
