@@ -83,7 +83,7 @@ def shingle_hits(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
         found = at.select("h1", "h2", "words", "at", shingle_at("w", F.col("at"), width).alias("h")).join(F.broadcast(own) if small else own, "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = known.crossJoin(texts.select("h1", "h2", "words", F.lit(0).alias("at")).limit(0))
+        hits = known.select("*", *[F.lit(0).cast("long").alias(c) for c in ("h1", "h2")], *[F.lit(0).alias(c) for c in ("words", "at")])  # no item, no row
     return hits.groupBy(*PLACE, "at").agg(F.first("h").alias("h"), F.first("d").alias("d"))
 
 
