@@ -8,8 +8,9 @@ fixed with the defaults, so a group can't exceed 2 ** 22 fingerprints, whatever
 and whole nodes pruned by the differences accumulated on the way down. A group returns a spanning forest of its
 links, never all pairs, and ``components`` joins the forests.
 
-``near_duplicates`` finds all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an
-exact set-similarity join. Shingles are ordered rarest first by counts over the whole corpus (in COUNTERS counters, so a
+``near_duplicates`` finds all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts whose
+fingerprints are linked are compared first (``fingerprint_pairs``); as similar sets may have distant fingerprints, an exact
+set-similarity join finds what they leave. Shingles are ordered rarest first by counts over the whole corpus (in COUNTERS counters, so a
 frequent shingle is never taken for a rare one; the order decides the work, not the result). Two similar sets share one
 of their first ``size - need + 1`` shingles, and pairs are filtered by length, place and the parities of PARITIES groups
 of shingles before the shingles decide. Sets that are neighbours in size under CHAINS keys (``common_keys``) come first;
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materialize, small_batches, table, utf8
+from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materialize, skew_join, small_batches, table, utf8
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
@@ -208,7 +209,7 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (hash of the text), node (hash of the shingle set) of every text.
+    """doc_id, row (hash of the text), node (hash of the shingle set), fp (fingerprint) of every text.
 
     Further rows, with a chunk, hold in counts how often the task's shingles fall into that chunk of COUNTERS counters.
     """
@@ -217,20 +218,34 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            nodes = []
+            nodes, codes = [], []
             for t in utf8(batch.column(1)):
                 h = np.unique(shingle_hashes(t, width))
                 nodes.append(_node(h))
+                codes.append(majority(shingle_hashes(t, 3)))
                 np.add.at(counters, h & np.uint64(COUNTERS - 1), 1)
             none = [None] * len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_signed(nodes)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_signed(nodes)), pa.array(_signed(codes)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for k, part in enumerate(counters.reshape(-1, CHUNK)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+                yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
 
-    names = ["doc_id", "row", "node", "chunk", "counts"]
+    names = ["doc_id", "row", "node", "fp", "chunk", "counts"]
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_row(F.col("text")).alias("row"))
-    return own.mapInArrow(run, "doc_id long, row long, node long, chunk int, counts binary")
+    return own.mapInArrow(run, "doc_id long, row long, node long, fp long, chunk int, counts binary")
+
+
+def fingerprint_pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of shingle sets that span the links of their fingerprints; found (node, fp).
+
+    Sets of one fingerprint pair with the least of them, and the least of two fingerprints where ``link_within`` links these.
+    """
+    each = materialize(found.select("fp", "node").distinct(), "coded")
+    codes = materialize(each.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "codes")
+    same = skew_join(each, codes, ["fp"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    ends = [codes.select(F.col("fp").alias(k), F.col("least").alias(f"_{k}")) for k in ("u", "v")]
+    linked = link_within(codes.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return same.unionByName(linked).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def frequency_levels(found: DataFrame) -> np.ndarray:
@@ -422,6 +437,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """
     made = materialize(signatures(docs, width), "signatures")
     found = made.where("chunk is null").select("doc_id", "row", "node")
+    coded = made.where("chunk is null").select("node", "fp")
     prefixed = materialize(prefixes(docs, width, similarity, frequency_levels(made)), "prefixes")
     shared = materialize(shared_keys(prefixed), "shared-keys")
 
@@ -434,9 +450,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         discard(sets)
         return linked
 
-    # chains under a few keys and the nearest of what they leave join nearly all of a group of near copies at a few pairs
-    # a row; then only sets of different components meet
-    linked = verified(chained_pairs(common_keys(shared, CHAINS), similarity))
+    # links of fingerprints, chains under a few keys and the nearest of what they leave join nearly all of a group of near
+    # copies at a few pairs a row; then only sets of different components meet
+    linked = verified(fingerprint_pairs(coded).unionByName(chained_pairs(common_keys(shared, CHAINS), similarity)).distinct())
     for nearest in (True, False):
         labels = prefixed.join(components(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
         linked = linked.unionByName(verified(remaining_pairs(shared, labels, similarity, nearest)))

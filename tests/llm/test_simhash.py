@@ -169,3 +169,27 @@ def test_registered_query(spark, tmp_path):
     assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == sorted(want, key=repr)
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert simhash.op1_simhash(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_near_duplicates_come_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    base = [rng.choices(words, k=600) for _ in range(12)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "other"]) for w in base]
+    # fingerprints agree where one shingle stands in most places, sets need not: the exact check parts these
+    texts += ["same " * 3000 + " ".join(rng.choices(words, k=200)) for _ in range(2)]
+    codes = [brute_fingerprint(t) for t in texts]
+    linked = brute_components(range(len(texts)), lambda a, b: (codes[a] ^ codes[b]).bit_count() <= 2)
+    assert sum(linked[12 + k] == k for k in range(12)) > 0 and linked[25] == 24
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.signatures(df, 5).where("chunk is null").select("doc_id", "node", "fp").toPandas()
+    assert [c & (1 << 64) - 1 for c in found.sort_values("doc_id").fp] == codes
+    node = dict(zip(found.doc_id, found.node, strict=True))
+    pairs = {frozenset((r.u, r.v)) for r in simhash.fingerprint_pairs(spark.createDataFrame(found[["node", "fp"]])).collect()}
+    assert brute_components(range(len(texts)), lambda a, b: frozenset((node[a], node[b])) in pairs) == linked
+    # without the join of sets, what the fingerprints link and the check confirms is still found
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "chained_pairs", lambda *a: none)
+    monkeypatch.setattr(simhash, "remaining_pairs", lambda *a: none)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == {**linked, 25: 25}
