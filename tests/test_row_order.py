@@ -12,7 +12,7 @@ from driftlens.plans import catalog
 from driftlens.sources.trajectories import events_trajectory
 
 SMALL = "/root/testdata/sf0.01/events.parquet"
-HELD = ["frozen_score", "event_p_values", "feature_series", "detect_robust_z"]
+HELD = ["frozen_score", "event_p_values", "feature_series", "detect_robust_z", "detect_pelt"]
 
 
 @pytest.fixture(scope="module")
