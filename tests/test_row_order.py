@@ -12,7 +12,7 @@ from driftlens.plans import catalog
 from driftlens.sources.trajectories import events_trajectory
 
 SMALL = "/root/testdata/sf0.01/events.parquet"
-HELD = ["frozen_score", "event_p_values", "feature_series", "detect_robust_z", "detect_pelt", "events_of_all_methods", "freq_residual", "top_movers", "calibrated_events", "event_ranking", "detection_power", "incidents", "detect_page_hinkley"]
+HELD = ["frozen_score", "event_p_values", "feature_series", "detect_robust_z", "detect_pelt", "events_of_all_methods", "freq_residual", "top_movers", "calibrated_events", "event_ranking", "detection_power", "incidents", "detect_page_hinkley", "top_frozen"]
 
 
 @pytest.fixture(scope="module")
