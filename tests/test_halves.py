@@ -49,6 +49,6 @@ def test_rounding(spark, tmp_path):
     assert shares.where((catalog._rounded("x", 4) != F.col("four")) | (catalog._rounded("x", 3) != F.col("three"))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["feature_series"])
+@pytest.mark.parametrize("name", ["feature_series", "detect_robust_z"])
 def test_query_rounds_halves_as_its_sql(spark, halves, name):
     held(spark, halves, name)
