@@ -442,7 +442,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     shared = materialize(shared_keys(prefixed), "shared-keys")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
         touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         rows = found.join(touched, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
         sets = materialize(shingle_sets(docs, rows, width), "sets")
@@ -452,11 +451,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     # links of fingerprints, chains under a few keys and the nearest of what they leave join nearly all of a group of near
     # copies at a few pairs a row; then only sets of different components meet
-    linked = verified(fingerprint_pairs(coded).unionByName(chained_pairs(common_keys(shared, CHAINS), similarity)).distinct())
+    first = fingerprint_pairs(coded).unionByName(chained_pairs(common_keys(shared, CHAINS), similarity)).distinct()
+    roots = components(verified(materialize(first, "pairs")))
     for nearest in (True, False):
-        labels = prefixed.join(components(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
-        linked = linked.unionByName(verified(remaining_pairs(shared, labels, similarity, nearest)))
-    roots = components(linked)
+        labels = prefixed.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
+        pairs = materialize(remaining_pairs(shared, labels, similarity, nearest), "pairs")
+        # where no set has a nearest one left, none has any
+        if pairs.isEmpty():
+            break
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(pairs)))
     discard(prefixed)
     discard(shared)
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))

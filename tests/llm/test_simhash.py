@@ -5,7 +5,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from driftlens.llm import components as components_module
 from driftlens.llm.components import components
 from driftlens.llm import simhash
 from driftlens.llm.simhash import GrayIndex, block_masks, fingerprints, gray_rank, group_fingerprints, keep_first_of_groups, link_within, majority, near_duplicates, shingle_hashes
@@ -73,6 +75,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def tables_written(monkeypatch) -> list[str]:
+    tags = []
+    for module in (simhash, components_module):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, own=module.materialize: (tags.append(tag), own(df, tag))[1])
+    return tags
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    tags = tables_written(monkeypatch)
+    stars = [(k, 5) for k in range(6, 400)] + [(1000, 1001), (1002, 1000), (-5, -9)]
+    first = components(spark.createDataFrame(stars, "u long, v long"))
+    assert {r.node: r.root for r in first.collect()} == {k: 5 for k in range(6, 400)} | {1001: 1000, 1002: 1000, -5: -9}
+    assert tags == ["edges"]
+    more = spark.createDataFrame([(399, 1002), (-5, 2000)], "u long, v long")
+    again = {r.node: r.root for r in components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)).collect()}
+    assert again == {k: 5 for k in [*range(6, 400), 1000, 1001, 1002]} | {-5: -9, 2000: -9}
+
+
+def test_near_duplicates_write_little_where_nothing_is_left(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    base = [" ".join(rng.choices(words, k=300)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(base + [t + " other" for t in base])), "doc_id long, text string")
+    tags = tables_written(monkeypatch)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {i: i % 12 for i in range(24)}
+    assert "stars" not in tags and tags.count("labels") == 1 and tags.count("sets") == 1
+
+
 def test_groups_match_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(200)]
