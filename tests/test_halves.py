@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.functions.ranks import quantiles
 from driftlens.plans import catalog
 
 #: Users that leave table b at each pair of checkpoints, and as many come: of 800, so 57 are a share of 0.07125 and 10 of 0.0125.
@@ -52,3 +53,14 @@ def test_rounding(spark, tmp_path):
 @pytest.mark.parametrize("name", ["feature_series", "detect_robust_z"])
 def test_query_rounds_halves_as_its_sql(spark, halves, name):
     held(spark, halves, name)
+
+
+@pytest.mark.parametrize("held", [0, 10_000])
+def test_quantiles_have_the_last_bit_of_the_sql(spark, tmp_path, held):
+    path = f"{tmp_path}/x.parquet"
+    duckdb.sql(f"""COPY (SELECT k, CASE WHEN k % 3 = 0 THEN hash(k, i) % 9999 / 100 WHEN k % 3 = 1 THEN sqrt(hash(k, i) % 999983) ELSE hash(k, i) % 4 / 7 END AS v
+        FROM range(3000) a(k), range(40) b(i) WHERE i < 2 + k % 37 UNION ALL SELECT -1, 1e308 FROM range(4)) TO '{path}' (FORMAT parquet)""")
+    wanted = {"a": 0.5, "b": 0.95, "c": 0.8}
+    want = duckdb.sql(f"SELECT k, {', '.join(f'quantile_cont(v, {p})' for p in wanted.values())} FROM '{path}' GROUP BY k").fetchall()
+    got = quantiles(spark.read.parquet(path), ["k"], F.col("v"), wanted, held).collect()
+    assert {tuple(r) for r in got} == set(want)
