@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materialize, skew_join, small_batches, table, utf8
+from driftlens.llm.common import LOWER, discard, free_name, map_arrow, materialize, skew_join, small_batches, table, trimmed, utf8
 from driftlens.llm.components import components
 
 BLOCKS, RADIUS, FAN = 6, 2, 8
@@ -232,7 +232,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     names = ["doc_id", "row", "node", "fp", "chunk", "counts"]
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_row(F.col("text")).alias("row"))
-    return own.mapInArrow(run, "doc_id long, row long, node long, fp long, chunk int, counts binary")
+    return own.mapInArrow(trimmed(run), "doc_id long, row long, node long, fp long, chunk int, counts binary")
 
 
 def fingerprint_pairs(found: DataFrame) -> DataFrame:

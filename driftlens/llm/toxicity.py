@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_arrow, small_batches, table, utf8
+from driftlens.llm.common import map_arrow, small_batches, table, trimmed, utf8
 from driftlens.llm.words import Words, blocks, word_hash
 
 MAX_LABELLED, MAX_LABELLED_BYTES = 6_000, 48_000_000
 #: Labelled texts over so many bytes join the training sample after all others, while there is room; all are scored.
 LONG_TEXT = 480_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
-ROWS = 100_000  # words convolved at a time
+ROWS = 1 << 14  # words convolved at a time: some 10 MB of arrays
 PREFIXES = (None, 4, 5, 6, 7)
 SEED = 20
 #: Frequent function words by which a text's language is guessed.
@@ -117,6 +117,16 @@ class ToxicityModel:
 _PAD = np.zeros((2, len(PREFIXES)), np.int32)
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """The bucket numbers of one text's words, without padding, in 16 bits each: half the memory of the training sample."""
+    return ((ids - 1) % BUCKETS).astype(np.uint16)
+
+
+def _wide(words: np.ndarray) -> np.ndarray:
+    """The rows that ``encode`` made, with the text's two rows of padding."""
+    return np.concatenate([words + (1 + BUCKETS * np.arange(len(PREFIXES), dtype=np.int32)), _PAD])
+
+
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, drop: float = 0.5) -> ToxicityModel:
     """AdaGrad on the logistic loss; gradients flow through the pooled windows only, so an update touches few rows.
 
@@ -125,17 +135,17 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 8, batch: int = 3
     """
     rng = np.random.default_rng(SEED)
     model = ToxicityModel.fresh(rng)
-    encoded = [(ids[:-2], lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
+    encoded = [(_narrow(ids[:-4]), lang[0]) for ids, _, lang in (encode([t]) for t in texts)]
     order = rng.permutation(len(texts))
     keep, check = order[len(order) // 5 :], order[: len(order) // 5]
     weight = np.array([0.5 / max(1 - toxic[keep].mean(), 1e-3), 0.5 / max(toxic[keep].mean(), 1e-3)])
     seen = {"t": np.full(model.table.shape, 1e-2, np.float32), "o": np.full(model.out.shape, 1e-2), "ob": 1e-2, "f": [np.full(f.shape, 1e-2) for f in model.filters], "b": [np.full(FILTERS, 1e-2) for _ in WIDTHS]}
-    keep = np.array([i for i in keep if len(encoded[i][0]) > 2], np.int64)
+    keep = np.array([i for i in keep if len(encoded[i][0])], np.int64)
     for epoch in range(epochs):
         keep = rng.permutation(keep)
         for s in range(0, len(keep), batch):
             own = keep[s : s + batch]
-            parts = [encoded[i][0] for i in own]
+            parts = [_wide(encoded[i][0]) for i in own]
             if epoch % 2 == 0:
                 parts = [ids * (rng.random((len(ids), 1)) >= drop) if len(ids) > 6 else ids for ids in parts]
             ids = np.concatenate([*parts, _PAD])
@@ -189,7 +199,7 @@ def calibrate(model: ToxicityModel, encoded: list, toxic: np.ndarray) -> None:
     """Thresholds by language from rows the weights were not fitted on; a language with few rows takes the common one."""
     if not len(encoded):
         return
-    logits = np.array([model.logits(np.concatenate([ids, _PAD]), np.array([len(ids) - 2]))[0] for ids, _ in encoded])
+    logits = np.array([model.logits(np.concatenate([_wide(words), _PAD]), np.array([len(words)]))[0] for words, _ in encoded])
     language = np.array([lang for _, lang in encoded])
     common = _best_cut(logits, toxic)
     for k in range(len(LANGUAGES)):
@@ -231,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicit
         made = train([t for t, _ in rows], toxic) if len(set(toxic.tolist())) > 1 else float(toxic.mean()) if len(toxic) else 0.0
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(made)], pa.binary())})
 
-    made = training_rows(docs, labels, label_col).mapInArrow(run, "model binary").collect()  # one row
+    made = training_rows(docs, labels, label_col).mapInArrow(trimmed(run), "model binary").collect()  # one row
     return pickle.loads(made[0].model) if made else 0.0
 
 
@@ -284,4 +294,4 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             scores = [score_texts(held.value, texts[a:b])[0] for a, b in blocks(texts)]
             yield batch.filter(pa.array(np.concatenate(scores) < 0.5)) if scores else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -1,11 +1,17 @@
+import gc
 import random
+import re
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftlens.llm import quality as Q
 from driftlens.llm import toxicity as T
+from driftlens.llm.common import trimmed
 from driftlens.llm.words import Words, word_hash
 
 
@@ -43,6 +49,40 @@ def test_network_learns_and_pools_whole_texts():
     assert batch[1:3] == pytest.approx(alone)
 
 
+def test_network_takes_little_memory():
+    text = " ".join(random.Random(3).choices(["harmless", "idiot", "les", "der", "xylophone"], k=60_000)).encode()
+    model = T.ToxicityModel.fresh(np.random.default_rng(1))
+    ids, counts, _ = T.encode([text])
+    tracemalloc.start()
+    model.logits(ids, counts)
+    most = tracemalloc.get_traced_memory()[1]
+    T.encode([text])
+    encode = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
+    words = T._narrow(ids[:-4])
+    assert words.nbytes * 2 <= ids.nbytes and encode < 40e6
+    assert (T._wide(words) == ids[:-2]).all() and (T._wide(T._narrow(T.encode([b""])[0][:-4])) == 0).all()
+
+
+def test_workers_give_freed_memory_back():
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def run(batches):
+        kept = []
+        for batch in batches:
+            many = [np.ones(10_000) for _ in range(1_500)]  # 120 MB in pieces that malloc doesn't map one by one
+            kept.append(np.ones(10_000))
+            del many
+            yield batch
+
+    gc.collect()
+    before = held()
+    pins = [batch for batch in trimmed(run)([pa.record_batch({"a": [1]})])]
+    assert len(pins) == 1 and held() < before + 40
+
+
 def frames(spark, rows, label):
     docs = spark.createDataFrame([(i, t, "en", "s", 3) for i, t, _ in rows] + [(9001, None, "x", None, 0), (9002, "", "x", None, 0), (9002, "", "x", None, 0), (None, "null id", "x", None, 0)], "doc_id long, text string, lang string, source string, score int")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2] + [(1, rows[1][2]), (3, None), (None, 1), (77_777, 1)], f"doc_id long, {label} int")

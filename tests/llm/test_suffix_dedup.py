@@ -75,6 +75,12 @@ def test_stage_keeps_rows_and_columns(spark):
     assert drop_repeats(spark, df.limit(0), "").count() == 0
 
 
+def test_stage_runs_one_python_function_a_task(spark):
+    out = drop_repeats(spark, spark.createDataFrame([(1, "é" * 300, 300)], "doc_id long, text string, n_chars long"), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_registered_query(spark, tmp_path):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choices("ab é\n", k=n))
