@@ -27,7 +27,7 @@ MAX_LABELLED, MAX_LABELLED_BYTES = 6_000, 48_000_000
 #: Labelled texts over so many bytes join the training sample after all others, while there is room; all are scored.
 LONG_TEXT = 480_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
-ROWS = 1 << 14  # words convolved at a time: some 10 MB of arrays
+ROWS, SCORED = 100_000, 1 << 14  # words convolved at a time in training, and in scoring: some 10 MB of arrays
 PREFIXES = (None, 4, 5, 6, 7)
 SEED = 20
 #: Frequent function words by which a text's language is guessed.
@@ -85,16 +85,16 @@ class ToxicityModel:
         parts = iter(np.split(e @ np.concatenate([f[j] for f in self.filters for j in range(len(f))], 1), sum(WIDTHS), 1))
         return np.concatenate([sum(next(parts)[j : j + n] for j in range(w)) + self.bias[k] for k, w in enumerate(WIDTHS)], 1)
 
-    def peaks(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def peaks(self, ids: np.ndarray, counts: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
         """Max pooling: each filter's greatest value in each text (of counts words), and the row where its window begins.
 
-        ROWS rows are convolved at a time, so that a very long text needs no more memory than its bucket numbers.
+        So many rows are convolved at a time, so that a very long text needs no more memory than its bucket numbers.
         """
         n, width = len(counts), len(self.out)
         owner = np.repeat(np.arange(n), counts + 2)
         best, at = np.full((n, width), -np.inf, np.float32), np.zeros((n, width), np.int64)
-        for s in range(0, len(owner), ROWS):
-            part = ids[s : s + ROWS + 2]
+        for s in range(0, len(owner), rows):
+            part = ids[s : s + rows + 2]
             c = self.convolve(part)
             c[part[:-2, 0] == 0] = -np.inf
             own = owner[s : s + len(c)]
@@ -109,9 +109,9 @@ class ToxicityModel:
             best[own] = np.maximum(top, best[own])
         return np.maximum(best, 0), at
 
-    def logits(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def logits(self, ids: np.ndarray, counts: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """One logit a text; texts without words pool zeros."""
-        return self.peaks(ids, counts)[0] @ self.out + self.out_bias
+        return self.peaks(ids, counts, rows)[0] @ self.out + self.out_bias
 
 
 _PAD = np.zeros((2, len(PREFIXES)), np.int32)
@@ -251,7 +251,7 @@ def score_texts(model: ToxicityModel | float, texts: list[bytes]) -> tuple[np.nd
     if isinstance(model, float):
         return np.full(len(texts), model), language, np.full(len(texts), 0.5)
     cut = model.thresholds[language]
-    z = np.clip(model.logits(ids, counts) - cut, -50, 50)
+    z = np.clip(model.logits(ids, counts, SCORED) - cut, -50, 50)
     return 1 / (1 + np.exp(-z)), language, 1 / (1 + np.exp(-cut))
 
 
