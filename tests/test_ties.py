@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import calibrate as C
 from driftlens.operators import detect as D
+from driftlens.plans import catalog
 from driftlens.streaming.detector import events_of
 
 SIZES = [1.0, 0.3, 1 / 41, 1 / 3, 0.7, 1 / 21_000]
@@ -36,3 +37,14 @@ def test_streamed_scores_on_the_bar_are_events():
     for size in [k / 97 for k in range(1, 97)]:
         value = np.array([1.0 - size * (i in (6, 9)) for i in range(10)])
         assert [(e[0], e[4]) for e in events_of(value, {"robust_z": 2.5})] == [(6, 1.0), (9, 1.0)]
+
+
+def test_series_have_the_same_bits_in_any_order(spark):
+    found, old = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for parts, adaptive in (("1", "true"), ("13", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        found.append({(r.tbl, r.metric, r.idx): r.value for r in catalog._series(spark, "/root/testdata/sf0.01").collect()})
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    assert found[0] == found[1]
